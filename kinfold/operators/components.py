@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES) ->
     total = _finish(left) if n else left.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     for step in reversed(maps):
         # A node of an earlier round goes where its target went later; targets that stayed keep their name.
-        later = total.withColumnsRenamed({"node": "root", "root": "top"})
+        later = total.select(F.col("node").alias("root"), F.col("root").alias("top"))
         total = total.union(step.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     # A node that was a target and moved in the same round stands twice, with the same root.
     return total.where("node <> root").distinct()
