@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import hashed_features as hf
-from kinfold.llm import decontamination, language_id, quality_classifier, quality_rules, simhash, substring_dedup
+from kinfold.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
 from kinfold.runtime import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.production_list(spark))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = hf.crc_fold(F.col("doc_id"), 4) == 2
@@ -47,9 +51,30 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_simhash, op5_quality_classifier, op6_decontamination, op7_substring_dedup, op9_quality_rules)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_url_filter,
+            op2_language_id,
+            op3_simhash,
+            op5_quality_classifier,
+            op6_decontamination,
+            op7_substring_dedup,
+            op9_quality_rules,
+            op10_mixing,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.SQL, "op7_substring_dedup": substring_dedup.SQL}
+    return {
+        "op1_url_filter": url_filter.SQL,
+        "op6_decontamination": decontamination.SQL,
+        "op7_substring_dedup": substring_dedup.SQL,
+        "op10_mixing": mixing.SQL,
+    }
