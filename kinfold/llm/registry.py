@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import hashed_features as hf
-from kinfold.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
-from kinfold.runtime import table
+from kinfold.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
+from kinfold.runtime import scratch_path, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,19 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_archive(warc.records_of(table(spark, sf_dir, "pages")), path)
+    read = warc.read_archive(spark, path, payload="verify")
+    return read.select(
+        warc.page_number("record_id").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        warc.page_number("refers_to").alias("refers_to"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_quality_classifier,
             op6_decontamination,
             op7_substring_dedup,
+            op8_warc,
             op9_quality_rules,
             op10_mixing,
         )
@@ -76,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.SQL,
         "op6_decontamination": decontamination.SQL,
         "op7_substring_dedup": substring_dedup.SQL,
+        "op8_warc": warc.SQL,
         "op10_mixing": mixing.SQL,
     }
