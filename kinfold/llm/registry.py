@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import hashed_features as hf
-from kinfold.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
+from kinfold.llm import decontamination, language_id, language_model, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
 from kinfold.runtime import scratch_path, table
 
 
@@ -28,6 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"), hf.crc_fold(F.col("doc_id"), 10) == 0)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = hf.crc_fold(F.col("doc_id"), 4) == 2
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_url_filter,
             op2_language_id,
             op3_simhash,
+            op4_language_model,
             op5_quality_classifier,
             op6_decontamination,
             op7_substring_dedup,
