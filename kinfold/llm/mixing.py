@@ -35,9 +35,9 @@ GROUP_ROWS = 32768
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size for each row."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source and size for each row, and the columns ``more``."""
+    return docs.select("doc_id", *more, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def _weight(place: Column) -> Column:
@@ -96,7 +96,7 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     return kept.union(short.select((F.lit(n) + F.col("rank")).alias("position"), "place", "rank"))
 
 
-def streams(sized: DataFrame) -> DataFrame:
+def streams(sized: DataFrame, *more: str) -> DataFrame:
     """``sized`` with the place of each document's first word in the shuffled stream of its source."""
     most = sized.groupBy("source").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     digits = 0
@@ -107,10 +107,10 @@ def streams(sized: DataFrame) -> DataFrame:
     earlier = sums.select(F.col("source").alias("of"), F.col("part").alias("of_part"), (F.sum("s").over(Window.partitionBy("source").orderBy("part")) - F.col("s")).alias("before"))
     inside = F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = hashed.withColumn("inside", inside).join(earlier, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
-    return placed.select("doc_id", "source", "size", (F.col("before") + F.col("inside")).alias("start"))
+    return placed.select("doc_id", *more, "source", "size", (F.col("before") + F.col("inside")).alias("start"))
 
 
-def mix(sized: DataFrame, goals: DataFrame) -> DataFrame:
+def mix(sized: DataFrame, goals: DataFrame, *more: str) -> DataFrame:
     """The mix: position of the slot, doc_id, source, start, size, first word and number of words taken there.
 
     A document that no slot takes has one row with a null position and no words.
@@ -118,7 +118,7 @@ def mix(sized: DataFrame, goals: DataFrame) -> DataFrame:
     total = int(goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     block = block_words(total)
     named = goals.select(F.col("source").alias("of"), "place", "source_size", "target", "take")
-    laid = streams(sized).join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    laid = streams(sized, *more).join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     read = laid.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1)))).withColumn("from", F.col("start") + F.col("pass") * F.col("source_size"))
     # The first reading stays for documents that nothing takes.
     read = read.where("pass = 0 OR (from < take AND size > 0)")
@@ -128,19 +128,34 @@ def mix(sized: DataFrame, goals: DataFrame) -> DataFrame:
     hi = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * block, F.col("take"))
     words = F.when(F.col("position").isNotNull() & (hi > lo), hi - lo).otherwise(F.lit(0))
     joined = cut.join(schedule(goals, block), ["place", "rank"], "left")
-    return joined.select("position", "doc_id", "source", "source_size", "target", "start", "size", (lo - F.col("from")).alias("first_word"), words.alias("words"))
+    return joined.select("position", "doc_id", *more, "source", "source_size", "target", "start", "size", (lo - F.col("from")).alias("first_word"), words.alias("words"))
+
+
+_ROW = "_mix_row"
+
+
+def with_taken(docs: DataFrame) -> DataFrame:
+    """``docs`` with size, source_size, target and taken for each row; columns of these names are replaced."""
+    docs = docs.drop("size", "source_size", "target", "taken")
+    numbered = runtime.materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    found = _taken(sizes(numbered, _ROW), _ROW)
+    return numbered.join(found.select(_ROW, "size", "source_size", "target", "taken"), _ROW).drop(_ROW)
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for each row of ``docs``."""
-    sized = runtime.materialize(sizes(docs), "sizes")
+    return _taken(sizes(docs))
+
+
+def _taken(sized: DataFrame, *more: str) -> DataFrame:
+    sized = runtime.materialize(sized, "sizes")
     goals = runtime.materialize(targets(sized), "targets")
-    # The place in its stream tells equal rows with words apart; equal rows without words are counted out again.
+    # The place in its stream tells equal rows with words apart; rows without words are added as they are.
     empty = sized.where("size = 0").join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    empty = empty.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
-    parts = mix(sized, goals).where("size > 0")
-    full = parts.groupBy("doc_id", "source", "start", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return full.select("doc_id", "source", "size", "source_size", "target", "taken").union(empty)
+    empty = empty.select("doc_id", *more, "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
+    parts = mix(sized, goals, *more).where("size > 0")
+    full = parts.groupBy("doc_id", *more, "source", "start", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    return full.select("doc_id", *more, "source", "size", "source_size", "target", "taken").union(empty)
 
 
 #: The same result in SQL, from the length that the mix takes of each source's stream.
