@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def model_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, size, sha256) of the files in a folder."""
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(name, size, sha256) of the files in a folder. Spark's file sources leave empty files out, so names come from the listing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    listed = spark.createDataFrame([(f.getPath().getName(), f.getLen()) for f in found if f.isFile()], "name string, size bigint")
+    read = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return listed.join(read, "name", "left")
 
 
 def problem(found_size: Column, found_hash: Column, want_size: Column, pinned: Column, recorded: Column) -> Column:

@@ -11,10 +11,12 @@ from kinfold import constants as C
 def debounce_stream(events: DataFrame, seconds: int = C.DEBOUNCE_SECONDS) -> DataFrame:
     """(started, fires_at, events) of each burst of a stream with an event time ``ts``, emitted once it is over.
 
-    One timer serves all directories, so the sessions have no key. The watermark only says when a burst is over.
+    One timer serves all directories, so all events share one key. The watermark only says when a burst is over.
     """
     gap = f"{seconds} seconds"
-    bursts = events.withWatermark("ts", gap).groupBy(F.session_window("ts", gap)).agg(F.count("*").alias("events"))
+    # A literal key would be folded away, and a session needs a key: this one is false for every event with a time.
+    timer = (F.unix_micros(F.col("ts").cast("timestamp")) * 0 > 0).alias("timer")
+    bursts = events.withWatermark("ts", gap).groupBy(F.session_window("ts", gap), timer).agg(F.count("*").alias("events"))
     return bursts.select(F.col("session_window.start").alias("started"), F.col("session_window.end").alias("fires_at"), "events")
 
 
