@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinfold import constants as C
 from kinfold import runtime
 from kinfold.operators.components import connected_components
+from kinfold.operators.ranking import ranked
 from kinfold.operators.similarity import cosine_pairs, unit_rows
 
 
@@ -159,16 +160,6 @@ def recluster(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD) -> DataFr
     return rooted.groupBy("root").applyInArrow(group, "face_id bigint, cluster_id bigint")
 
 
-def ranked(rows: DataFrame, by: str, name: str = "place") -> DataFrame:
-    """``rows`` with their place in the order of a column, from 0; ranges are ranked apart and their sizes added."""
-    held = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_mono", F.monotonically_increasing_id())
-    held = held.withColumn("_part", F.shiftright("_mono", 33))
-    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    # One row for each partition: bounded by their number.
-    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mono", "_part", "_n", "_before")
-
-
 def claims(overlap: DataFrame) -> DataFrame:
     """(cluster_id, person_id): greedy one-to-one claims by falling overlap, then person, then first face.
 

@@ -14,7 +14,7 @@ def delete_photo_faces(faces: DataFrame, photo_id: int) -> DataFrame:
 
 def add_faces(faces: DataFrame, rows: DataFrame, next_id: int) -> DataFrame:
     """Insert faces; rows lack ids and get the next ones in the order of (photo_id, x, y)."""
-    from kinfold.operators.clustering import ranked
+    from kinfold.operators.ranking import ranked
 
     named = ranked(rows.withColumn("_order", F.struct("photo_id", "x", "y")), "_order").withColumn("id", (F.col("place") + next_id).cast("bigint"))
     return faces.unionByName(named.select(*faces.columns))

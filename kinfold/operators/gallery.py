@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold import constants as C
 from kinfold.functions import media
+from kinfold.operators.ranking import ranked
 
 
 def having_all(links: DataFrame, key: str, value: str, wanted: Sequence[int]) -> DataFrame:
@@ -35,16 +36,8 @@ def order_columns(order_by: str = "path") -> list[Column]:
 
 
 def with_rank(photos: DataFrame, order_by: str = "path") -> DataFrame:
-    """``photos`` with their place in the order, from 0.
-
-    Rows are ranked within ranges of the order and the sizes of earlier ranges are added, so no task sorts them all.
-    """
-    order = order_columns(order_by)
-    held = photos.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mono", F.monotonically_increasing_id())
-    held = held.withColumn("_part", F.shiftright("_mono", 33)).withColumn("_in", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return held.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_mono", "_part", "_in", "_before")
+    """``photos`` with their place in the order, from 0."""
+    return ranked(photos, *order_columns(order_by), name="rank")
 
 
 def person_counts(persons: DataFrame, faces: DataFrame) -> DataFrame:

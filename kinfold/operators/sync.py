@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.clustering import ranked
+from kinfold.operators.ranking import ranked
 
 _KEPT = ("id", "path")
 
