@@ -40,6 +40,31 @@ def with_rank(photos: DataFrame, order_by: str = "path") -> DataFrame:
     return ranked(photos, *order_columns(order_by), name="rank")
 
 
+def photo_by_path(photos: DataFrame, path: str) -> DataFrame:
+    """The photo with a path; paths are unique."""
+    return photos.where(F.col("path") == path)
+
+
+def faces_of_photo(faces: DataFrame, photo_id: int) -> DataFrame:
+    return faces.where(F.col("photo_id") == photo_id)
+
+
+def unpinned_faces(faces: DataFrame) -> DataFrame:
+    return faces.where(~F.col("pinned"))
+
+
+def cards(photos: DataFrame, faces: DataFrame, persons: DataFrame, photo_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """Photos with their faces (id, person_name, person_color, x, y, w, h) and tag names as arrays, ready to show.
+
+    Faces and tags are gathered once for all photos, each photo's own being few.
+    """
+    shown = face_display(faces.select("id", "photo_id", "person_id", "x", "y", "w", "h"), persons)
+    boxes = shown.groupBy(F.col("photo_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "person_name", "person_color", "x", "y", "w", "h"))).alias("faces"))
+    named = photo_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id")
+    texts = named.groupBy(F.col("photo_id").alias("id")).agg(F.sort_array(F.collect_list("name")).alias("tags"))
+    return photos.join(boxes, "id", "left").join(texts, "id", "left")
+
+
 def person_counts(persons: DataFrame, faces: DataFrame) -> DataFrame:
     """Each person with the number of their faces, 0 included; faces are counted before the join."""
     counts = faces.where(F.col("person_id").isNotNull()).groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("face_count"))

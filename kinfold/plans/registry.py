@@ -66,6 +66,38 @@ def gallery_person_tag_geo(spark, d):
     return gallery.with_rank(_filtered(spark, d, [5], [11], True), "date").select("id", "path", "exif_date", "rank")
 
 
+@_named("SELECT id, path, size FROM photos WHERE path = '/lib/src3/IMG_000003.jpg'", "photos")
+def photo_by_path(spark, d):
+    return gallery.photo_by_path(view(spark, d, "photos"), "/lib/src3/IMG_000003.jpg").select("id", "path", "size")
+
+
+@_named("SELECT id, person_id, confidence FROM faces WHERE photo_id = 17", "faces")
+def faces_of_photo(spark, d):
+    return gallery.faces_of_photo(view(spark, d, "faces"), 17).select("id", "person_id", "confidence")
+
+
+@_named("SELECT id, photo_id FROM faces WHERE NOT pinned", "faces")
+def unpinned_faces(spark, d):
+    return gallery.unpinned_faces(view(spark, d, "faces")).select("id", "photo_id")
+
+
+@_named(
+    "SELECT p.id, coalesce(f.n, 0) AS face_count, coalesce(f.names, '') AS face_names, coalesce(t.names, '') AS tag_names FROM photos p "
+    "LEFT JOIN (SELECT f.photo_id, count(*) AS n, string_agg(coalesce(name, ''), '|' ORDER BY f.id) AS names FROM faces f LEFT JOIN persons q ON q.id = f.person_id GROUP BY f.photo_id) f ON f.photo_id = p.id "
+    "LEFT JOIN (SELECT photo_id, string_agg(name, '|' ORDER BY name) AS names FROM photo_tags l JOIN tags g ON g.id = l.tag_id GROUP BY photo_id) t ON t.photo_id = p.id",
+    "photos", "faces", "persons", "photo_tags", "tags",
+)
+def gallery_cards(spark, d):
+    shown = gallery.cards(*(view(spark, d, n) for n in ("photos", "faces", "persons", "photo_tags", "tags")))
+    names = F.array_join(F.transform("faces", lambda f: f["person_name"]), "|")
+    return shown.select("id", F.greatest(F.coalesce(F.size("faces"), F.lit(0)), F.lit(0)).cast("bigint").alias("face_count"), F.coalesce(names, F.lit("")).alias("face_names"), F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tag_names"))
+
+
+@_named("SELECT id, path FROM photos WHERE path NOT IN (SELECT path FROM scan)", "photos", "scan")
+def missing_photos(spark, d):
+    return sync.missing(view(spark, d, "photos"), view(spark, d, "scan")).select("id", "path")
+
+
 @_named("SELECT p.id, p.name, p.color, count(f.id) AS face_count, p.name || '  (' || cast(count(f.id) AS VARCHAR) || ')' AS list_label FROM persons p LEFT JOIN faces f ON f.person_id = p.id GROUP BY p.id, p.name, p.color", "persons", "faces")
 def person_face_counts(spark, d):
     return gallery.person_counts(view(spark, d, "persons"), view(spark, d, "faces"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold import runtime
 from kinfold.functions import exif, media
 from kinfold.operators import duplicates, edits, gallery, matching, sync
 from kinfold.sources import images, models, store
@@ -253,3 +254,36 @@ def test_online_assignment(spark, tmp_path):
     query.stop()
     got = {r["face_id"]: r["person_id"] for r in spark.table("assigned").collect()}
     assert got[1] == got[2] != got[3] == got[4]
+
+
+def test_folder_end_to_end(spark, tmp_path):
+    from kinfold.plans.analyze import analyze_folder
+
+    class ColorEngine:
+        """One face on each picture, whose vector is that of its red value."""
+
+        def detect_and_embed(self, pixels):
+            red = int(pixels[0, 0, 2])
+            if red == 255:
+                raise RuntimeError("no")
+            return [images.Detection(1, 1, 8, 8, 0.9, [1.0 if k == red // 32 else 0.0 for k in range(8)])]
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, red in enumerate((10, 12, 14, 200, 201, 90, 255)):
+        pixels = np.zeros((32, 32, 3), dtype=np.uint8)
+        pixels[..., 0], pixels[..., 1] = red, np.arange(32)[None, :] * (k + 1)
+        (folder / f"{k}.png").write_bytes(png(pixels))
+    (folder / "broken.jpg").write_bytes(b"no picture")
+    lib = store.Store(spark, f"file://{tmp_path}/lib")
+    done = analyze_folder(spark, lib, f"file://{folder}", ColorEngine, now=5.0)
+    assert (done.listed, done.analyzed, done.failed, done.gone, done.faces) == (8, 6, 1, 0, 6)
+    counts = gallery.person_counts(lib.read("persons"), lib.read("faces")).collect()
+    assert sorted(r["face_count"] for r in counts) == [1, 2, 3] and all(r["name"].startswith("Persona ") for r in counts)
+    (folder / "3.png").unlink()
+    last = analyze_folder(spark, lib, f"file://{folder}", ColorEngine, now=7.0)
+    # Nothing else has changed, so nothing is read again.
+    assert (last.gone, last.analyzed, last.faces) == (1, 0, 0) and lib.read("photos").count() == 5 and lib.read("faces").count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        analyze_folder(spark, lib, f"file://{tmp_path}/gone", ColorEngine)
+    assert lib.read("photos").count() == 5
