@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from kinfold import runtime
 
-#: Edges that one task may hold; 16 bytes each there.
-FINISH_EDGES = 1_000_000
+#: Edges that one task may hold: some 50 MB of Python objects.
+FINISH_EDGES = 250_000
 
 
 def union_find(pairs) -> dict[int, int]:
