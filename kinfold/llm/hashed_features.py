@@ -147,6 +147,14 @@ def collect_features(spec: FeatureSpec, rows: DataFrame, indicators: bool) -> tu
     )
 
 
+def dense(at: list[np.ndarray], value: list[np.ndarray], which: np.ndarray, size: int) -> np.ndarray:
+    """The rows ``which`` of the sparse features, as a dense float32 matrix."""
+    out = np.zeros((len(which), size), dtype=np.float32)
+    for k, i in enumerate(which.tolist()):
+        out[k, at[i]] = value[i]
+    return out
+
+
 def calibration_split(n: int, parts: int = 3) -> np.ndarray:
     """True for every ``parts``-th row: those calibrate, the others train. With few rows all do both."""
     return np.arange(n) % parts == parts - 1

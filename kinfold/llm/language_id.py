@@ -47,16 +47,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: np.ndarray, target: np.ndarray, classes: int, epochs: int = 12, batch: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(at: list[np.ndarray], value: list[np.ndarray], target: np.ndarray, classes: int, epochs: int = 12, batch: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, output weights and biases by SGD with step sizes that shrink with past gradients."""
     order = np.random.default_rng(2)
-    e = order.normal(0, 0.3, (rows.shape[1], DIMENSIONS)).astype(np.float32)
+    e = order.normal(0, 0.3, (SPEC.size, DIMENSIONS)).astype(np.float32)
     o = order.normal(0, 0.3, (DIMENSIONS, classes)).astype(np.float32)
     b = np.zeros(classes, dtype=np.float32)
     seen = [np.full_like(x, 1e-8) for x in (e, o, b)]
     for _ in range(epochs):
-        for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // batch)):
-            x = rows[part]
+        for part in np.array_split(order.permutation(len(at)), max(1, len(at) // batch)):
+            x = hf.dense(at, value, part, SPEC.size)
             hidden = x @ e
             d = softmax(hidden @ o + b).astype(np.float32)
             d[np.arange(len(part)), target[part]] -= 1
@@ -67,13 +67,6 @@ def train(rows: np.ndarray, target: np.ndarray, classes: int, epochs: int = 12,
     return e, o, b
 
 
-def _dense(at: list[np.ndarray], value: list[np.ndarray]) -> np.ndarray:
-    rows = np.zeros((len(at), SPEC.size), dtype=np.float32)
-    for i, (a, v) in enumerate(zip(at, value, strict=True)):
-        rows[i, a] = v
-    return rows
-
-
 def fit(docs: DataFrame, learnable, train_rows: int = TRAIN_ROWS) -> Model | None:
     """Learn from at most ``train_rows`` rows for which the Column ``learnable`` holds; None if there are none."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"), "text")
@@ -87,9 +80,10 @@ def fit(docs: DataFrame, learnable, train_rows: int = TRAIN_ROWS) -> Model | Non
     y = np.array([languages.index(x) for x in found])
     held = hf.calibration_split(len(y)) if len(y) >= 30 else np.zeros(len(y), dtype=bool)
     # The three sections' frequencies sum to 3; the factor keeps hidden values near 1.
-    x = _dense(at, value) * np.float32(8)
-    e, o, b = train(x[~held], y[~held], len(languages))
-    z, target = (x[held] if held.any() else x) @ e @ o + b, y[held] if held.any() else y
+    value = [v * np.float32(8) for v in value]
+    own, rest = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
+    e, o, b = train([at[i] for i in own], [value[i] for i in own], y[own], len(languages))
+    z, target = np.array([(value[i] @ e[at[i]]) @ o + b for i in rest]), y[rest]
     temperature = min(np.geomspace(0.2, 5, 41), key=lambda t: -np.log(softmax(z * t)[np.arange(len(target)), target] + 1e-12).mean())
     p = softmax(z * temperature)
     score, right = p.max(axis=1), p.argmax(axis=1) == target

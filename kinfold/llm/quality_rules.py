@@ -50,15 +50,12 @@ class Model:
 
 def fit_logistic(at: list[np.ndarray], value: list[np.ndarray], labels: np.ndarray, size: int, epochs: int = 30, batch: int = 64, penalty: float = 1e-5) -> np.ndarray:
     """Weights (the last is the intercept) by stochastic gradient steps with per-weight step sizes; classes weigh alike."""
-    rows = np.zeros((len(at), size + 1), dtype=np.float32)
-    for i, (a, v) in enumerate(zip(at, value, strict=True)):
-        rows[i, a] = v
-    rows[:, size] = 1
     weight = np.where(labels > 0, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     w, seen, order = np.zeros(size + 1, dtype=np.float32), np.full(size + 1, 1e-8, dtype=np.float32), np.random.default_rng(9)
     for _ in range(epochs):
         for part in np.array_split(order.permutation(len(at)), max(1, len(at) // batch)):
-            x = rows[part]
+            x = hf.dense(at, value, part, size + 1)
+            x[:, size] = 1
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             g = x.T @ (((p - labels[part]) * weight[part]).astype(np.float32)) / len(part) + penalty * w
             seen += g * g
