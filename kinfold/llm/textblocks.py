@@ -47,8 +47,9 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     for which, base in enumerate((_BASE, _BASE_INVERSE)):
         have = _powers[which]
         while len(have) < n:
-            step = np.uint64(pow(base, len(have), 1 << 64))
-            have = np.concatenate([have, have * step])
+            # No more than the next 65536 beyond what is needed: the tables live as long as the process.
+            more = min(len(have), n - len(have) + 65536)
+            have = np.concatenate([have, have[:more] * np.uint64(pow(base, len(have), 1 << 64))])
         _powers[which] = have
     return _powers[0][:n], _powers[1][:n]
 
