@@ -8,9 +8,8 @@ is chosen for. Candidates of a bucket are verified over all bits. Width and numb
 number of texts, so a bucket of unrelated texts stays small at any size.
 
 Fingerprints are grouped first, so exact copies count once. Buckets return spanning forests, never all pairs. A bucket
-of more than ``BUCKET_ROWS`` members is not held by one task: its members are compared with a fixed number of pivots
-of the bucket, which joins dense groups, and are dealt out anew by the value of every other partition, which parts
-members that merely share a value.
+of more than ``BUCKET_ROWS`` members is not held by one task: its members are cut into blocks and each two blocks
+meet in a bucket of their own, so all members are compared however many they are.
 
 Defined results are those of ``simhash``: blank and null texts are alike, the smallest id stays, of equal ids one row.
 """
@@ -34,7 +33,6 @@ from kinfold.operators.components import connected_components
 
 #: Share of the pairs at the stated similarity that a search finds, by design.
 RECALL = 0.97
-PIVOTS = 64
 #: Parts that the members of a component are dealt into where its name is joined to them.
 TURNS = 32
 #: Times 64 bits that verification compares, at least.
@@ -130,17 +128,14 @@ def _emit(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes), packed], names=["key", "node", "print"])
 
 
-def _send(p: Plan, again: bool):
-    """Rows for the bucket of every partition; ``again``: of every pair of the row's key with another partition."""
+def _send(p: Plan):
+    """Rows for the bucket of every partition."""
 
     def run(batches):
         for batch in batches:
             prints, nodes = _prints_of(batch.column("print"), p.words), np.asarray(batch.column("node"))
-            old = np.asarray(batch.column("key")).view(np.uint64) if again else None
             for part in np.array_split(np.arange(len(prints)), max(1, len(prints) // 4096)):
                 keys = _keys(partition_values(prints[part], p), np.arange(p.count))
-                if again:
-                    keys = np.where(keys == old[part][:, None], keys, tb.mix(keys ^ old[part][:, None]))
                 yield _emit(keys.ravel(), np.repeat(nodes[part], p.count), np.repeat(prints[part], p.count, axis=0))
 
     return run
@@ -204,23 +199,6 @@ def _links(p: Plan):
     return run
 
 
-def _to_pivots(p: Plan):
-    """Links of each row with the pivots of its bucket."""
-
-    def run(batches):
-        for batch in batches:
-            prints, nodes = _prints_of(batch.column("print"), p.words), np.asarray(batch.column("node"))
-            pivots = batch.column("pivots")
-            sizes = np.diff(np.asarray(pivots.offsets))
-            flat = pivots.flatten()
-            row = np.repeat(np.arange(len(prints)), sizes)
-            near = np.flatnonzero(_distance(prints[row], _prints_of(flat.field("print"), p.words)) <= p.most)
-            a, b = nodes[row[near]], np.asarray(flat.field("node"))[near]
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
-
-    return run
-
-
 _EDGES = "a bigint, b bigint"
 
 
@@ -228,26 +206,29 @@ def _in_buckets(rows: DataFrame, p: Plan) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links(p), _EDGES)
 
 
-def _hot(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    return runtime.materialize(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), "hot")
+def in_block_pairs(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+    """``rows`` (node bigint, and these columns) dealt anew: those of a key are cut into ``blocks`` parts, and each two parts meet under a key of their own.
+
+    Any two rows of a key meet, so nothing is left uncompared however crowded the key is. Rows of one block keep to themselves.
+    """
+    own, other = F.pmod(F.xxhash64("node"), F.col(blocks)), F.col("_other")
+    dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)))
+    dealt = dealt.where((F.col(blocks) == 1) | (other != F.col("_own")))
+    pair = F.xxhash64(key, F.least("_own", other), F.greatest("_own", other))
+    return dealt.withColumn(key, F.when(F.col(blocks) > 1, pair).otherwise(F.col(key))).drop("_own", "_other", blocks)
 
 
 def links(prints: DataFrame, p: Plan, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links among distinct fingerprints (node bigint, print binary) that the partitions bring together."""
-    rows = prints.select("node", "print").mapInArrow(_send(p, False), _ROWS)
-    hot = _hot(rows, bucket_rows)
+    rows = prints.select("node", "print").mapInArrow(_send(p), _ROWS)
+    hot = runtime.materialize(rows.groupBy("key").count().where(F.col("count") > bucket_rows), "hot")
     if hot.isEmpty():
         return _in_buckets(rows, p)
-    crowded = runtime.materialize(rows.join(hot, "key", "left_semi").select("key", "node", "print"), "crowded")
     found = _in_buckets(rows.join(hot, "key", "left_anti").select("key", "node", "print"), p)
-    # A fixed number of members of each crowded bucket, by an aggregate with partial results.
-    chosen = crowded.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct("node", "print")).alias("one"))
-    pivots = chosen.groupBy("key").agg(F.collect_list("one").alias("pivots"))
-    found = found.union(crowded.join(pivots, "key").mapInArrow(_to_pivots(p), _EDGES))
-    anew = crowded.mapInArrow(_send(p, True), _ROWS)
-    still = _hot(anew, bucket_rows)
-    # Buckets that two equal values don't part are dense; their pivots have joined them.
-    return found.union(_in_buckets(anew if still.isEmpty() else anew.join(still, "key", "left_anti").select("key", "node", "print"), p))
+    # Two blocks together are about as many rows as a bucket may have.
+    blocks = F.ceil(F.lit(2.0) * F.col("count") / bucket_rows).cast("bigint")
+    crowded = rows.join(hot.select("key", blocks.alias("blocks")), "key").select("key", "node", "print", "blocks")
+    return found.union(_in_buckets(in_block_pairs(crowded, "key", "blocks").select("key", "node", "print"), p))
 
 
 def components(prints: DataFrame, p: Plan, order: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from kinfold.llm import simhash_wide
 
 
@@ -75,3 +76,16 @@ def test_plans_follow_the_size():
         p = simhash_wide.plan(texts, 0.8)
         agree = 1 - simhash_wide.differing_share(0.8)
         assert 1 - (1 - agree**p.width) ** p.count >= simhash_wide.RECALL and p.words * 64 >= p.width * p.count
+
+
+def test_all_members_of_a_crowded_bucket_are_compared(spark):
+    p, rng = simhash_wide.plan(70_000, 0.8), np.random.default_rng(5)
+    bits = rng.integers(0, 2, (2000, 64 * p.words), dtype=np.uint8)
+    # One value of the first partition; the pairs among the last 20 rows share no other partition.
+    bits[:, : p.width] = 0
+    bits[1981::2] = bits[1980::2]
+    bits[1981::2, p.width : p.width * p.count : p.width] ^= 1
+    prints = np.packbits(bits, axis=1, bitorder="little")
+    rows = spark.createDataFrame([(i, bytes(x)) for i, x in enumerate(prints)], "node bigint, print binary")
+    found = {(min(r), max(r)) for r in simhash_wide.links(rows, p, bucket_rows=256).collect()}
+    assert found == {(i, i + 1) for i in range(1980, 2000, 2)}
