@@ -4,10 +4,14 @@ Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 15 of
 at that distance in 64 bits has to send each fingerprint to thousands of buckets once a corpus is large, so
 this form takes more bits instead. They are cut into partitions of equal width with threshold zero: pairs that differ
 in fewer bits than there are partitions are found for sure, others with a probability that the number of partitions
-is chosen for. Candidates of a bucket are verified over all bits. Width and number of partitions follow from the
+is chosen for. Candidates of a bucket are filtered by their distance over all bits. Width and number of partitions follow from the
 number of texts, so a bucket of unrelated texts stays small at any size.
 
-Fingerprints are grouped first, so exact copies count once. Buckets return spanning forests, never all pairs. A bucket
+A fingerprint counts each distinct shingle once, and a small distance only proposes a link: the shingle sets of each
+component of candidates are then compared themselves, and what joins documents is a Jaccard similarity of the stated
+value. A component with more than ``GROUP_SHINGLES`` shingles is cut into blocks of which each two meet.
+
+Equal shingle sets are grouped first, so exact copies count once. Buckets return spanning forests, never all pairs. A bucket
 of more than ``BUCKET_ROWS`` members is not held by one task: its members are cut into blocks and each two blocks
 meet in a bucket of their own, so all members are compared however many they are.
 
@@ -40,6 +44,10 @@ VERIFY_WORDS = 8
 #: Verification lets a pair differ in so many standard deviations more bits than expected at the stated similarity.
 SLACK = 1.5
 
+#: Shingles of the sets that one task compares, about; larger candidate components are cut into blocks.
+GROUP_SHINGLES = 1 << 19
+
+ROW = "_near_row"
 _ROWS = "key bigint, node bigint, print binary"
 
 
@@ -73,18 +81,24 @@ def plan(texts: int, jaccard: float, recall: float = RECALL) -> Plan:
     return Plan(width, count, words, int(bits * apart + SLACK * (bits * apart * (1 - apart)) ** 0.5))
 
 
-def fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
-    """``words`` times 64 bits: each bit is set if it is set in over half of the shingles' hashes of its word."""
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct runs of ``shingle`` words; fewer words are one run, a blank text has none."""
     tokens = text.translate(tb.LOWER).split()
     if not tokens:
-        return np.zeros(words, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: max(1, len(tokens) - shingle + 1)].tolist(), ends[min(shingle, len(tokens)) - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
+
+
+def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` times 64 bits of a shingle set: each bit is set if it is set in over half of the hashes of its word."""
     out = np.zeros(words, dtype=np.uint64)
+    if not len(hashes):
+        return out
     for k in range(words):
         own = hashes if k == 0 else tb.mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         counts = np.bincount((own.view(np.uint8).reshape(-1, 8) + _BYTE_PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
@@ -92,17 +106,28 @@ def fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
     return out
 
 
-def _with_prints(docs: DataFrame, shingle: int, words: int, name: str) -> DataFrame:
+#: Columns added to the documents: the hash that names a shingle set, its size and its fingerprint.
+_NODE, _SIZE, _PRINT = "_near_node", "_near_size", "_near_print"
+
+
+def _sets_of(column: pa.Array, shingle: int):
+    data, offsets = tb.column_bytes(column)
+    own = data.tobytes()
+    return [shingle_set(own[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _with_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     at = docs.columns.index("text")
 
     def add(batches):
         for batch in batches:
-            data, offsets = tb.column_bytes(batch.column(at))
-            own = data.tobytes()
-            prints = [fingerprint(own[a:b], shingle, words).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, name])
+            sets = _sets_of(batch.column(at), shingle)
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            prints = pa.array([fingerprint(x, words).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), prints], names=[*batch.schema.names, _NODE, _SIZE, _PRINT])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    more = [T.StructField(_NODE, T.LongType()), T.StructField(_SIZE, T.LongType()), T.StructField(_PRINT, T.BinaryType())]
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *more]))
 
 
 def _prints_of(column: pa.Array, words: int) -> np.ndarray:
@@ -231,29 +256,109 @@ def links(prints: DataFrame, p: Plan, bucket_rows: int = BUCKET_ROWS) -> DataFra
     return found.union(_in_buckets(in_block_pairs(crowded, "key", "blocks").select("key", "node", "print"), p))
 
 
-def components(prints: DataFrame, p: Plan, order: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(print, first): for each distinct fingerprint of ``prints`` (print, and a column to order by) the first row of its component."""
-    groups = runtime.materialize(prints.groupBy("print").agg(F.min(order).alias("first")).withColumn("node", F.xxhash64("print")), "prints")
-    roots = connected_components(links(groups, p, bucket_rows))
+def jaccard_forest(nodes: np.ndarray, flat: np.ndarray, sizes: np.ndarray, jaccard: float) -> tuple[list[int], list[int]]:
+    """Links that span the components of sets whose Jaccard similarity is ``jaccard`` at least; ``flat`` has the sets end to end."""
+    names, codes = np.unique(flat, return_inverse=True)
+    ends = np.cumsum(sizes)
+    held, left, a, b = np.zeros(len(names), dtype=np.int64), np.arange(len(nodes)), [], []
+    own = [codes[i:j] for i, j in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    while len(left) > 1:
+        front, left, codes = [left[0]], left[1:], codes[sizes[left[0]] :]
+        while front and len(left):
+            one = front.pop()
+            held[own[one]] = 1
+            ends = np.cumsum(sizes[left])
+            shared = np.diff(np.concatenate([[0], np.cumsum(held[codes])])[np.concatenate([[0], ends])])
+            held[own[one]] = 0
+            near = shared / np.maximum(sizes[left] + sizes[one] - shared, 1) >= jaccard
+            if near.any():
+                reached = left[near]
+                codes, left = codes[np.repeat(~near, sizes[left])], left[~near]
+                a += [int(nodes[one])] * len(reached)
+                b += nodes[reached].tolist()
+                front += reached.tolist()
+    return a, b
+
+
+def _with_sets(shingle: int):
+    """Replaces the text by its shingle set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = pa.array([x.tobytes() for x in _sets_of(batch.column("text"), shingle)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "node", "blocks")] + [sets], names=["key", "node", "blocks", "hashes"])
+
+    return run
+
+
+def _verified(jaccard: float):
+    """Reads shingle sets sorted by key and returns links within each key."""
+
+    def links_of(keys, nodes, sets):
+        a, b = [], []
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            u, v = jaccard_forest(nodes[i:j], np.concatenate(sets[i:j]), np.array([len(x) for x in sets[i:j]]), jaccard)
+            a += u
+            b += v
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        keys, nodes, sets = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+        for batch in batches:
+            keys, nodes = np.concatenate([keys, np.asarray(batch.column("key"))]), np.concatenate([nodes, np.asarray(batch.column("node"))])
+            data, offsets = tb.column_bytes(batch.column("hashes"))
+            flat = np.frombuffer(data.tobytes(), dtype=np.uint64)
+            sets += [flat[i:j] for i, j in zip((offsets[:-1] // 8).tolist(), (offsets[1:] // 8).tolist(), strict=True)]
+            # The last key may go on in the next batch; its shingles are bounded.
+            done = int(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[-1]) if len(keys) else 0
+            if done:
+                yield links_of(keys[:done], nodes[:done], sets[:done])
+                keys, nodes, sets = keys[done:], nodes[done:], sets[done:]
+        if len(keys):
+            yield links_of(keys, nodes, sets)
+
+    return run
+
+
+def verified_links(held: DataFrame, groups: DataFrame, candidates: DataFrame, jaccard: float, shingle: int, most: int = GROUP_SHINGLES) -> DataFrame:
+    """(a, b): links of the stated similarity that span the components of all such pairs within each candidate component.
+
+    held: the documents, numbered; groups: node, size and first row of each distinct shingle set; candidates: (node, root).
+    """
+    members = runtime.materialize(candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "size", F.col("first.row").alias(ROW)), "node"), "members")
+    # Few components are larger than a group may be.
+    large = members.groupBy("root").agg(F.sum("size").alias("size")).where(F.col("size") > most)
+    large = large.select("root", F.ceil(F.lit(2.0) * F.col("size") / most).cast("bigint").alias("blocks"))
+    dealt = members.join(F.broadcast(large), "root", "left").select(ROW, "node", F.col("root").alias("key"), F.coalesce("blocks", F.lit(1).cast("bigint")).alias("blocks"))
+    sets = held.select(ROW, "text").join(dealt, ROW).mapInArrow(_with_sets(shingle), "key bigint, node bigint, blocks bigint, hashes binary")
+    sets = in_block_pairs(sets, "key", "blocks").select("key", "node", "hashes")
+    return sets.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(jaccard), _EDGES)
+
+
+def components(held: DataFrame, found: DataFrame, p: Plan, jaccard: float, shingle: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(node, first): for each distinct shingle set of ``found`` (node, size, print, place) the first place of its component."""
+    groups = runtime.materialize(found.groupBy("node").agg(F.min("place").alias("first"), F.min("size").alias("size"), F.min("print").alias("print")), "prints")
+    candidates = connected_components(links(groups, p, bucket_rows))
+    roots = connected_components(verified_links(held, groups, candidates, jaccard, shingle))
     # The members of a large component are dealt out in turns; a component of one has one turn.
     turn = F.when(F.col("root").isNotNull(), F.pmod("node", F.lit(TURNS))).otherwise(F.lit(0)).cast("int")
-    rooted = groups.join(roots, "node", "left").select("print", "first", F.coalesce("root", "node").alias("root"), turn.alias("turn"))
+    rooted = groups.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"), turn.alias("turn"))
     rooted = runtime.materialize(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     named = named.select("root", "first", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1, F.lit(TURNS - 1)).otherwise(F.lit(0)))).alias("turn"))
-    return rooted.select("print", "root", "turn").join(named, ["root", "turn"]).select("print", "first")
+    return rooted.select("node", "root", "turn").join(named, ["root", "turn"]).select("node", "first")
 
 
 def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs`` without those that another row of their component stands for."""
     spark = docs.sparkSession
     runtime.ship_package(spark)
-    row, name = "_near_row", "_near_print"
     p = plan(docs.count(), jaccard)
-    held = runtime.materialize(_with_prints(docs, shingle, p.words, name).withColumn(row, F.monotonically_increasing_id()), "near")
+    held = runtime.materialize(_with_prints(docs, shingle, p.words).withColumn(ROW, F.monotonically_increasing_id()), "near")
     # Null ids come last: a false orders before a true.
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
-    found = held.select(F.col(name).alias("print"), place.alias("place"), row)
-    placed = found.join(components(found.select("print", "place"), p, "place", bucket_rows), "print")
-    gone = placed.where(F.col("place.row") != F.col("first.row")).select(row)
-    return held.join(gone, row, "left_anti").select(*docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    found = held.select(F.col(_NODE).alias("node"), F.col(_SIZE).alias("size"), F.col(_PRINT).alias("print"), place.alias("place"), ROW)
+    placed = found.select("node", "place", ROW).join(components(held, found, p, jaccard, shingle, bucket_rows), "node")
+    gone = placed.where(F.col("place.row") != F.col("first.row")).select(ROW)
+    return held.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -4,6 +4,8 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
+
 from kinfold.llm import simhash_wide
 
 
@@ -89,3 +91,48 @@ def test_all_members_of_a_crowded_bucket_are_compared(spark):
     rows = spark.createDataFrame([(i, bytes(x)) for i, x in enumerate(prints)], "node bigint, print binary")
     found = {(min(r), max(r)) for r in simhash_wide.links(rows, p, bucket_rows=256).collect()}
     assert found == {(i, i + 1) for i in range(1980, 2000, 2)}
+
+
+def test_a_repeated_line_does_not_link(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    line = prose(10)
+    texts = [" ".join([prose(200)] + [line] * 16) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert simhash_wide.keep_one(docs).count() == 20
+
+
+def test_links_have_the_stated_similarity(spark):
+    rng, pairs = random.Random(13), []
+    # Tail changed: 200 shingles of which 22 (Jaccard 0.802) or 25 (0.778) are others.
+    for n in [22] * 10 + [25] * 10:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        pairs += [" ".join(base), " ".join(base[: 204 - n] + [f"x{rng.randrange(10**6)}" for _ in range(n)])]
+    docs = spark.createDataFrame(list(enumerate(pairs)), "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in simhash_wide.keep_one(docs).collect()}
+    assert set(range(20, 40)) <= kept
+    sets = [simhash_wide.shingle_set(t.encode(), 5) for t in pairs]
+    sizes = np.array([len(x) for x in sets])
+    spans = simhash_wide.jaccard_forest(np.arange(40), np.concatenate(sets), sizes, 0.8)
+    assert sorted(zip(*spans, strict=True)) == [(i, i + 1) for i in range(0, 20, 2)]
+
+
+def test_large_candidate_components_are_compared_in_blocks(spark):
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(40):
+        own = base[:110] + [f"x{rng.randrange(10**6)}" for _ in range(40)]
+        texts += [" ".join(own), " ".join(own[:-1] + ["other"])]
+    held = spark.createDataFrame([(t, i, *_set(t)) for i, t in enumerate(texts)], "text string, _near_row bigint, node bigint, size bigint")
+    groups = held.select("node", "size", F.struct(F.col("_near_row").alias("row")).alias("first"))
+    nodes = [_set(t)[0] for t in texts]
+    candidates = spark.createDataFrame([(n, nodes[0]) for n in nodes[1:]], "node bigint, root bigint")
+    for most in (1 << 19, 1000):
+        got = {frozenset((r["a"], r["b"])) for r in simhash_wide.verified_links(held, groups, candidates, 0.8, 5, most).collect()}
+        assert got == {frozenset(nodes[i : i + 2]) for i in range(0, 80, 2)}
+
+
+def _set(text):
+    hashes = simhash_wide.shingle_set(text.encode(), 5)
+    return int(hashes.sum().view(np.int64)), len(hashes)
