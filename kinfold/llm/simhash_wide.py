@@ -4,7 +4,7 @@ Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 15 of
 at that distance in 64 bits has to send each fingerprint to thousands of buckets once a corpus is large, so
 this form takes more bits instead. They are cut into partitions of equal width with threshold zero: pairs that differ
 in fewer bits than there are partitions are found for sure, others with a probability that the number of partitions
-is chosen for. Candidates of a bucket are filtered by their distance over all bits. Width and number of partitions follow from the
+is chosen for. Candidates of a bucket are filtered by their distance over the same 512 bits at any size. Width and number of partitions follow from the
 number of texts, so a bucket of unrelated texts stays small at any size.
 
 A fingerprint counts each distinct shingle once, and a small distance only proposes a link: the shingle sets of each
@@ -36,14 +36,13 @@ from kinfold.llm.simhash import _BYTE_BITS, _BYTE_PLACES, BUCKET_ROWS, SEED
 from kinfold.operators.components import connected_components
 
 #: Share of the pairs at the stated similarity that a search finds, by design.
-RECALL = 0.97
+RECALL = 0.99
 #: Parts that the members of a component are dealt into where its name is joined to them.
 TURNS = 32
-#: Times 64 bits that verification compares, at least.
-VERIFY_WORDS = 8
-#: Verification lets a pair differ in so many standard deviations more bits than expected at the stated similarity.
-SLACK = 1.5
-
+#: Times 64 bits that candidates are filtered by, at any number of texts.
+FILTER_WORDS = 8
+#: The filter lets a pair differ in so many standard deviations more bits than expected at the stated similarity.
+SLACK = 5
 #: Shingles of the sets that one task compares, about; larger candidate components are cut into blocks.
 GROUP_SHINGLES = 1 << 19
 
@@ -53,7 +52,7 @@ _ROWS = "key bigint, node bigint, print binary"
 
 @dataclass(frozen=True)
 class Plan:
-    """``count`` partitions of ``width`` bits in ``words`` times 64, and the largest number of differing bits of a link."""
+    """``count`` partitions of ``width`` bits in ``words`` times 64, and the largest number of bits of the filter that candidates differ in."""
 
     width: int
     count: int
@@ -76,8 +75,8 @@ def plan(texts: int, jaccard: float, recall: float = RECALL) -> Plan:
     apart = differing_share(jaccard)
     width = min(32, max(8, ceil(log2(max(texts, 2))) - 6))
     count = ceil(log(1 - recall) / log(1 - (1 - apart) ** width))
-    words = max(VERIFY_WORDS, -(-width * count // 64))
-    bits = 64 * words
+    words = max(FILTER_WORDS, -(-width * count // 64))
+    bits = 64 * FILTER_WORDS
     return Plan(width, count, words, int(bits * apart + SLACK * (bits * apart * (1 - apart)) ** 0.5))
 
 
@@ -161,7 +160,7 @@ def _send(p: Plan):
             prints, nodes = _prints_of(batch.column("print"), p.words), np.asarray(batch.column("node"))
             for part in np.array_split(np.arange(len(prints)), max(1, len(prints) // 4096)):
                 keys = _keys(partition_values(prints[part], p), np.arange(p.count))
-                yield _emit(keys.ravel(), np.repeat(nodes[part], p.count), np.repeat(prints[part], p.count, axis=0))
+                yield _emit(keys.ravel(), np.repeat(nodes[part], p.count), np.repeat(prints[part, :FILTER_WORDS], p.count, axis=0))
 
     return run
 
@@ -211,7 +210,7 @@ def _links(p: Plan):
     def run(batches):
         held = None
         for batch in batches:
-            own = np.asarray(batch.column("key")), np.asarray(batch.column("node")), _prints_of(batch.column("print"), p.words)
+            own = np.asarray(batch.column("key")), np.asarray(batch.column("node")), _prints_of(batch.column("print"), FILTER_WORDS)
             held = own if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, own, strict=True))
             # The last key may go on in the next batch; its bucket is bounded.
             done = int(np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))[-1]) if len(held[0]) else 0

@@ -133,6 +133,19 @@ def test_large_candidate_components_are_compared_in_blocks(spark):
         assert got == {frozenset(nodes[i : i + 2]) for i in range(0, 80, 2)}
 
 
+def test_recall_at_the_stated_similarity():
+    rng, plans = np.random.default_rng(19), [simhash_wide.plan(n, 0.8) for n in (10**5, 10**7)]
+    assert plans[0].most == plans[1].most
+    for size, shared in ((9, 8), (45, 40), (180, 160)):
+        found = 0
+        for _ in range(400):
+            every = rng.integers(0, 2**63, 2 * size - shared).astype(np.uint64)
+            a, b = (simhash_wide.fingerprint(np.sort(x), plans[0].words) for x in (every[:size], every[size - shared :]))
+            values = simhash_wide.partition_values(np.stack([a, b]), plans[0])
+            found += (values[0] == values[1]).any() and np.bitwise_count(a ^ b)[: simhash_wide.FILTER_WORDS].sum() <= plans[0].most
+        assert found >= 388
+
+
 def _set(text):
     hashes = simhash_wide.shingle_set(text.encode(), 5)
     return int(hashes.sum().view(np.int64)), len(hashes)
