@@ -2,7 +2,7 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. What it returns is written as Parquet to the shared
 folder and read again as the next stage's documents. All but the last return the columns of ``documents``; the
-last adds what the mix takes of each.
+last adds what the mix takes of each, and its first position in the schedule.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: the documents with their sizes, the target of their source and the words that the mix takes."""
+    """Operator 10: the documents with their sizes, the target of their source, the words that the mix takes and where it first does."""
     return mixing.with_taken(docs)
 
 

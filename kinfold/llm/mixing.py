@@ -135,16 +135,19 @@ _ROW = "_mix_row"
 
 
 def with_taken(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source_size, target and taken for each row; columns of these names are replaced."""
-    docs = docs.drop("size", "source_size", "target", "taken")
+    """``docs`` with size, source_size, target, taken and the first position in the mix for each row (null if nothing is taken).
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("size", "source_size", "target", "taken", "position")
     numbered = runtime.materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
     found = _taken(sizes(numbered, _ROW), _ROW)
-    return numbered.join(found.select(_ROW, "size", "source_size", "target", "taken"), _ROW).drop(_ROW)
+    return numbered.join(found.select(_ROW, "size", "source_size", "target", "taken", "position"), _ROW).drop(_ROW)
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for each row of ``docs``."""
-    return _taken(sizes(docs))
+    return _taken(sizes(docs)).drop("position")
 
 
 def _taken(sized: DataFrame, *more: str) -> DataFrame:
@@ -152,10 +155,10 @@ def _taken(sized: DataFrame, *more: str) -> DataFrame:
     goals = runtime.materialize(targets(sized), "targets")
     # The place in its stream tells equal rows with words apart; rows without words are added as they are.
     empty = sized.where("size = 0").join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    empty = empty.select("doc_id", *more, "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
+    empty = empty.select("doc_id", *more, "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("position"))
     parts = mix(sized, goals, *more).where("size > 0")
-    full = parts.groupBy("doc_id", *more, "source", "start", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return full.select("doc_id", *more, "source", "size", "source_size", "target", "taken").union(empty)
+    full = parts.groupBy("doc_id", *more, "source", "start", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("position"))).alias("position"))
+    return full.select("doc_id", *more, "source", "size", "source_size", "target", "taken", "position").union(empty)
 
 
 #: The same result in SQL, from the length that the mix takes of each source's stream.

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from kinfold.llm import simhash_wide
+from kinfold.llm import mixing, simhash_wide
 
 
 def planted(rng):
@@ -146,6 +146,18 @@ def test_recall_at_the_stated_similarity():
         assert found >= 388
 
 
+def test_the_last_stage_follows_the_schedule(spark):
+    rng = random.Random(23)
+    docs = spark.createDataFrame([(i, "w " * rng.randrange(200), f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, source string")
+    out = corpus_pipeline.mixed(spark, docs, "").collect()
+    sized = mixing.sizes(docs)
+    first = {}
+    for r in mixing.mix(sized, mixing.targets(sized)).where("words > 0").collect():
+        first[r["doc_id"]] = min(r["position"], first.get(r["doc_id"], r["position"]))
+    assert first and {r["doc_id"]: r["position"] for r in out if r["taken"]} == first
+    assert all((r["position"] is None) == (r["taken"] == 0) for r in out)
+
+
 def _set(text):
     hashes = simhash_wide.shingle_set(text.encode(), 5)
     return int(hashes.sum().view(np.int64)), len(hashes)
