@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from kinfold.llm import attention, registry, simhash, substring_dedup
+from kinfold.llm import attention, language_model, registry, simhash, substring_dedup
 from kinfold.llm import textblocks as tb
 from kinfold.operators.components import union_find
 
@@ -170,6 +170,34 @@ def test_each_subword_is_scored_once_and_probabilities_sum_to_one():
     assert together == pytest.approx([attention.log10_scores(net, voc, p, np.array([len(p)]))[0] for p in parts], rel=1e-4)
 
 
+def test_pair_counts_cover_all_learning_texts(spark):
+    cycle = "red green blue black white brown".split()
+    rng = random.Random(2)
+    # A rare source among others: no window of it is drawn for the network, the order of its words is known from the counts.
+    learned = [(i, " ".join(rng.choice(("north", "east", "south", "west")) for _ in range(120))) for i in range(300)] + [(500, " ".join(cycle * 20))]
+    shuffled = cycle * 20
+    rng.shuffle(shuffled)
+    docs = spark.createDataFrame([*learned, (1000, " ".join(cycle * 20)), (1001, " ".join(shuffled))], "doc_id bigint, text string")
+    scores = {r["doc_id"]: r["score"] for r in language_model.score(docs, docs["doc_id"] >= 1000, windows=20).collect()}
+    assert scores[1000] > scores[1001] + 20, scores[1000] - scores[1001]
+
+
+def test_mixed_probabilities_sum_to_one():
+    rng = np.random.default_rng(8)
+    voc, net = attention.vocabulary(np.append(np.arange(300, 0, -1.0), 20)), attention.new_network()
+    texts = [np.append(rng.integers(0, 300, 50), voc.end) for _ in range(20)]
+    ids, lengths = np.concatenate(texts), np.full(20, 51)
+    counts = attention.pair_counts(voc, ids, lengths, np.arange(20) == 3)
+    literal = Counter((0 if k == 0 else voc.row[t[k - 1]], voc.kind[t[k]]) for i, t in enumerate(texts) if i != 3 for k in range(51))
+    assert {(r, k): counts[r, k] for r, k in zip(*np.nonzero(counts))} == literal
+    rows, there, target, aimed = attention.window_inputs(voc, ids, *attention.windows(lengths))
+    pairs = attention.pair_model(counts, net, rows, there, voc.kind[target], aimed)
+    assert pairs.share.sum(axis=1) == pytest.approx(1, abs=1e-4) and (pairs.weight[counts.sum(axis=1) > 0] > 0).any()
+    total = sum(10 ** attention.log10_scores(net, voc, np.array([5, x]), np.array([2]), pairs=pairs)[0] for x in range(301))
+    first = 10 ** attention.log10_scores(net, voc, np.array([5]), np.array([1]), pairs=pairs)[0]
+    assert total == pytest.approx(first, rel=1e-4)
+
+
 def test_held_out_accuracy(found):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
