@@ -11,7 +11,7 @@ site covers its subdomains), and its host and path without a trailing slash (a l
 ``www.`` of a listed or probed page is dropped, user names and ports are part of the host as it stands.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule and no keys, and is allowed.
-Hosts over 253 bytes have no parents. Repeated rows keep their number; other columns are not read.
+Of a host's parents only those with no more labels than some listed site are looked up. Repeated rows keep their number; other columns are not read.
 """
 
 from __future__ import annotations
@@ -54,13 +54,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """The canonical keys under which a URL may be listed."""
+def most_labels(listed: DataFrame) -> int:
+    """The largest number of labels of a listed site (key string): no longer parent can be listed."""
+    sites = listed.where(F.col("key").endswith("/")).select(F.size(F.split("key", r"\.")).alias("n"))
+    return int(sites.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+
+
+def keys_of(host: Column, path: Column, most: int) -> Column:
+    """The canonical keys under which a URL may be listed; sites of ``most`` labels at most."""
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(labels, i, F.size(labels)), "."), F.lit("/")))
+    first = F.greatest(F.size(labels) - F.lit(most - 1), F.lit(1))
+    # A host of one label is its own site.
+    last = F.greatest(F.size(labels) - 1, F.lit(1))
+    parents = F.transform(F.sequence(F.least(first, last), last), lambda i: F.concat(F.array_join(F.slice(labels, i, F.size(labels)), "."), F.lit("/")))
     page = F.concat(F.regexp_replace(host, r"^www\.", ""), F.rtrim(path, F.lit("/")))
-    sites = F.when(F.octet_length(host) <= 253, parents).otherwise(F.array().cast("array<string>"))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(sites, F.array(page))))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, F.array(page))))
 
 
 def filter_blocks(keys: int, bits_per_key: int = BITS_PER_KEY, most_bytes: int = MOST_FILTER_BYTES) -> int:
@@ -118,7 +126,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     own = listed.where(F.col("key").isNotNull()).select("key").distinct()
     held = spark.sparkContext.broadcast(build_filter(own, filter_blocks(own.count())))
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = parsed.withColumn("keys", keys_of(F.col("host"), F.col("path"))).withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
+    keyed = parsed.withColumn("keys", keys_of(F.col("host"), F.col("path"), most_labels(own))).withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
     key = pages.schema["page_id"].dataType.simpleString()
     seen = runtime.materialize(keyed.mapInArrow(_possible(held), f"page_id {key}, host string, path string, maybe array<string>"), "urls")
     clean, possible = seen.where(F.size("maybe") == 0), seen.where(F.size("maybe") > 0)

@@ -143,6 +143,16 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), url_filter.production_list(spark).limit(0)).count() == 0
 
 
+def test_long_hosts_have_listed_sites(spark):
+    urls = ["http://" + "a" * 300 + ".casino-win.example.com/", "http://" + "a." * 300 + "casino-win.example.com/x", "http://" + "a" * 300 + ".example.com/", "http://" + "a." * 300 + "b/p"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: (r["listed"], r["verdict"]) for r in url_filter.judge(pages, url_filter.production_list(spark)).collect()}
+    assert got == {0: (True, "block"), 1: (True, "block"), 2: (False, "allow"), 3: (False, "allow")}
+    deep = spark.createDataFrame([("a.b.c.d.e/",), ("one/",), ("x.y/page",)], "key string")
+    pages = spark.createDataFrame([(0, "http://z.a.b.c.d.e/"), (1, "http://one/"), (2, "http://www.x.y/page/"), (3, "http://b.c.d.e/")], "page_id bigint, url string")
+    assert {r["page_id"]: r["listed"] for r in url_filter.judge(pages, deep).collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
 def test_filter_has_no_false_negatives(spark):
     listed = spark.range(20_000).select(F.concat(F.lit("h"), F.col("id"), F.lit(".com/")).alias("key"))
     blocks = url_filter.filter_blocks(20_000)
