@@ -236,7 +236,8 @@ def test_parts_of_a_words_probability(texts, spark):
     block = language_model.unpack(language_model.block_of(data, offsets, ids, np.ones(5, dtype=np.int8), np.isin(ids, list(held)), language_model.tokenizer(model)))
     counts = Counter(w for i, t in rows if i not in held for w in t.split())
     total = sum(counts.values()) + 4
-    corpus = language_model.Corpus(total, len(counts) + 1, 4, block["hashes"], block["train"].astype(np.int64))
+    order = np.argsort(block["hashes"])
+    corpus = language_model.Corpus(total, len(counts) + 1, 4, block["hashes"][order], block["train"][order].astype(np.int64))
     size = language_model.tokenizer(model).get_piece_size()
     voc = attention.vocabulary(np.ones(size + 1), np.array([language_model.tokenizer(model).id_to_piece(i).startswith("\u2581") for i in range(size)]))
     none = attention.Pairs(np.zeros((attention.ROWS, attention.CLASSES), dtype=np.float32), np.zeros(attention.ROWS, dtype=np.float32))
