@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUL_OR_BLANK = "\0 "
+#: Fixed value: how a capture date is written.
 _DATE = r"^\s*(\d{4}):(\d{2}):(\d{2})[ T](\d{2}):(\d{2}):(\d{2})"
 
 
@@ -40,12 +41,16 @@ def gps(lat: Column, lon: Column) -> Column:
 
 
 def capture_date(text: Column) -> Column:
-    """``YYYY:MM:DD HH:MM:SS`` as ISO text without zone; what follows is ignored; null if it is no real calendar time."""
+    """``YYYY:MM:DD HH:MM:SS`` as ISO text; what follows is ignored; null if it is no real calendar time.
+
+    A camera's clock has no zone: the time is judged and kept as it stands, whatever the session's zone.
+    """
     clean = F.regexp_replace(text.cast("string"), "\0", "")
     digits = [F.regexp_extract(clean, _DATE, k) for k in range(1, 7)]
     written = F.concat(digits[0], F.lit("-"), digits[1], F.lit("-"), digits[2], F.lit(" "), digits[3], F.lit(":"), digits[4], F.lit(":"), digits[5])
     # Java knows a year 0; a calendar does not.
-    return F.when(clean.rlike(_DATE) & (digits[0] != "0000"), F.date_format(F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss"))
+    real = clean.rlike(_DATE) & (digits[0] != "0000") & written.try_cast("timestamp_ntz").isNotNull()
+    return F.when(real, F.replace(written, F.lit(" "), F.lit("T")))
 
 
 def first_date(*candidates: Column) -> Column:

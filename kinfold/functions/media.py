@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinfold.constants import DETECTOR_MAX_SIDE, IMAGE_EXTENSIONS
+from kinfold.constants import IMAGE_EXTENSIONS
 
 ZERO_HASH = "0" * 16
 
@@ -114,10 +114,6 @@ def rescale(length: Column, original: Column, shown: Column) -> Column:
     return length * F.when(original == 0, F.lit(1.0)).otherwise(shown / original)
 
 
-def detector_scale(width: Column, height: Column) -> Column:
-    return F.least(F.lit(1.0), F.lit(float(DETECTOR_MAX_SIDE)) / F.greatest(width, height))
-
-
 def truthy(text: Column) -> Column:
     """Whether a setting's text means yes."""
     return F.lower(F.trim(F.coalesce(text, F.lit("")))).isin("1", "true", "yes", "on")

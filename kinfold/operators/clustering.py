@@ -13,35 +13,62 @@ from kinfold import constants as C
 from kinfold import runtime
 from kinfold.operators.components import connected_components
 from kinfold.operators.ranking import ranked
-from kinfold.operators.similarity import cosine_pairs, unit_rows
+from kinfold.operators.similarity import cosine_pairs, person_means, unit_rows
 
 
 class RunningMeans:
-    """Person means in the order in which persons were first seen, each updated by every face that joins."""
+    """Person means in the order in which persons were first seen, each updated by every face that joins.
+
+    The means are rows of one float32 matrix that grows by doubling; their lengths are kept beside them.
+    """
 
     def __init__(self):
         self.names: list[int] = []
-        self.sums: list[np.ndarray] = []
         self.counts: list[int] = []
+        self._place: dict[int, int] = {}
+        self._rows = np.zeros((0, 0), dtype=np.float32)
+        self._lengths = np.zeros(0, dtype=np.float32)
+
+    def means(self) -> np.ndarray:
+        return self._rows[: len(self.names)]
+
+    def load(self, names: list[int], means: list, counts: list[int]) -> None:
+        """Persons that are known already, in the order in which ties go."""
+        for name, mean, n in zip(names, means, counts, strict=True):
+            self._open(name, np.asarray(mean, dtype=np.float32))
+            self.counts[-1] = n
+
+    def _open(self, name: int, vector: np.ndarray) -> None:
+        k = len(self.names)
+        if k == len(self._rows):
+            rows = np.zeros((max(64, 2 * k), len(vector)), dtype=np.float32)
+            lengths = np.zeros(len(rows), dtype=np.float32)
+            rows[:k, : self._rows.shape[1]], lengths[:k] = self._rows, self._lengths
+            self._rows, self._lengths = rows, lengths
+        self._place[name] = k
+        self.names.append(name)
+        self.counts.append(1)
+        self._set(k, vector)
+
+    def _set(self, k: int, vector: np.ndarray) -> None:
+        self._rows[k] = vector
+        self._lengths[k] = np.sqrt((vector * vector).sum())
 
     def add(self, name: int, vector: np.ndarray) -> None:
-        if name in self.names:
-            k = self.names.index(name)
-            n = self.counts[k]
-            self.sums[k] = (self.sums[k] * n + vector) / np.asarray(n + 1, dtype=vector.dtype)
-            self.counts[k] = n + 1
-        else:
-            self.names.append(name)
-            self.sums.append(vector.copy())
-            self.counts.append(1)
+        k = self._place.get(name)
+        if k is None:
+            self._open(name, vector)
+            return
+        n = self.counts[k]
+        self._set(k, (self._rows[k] * n + vector) / np.asarray(n + 1, dtype=vector.dtype))
+        self.counts[k] = n + 1
 
     def nearest(self, vector: np.ndarray, threshold: float) -> int | None:
         """The first of the most similar means, if its cosine is over the threshold."""
         if not self.names:
             return None
-        means = np.stack(self.sums)
-        length = np.sqrt((means * means).sum(axis=1)) * np.sqrt((vector * vector).sum())
-        sim = np.divide(means @ vector, length, out=np.zeros(len(means), dtype=means.dtype), where=length > 0)
+        length = self._lengths[: len(self.names)] * np.sqrt((vector * vector).sum())
+        sim = np.divide(self.means() @ vector, length, out=np.zeros(len(length), dtype=np.float32), where=length > 0)
         best = int(np.argmax(sim))
         return self.names[best] if sim[best] > threshold else None
 
@@ -58,22 +85,25 @@ def greedy_assign(new_faces: DataFrame, existing: DataFrame, threshold: float =
     """(face_id, person_id) of the new faces in the order of their ids; persons that had to be opened are negative.
 
     Each face sees the means as all before it left them, so one task walks through the batch; the known persons
-    reach it as one mean and count each, not face by face.
+    reach it as one mean and count each, added up by partial sums, not face by face. Ties go to the person seen first.
     """
     runtime.ship_package(new_faces.sparkSession)
-    old = existing.where(F.col("person_id").isNotNull()).select(F.lit(0).alias("part"), "person_id", F.col("id").alias("face_id"), "embedding")
-    rows = old.union(new_faces.select(F.lit(1), F.lit(None).cast("bigint"), "id", "embedding"))
+    known = existing.where(F.col("person_id").isNotNull()).select("person_id", "id", "embedding")
+    first = known.groupBy("person_id").agg(F.min("id").alias("face_id"), F.count("*").alias("faces"))
+    old = person_means(known).select("person_id", F.col("mean").cast("array<float>").alias("embedding")).join(first, "person_id")
+    rows = old.select(F.lit(0).alias("part"), "person_id", "face_id", "faces", "embedding").union(
+        new_faces.select(F.lit(1), F.lit(None).cast("bigint"), "id", F.lit(1).cast("bigint"), F.col("embedding").cast("array<float>"))
+    )
 
     def walk(table: pa.Table) -> pa.Table:
         means, faces, persons = RunningMeans(), [], []
         table = table.sort_by([("part", "ascending"), ("face_id", "ascending")])
-        for part, person, face, vector in zip(*(table.column(c).to_pylist() for c in ("part", "person_id", "face_id", "embedding")), strict=True):
-            v = np.asarray(vector, dtype=np.float32)
+        for part, person, face, n, vector in zip(*(table.column(c).to_pylist() for c in ("part", "person_id", "face_id", "faces", "embedding")), strict=True):
             if part == 0:
-                means.add(person, v)
+                means.load([person], [vector], [n])
             else:
                 faces.append(face)
-                persons.append(means.assign(v, threshold))
+                persons.append(means.assign(np.asarray(vector, dtype=np.float32), threshold))
         return pa.table([pa.array(faces, pa.int64()), pa.array(persons, pa.int64())], names=["face_id", "person_id"])
 
     return rows.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(walk, "face_id bigint, person_id bigint")
@@ -128,10 +158,63 @@ def average_linkage(unit: np.ndarray, anchors: list[int | None], threshold: floa
     return [members[i] for i in np.flatnonzero(alive)]
 
 
-def cluster_ids(unit: np.ndarray, anchors: list[int | None], places: np.ndarray, threshold: float) -> np.ndarray:
+def chained_linkage(unit: np.ndarray, anchors: list[int | None], threshold: float) -> list[list[int]]:
+    """The clusters of ``average_linkage`` without a matrix of all pairs: the average over two clusters is the product of their mean vectors.
+
+    From some cluster a chain goes on to the most similar one until two are each other's most similar; these would merge in any order,
+    as a merged cluster is to no other more similar than the better of its parts. Memory grows with the rows, time with their square.
+    """
+    n = len(unit)
+    sums, size = unit.copy(), np.ones(n)
+    tied = np.array([-1 if a is None else a for a in anchors], dtype=np.int64)
+    held = np.array([a is not None for a in anchors])
+    members, alive, chain = [[i] for i in range(n)], np.ones(n, dtype=bool), []
+
+    def nearest(a: int) -> tuple[int, float]:
+        sim = sums @ sums[a] / (size * size[a])
+        sim[~alive] = -np.inf
+        sim[a] = -np.inf
+        if held[a]:
+            sim[held & (tied != tied[a])] = -np.inf
+        # Of equals the one the chain came from, else it might go round for ever.
+        if len(chain) > 1 and sim[chain[-2]] >= sim.max():
+            return chain[-2], float(sim[chain[-2]])
+        best = int(np.argmax(sim))
+        return best, float(sim[best])
+
+    open_ = np.ones(n, dtype=bool)
+    while chain or open_.any():
+        if not chain:
+            chain.append(int(np.argmax(open_)))
+        a = chain[-1]
+        b, sim = nearest(a)
+        if not sim >= threshold - C.LINKAGE_SLACK:
+            # Nothing is near enough to the last one, and no merge elsewhere can bring anything nearer.
+            open_[a] = False
+            chain.pop()
+        elif len(chain) > 1 and chain[-2] == b:
+            chain[-2:] = []
+            a, b = min(a, b), max(a, b)
+            sums[a] += sums[b]
+            size[a] += size[b]
+            if held[b]:
+                held[a], tied[a] = True, tied[b]
+            members[a] += members[b]
+            alive[b] = open_[b] = False
+            open_[a] = True
+        else:
+            chain.append(b)
+    return [members[i] for i in np.flatnonzero(alive)]
+
+
+#: Rows of a component up to which all pairs are held in a matrix: 128 MB.
+MATRIX_ROWS = 4096
+
+
+def cluster_ids(unit: np.ndarray, anchors: list[int | None], places: np.ndarray, threshold: float, matrix_rows: int = MATRIX_ROWS) -> np.ndarray:
     """For each row the person its cluster is pinned to, else -(lowest place in it + 1)."""
     out = np.zeros(len(unit), dtype=np.int64)
-    for own in average_linkage(unit, anchors, threshold):
+    for own in (average_linkage if len(unit) <= matrix_rows else chained_linkage)(unit, anchors, threshold):
         pinned = [anchors[i] for i in own if anchors[i] is not None]
         out[own] = pinned[0] if pinned else -(int(places[own].min()) + 1)
     return out
@@ -142,7 +225,8 @@ def recluster(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD) -> DataFr
 
     A merge needs an average of at least the threshold, hence a pair that reaches it: every cluster lies in one
     component of the graph of such pairs, and merges in different components don't meet. So the components are
-    found first and each is clustered in its own group. The place of a face is its rank by id in the whole table.
+    found first and each is clustered in its own group, a large one without a matrix of its pairs. The place of a face is
+    its rank by id in the whole table.
     """
     spark = faces.sparkSession
     runtime.ship_package(spark)
@@ -178,6 +262,14 @@ def claims(overlap: DataFrame) -> DataFrame:
     return taken if taken is not None else left.select("cluster_id", "person_id")
 
 
+def overlaps(faces: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(cluster_id, person_id, n, first_face): how many faces of a cluster a person had before, and the cluster's first face."""
+    previous = faces.where(F.col("person_id").isNotNull()).select(F.col("id").alias("face_id"), "person_id")
+    first = assignment.groupBy("cluster_id").agg(F.min("face_id").alias("first_face"))
+    counts = assignment.join(previous, "face_id").groupBy("cluster_id", "person_id").agg(F.count("*").alias("n"))
+    return counts.join(first, "cluster_id")
+
+
 def stabilize(faces: DataFrame, assignment: DataFrame) -> DataFrame:
     """(face_id, person_id): clusters without a pinned person take over the person most of their faces had before.
 
@@ -187,10 +279,8 @@ def stabilize(faces: DataFrame, assignment: DataFrame) -> DataFrame:
     clusters = runtime.materialize(assignment.select("face_id", "cluster_id"), "assignment")
     named = clusters.where("cluster_id >= 0").select(F.col("cluster_id").alias("person_id")).distinct()
     loose = clusters.where("cluster_id < 0")
-    previous = faces.where(F.col("person_id").isNotNull()).select(F.col("id").alias("face_id"), "person_id")
-    counts = loose.join(previous, "face_id").groupBy("cluster_id", "person_id").agg(F.count("*").alias("n")).join(named, "person_id", "left_anti")
-    first = loose.groupBy("cluster_id").agg(F.min("face_id").alias("first_face"))
-    won = claims(counts.join(first, "cluster_id").select("cluster_id", "person_id", "n", "first_face"))
+    free = overlaps(faces, loose).join(named, "person_id", "left_anti")
+    won = claims(free.select("cluster_id", "person_id", "n", "first_face"))
     return clusters.join(won, "cluster_id", "left").select("face_id", F.coalesce("person_id", "cluster_id").alias("person_id"))
 
 

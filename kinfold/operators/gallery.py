@@ -121,14 +121,24 @@ def grid_layout(photos: DataFrame, viewport_width: int, order_by: str = "path")
     return with_rank(photos, order_by).withColumns({"grid_row": F.floor(F.col("rank") / columns), "grid_column": F.col("rank") % columns})
 
 
-def moved_selection(rank: Column, step: int, total: Column) -> Column:
+def moved_selection(rank: Column, step: Column, total: Column) -> Column:
     """A selection moved by a number of places, kept within the set."""
     return F.greatest(F.lit(0), F.least(rank + step, total - 1))
 
 
+def with_moves(photos: DataFrame, step: Column, order_by: str = "path") -> DataFrame:
+    """``photos`` with their place in the order, and the place that a move by ``step`` places from there leads to."""
+    total = photos.agg(F.count("*").alias("_total"))
+    return with_rank(photos, order_by).crossJoin(total).withColumn("moved_to", moved_selection(F.col("rank"), step, F.col("_total"))).drop("_total")
+
+
 def start_index(photos: DataFrame, photo_id: int, order_by: str = "path") -> DataFrame:
-    """The place of a photo in the order; 0 if it isn't there."""
-    return with_rank(photos, order_by).agg(F.coalesce(F.max(F.when(F.col("id") == photo_id, F.col("rank"))), F.lit(0)).alias("start_index"))
+    """The place of a photo in the order, counted from those before it without sorting; 0 if it isn't there."""
+    key = F.col("exif_date" if order_by == "date" else "path")
+    # A null comes after all values, so whether it is null comes first in the comparison.
+    place = lambda name: F.struct(key.isNull().alias("none"), F.coalesce(key, F.lit("")).alias("key"), F.col("id")).alias(name)
+    own = photos.where(F.col("id") == photo_id).agg(F.max(place("own")).alias("own"))
+    return photos.select(place("place")).crossJoin(own).agg(F.count_if(F.col("place") < F.col("own")).alias("start_index"))
 
 
 def kept_selection(photos: DataFrame, photo_id: int, order_by: str = "path") -> DataFrame:
@@ -137,6 +147,18 @@ def kept_selection(photos: DataFrame, photo_id: int, order_by: str = "path") ->
     return photos.agg(F.coalesce(F.max(F.when(F.col("id") == photo_id, F.col("id"))), first).alias("selected_id"))
 
 
+def by_name(rows: DataFrame) -> DataFrame:
+    """Persons or tags with their place in the order of their names, equal names by id."""
+    return ranked(rows, "name", "id")
+
+
+def place_links(photos: DataFrame) -> DataFrame:
+    """The full coordinates of geotagged photos as text and as the address of a map."""
+    out = photos.where(F.col("exif_lat").isNotNull() & F.col("exif_lon").isNotNull())
+    lat, lon = F.col("exif_lat"), F.col("exif_lon")
+    return out.select("id", media.full_coordinates(lat, lon).alias("coordinates"), media.map_url(lat, lon).alias("map_url"))
+
+
 def place_text(photos: DataFrame) -> DataFrame:
     """Title and coordinate texts of geotagged photos."""
     out = photos.where(F.col("exif_lat").isNotNull() & F.col("exif_lon").isNotNull())

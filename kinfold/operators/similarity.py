@@ -62,21 +62,53 @@ def person_means(faces: DataFrame, key: str = "person_id") -> DataFrame:
     return sums.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"), F.max("n").alias("faces"))
 
 
-def nearest_person(faces: DataFrame, means: DataFrame, threshold: float = C.COSINE_THRESHOLD) -> DataFrame:
-    """Each face with the person of the most similar mean, if the cosine is over ``threshold``; ties go to the smaller id.
-
-    Every face meets every mean: one row each, reduced by a partial maximum before the shuffle.
+#: Bytes of person means that are broadcast; with more of them, blocks of faces meet blocks of means.
+MEANS_BYTES = 64 << 20
+
+
+def _best_of(ids: list, means: np.ndarray, faces: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+    """Each face with the first of the most similar means, which lie in the order of their ids."""
+    x = unit_rows(faces.column("embedding"))
+    width = max(x.shape[1], means.shape[1])
+    wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
+    near, best = np.zeros(len(x), dtype=np.int64), np.full(len(x), -np.inf)
+    for i in range(0, len(means) if len(x) else 0, BLOCK_ROWS):
+        sim = wide(x) @ wide(means[i : i + BLOCK_ROWS]).T
+        at = sim.argmax(axis=1)
+        top = sim[np.arange(len(x)), at]
+        better = top > best
+        best[better], near[better] = top[better], np.asarray(ids[i : i + BLOCK_ROWS], dtype=np.int64)[at[better]]
+    column = faces.column("id")
+    return pa.RecordBatch.from_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, pa.array(near), pa.array(best)], names=["id", "near_id", "sim"])
+
+
+def nearest_person(faces: DataFrame, means: DataFrame, threshold: float = C.COSINE_THRESHOLD, means_bytes: int = MEANS_BYTES) -> DataFrame:
+    """(id, near_id, sim): each face with the person of the most similar mean, if the cosine is over ``threshold``; ties go to the smaller id.
+
+    Means that are small enough are broadcast, so faces are not moved. Otherwise every block of faces meets every block of means in a group of
+    its own, and the best of the blocks are reduced by a partial maximum.
     """
-    units = faces.select("id", vectors.cleaned(F.col("embedding")).alias("v"))
-    both = units.join(means.select(F.col("person_id").alias("near_id"), "mean"))
-    sim = vectors.cosine(F.col("v"), F.col("mean"))
-    best = both.select("id", F.struct(sim.alias("sim"), (-F.col("near_id")).alias("order")).alias("x")).groupBy("id").agg(F.max("x").alias("x"))
-    hit = F.col("x.sim") > threshold
-    return best.select("id", F.when(hit, -F.col("x.order")).alias("near_id"), F.when(hit, F.col("x.sim")).alias("sim"))
-
-
-def ranked_persons(faces: DataFrame, means: DataFrame) -> DataFrame:
-    """Each face with all persons by falling similarity of their means."""
-    sim = vectors.cosine(vectors.cleaned(F.col("embedding")), F.col("mean"))
-    both = faces.select("id", "embedding").join(means.select(F.col("person_id").alias("near_id"), "mean")).select("id", "near_id", sim.alias("sim"))
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near_id")))
+    runtime.ship_package(faces.sparkSession)
+    means = runtime.materialize(means.select(F.col("person_id").alias("near_id"), "mean"), "means")
+    told = means.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("mean")), F.lit(0)).alias("width")).first()
+    schema = "id bigint, near_id bigint, sim double"
+    if told["n"] * told["width"] * 8 <= means_bytes:
+        rows = sorted(means.collect())
+        held = faces.sparkSession.sparkContext.broadcast(([r["near_id"] for r in rows], unit_rows(pa.array([r["mean"] for r in rows], pa.list_(pa.float64())))))
+        best = faces.select("id", "embedding").mapInArrow(lambda batches: (_best_of(*held.value, b) for b in batches), schema)
+    else:
+        rows = max(1, means_bytes // (8 * max(told["width"], 1)))
+        blocks, parts = -(-told["n"] // rows), max(1, -(-faces.count() // rows))
+        # Each face is sent to every block of means, each mean to every part of the faces.
+        left = faces.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        right = means.select("near_id", "mean", F.pmod(F.xxhash64("near_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+
+        def compare(own: pa.Table, other: pa.Table) -> pa.Table:
+            other = other.sort_by("near_id")
+            found = _best_of(other.column("near_id").to_pylist(), unit_rows(other.column("mean")), own)
+            return pa.Table.from_batches([found])
+
+        pairs = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(compare, schema)
+        best = pairs.groupBy("id").agg(F.max(F.struct("sim", (-F.col("near_id")).alias("order"))).alias("x")).select("id", (-F.col("x.order")).alias("near_id"), "x.sim")
+    hit = F.col("sim") > threshold
+    return best.select("id", F.when(hit, F.col("near_id")).alias("near_id"), F.when(hit, F.col("sim")).alias("sim"))

@@ -1,4 +1,4 @@
-"""Bringing a library up to date with a folder, from listing to regrouped persons, as one publish."""
+"""Bringing a library up to date with a folder, from listing to regrouped persons, one publish for each batch of photos."""
 
 from __future__ import annotations
 
@@ -17,57 +17,102 @@ from kinfold.sources.store import Store
 from kinfold.streaming.debounce import watch_folder
 
 _BOX = ("x", "y", "w", "h")
+#: Photos that are read, detected and published together.
+BATCH_PHOTOS = 4096
 
 
 @dataclass(frozen=True)
 class Progress:
-    """What one run did: photos listed, analyzed, failed and gone, and faces found."""
+    """What one run did: photos listed, analyzed, failed and gone, and faces found; whether it was cancelled."""
 
     listed: int
     analyzed: int
     failed: int
     gone: int
     faces: int
-
-
-def analyze_folder(spark: SparkSession, store: Store, folder: str, make_engine: Callable[[], images.Engine], options: Options | None = None, now: float = 0.0, regroup: bool = True) -> Progress:
-    """Analyze what is new or changed below ``folder`` and drop what is gone; unchanged files are not read.
+    cancelled: bool = False
+
+
+def analyze_folder(
+    spark: SparkSession,
+    store: Store,
+    folder: str,
+    make_engine: Callable[[], images.Engine],
+    options: Options | None = None,
+    now: float = 0.0,
+    regroup: bool = True,
+    batch_photos: int = BATCH_PHOTOS,
+    on_progress: Callable[[int, int, str], None] | None = None,
+    cancelled: Callable[[], bool] | None = None,
+) -> Progress:
+    """Analyze what is new or changed below ``folder`` and drop what is gone; unchanged files are not opened.
 
     A missing folder or an engine that can't be made fails before anything is changed; a picture that can't be
-    decoded or on which the engine fails is left for the next run. Faces of changed photos inherit pinned persons by
-    overlap. New faces are assigned greedily, then all are regrouped. All tables are published together or not at all.
+    decoded or on which the engine fails is left for the next run. What is gone is dropped first. The other photos go in batches in the
+    order of their paths, and each batch is published with its faces, so a run that breaks off is taken up after its last
+    batch. Faces of changed photos inherit pinned persons by overlap. At the end the new faces are assigned greedily and
+    then all are regrouped, each as one publish.
+
+    ``on_progress(done, total, path)`` is called before each batch with its first path. ``cancelled()`` is asked before each batch; once it
+    says so, no further batch is read, what was published is still assigned greedily, and nothing is regrouped.
     """
     options = options or Options()
     make_engine()
     listed = runtime.materialize(images.listing(spark, folder), "listing")
-    photos, faces, persons, links = (store.read(t) for t in ("photos", "faces", "persons", "photo_tags"))
-    state = sync.classify(photos, listed)
-    work = state.where("state IN ('new', 'changed')").select("path")
-    decoded = images.images(spark, folder).join(work, "path", "left_semi").select("path", "width", "height", "channels", "data")
-    found = runtime.materialize(images.detect(decoded, make_engine), "detections")
-    failed = found.where("failed").select("path").distinct()
-    facts = images.hashes(decoded).join(images.metadata(images.contents(spark, folder).join(work, "path", "left_semi")), "path").join(failed, "path", "left_anti")
+    state = runtime.materialize(sync.classify(store.read("photos"), listed), "state")
+    by = {r["state"]: r["count"] for r in state.groupBy("state").count().collect()}
+    if by.get("gone"):
+        photos, faces, links = sync.delete_missing(store.read("photos"), listed, store.read("faces"), store.read("photo_tags"))
+        store.write(photos=photos, faces=faces, photo_tags=links)
+    total, done, analyzed, failed, stopped = by.get("new", 0) + by.get("changed", 0), 0, 0, 0, False
+    # Faces from this id on are of this run.
+    first_new = store.next_id("faces")
+    last = ""
+    while done < total:
+        work = state.where(F.col("state").isin("new", "changed") & (F.col("path") > last)).select("path").orderBy("path").limit(batch_photos)
+        paths = [r["path"] for r in work.collect()]
+        if not paths:
+            break
+        if stopped := bool(cancelled and cancelled()):
+            break
+        if on_progress:
+            on_progress(done, total, paths[0])
+        made, bad = _analyze_batch(spark, store, listed, paths, make_engine, now)
+        done, analyzed, failed, last = done + len(paths), analyzed + made, failed + bad, paths[-1]
+    fresh = store.read("faces").where((F.col("id") >= first_new) & ~F.col("pinned")).select("id")
+    found = fresh.count()
+    if found:
+        _publish(store, clustering.apply_greedy(store.read("faces"), store.read("persons"), fresh, options.clustering_threshold))
+    if regroup and not stopped:
+        _publish(store, clustering.regroup(store.read("faces"), store.read("persons"), options.clustering_threshold))
+    return Progress(sum(n for s, n in by.items() if s != "gone"), analyzed, failed, by.get("gone", 0), found, stopped)
+
+
+def _publish(store: Store, done: clustering.Regrouped) -> None:
+    store.write(faces=done.faces, persons=done.persons)
+
+
+def _analyze_batch(spark: SparkSession, store: Store, listed: DataFrame, paths: list[str], make_engine: Callable[[], images.Engine], now: float) -> tuple[int, int]:
+    """Read, detect and publish the photos with these paths; how many were analyzed, and on how many the engine failed."""
+    # One read decodes the pictures, and one pass over them gives hashes and detections.
+    seen = runtime.materialize(images.analyzed(images.decoded(spark, paths), make_engine), "analyzed")
+    failed = seen.where("failed").count()
+    good = seen.where("NOT failed")
+    facts = good.select("path", "width", "height", "phash").join(images.metadata(images.contents(spark, paths)), "path")
     rows = listed.join(facts, "path").select(
         "path", "mtime", "size", F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"), "exif_date", "exif_lat", "exif_lon", "phash", F.lit(float(now)).alias("analyzed_at")
     )
-    rows = runtime.materialize(rows, "analyzed")
-    kept, faces, links = sync.delete_missing(photos, listed, faces, links)
-    after = runtime.materialize(sync.upsert(kept, rows, store.next_id("photos")), "photos")
-
+    rows = runtime.materialize(rows, "facts")
+    photos, faces = store.read("photos"), store.read("faces")
+    after = runtime.materialize(sync.upsert(photos, rows, store.next_id("photos")), "photos")
     touched = after.join(rows.select("path"), "path", "left_semi").select(F.col("id").alias("photo_id"), "path")
-    dets = found.where("NOT failed AND x IS NOT NULL").join(touched, "path").withColumn("det_id", F.xxhash64("path", *_BOX)).select("det_id", "photo_id", *_BOX, "confidence", "embedding")
+    dets = good.select("path", F.explode("detections").alias("d")).select("path", "d.*").join(touched, "path")
+    dets = dets.withColumn("det_id", F.xxhash64("path", *_BOX)).select("det_id", "photo_id", *_BOX, "confidence", "embedding")
     fresh = matching.reanalyzed(faces.join(touched, "photo_id", "left_semi"), dets)
     untouched = faces.join(touched, "photo_id", "left_anti").select(*faces.columns)
     fresh = fresh.select("photo_id", F.col("person_id").cast("bigint").alias("person_id"), *_BOX, "embedding", "pinned", "confidence")
-    every = runtime.materialize(edits.add_faces(untouched, fresh, store.next_id("faces")), "faces")
-    new_ids = every.join(untouched.select("id"), "id", "left_anti").select("id")
-    done = clustering.apply_greedy(every, persons, new_ids, options.clustering_threshold)
-    if regroup:
-        done = clustering.regroup(runtime.materialize(done.faces, "greedy"), runtime.materialize(done.persons, "greedy"), options.clustering_threshold)
-    store.write(photos=after, faces=done.faces, persons=done.persons, photo_tags=links)
-    counts = state.groupBy("state").count().collect()
-    by = {r["state"]: r["count"] for r in counts}
-    return Progress(sum(n for s, n in by.items() if s != "gone"), rows.count(), failed.count(), by.get("gone", 0), new_ids.count())
+    store.write(photos=after, faces=edits.add_faces(untouched, fresh, store.next_id("faces")))
+    return rows.count(), failed
 
 
 def watch(spark: SparkSession, folder: str, run: Callable[[], object]) -> DataStreamWriter:

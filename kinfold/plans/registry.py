@@ -436,6 +436,9 @@ _oracle["recluster_pairs"] = _pairs_oracle(
 )
 
 
+from kinfold.plans import checks  # noqa: E402, F401  registers its queries with those above
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -69,6 +69,14 @@ DIR_EVENTS = """
 SELECT event_id, user_id % 8 AS dir_id, ts FROM events
 """
 
+SCAN_FILES = """
+SELECT event_id AS id, '/in.d/' || CASE event_id % 9 WHEN 0 THEN 'a.JPG' WHEN 1 THEN '.jpg' WHEN 2 THEN 'x.tar.png' WHEN 3 THEN 'noext' WHEN 4 THEN 'b.webp' WHEN 5 THEN 'c.tiff.' WHEN 6 THEN 'd.Jpeg' WHEN 7 THEN 'e.txt' ELSE 'sub.png/f' END AS path FROM events
+"""
+
+SETTINGS = """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN ' Yes ' WHEN 1 THEN '0' WHEN 2 THEN cast(NULL AS string) WHEN 3 THEN 'on' WHEN 4 THEN 'TRUE' WHEN 5 THEN '   ' WHEN 6 THEN '1' ELSE 'no' END AS raw FROM events
+"""
+
 #: Each view with the views and tables that its text names.
 TEXTS = {
     "photos": (PHOTOS, ("documents",)),
@@ -80,6 +88,8 @@ TEXTS = {
     "exif_raw": (EXIF_RAW, ("events",)),
     "scan": (SCAN, ("photos", "pages")),
     "dir_events": (DIR_EVENTS, ("events",)),
+    "scan_files": (SCAN_FILES, ("events",)),
+    "settings": (SETTINGS, ("events",)),
 }
 
 

@@ -8,12 +8,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _shipped: set[str] = set()
+_scopes: list[list[str]] = []
 _local_dirs: dict[str, str] = {}
 
 
@@ -38,7 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path under the shared folder, never used before."""
-    return f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was materialized within; nothing that reads it may be run later."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -52,11 +74,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare_name(df: DataFrame, wanted: str) -> str:
+    """``wanted`` with as many underscores before it as make it a name that ``df`` has no column of, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{wanted}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all that this application materialized. Call it once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}")
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -12,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold import constants as C
 from kinfold import runtime
 from kinfold.functions import exif, media
 
@@ -26,10 +29,18 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(media.is_image(F.col("path")))
 
 
-def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of all images below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.where(media.is_image(F.col("path"))).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
+def _plain(path: str):
+    return F.regexp_replace(path, "^file:(//)?", "").alias("path")
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of these files; no others are opened."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*").load([_escaped(p) for p in paths]).select(_plain("path"), "content")
+
+
+def _escaped(path: str) -> str:
+    """A path that Spark doesn't take for a pattern."""
+    return re.sub(r"([\\\[\]{}*?^,])", r"\\\1", path)
 
 
 # -- metadata ------------------------------------------------------------------------------------------------
@@ -145,32 +156,114 @@ def _lanczos(source: int, target: int) -> np.ndarray:
 
 
 def gray_grid(pixels: np.ndarray) -> np.ndarray:
-    """Eight rows of nine gray values (0 to 255) of an image (rows, columns, 3 or 1 channels, blue first)."""
-    gray = pixels[..., 0].astype(np.float64) if pixels.shape[-1] == 1 else pixels[..., :3] @ np.array([0.114, 0.587, 0.299])
-    return np.clip(np.rint(_lanczos(gray.shape[0], 8) @ gray @ _lanczos(gray.shape[1], 9).T), 0, 255)
+    """Eight rows of nine gray values (0 to 255) of an image (rows, columns, 3 or 1 channels, blue first).
+
+    Luminance is that of BT.601 in 16-bit fixed point. Columns are reduced first, then rows, and each step gives whole values from 0 to 255.
+    """
+    if pixels.shape[-1] == 1:
+        gray = pixels[..., 0].astype(np.float64)
+    else:
+        # The weights of blue, green and red in parts of 65536.
+        gray = (pixels[..., :3].astype(np.int64) @ np.array([7471, 38470, 19595]) + 32768) >> 16
+    whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    return whole(_lanczos(gray.shape[0], 8) @ whole(gray @ _lanczos(gray.shape[1], 9).T))
+
 
+_DECODED = "path string, width int, height int, channels int, data binary"
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, width, height, channels, data) of the images that can be decoded; the others are left out."""
-    rows = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(folder).select("image.*")
-    return rows.select(F.regexp_replace("origin", "^file:(//)?", "").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data")
 
+def decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, width, height, channels, data) of these images; those that can't be decoded are left out.
 
-def hashes(decoded: DataFrame) -> DataFrame:
+    Spark decodes what Java knows. Other formats, such as WebP, go to Pillow where that is installed.
+    """
+    names = [_escaped(p) for p in paths]
+    by_java = [p for p in names if not p.lower().endswith(_NOT_JAVA)]
+    others = [p for p in names if p.lower().endswith(_NOT_JAVA)]
+    rows = spark.createDataFrame([], _DECODED)
+    if by_java:
+        read = spark.read.format("image").option("dropInvalid", True).load(by_java).select("image.*")
+        rows = read.select(_plain("origin"), "width", "height", F.col("nChannels").alias("channels"), "data")
+    if others:
+        runtime.ship_package(spark)
+        files = spark.read.format("binaryFile").load(others).select(_plain("path"), "content")
+        rows = rows.union(files.mapInArrow(_with_pillow, _DECODED))
+    return rows
+
+
+#: File name endings that Java's decoders don't know.
+_NOT_JAVA = (".webp",)
+
+
+def _with_pillow(batches) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), *((n, pa.int32()) for n in ("width", "height", "channels")), ("data", pa.binary())])
+    try:
+        from PIL import Image
+    except ImportError:
+        Image = None
+    for batch in batches if Image else ():
+        rows = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            try:
+                pixels = np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))[..., ::-1]
+            except Exception:  # noqa: BLE001  a broken file is left out, whatever its decoder raises
+                continue
+            rows.append({"path": path, "width": pixels.shape[1], "height": pixels.shape[0], "channels": 3, "data": pixels.tobytes()})
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _gray_of(width: int, height: int, channels: int, data: bytes | None) -> list[float] | None:
+    return gray_grid(np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)).ravel().tolist() if data else None
+
+
+def hashes(pictures: DataFrame) -> DataFrame:
     """(path, width, height, phash) of decoded images: pixels are reduced in Python, bits are set in columns."""
-    runtime.ship_package(decoded.sparkSession)
+    runtime.ship_package(pictures.sparkSession)
 
     def reduce(batches):
         for batch in batches:
-            grids = []
-            for w, h, c, d in zip(*(batch.column(n).to_pylist() for n in ("width", "height", "channels", "data")), strict=True):
-                grids.append(gray_grid(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c)).ravel().tolist() if d else None)
+            grids = [_gray_of(*row) for row in zip(*(batch.column(n).to_pylist() for n in ("width", "height", "channels", "data")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("width"), batch.column("height"), pa.array(grids, pa.list_(pa.float64()))], names=["path", "width", "height", "gray"])
 
-    rows = decoded.mapInArrow(reduce, "path string, width int, height int, gray array<double>")
+    rows = pictures.mapInArrow(reduce, "path string, width int, height int, gray array<double>")
     return rows.select("path", "width", "height", media.dhash(F.col("gray")).alias("phash"))
 
 
+def _shrunk(pixels: np.ndarray, side: int) -> tuple[np.ndarray, float]:
+    """A picture no larger than ``side``, and the factor from its lengths back to those of the original."""
+    h, w = pixels.shape[:2]
+    scale = min(1.0, side / max(h, w))
+    if scale == 1.0:
+        return pixels, 1.0
+    rows, columns = max(1, round(h * scale)), max(1, round(w * scale))
+    flat = np.tensordot(_area(h, rows), pixels.astype(np.float32), axes=(1, 0))
+    small = np.tensordot(flat, _area(w, columns), axes=(1, 1)).transpose(0, 2, 1)
+    return np.clip(np.rint(small), 0, 255).astype(np.uint8), 1 / scale
+
+
+def _area(source: int, target: int) -> np.ndarray:
+    """Weights (target, source) with which each target pixel is the mean of the source pixels that it covers."""
+    edges = np.arange(target + 1) * (source / target)
+    covered = np.minimum(edges[1:, None], np.arange(1, source + 1)) - np.maximum(edges[:-1, None], np.arange(source))
+    covered = np.maximum(covered, 0).astype(np.float32)
+    return covered / covered.sum(axis=1, keepdims=True)
+
+
+def thumbnails(pictures: DataFrame, side: int = C.THUMBNAIL_SIDE) -> DataFrame:
+    """(path, width, height, channels, data): decoded images reduced to at most ``side`` on the longer side; smaller ones stay."""
+    runtime.ship_package(pictures.sparkSession)
+
+    def reduce(batches):
+        for batch in batches:
+            rows = []
+            for path, w, h, c, d in zip(*(batch.column(n).to_pylist() for n in ("path", "width", "height", "channels", "data")), strict=True):
+                small = _shrunk(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c), side)[0]
+                rows.append({"path": path, "width": small.shape[1], "height": small.shape[0], "channels": c, "data": small.tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+    return pictures.select("path", "width", "height", "channels", "data").mapInArrow(reduce, _DECODED)
+
+
 # -- detection -----------------------------------------------------------------------------------------------
 
 
@@ -190,31 +283,42 @@ class Engine(Protocol):
     def detect_and_embed(self, pixels: np.ndarray) -> list[Detection]: ...
 
 
-_FOUND = "path string, failed boolean, x double, y double, w double, h double, confidence double, embedding array<float>"
+def _detected(engine: Engine, pixels: np.ndarray) -> list[dict] | None:
+    """Detections on a picture, in its own lengths; None if the engine fails. Engines see no more than DETECTOR_MAX_SIDE pixels a side."""
+    try:
+        small, back = _shrunk(pixels, C.DETECTOR_MAX_SIDE)
+        return [vars(d) | {k: getattr(d, k) * back for k in ("x", "y", "w", "h")} for d in engine.detect_and_embed(small)]
+    except Exception:  # noqa: BLE001  any failure of a plugged-in engine concerns this picture only
+        return None
+
 
+_FOUND = "x double, y double, w double, h double, confidence double, embedding array<float>"
+_BOXES = pa.list_(pa.struct([*((n, pa.float64()) for n in ("x", "y", "w", "h", "confidence")), ("embedding", pa.list_(pa.float32()))]))
 
-def detect(decoded: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
-    """One row for each detection; a picture without any has one row of nulls, a picture that fails has ``failed`` set.
 
-    The engine is made once up front, so that one that can't be made fails before anything is changed, and then
-    once in each task.
+def analyzed(pictures: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
+    """(path, width, height, phash, failed, detections) of decoded images, in one pass over them.
+
+    The engine is made once up front, so that one that can't be made fails before anything is changed, and then once in each task.
     """
-    runtime.ship_package(decoded.sparkSession)
+    runtime.ship_package(pictures.sparkSession)
     make_engine()
-    schema = pa.schema([("path", pa.string()), ("failed", pa.bool_()), *((n, pa.float64()) for n in ("x", "y", "w", "h", "confidence")), ("embedding", pa.list_(pa.float32()))])
+    schema = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("gray", pa.list_(pa.float64())), ("failed", pa.bool_()), ("detections", _BOXES)])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         engine = make_engine()
         for batch in batches:
             rows = []
             for path, w, h, c, d in zip(*(batch.column(n).to_pylist() for n in ("path", "width", "height", "channels", "data")), strict=True):
-                empty = {"path": path, "failed": False, "x": None, "y": None, "w": None, "h": None, "confidence": None, "embedding": None}
-                try:
-                    found = engine.detect_and_embed(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
-                except Exception:  # noqa: BLE001  any failure of a plugged-in engine concerns this picture only
-                    rows.append(empty | {"failed": True})
-                    continue
-                rows += [empty | vars(x) for x in found] or [empty]
+                found = _detected(engine, np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
+                rows.append({"path": path, "width": w, "height": h, "gray": _gray_of(w, h, c, d), "failed": found is None, "detections": found or []})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return decoded.mapInArrow(run, _FOUND)
+    found = pictures.mapInArrow(run, f"path string, width int, height int, gray array<double>, failed boolean, detections array<struct<{_FOUND.replace(' double', ':double').replace(' array', ':array')}>>")
+    return found.select("path", "width", "height", media.dhash(F.col("gray")).alias("phash"), "failed", "detections")
+
+
+def detect(pictures: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
+    """One row for each detection; a picture without any has one row of nulls, a picture that fails has ``failed`` set."""
+    rows = analyzed(pictures, make_engine).select("path", "failed", F.explode_outer("detections").alias("d"))
+    return rows.select("path", "failed", "d.*")

@@ -1,15 +1,19 @@
 """A versioned table store: each publish writes new Parquet folders and swaps one small manifest.
 
-Readers see the old version or the new one, never a mix; a failed publish leaves nothing visible. One writer at a
-time: publishing over a version that another writer has replaced is refused. The manifest holds a high-water mark of
-ids for each table, so ids of deleted rows don't come back.
+Readers see the old version or the new one, never a mix; a failed publish leaves nothing visible. Every publish writes to
+folders of its own, which only its manifest names, so a writer that is refused has touched nothing that others read. One
+writer at a time: the manifest of a version is put in place by an operation that fails if it is there, so of two writers
+that began with the same version the second is refused. The manifest holds a high-water mark of ids for each table, so ids of
+deleted rows don't come back.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,10 @@ class NewerStoreError(RuntimeError):
     """The store was written by a later version of this engine."""
 
 
+class StaleVersionError(RuntimeError):
+    """Another writer has published since this one began; nothing was changed."""
+
+
 class Store:
     """A folder in any store that Spark's file systems reach."""
 
@@ -61,12 +69,29 @@ class Store:
 
     def _write_manifest(self, content: dict) -> None:
         target = self._path(f"{self.path}/manifests/{content['version']}.json")
-        draft = self._path(f"{self.path}/manifests/.{content['version']}.draft")
-        stream = self._fs.create(draft, True)
+        draft = self._path(f"{self.path}/manifests/.{content['version']}-{uuid.uuid4().hex}.draft")
+        stream = self._fs.create(draft, False)
         stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            raise RuntimeError(f"version {content['version']} is there already: another writer was first")
+        if not self._put(draft, target):
+            self._fs.delete(draft, False)
+            raise StaleVersionError(f"version {content['version']} is there already: another writer was first")
+
+    def _put(self, draft, target) -> bool:
+        """Give ``draft`` the name ``target`` unless that is taken, in one step."""
+        if self._fs.exists(target):
+            return False
+        if self._fs.getUri().getScheme() != "file":
+            return self._fs.rename(draft, target)
+        # A local rename replaces what is there; a second name for the file does not.
+        files, paths = self.spark.sparkContext._jvm.java.nio.file.Files, self.spark.sparkContext._jvm.java.nio.file.Paths
+        name = lambda p: paths.get(self._fs.makeQualified(p).toUri())
+        try:
+            files.createLink(name(target), name(draft))
+        except Py4JJavaError:
+            return False
+        files.delete(name(draft))
+        return True
 
     def read(self, table: str) -> DataFrame:
         """A table of the newest version, or of the running transaction; empty if never written."""
@@ -101,16 +126,23 @@ class Store:
             self._pending = None
 
     def _publish(self, base: dict) -> None:
-        version = base["version"] + 1
+        version, publish = base["version"] + 1, uuid.uuid4().hex[:12]
         tables, marks = dict(base["tables"]), dict(base["next_id"])
-        for name, rows in self._pending.items():
-            folder = f"data/{name}-{version}"
-            rows.write.mode("overwrite").parquet(f"{self.path}/{folder}")
-            tables[name] = folder
-            if "id" in rows.columns:
-                top = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.max("id")).first()[0]
-                marks[name] = max(marks.get(name, 1), 1 if top is None else int(top) + 1)
-        self._write_manifest({"version": version, "schema": SCHEMA_VERSION, "tables": tables, "next_id": marks})
+        written = []
+        try:
+            for name, rows in self._pending.items():
+                folder = f"data/{name}-{version}-{publish}"
+                written.append(folder)
+                rows.write.parquet(f"{self.path}/{folder}")
+                tables[name] = folder
+                if "id" in rows.columns:
+                    top = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.max("id")).first()[0]
+                    marks[name] = max(marks.get(name, 1), 1 if top is None else int(top) + 1)
+            self._write_manifest({"version": version, "schema": SCHEMA_VERSION, "tables": tables, "next_id": marks})
+        except Exception:
+            for folder in written:
+                self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+            raise
 
     def _migrate(self) -> None:
         """Bring the tables to this schema: columns that are missing come as nulls. The old version stays as it is."""

@@ -14,7 +14,7 @@ from kinfold import constants as C
 from kinfold import runtime
 from kinfold.operators.clustering import RunningMeans
 
-_STATE = "names array<bigint>, sums array<array<float>>, counts array<bigint>"
+_STATE = "names array<bigint>, means array<array<float>>, counts array<bigint>"
 
 
 def assign_stream(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, shards: str | None = None) -> DataFrame:
@@ -28,12 +28,10 @@ def assign_stream(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, shard
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         means = RunningMeans()
         if state.exists:
-            names, sums, counts = state.get
-            means.names, means.counts = list(names), list(counts)
-            means.sums = [np.asarray(s, dtype=np.float32) for s in sums]
+            means.load(*(list(x) for x in state.get))
         rows = pd.concat(list(batches)).sort_values("id")
         found = [means.assign(np.asarray(v, dtype=np.float32), threshold) for v in rows["embedding"]]
-        state.update((means.names, [s.tolist() for s in means.sums], means.counts))
+        state.update((means.names, means.means().tolist(), means.counts))
         yield pd.DataFrame({"shard": key[0], "face_id": rows["id"], "person_id": found})
 
     shard = F.col(shards).cast("string") if shards else F.lit("all")

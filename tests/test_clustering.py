@@ -9,21 +9,14 @@ from kinfold.operators.components import connected_components, union_find
 from kinfold.operators.similarity import cosine_pairs
 
 
-def blobs(sizes, sigma, seed, overlap=0.0, dims=128):
-    """Noisy unit vectors around one centre for each identity; ``overlap`` is the cosine of the centres."""
+def identities(sizes, noise, seed, alike=0.0, dims=128):
+    """Vectors of planted identities: centres with the cosine ``alike`` to each other, and noise of the length ``noise`` around them."""
     rng = np.random.default_rng(seed)
-    common = rng.normal(size=dims)
-    common /= np.linalg.norm(common)
-    vectors, labels = [], []
-    for label, n in enumerate(sizes):
-        own = rng.normal(size=dims)
-        own -= own @ common * common
-        own /= np.linalg.norm(own)
-        centre = np.sqrt(overlap) * common + np.sqrt(1 - overlap) * own
-        for _ in range(n):
-            vectors.append(centre + rng.normal(size=dims) * sigma / np.sqrt(dims))
-            labels.append(label)
-    return np.array(vectors), labels
+    basis = np.linalg.qr(rng.normal(size=(dims, len(sizes) + 1)))[0].T
+    labels = np.repeat(np.arange(len(sizes)), sizes)
+    centres = alike**0.5 * basis[-1] + (1 - alike) ** 0.5 * basis[:-1]
+    around = rng.normal(scale=noise / dims**0.5, size=(len(labels), dims))
+    return centres[labels] + around, labels.tolist()
 
 
 def literal_linkage(unit, anchors, threshold):
@@ -51,20 +44,32 @@ def literal_linkage(unit, anchors, threshold):
 @pytest.mark.parametrize("seed", range(6))
 @pytest.mark.parametrize("threshold", [0.2, 0.363, 0.5])
 def test_linkage_equals_literal(seed, threshold):
-    x, _ = blobs([6, 5, 5, 4], 0.9, seed, 0.4)
+    x, _ = identities([6, 5, 5, 4], 0.9, seed, 0.4)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     anchors = [None] * len(x)
     anchors[seed], anchors[10] = 100, 200
     assert sorted(sorted(c) for c in clustering.average_linkage(unit, anchors, threshold)) == literal_linkage(unit, anchors, threshold)
 
 
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("threshold", [0.2, 0.363, 0.5])
+def test_linkage_without_a_matrix_is_the_same(seed, threshold):
+    x, _ = identities([16, 15, 15, 14, 1, 1], 0.9, seed, 0.4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit[3] = 0
+    anchors = [None] * len(x)
+    anchors[seed], anchors[20], anchors[21], anchors[50] = 100, 200, 100, 300
+    same = lambda found: sorted(sorted(c) for c in found)
+    assert same(clustering.chained_linkage(unit, anchors, threshold)) == same(clustering.average_linkage(unit, anchors, threshold))
+
+
 def faces_of(spark, vectors, persons=None, pinned=()):
     rows = [(i + 1, None if persons is None else persons[i], i in pinned, [float(v) for v in x]) for i, x in enumerate(vectors)]
     return spark.createDataFrame(rows, "id bigint, person_id bigint, pinned boolean, embedding array<float>")
 
 
 def test_recovers_planted_identities(spark):
-    x, labels = blobs([20, 15, 10, 5], 0.5, 1)
+    x, labels = identities([20, 15, 10, 5], 0.5, 1)
     found = clustering.recluster(faces_of(spark, x))
     truth = spark.createDataFrame([(i + 1, label) for i, label in enumerate(labels)], "face_id bigint, label int")
     row = clustering.quality(found, truth).first()
@@ -72,7 +77,7 @@ def test_recovers_planted_identities(spark):
 
 
 def test_components_give_the_global_result(spark):
-    x, _ = blobs([8, 7, 6], 0.9, 7, 0.3)
+    x, _ = identities([8, 7, 6], 0.9, 7, 0.3)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     found = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces_of(spark, x), 0.4).collect()}
     whole = clustering.cluster_ids(np.asarray(np.float32(x), dtype=np.float64) / np.linalg.norm(np.float32(x).astype(np.float64), axis=1, keepdims=True), [None] * len(unit), np.arange(len(unit)), 0.4)
@@ -80,7 +85,7 @@ def test_components_give_the_global_result(spark):
 
 
 def test_pins_hold_and_regrouping_is_stable(spark):
-    x, _ = blobs([10, 10, 10], 0.5, 3)
+    x, _ = identities([10, 10, 10], 0.5, 3)
     persons = [None] * 30
     pinned = {0: 100, 1: 100, 2: 100, 10: 200, 11: 200, 20: 100}
     for i, p in pinned.items():
@@ -111,13 +116,30 @@ def test_stabilize_takes_the_largest_overlap(spark):
 
 
 def test_greedy_joins_the_near_and_opens_the_rest(spark):
-    x, _ = blobs([5, 5], 0.3, 5)
+    x, _ = identities([5, 5], 0.3, 5)
     faces = faces_of(spark, x, [9] * 3 + [None] * 7)
     done = {r["face_id"]: r["person_id"] for r in clustering.greedy_assign(faces.where("person_id IS NULL"), faces.where("person_id IS NOT NULL")).collect()}
     assert done[4] == done[5] == 9
     assert {done[i] for i in range(6, 11)} == {-1_000_001}
 
 
+def test_greedy_equals_a_literal_walk(spark):
+    x, _ = identities([30, 30, 30], 0.9, 8, 0.2)
+    known = [1 + i % 3 if i % 4 else None for i in range(90)]
+    faces = faces_of(spark, x, known)
+    got = {r["face_id"]: r["person_id"] for r in clustering.greedy_assign(faces.where("person_id IS NULL"), faces.where("person_id IS NOT NULL")).collect()}
+    means: dict[int, list] = {}
+    for i, p in enumerate(known):
+        if p:
+            means.setdefault(p, []).append(x[i])
+    for i in [i for i, p in enumerate(known) if not p]:
+        sims = {p: np.mean(v, axis=0) @ x[i] / np.linalg.norm(np.mean(v, axis=0)) / np.linalg.norm(x[i]) for p, v in means.items()}
+        best = max(sims, key=sims.get)
+        name = best if sims[best] > 0.363 else -(len(means) + 1_000_000)
+        means.setdefault(name, []).append(x[i])
+        assert got[i + 1] == name
+
+
 def test_components_by_rounds_of_contraction(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     df = spark.createDataFrame(edges, "a bigint, b bigint")
@@ -130,7 +152,7 @@ def test_components_by_rounds_of_contraction(spark):
 
 
 def test_pairs_do_not_depend_on_blocks(spark):
-    x, _ = blobs([9, 8], 0.8, 2, 0.3, dims=16)
+    x, _ = identities([9, 8], 0.8, 2, 0.3, dims=16)
     faces = faces_of(spark, x).select("id", "embedding")
     got = [{(r["a"], r["b"]) for r in cosine_pairs(faces, 0.3, rows).collect()} for rows in (2048, 4)]
     assert got[0] == got[1] and got[0]

@@ -152,6 +152,34 @@ def test_store_migrates_old_and_refuses_newer(spark, tmp_path):
         store.Store(spark, path)
 
 
+def test_capture_dates_have_no_zone(spark):
+    # Hours that clocks skip, or run through twice, somewhere.
+    times = ["2021:03:28 02:30:00", "2021:10:31 02:30:00", "2021:03:14 02:15:00"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("Europe/Berlin", "America/New_York", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert values(spark, "t string", times, exif.capture_date(F.col("t"))) == ["2021-03-28T02:30:00", "2021-10-31T02:30:00", "2021-03-14T02:15:00"], zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_a_refused_writer_changes_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/lib"
+    person = lambda name: spark.createDataFrame([(1, name, "#1")], "id bigint, name string, color string")
+    first, second = store.Store(spark, path), store.Store(spark, path)
+    first.write(persons=person("base"))
+    with pytest.raises(store.StaleVersionError):
+        with second.transaction():
+            second.write(persons=person("second"))
+            # The other writer publishes the same version in between.
+            first.write(persons=person("first"))
+    assert [r["name"] for r in store.Store(spark, path).read("persons").collect()] == ["first"]
+    assert len(list((tmp_path / "lib" / "data").iterdir())) == 2 and not list((tmp_path / "lib" / "manifests").glob("*.draft"))
+    second.write(persons=person("later"))
+    assert first.read("persons").first()["name"] == "later"
+
+
 def jpeg_with_exif(date: bytes, lat, lon) -> bytes:
     """A JPEG header with an EXIF segment: original date in its block, coordinates in theirs."""
 
@@ -202,7 +230,7 @@ def test_folder_of_images(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     listed = images.listing(spark, f"file://{tmp_path}")
     assert sorted(r["path"].rsplit("/", 1)[1] for r in listed.collect()) == ["a.png", "b.PNG", "c.png", "d.png"]
-    decoded = images.images(spark, f"file://{tmp_path}")
+    decoded = images.decoded(spark, [r["path"] for r in listed.collect()])
     got = {r["path"].rsplit("/", 1)[1]: int(r["phash"], 16) for r in images.hashes(decoded).collect()}
     assert sorted(got) == ["a.png", "b.PNG", "c.png"]
     assert bin(got["a.png"] ^ got["b.PNG"]).count("1") <= 6 and bin(got["a.png"] ^ got["c.png"]).count("1") > 12
@@ -219,6 +247,33 @@ def test_folder_of_images(spark, tmp_path):
         images.listing(spark, f"file://{tmp_path}/gone").count()
 
 
+def test_difference_hash_of_known_pictures():
+    # Columns that darken set all bits of a row, columns that brighten none; one gray level more is enough.
+    ramp = lambda step: np.repeat(np.repeat((128 + step * np.arange(9))[None, :], 8, axis=0).astype(np.uint8)[..., None], 3, axis=2)
+    assert (np.diff(images.gray_grid(ramp(-1)), axis=1) == -1).all() and (np.diff(images.gray_grid(ramp(1)), axis=1) == 1).all()
+    blue, green, red = (np.zeros((8, 9, 3), dtype=np.uint8) for _ in range(3))
+    blue[..., 0], green[..., 1], red[..., 2] = 255, 255, 255
+    assert [images.gray_grid(x)[0, 0] for x in (blue, green, red)] == [29, 150, 76]
+
+
+def test_pictures_are_reduced(spark):
+    rng = np.random.default_rng(4)
+    wide = rng.integers(0, 256, (20, 1000, 3), dtype=np.uint8)
+    rows = [("a", 1000, 20, 3, bytearray(wide.tobytes())), ("b", 3, 2, 1, bytearray(b"abcdef"))]
+    got = {r["path"]: r for r in images.thumbnails(spark.createDataFrame(rows, "path string, width int, height int, channels int, data binary"), 500).collect()}
+    assert (got["a"]["width"], got["a"]["height"]) == (500, 10) and bytes(got["b"]["data"]) == b"abcdef"
+    small = np.frombuffer(bytes(got["a"]["data"]), dtype=np.uint8).reshape(10, 500, 3)
+    assert np.abs(small - wide.reshape(10, 2, 500, 2, 3).astype(float).mean(axis=(1, 3))).max() <= 0.5
+
+    class Corner:
+        def detect_and_embed(self, pixels):
+            assert max(pixels.shape) <= 1600
+            return [images.Detection(pixels.shape[1] / 2, 0, pixels.shape[1] / 2, pixels.shape[0], 1.0, [1.0])]
+
+    box = images._detected(Corner(), np.zeros((100, 4000, 3), dtype=np.uint8))[0]
+    assert (box["x"], box["w"], box["h"]) == (2000, 2000, 100)
+
+
 def test_model_problems(spark, tmp_path):
     import hashlib
 
@@ -276,8 +331,13 @@ def test_folder_end_to_end(spark, tmp_path):
         (folder / f"{k}.png").write_bytes(png(pixels))
     (folder / "broken.jpg").write_bytes(b"no picture")
     lib = store.Store(spark, f"file://{tmp_path}/lib")
+    seen = []
+    # Cancelled before the third batch: what was published stays and has persons, the rest is done by the next run.
+    part = analyze_folder(spark, lib, f"file://{folder}", ColorEngine, now=4.0, batch_photos=2, on_progress=lambda *x: seen.append(x), cancelled=lambda: len(seen) == 2)
+    assert part.cancelled and (part.analyzed, part.faces) == (4, 4) and [(n, t) for n, t, _ in seen] == [(0, 8), (2, 8)]
+    assert lib.read("photos").count() == 4 and lib.read("faces").where("person_id IS NULL").count() == 0
     done = analyze_folder(spark, lib, f"file://{folder}", ColorEngine, now=5.0)
-    assert (done.listed, done.analyzed, done.failed, done.gone, done.faces) == (8, 6, 1, 0, 6)
+    assert (done.listed, done.analyzed, done.failed, done.gone, done.faces, done.cancelled) == (8, 2, 1, 0, 2, False)
     counts = gallery.person_counts(lib.read("persons"), lib.read("faces")).collect()
     assert sorted(r["face_count"] for r in counts) == [1, 2, 3] and all(r["name"].startswith("Persona ") for r in counts)
     (folder / "3.png").unlink()
