@@ -1,15 +1,20 @@
 """Near copies of a stated similarity by wide SimHash fingerprints: the corpus form of operator 3.
 
-Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 15 of 100 SimHash bits. An exact search
-at that distance in 64 bits has to send each fingerprint to thousands of buckets once a corpus is large, so
-this form takes more bits instead. They are cut into partitions of equal width with threshold zero: pairs that differ
-in fewer bits than there are partitions are found for sure, others with a probability that the number of partitions
-is chosen for. Candidates of a bucket are filtered by their distance over the same 512 bits at any size. Width and number of partitions follow from the
-number of texts, so a bucket of unrelated texts stays small at any size.
+The similarity is the one that SimHash stands for: the cosine of the sets of word shingles, shared shingles over the root
+of the product of the sets' sizes (0.8 is a Jaccard similarity of 2/3 for sets of equal size). Texts of that
+similarity differ in about 20 of 100 SimHash bits. An exact search at such a distance is out of reach over a large
+corpus, so this form takes 512 bits and the steps of operator 3 with a stated recall in place of certainty: bits that go
+together are grouped into partitions; a dynamic programme gives each partition its own threshold (not searched, equal, one
+bit apart) so that the estimated rows and candidates cost least while a pair at the stated similarity shares a bucket with
+probability ``RECALL``; each fingerprint is sent to the bucket of every value within the threshold, and a bucket's members
+are filtered by their distance over the first bits. A few bits alone would bring ever more unrelated texts
+together as a corpus grows, and more bits need ever more buckets. So the name of a bucket also holds the least of the
+text's shingles in an order that belongs to the partition: texts without a common shingle never meet, and the partitions, the rows
+of a text and what links are alike at any number of texts.
 
 A fingerprint counts each distinct shingle once, and a small distance only proposes a link: the shingle sets of each
-component of candidates are then compared themselves, and what joins documents is a Jaccard similarity of the stated
-value. A component with more than ``GROUP_SHINGLES`` shingles is cut into blocks of which each two meet.
+component of candidates are then compared themselves, and what joins documents is the stated similarity, exactly.
+A component with more than ``GROUP_SHINGLES`` shingles is cut into blocks of which each two meet.
 
 Equal shingle sets are grouped first, so exact copies count once. Buckets return spanning forests, never all pairs. A bucket
 of more than ``BUCKET_ROWS`` members is not held by one task: its members are cut into blocks and each two blocks
@@ -21,7 +26,7 @@ Defined results are those of ``simhash``: blank and null texts are alike, the sm
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, cos, log, log2, pi
+from math import acos, exp, lgamma, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -31,53 +36,141 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold import runtime
+from kinfold.llm import hashed_features as hf
 from kinfold.llm import textblocks as tb
-from kinfold.llm.simhash import _BYTE_BITS, _BYTE_PLACES, BUCKET_ROWS, SEED
+from kinfold.llm.simhash import _BYTE_BITS, _BYTE_PLACES, BUCKET_ROWS, PLAN_SAMPLE, SEED
 from kinfold.operators.components import connected_components
 
 #: Share of the pairs at the stated similarity that a search finds, by design.
 RECALL = 0.99
 #: Parts that the members of a component are dealt into where its name is joined to them.
 TURNS = 32
-#: Times 64 bits that candidates are filtered by, at any number of texts.
-FILTER_WORDS = 8
+#: Times 64 bits of a fingerprint, and those that candidates are filtered by, at any number of texts.
+PRINT_WORDS, FILTER_WORDS = 8, 4
+BITS = 64 * PRINT_WORDS
 #: The filter lets a pair differ in so many standard deviations more bits than expected at the stated similarity.
-SLACK = 5
+SLACK = 4
+#: The partitions are planned for pairs that differ in so many standard deviations more bits than expected.
+MARGIN = 0.75
+#: Bits of a partition, and the orders of shingles that partitions share.
+WIDTH, ORDERS = 6, 24
+#: Cost of checking one candidate against that of sending one row to a bucket.
+CHECK_COST = 0.004
 #: Shingles of the sets that one task compares, about; larger candidate components are cut into blocks.
 GROUP_SHINGLES = 1 << 19
 
-ROW = "_near_row"
 _ROWS = "key bigint, node bigint, print binary"
 
 
+#: An odd factor for each order of the shingles.
+_FACTORS = tb.mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 @dataclass(frozen=True)
 class Plan:
-    """``count`` partitions of ``width`` bits in ``words`` times 64, and the largest number of bits of the filter that candidates differ in."""
+    """The partitions: bits, threshold and order of shingles; and the largest number of bits of the filter that candidates differ in."""
 
-    width: int
-    count: int
-    words: int
+    groups: tuple[tuple[tuple[int, ...], int, int], ...]
     most: int
 
+    @property
+    def rows(self) -> int:
+        """Rows that a fingerprint is sent in."""
+        return sum(1 + t * len(bits) for bits, t, _ in self.groups)
+
 
-def differing_share(jaccard: float) -> float:
-    """The expected share of differing bits for two sets of equal size with this Jaccard similarity."""
-    low, high = 0.0, 1.0
-    target = 2 * jaccard / (1 + jaccard)
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if cos(pi * middle) > target else (low, middle)
-    return low
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits for two sets with this cosine."""
+    return acos(similarity) / pi
 
 
-def plan(texts: int, jaccard: float, recall: float = RECALL) -> Plan:
-    """Buckets of unrelated texts hold some 64 on average; partitions are as many as the recall needs."""
-    apart = differing_share(jaccard)
-    width = min(32, max(8, ceil(log2(max(texts, 2))) - 6))
-    count = ceil(log(1 - recall) / log(1 - (1 - apart) ** width))
-    words = max(FILTER_WORDS, -(-width * count // 64))
-    bits = 64 * FILTER_WORDS
-    return Plan(width, count, words, int(bits * apart + SLACK * (bits * apart * (1 - apart)) ** 0.5))
+def meeting(similarity: float, width: int, apart: int, threshold: int) -> float:
+    """The least probability that two texts at the similarity meet in a partition.
+
+    ``width`` of all bits have at most ``threshold`` (0 or 1) of the ``apart`` differing ones; and the least shingle is a common one,
+    which has the probability of the Jaccard similarity: with a cosine c no less than c * c, where one set is part of the other.
+    """
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) if 0 <= k <= n else float("-inf")
+    return similarity**2 * sum(exp(choose(apart, t) + choose(BITS - apart, width - t) - choose(BITS, width)) for t in range(threshold + 1))
+
+
+def _bits_of(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints (n, words) as rows of bits."""
+    return np.unpackbits(prints.view(np.uint8).reshape(len(prints), 8 * prints.shape[1]), axis=1, bitorder="little")
+
+
+def bit_groups(prints: np.ndarray, width: int) -> list[np.ndarray]:
+    """All bits in groups of ``width``: a group takes the bits that correlate most with it."""
+    bits = _bits_of(prints).astype(np.float64)
+    bits -= bits.mean(axis=0) if len(bits) else 0
+    norm = np.sqrt((bits**2).sum(axis=0)) + 1e-9
+    near = np.abs((bits / norm).T @ (bits / norm))
+    groups, left = [], np.ones(BITS, dtype=bool)
+    for _ in range(BITS // width):
+        own = [int(np.argmax(left))]
+        left[own] = False
+        pull = near[own[0]].copy()
+        while len(own) < width:
+            best = int(np.argmax(np.where(left, pull, -1)))
+            own.append(best)
+            left[best] = False
+            pull += near[best]
+        groups.append(np.sort(own))
+    return groups
+
+
+def _values(bits: np.ndarray, group: np.ndarray) -> np.ndarray:
+    return bits[:, group].astype(np.uint64) @ (np.uint64(1) << np.arange(len(group), dtype=np.uint64))
+
+
+def candidate_shares(values: np.ndarray, least: np.ndarray, width: int) -> tuple[float, float]:
+    """The share of the pairs of a sample with the same least shingle that agree in a partition, and that agree up to one bit."""
+    n = max(len(values) * (len(values) - 1), 1)
+    named = (tb.mix(least) << np.uint64(width)) | values
+    distinct, counts = np.unique(named, return_counts=True)
+    equal, one = float((counts * (counts - 1)).sum()), 0
+    for k in range(width if len(distinct) else 0):
+        at = np.minimum(np.searchsorted(distinct, distinct ^ np.uint64(1 << k)), len(distinct) - 1)
+        hit = distinct[at] == distinct ^ np.uint64(1 << k)
+        one += int((counts[hit] * counts[at[hit]]).sum())
+    return equal / n, (equal + one) / n
+
+
+def plan(prints: np.ndarray, least: np.ndarray, texts: int, similarity: float, recall: float = RECALL, width: int = WIDTH) -> Plan:
+    """Partitions and thresholds of least estimated cost that find a pair at the similarity with the probability ``recall``.
+
+    prints (n, PRINT_WORDS), least (n, ORDERS): a sample of the fingerprints and least shingles; texts: how many there are. Each choice of a threshold has a
+    cost, rows and candidates of one text, and a gain, the log of the probability to miss the pair there; the programme has, for each sum of gains, the least cost.
+    """
+    share = differing_share(similarity)
+    apart = round(BITS * share + MARGIN * (BITS * share * (1 - share)) ** 0.5)
+    wanted, gains = -log(1 - recall), [-log(1 - meeting(similarity, width, apart, t)) for t in (0, 1)]
+    groups = bit_groups(prints, width)
+    if wanted > len(groups) * gains[0]:
+        raise ValueError("a lower similarity than the partitions can find with this recall")
+    bits = _bits_of(prints)
+    steps = 2000
+    cells = [int(g / wanted * steps) for g in gains]
+    # cheapest[s]: least cost with a sum of gains of s or more cells, by the choices so far.
+    cheapest = np.full(steps + 1, np.inf)
+    cheapest[0] = 0
+    chosen = np.zeros((len(groups), steps + 1), dtype=np.int8)
+    for number, group in enumerate(groups):
+        shares = candidate_shares(_values(bits, group), least[:, number % ORDERS], width)
+        best = cheapest.copy()
+        for t in (0, 1):
+            # From a sum that is short by no more than this gain, the choice reaches s.
+            reached = cheapest[np.maximum(np.arange(steps + 1) - cells[t], 0)] + 1 + t * width + CHECK_COST * texts * shares[t]
+            better = reached < best
+            best[better], chosen[number][better] = reached[better], t + 1
+        cheapest = best
+    taken, s = [], steps
+    for number in range(len(groups) - 1, -1, -1):
+        if c := int(chosen[number][s]):
+            taken.append((tuple(int(b) for b in groups[number]), c - 1, number % ORDERS))
+            s = max(s - cells[c - 1], 0)
+    expected = 64 * FILTER_WORDS * share
+    return Plan(tuple(reversed(taken)), int(expected + SLACK * (expected * (1 - share)) ** 0.5))
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -93,7 +186,7 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
 
 
-def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+def fingerprint(hashes: np.ndarray, words: int = PRINT_WORDS) -> np.ndarray:
     """``words`` times 64 bits of a shingle set: each bit is set if it is set in over half of the hashes of its word."""
     out = np.zeros(words, dtype=np.uint64)
     if not len(hashes):
@@ -105,8 +198,11 @@ def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-#: Columns added to the documents: the hash that names a shingle set, its size and its fingerprint.
-_NODE, _SIZE, _PRINT = "_near_node", "_near_size", "_near_print"
+def least_shingles(hashes: np.ndarray) -> np.ndarray:
+    """The least shingle of a set in each of the orders; zeros for an empty set."""
+    if not len(hashes):
+        return np.zeros(ORDERS, dtype=np.uint64)
+    return np.min([(part[:, None] * _FACTORS).min(axis=0) for part in np.array_split(hashes, -(-len(hashes) // 65536))], axis=0)
 
 
 def _sets_of(column: pa.Array, shingle: int):
@@ -115,17 +211,18 @@ def _sets_of(column: pa.Array, shingle: int):
     return [shingle_set(own[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def _with_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+def _with_prints(docs: DataFrame, shingle: int, node: str, size: str, print_: str) -> DataFrame:
+    """``docs`` with the hash that names a text's shingle set, the size of the set, and its fingerprint followed by its least shingles, under the given names."""
     at = docs.columns.index("text")
 
     def add(batches):
         for batch in batches:
             sets = _sets_of(batch.column(at), shingle)
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-            prints = pa.array([fingerprint(x, words).tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), prints], names=[*batch.schema.names, _NODE, _SIZE, _PRINT])
+            prints = pa.array([fingerprint(x).tobytes() + least_shingles(x).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), prints], names=[*batch.schema.names, node, size, print_])
 
-    more = [T.StructField(_NODE, T.LongType()), T.StructField(_SIZE, T.LongType()), T.StructField(_PRINT, T.BinaryType())]
+    more = [T.StructField(node, T.LongType()), T.StructField(size, T.LongType()), T.StructField(print_, T.BinaryType())]
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *more]))
 
 
@@ -134,15 +231,21 @@ def _prints_of(column: pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(data.tobytes(), dtype=np.uint64).reshape(-1, words)
 
 
-def partition_values(prints: np.ndarray, p: Plan) -> np.ndarray:
-    """The value of every partition, one column each."""
-    prints = np.ascontiguousarray(prints)
-    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, : p.width * p.count]
-    return bits.reshape(len(prints), p.count, p.width).astype(np.uint64) @ (np.uint64(1) << np.arange(p.width, dtype=np.uint64))
-
+def partition_keys(prints: np.ndarray, p: Plan) -> np.ndarray:
+    """The keys of every bucket that each fingerprint is sent to, one column each, from fingerprints followed by least shingles.
 
-def _keys(values: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return tb.mix(values + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    A key hashes the partition's number, the value of its bits and the least shingle in its order.
+    """
+    own = np.ascontiguousarray(prints[:, :PRINT_WORDS])
+    bits = _bits_of(own)
+    out, at = np.empty((len(prints), p.rows), dtype=np.uint64), 0
+    for number, (group, threshold, order) in enumerate(p.groups):
+        values = _values(bits, np.array(group))
+        for flip in [0] + [1 << k for k in range(len(group))] * threshold:
+            tag = np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+            out[:, at] = tb.mix(tb.mix((values ^ np.uint64(flip)) + tag) + prints[:, PRINT_WORDS + order])
+            at += 1
+    return out
 
 
 def _emit(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
@@ -157,10 +260,10 @@ def _send(p: Plan):
 
     def run(batches):
         for batch in batches:
-            prints, nodes = _prints_of(batch.column("print"), p.words), np.asarray(batch.column("node"))
+            prints, nodes = _prints_of(batch.column("print"), PRINT_WORDS + ORDERS), np.asarray(batch.column("node"))
             for part in np.array_split(np.arange(len(prints)), max(1, len(prints) // 4096)):
-                keys = _keys(partition_values(prints[part], p), np.arange(p.count))
-                yield _emit(keys.ravel(), np.repeat(nodes[part], p.count), np.repeat(prints[part, :FILTER_WORDS], p.count, axis=0))
+                keys = partition_keys(prints[part], p)
+                yield _emit(keys.ravel(), np.repeat(nodes[part], p.rows), np.repeat(prints[part, :FILTER_WORDS], p.rows, axis=0))
 
     return run
 
@@ -243,7 +346,7 @@ def in_block_pairs(rows: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def links(prints: DataFrame, p: Plan, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): links among distinct fingerprints (node bigint, print binary) that the partitions bring together."""
+    """(a, b): links among distinct texts (node bigint, print binary: fingerprint and least shingles) that the partitions bring together."""
     rows = prints.select("node", "print").mapInArrow(_send(p), _ROWS)
     hot = runtime.materialize(rows.groupBy("key").count().where(F.col("count") > bucket_rows), "hot")
     if hot.isEmpty():
@@ -255,8 +358,8 @@ def links(prints: DataFrame, p: Plan, bucket_rows: int = BUCKET_ROWS) -> DataFra
     return found.union(_in_buckets(in_block_pairs(crowded, "key", "blocks").select("key", "node", "print"), p))
 
 
-def jaccard_forest(nodes: np.ndarray, flat: np.ndarray, sizes: np.ndarray, jaccard: float) -> tuple[list[int], list[int]]:
-    """Links that span the components of sets whose Jaccard similarity is ``jaccard`` at least; ``flat`` has the sets end to end."""
+def similar_forest(nodes: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that span the components of sets whose cosine is ``similarity`` at least; ``flat`` has the sets end to end."""
     names, codes = np.unique(flat, return_inverse=True)
     ends = np.cumsum(sizes)
     held, left, a, b = np.zeros(len(names), dtype=np.int64), np.arange(len(nodes)), [], []
@@ -269,7 +372,7 @@ def jaccard_forest(nodes: np.ndarray, flat: np.ndarray, sizes: np.ndarray, jacca
             ends = np.cumsum(sizes[left])
             shared = np.diff(np.concatenate([[0], np.cumsum(held[codes])])[np.concatenate([[0], ends])])
             held[own[one]] = 0
-            near = shared / np.maximum(sizes[left] + sizes[one] - shared, 1) >= jaccard
+            near = (shared > 0) & (shared >= similarity * np.sqrt(sizes[left] * float(sizes[one])) - 1e-9)
             if near.any():
                 reached = left[near]
                 codes, left = codes[np.repeat(~near, sizes[left])], left[~near]
@@ -290,14 +393,14 @@ def _with_sets(shingle: int):
     return run
 
 
-def _verified(jaccard: float):
+def _verified(similarity: float):
     """Reads shingle sets sorted by key and returns links within each key."""
 
     def links_of(keys, nodes, sets):
         a, b = [], []
         cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            u, v = jaccard_forest(nodes[i:j], np.concatenate(sets[i:j]), np.array([len(x) for x in sets[i:j]]), jaccard)
+            u, v = similar_forest(nodes[i:j], np.concatenate(sets[i:j]), np.array([len(x) for x in sets[i:j]]), similarity)
             a += u
             b += v
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -320,26 +423,36 @@ def _verified(jaccard: float):
     return run
 
 
-def verified_links(held: DataFrame, groups: DataFrame, candidates: DataFrame, jaccard: float, shingle: int, most: int = GROUP_SHINGLES) -> DataFrame:
+def verified_links(held: DataFrame, row: str, groups: DataFrame, candidates: DataFrame, similarity: float, shingle: int, most: int = GROUP_SHINGLES) -> DataFrame:
     """(a, b): links of the stated similarity that span the components of all such pairs within each candidate component.
 
-    held: the documents, numbered; groups: node, size and first row of each distinct shingle set; candidates: (node, root).
+    held: the documents, numbered in the column ``row``; groups: node, size and first place of each distinct shingle set; candidates: (node, root).
     """
-    members = runtime.materialize(candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "size", F.col("first.row").alias(ROW)), "node"), "members")
-    # Few components are larger than a group may be.
+    members = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "size", F.col("first.row").alias("at")), "node")
+    members = runtime.materialize(members, "members")
     large = members.groupBy("root").agg(F.sum("size").alias("size")).where(F.col("size") > most)
     large = large.select("root", F.ceil(F.lit(2.0) * F.col("size") / most).cast("bigint").alias("blocks"))
-    dealt = members.join(F.broadcast(large), "root", "left").select(ROW, "node", F.col("root").alias("key"), F.coalesce("blocks", F.lit(1).cast("bigint")).alias("blocks"))
-    sets = held.select(ROW, "text").join(dealt, ROW).mapInArrow(_with_sets(shingle), "key bigint, node bigint, blocks bigint, hashes binary")
+    dealt = members.join(large, "root", "left").select("at", "node", F.col("root").alias("key"), F.coalesce("blocks", F.lit(1).cast("bigint")).alias("blocks"))
+    texts = held.select(F.col(row).alias("at"), "text")
+    sets = texts.join(dealt, "at").mapInArrow(_with_sets(shingle), "key bigint, node bigint, blocks bigint, hashes binary")
     sets = in_block_pairs(sets, "key", "blocks").select("key", "node", "hashes")
-    return sets.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(jaccard), _EDGES)
+    return sets.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(similarity), _EDGES)
+
+
+def planned(groups: DataFrame, similarity: float) -> Plan:
+    """The plan for the distinct fingerprints ``groups`` (node, print), from a bounded sample of them."""
+    total = groups.count()
+    u = hf.uniform(F.col("node"))
+    sample = groups.where(u < PLAN_SAMPLE / max(total, 1)).orderBy(u, "node").limit(PLAN_SAMPLE).select("print").collect()
+    own = np.array([np.frombuffer(r["print"], dtype=np.uint64) for r in sample], dtype=np.uint64).reshape(-1, PRINT_WORDS + ORDERS)
+    return plan(np.ascontiguousarray(own[:, :PRINT_WORDS]), own[:, PRINT_WORDS:], total, similarity)
 
 
-def components(held: DataFrame, found: DataFrame, p: Plan, jaccard: float, shingle: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def components(held: DataFrame, row: str, found: DataFrame, similarity: float, shingle: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(node, first): for each distinct shingle set of ``found`` (node, size, print, place) the first place of its component."""
     groups = runtime.materialize(found.groupBy("node").agg(F.min("place").alias("first"), F.min("size").alias("size"), F.min("print").alias("print")), "prints")
-    candidates = connected_components(links(groups, p, bucket_rows))
-    roots = connected_components(verified_links(held, groups, candidates, jaccard, shingle))
+    candidates = connected_components(links(groups, planned(groups, similarity), bucket_rows))
+    roots = connected_components(verified_links(held, row, groups, candidates, similarity, shingle))
     # The members of a large component are dealt out in turns; a component of one has one turn.
     turn = F.when(F.col("root").isNotNull(), F.pmod("node", F.lit(TURNS))).otherwise(F.lit(0)).cast("int")
     rooted = groups.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"), turn.alias("turn"))
@@ -349,15 +462,15 @@ def components(held: DataFrame, found: DataFrame, p: Plan, jaccard: float, shing
     return rooted.select("node", "root", "turn").join(named, ["root", "turn"]).select("node", "first")
 
 
-def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs`` without those that another row of their component stands for."""
     spark = docs.sparkSession
     runtime.ship_package(spark)
-    p = plan(docs.count(), jaccard)
-    held = runtime.materialize(_with_prints(docs, shingle, p.words).withColumn(ROW, F.monotonically_increasing_id()), "near")
+    row, node, size, print_ = (runtime.spare_name(docs, n) for n in ("near_row", "near_node", "near_size", "near_print"))
+    held = runtime.materialize(_with_prints(docs, shingle, node, size, print_).withColumn(row, F.monotonically_increasing_id()), "near")
     # Null ids come last: a false orders before a true.
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
-    found = held.select(F.col(_NODE).alias("node"), F.col(_SIZE).alias("size"), F.col(_PRINT).alias("print"), place.alias("place"), ROW)
-    placed = found.select("node", "place", ROW).join(components(held, found, p, jaccard, shingle, bucket_rows), "node")
-    gone = placed.where(F.col("place.row") != F.col("first.row")).select(ROW)
-    return held.join(gone, ROW, "left_anti").select(*docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    found = held.select(F.col(node).alias("node"), F.col(size).alias("size"), F.col(print_).alias("print"), place.alias("place"))
+    placed = found.select("node", "place").join(components(held, row, found, similarity, shingle, bucket_rows), "node")
+    gone = placed.where(F.col("place.row") != F.col("first.row")).select(F.col("place.row").alias(row))
+    return held.join(gone, row, "left_anti").select(*docs.columns)

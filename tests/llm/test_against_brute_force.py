@@ -148,10 +148,10 @@ def test_gradients():
         assert (up - down) / (2 * step) == pytest.approx(grad[at], rel=1e-3)
 
 
-def spelling(pairs=None, net=None):
+def spelling(pairs=None, net=None, voc=None):
     """A scorer over 300 subwords, of which every third begins a word."""
     net = net or attention.new_network()
-    voc = attention.vocabulary(np.append(np.arange(300, 0, -1.0), 20), np.arange(300) % 3 == 0)
+    voc = voc or attention.vocabulary(np.append(np.arange(300, 0, -1.0), 20), np.arange(300) % 3 == 0)
     none = attention.Pairs(np.zeros((attention.ROWS, attention.CLASSES), dtype=np.float32), np.zeros(attention.ROWS, dtype=np.float32))
     return attention.Scorer(net, voc, pairs or none)
 
@@ -183,8 +183,7 @@ def test_words_sum_to_one():
         held[voc.kind == k] /= max(held[voc.kind == k].sum(), 1e-30)
     voc.log_share = np.log10(np.maximum(held, 1e-30)).astype(np.float32)
     voc.begins = np.bincount(voc.kind, weights=np.where(np.append(np.arange(300) % 3 == 0, True), held, 0), minlength=attention.CLASSES).astype(np.float32)
-    scorer = spelling()
-    scorer.voc = voc
+    scorer = spelling(voc=voc)
     # Classes without a subword get no probability in this corpus.
     scorer.out_bias = np.where(np.isin(np.arange(attention.CLASSES), voc.kind[counts > 0]), 0, -30).astype(np.float32)
     total = 0.0

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinfold.llm import mixing, simhash_wide
+from kinfold.operators.components import union_find
 
 
 def planted(rng):
@@ -73,22 +74,46 @@ def test_one_of_each_group_stays(spark):
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
-def test_plans_follow_the_size():
-    for texts in (0, 1, 1000, 10**6, 10**10):
-        p = simhash_wide.plan(texts, 0.8)
-        agree = 1 - simhash_wide.differing_share(0.8)
-        assert 1 - (1 - agree**p.width) ** p.count >= simhash_wide.RECALL and p.words * 64 >= p.width * p.count
+def prints_of(rng, n):
+    """Fingerprints and least shingles of ``n`` unrelated texts."""
+    return [rng.integers(0, 2**64, (n, k), dtype=np.uint64) for k in (simhash_wide.PRINT_WORDS, simhash_wide.ORDERS)]
+
+
+def test_plans_are_alike_at_any_size():
+    rng = np.random.default_rng(2)
+    prints, least = prints_of(rng, 1000)
+    # A third of the texts share a least shingle and half of their bits: a template.
+    least[::3] = least[0]
+    prints[::3, :4] = prints[0, :4]
+    for texts in (0, 1, 10**4, 10**6, 10**9, 10**11):
+        p = simhash_wide.plan(prints, least, texts, 0.8)
+        assert p.most == simhash_wide.plan(prints, least, 100, 0.8).most
+        # 48 bytes a row: key, node and filter.
+        assert p.rows * 48 <= 4096, texts
+        apart = round(simhash_wide.BITS * simhash_wide.differing_share(0.8))
+        missed = np.prod([1 - simhash_wide.meeting(0.8, len(bits), apart, t) for bits, t, _ in p.groups])
+        assert missed <= 1 - simhash_wide.RECALL
+    # The partitions of the template's bits bring unrelated texts together and cost more, so they are left out.
+    used = {b for bits, _, _ in simhash_wide.plan(prints, least, 10**9, 0.8).groups for b in bits}
+    assert sum(b < 256 for b in used) < sum(b >= 256 for b in used)
 
 
 def test_all_members_of_a_crowded_bucket_are_compared(spark):
-    p, rng = simhash_wide.plan(70_000, 0.8), np.random.default_rng(5)
-    bits = rng.integers(0, 2, (2000, 64 * p.words), dtype=np.uint8)
-    # One value of the first partition; the pairs among the last 20 rows share no other partition.
-    bits[:, : p.width] = 0
+    rng = np.random.default_rng(5)
+    prints, least = prints_of(rng, 2000)
+    p = simhash_wide.plan(prints, least, 70_000, 0.8)
+    # All share the least shingle and the bits of the first partition: one crowded bucket of unrelated texts. Among the last 20 are pairs that differ a little,
+    # each in all other partitions, so they meet in this bucket only.
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+    for group, _, _ in p.groups[1:]:
+        assert not set(group) & set(p.groups[0][0])
+    bits[:, list(p.groups[0][0])] = 0
+    least[:, p.groups[0][2]] = 7
     bits[1981::2] = bits[1980::2]
-    bits[1981::2, p.width : p.width * p.count : p.width] ^= 1
-    prints = np.packbits(bits, axis=1, bitorder="little")
-    rows = spark.createDataFrame([(i, bytes(x)) for i, x in enumerate(prints)], "node bigint, print binary")
+    for group, _, _ in p.groups[1:]:
+        bits[1981::2, group[0]] ^= 1
+    both = np.concatenate([np.packbits(bits, axis=1, bitorder="little").view(np.uint64), least], axis=1)
+    rows = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(both)], "node bigint, print binary")
     found = {(min(r), max(r)) for r in simhash_wide.links(rows, p, bucket_rows=256).collect()}
     assert found == {(i, i + 1) for i in range(1980, 2000, 2)}
 
@@ -102,10 +127,14 @@ def test_a_repeated_line_does_not_link(spark):
     assert simhash_wide.keep_one(docs).count() == 20
 
 
+def cosine(a, b):
+    return len(a & b) / max(len(a) * len(b), 1) ** 0.5
+
+
 def test_links_have_the_stated_similarity(spark):
     rng, pairs = random.Random(13), []
-    # Tail changed: 200 shingles of which 22 (Jaccard 0.802) or 25 (0.778) are others.
-    for n in [22] * 10 + [25] * 10:
+    # Tail changed: 200 shingles of which 40 (cosine 0.8) or 41 (0.795) are others.
+    for n in [40] * 10 + [41] * 10:
         base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
         pairs += [" ".join(base), " ".join(base[: 204 - n] + [f"x{rng.randrange(10**6)}" for _ in range(n)])]
     docs = spark.createDataFrame(list(enumerate(pairs)), "doc_id bigint, text string")
@@ -113,8 +142,26 @@ def test_links_have_the_stated_similarity(spark):
     assert set(range(20, 40)) <= kept
     sets = [simhash_wide.shingle_set(t.encode(), 5) for t in pairs]
     sizes = np.array([len(x) for x in sets])
-    spans = simhash_wide.jaccard_forest(np.arange(40), np.concatenate(sets), sizes, 0.8)
+    spans = simhash_wide.similar_forest(np.arange(40), np.concatenate(sets), sizes, 0.8)
     assert sorted(zip(*spans, strict=True)) == [(i, i + 1) for i in range(0, 20, 2)]
+    assert simhash_wide.similar_forest(np.arange(2), sets[0], np.array([len(sets[0]), 0]), 0.8) == ([], [])
+
+
+def test_against_all_pairs(spark):
+    """On the table of sf0.01: no pair at the similarity keeps both texts apart, and no text goes without a partner that is alike."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    sets = {i: set(simhash_wide.shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    holders: dict[int, list[int]] = {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    meets = {(a, b) for group in holders.values() for a in group for b in group if a < b}
+    links = [(a, b) for a, b in meets if cosine(sets[a], sets[b]) >= 0.8] + [(a, b) for a in sets for b in sets if a < b and not sets[a] and not sets[b]]
+    roots = union_find(links)
+    wanted = {i for i in sets if roots.get(i, i) == i}
+    kept = {r["doc_id"] for r in simhash_wide.keep_one(docs).collect()}
+    assert wanted <= kept and len(kept - wanted) <= 0.01 * len(roots)
 
 
 def test_large_candidate_components_are_compared_in_blocks(spark):
@@ -123,27 +170,28 @@ def test_large_candidate_components_are_compared_in_blocks(spark):
     texts = []
     for _ in range(40):
         own = base[:110] + [f"x{rng.randrange(10**6)}" for _ in range(40)]
-        texts += [" ".join(own), " ".join(own[:-1] + ["other"])]
-    held = spark.createDataFrame([(t, i, *_set(t)) for i, t in enumerate(texts)], "text string, _near_row bigint, node bigint, size bigint")
-    groups = held.select("node", "size", F.struct(F.col("_near_row").alias("row")).alias("first"))
+        texts += [" ".join(own), " ".join(own[:-1] + ["other"])]  # the pairs share three quarters of their words with all others
+    held = spark.createDataFrame([(t, i, *_set(t)) for i, t in enumerate(texts)], "text string, place bigint, node bigint, size bigint")
+    groups = held.select("node", "size", F.struct(F.col("place").alias("row")).alias("first"))
     nodes = [_set(t)[0] for t in texts]
     candidates = spark.createDataFrame([(n, nodes[0]) for n in nodes[1:]], "node bigint, root bigint")
     for most in (1 << 19, 1000):
-        got = {frozenset((r["a"], r["b"])) for r in simhash_wide.verified_links(held, groups, candidates, 0.8, 5, most).collect()}
+        got = {frozenset((r["a"], r["b"])) for r in simhash_wide.verified_links(held, "place", groups, candidates, 0.8, 5, most).collect()}
         assert got == {frozenset(nodes[i : i + 2]) for i in range(0, 80, 2)}
 
 
 def test_recall_at_the_stated_similarity():
-    rng, plans = np.random.default_rng(19), [simhash_wide.plan(n, 0.8) for n in (10**5, 10**7)]
-    assert plans[0].most == plans[1].most
-    for size, shared in ((9, 8), (45, 40), (180, 160)):
+    rng = np.random.default_rng(19)
+    p = simhash_wide.plan(*prints_of(rng, 1000), 10**6, 0.8)
+    for size, other, shared in ((5, 5, 4), (45, 45, 36), (180, 180, 144), (100, 64, 64)):
         found = 0
         for _ in range(400):
-            every = rng.integers(0, 2**63, 2 * size - shared).astype(np.uint64)
-            a, b = (simhash_wide.fingerprint(np.sort(x), plans[0].words) for x in (every[:size], every[size - shared :]))
-            values = simhash_wide.partition_values(np.stack([a, b]), plans[0])
-            found += (values[0] == values[1]).any() and np.bitwise_count(a ^ b)[: simhash_wide.FILTER_WORDS].sum() <= plans[0].most
-        assert found >= 388
+            every = rng.integers(0, 2**64, size + other - shared, dtype=np.uint64)
+            a, b = (np.sort(x) for x in (every[:size], every[size - shared :]))
+            both = np.stack([np.concatenate([simhash_wide.fingerprint(x), simhash_wide.least_shingles(x)]) for x in (a, b)])
+            keys = simhash_wide.partition_keys(both, p)
+            found += bool(set(keys[0].tolist()) & set(keys[1].tolist())) and np.bitwise_count(both[0] ^ both[1])[: simhash_wide.FILTER_WORDS].sum() <= p.most
+        assert found >= 0.975 * 400, (size, other, shared, found)
 
 
 def test_the_last_stage_follows_the_schedule(spark):
