@@ -1,4 +1,4 @@
-"""Places in a total order of a whole table, without sorting it in one task."""
+"""Places and running sums in a total order of a whole table, without sorting it in one task."""
 
 from __future__ import annotations
 
@@ -10,16 +10,37 @@ from kinfold import runtime
 _OFFSET_BITS = 33
 
 
-def ranked(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
-    """``rows`` with their place in the order, from 0; the order should be total.
+def _ranges(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` sorted within ranges, with the range (_part) and the place in it (_at).
 
-    Rows are sorted within ranges and the sizes of earlier ranges added up. The ranges come from samples and may differ
-    from run to run, so the numbered rows are written once and both uses read the same.
+    The ranges come from samples and may differ from run to run, so the numbered rows are written once and all uses read the same.
     """
     held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mono", F.monotonically_increasing_id())
-    held = runtime.materialize(held.withColumn("_part", F.shiftright("_mono", _OFFSET_BITS)), "ranked")
-    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    # One row for each range: bounded by the number of partitions.
-    placed = held.join(F.broadcast(before), "_part")
-    return placed.withColumn(name, F.col("_before") + F.col("_mono").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))).drop("_mono", "_part", "_before")
+    numbered = held.withColumns({"_part": F.shiftright("_mono", _OFFSET_BITS), "_at": F.col("_mono").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))})
+    return runtime.materialize(numbered.drop("_mono"), "ranked")
+
+
+def _before(sums: DataFrame, *names: str) -> DataFrame:
+    """Of each range, the sums over all ranges before it. One row for each range: bounded by the number of partitions."""
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(sums.select("_part", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in names)))
+
+
+def ranked(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """``rows`` with their place in the order, from 0; the order should be total."""
+    held = _ranges(rows, *order)
+    sizes = held.groupBy("_part").agg(F.count("*").alias("n"))
+    return held.join(_before(sizes, "n"), "_part").withColumn(name, F.col("_before_n") + F.col("_at")).drop("_part", "_at", "_before_n")
+
+
+def running_sums(rows: DataFrame, *order: Column | str, **sums: Column) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` over all rows before, 0 for the first, under its name; the order should be total.
+
+    Each range is summed up by itself, and the ranges' own sums are added beforehand.
+    """
+    held = _ranges(rows.withColumns({f"_own_{n}": c for n, c in sums.items()}), *order)
+    totals = held.groupBy("_part").agg(*(F.sum(f"_own_{n}").alias(n) for n in sums))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    within = held.withColumns({f"_in_{n}": F.coalesce(F.sum(f"_own_{n}").over(inside), F.lit(0)) for n in sums})
+    placed = within.join(_before(totals, *sums), "_part").withColumns({n: F.col(f"_before_{n}") + F.col(f"_in_{n}") for n in sums})
+    return placed.drop("_part", "_at", *(f"{p}_{n}" for n in sums for p in ("_own", "_in", "_before")))

@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes of rows that a task sends to Python at once, unless the session says otherwise: long texts make batches of few rows.
+_BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _shipped: set[str] = set()
 _scopes: list[list[str]] = []
 _local_dirs: dict[str, str] = {}
@@ -89,8 +91,10 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Put this package on the executors' path, once for each application."""
+    """Put this package on the executors' path, once for each application, and bound the batches that its functions get."""
     context = spark.sparkContext
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
