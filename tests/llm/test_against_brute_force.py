@@ -225,18 +225,18 @@ def test_mixed_probabilities_sum_to_one():
 
 def test_parts_of_a_words_probability(texts, spark):
     """Against counts by hand: shares of the corpus, of the text so far, and of what followed the word before."""
-    rows = [(1, "b a b a c"), (2, ""), (3, "a a a"), (4, "b a"), (10, "a b c a b")]
+    rows = [(1, "b a b a c"), (2, ""), (3, "a a a"), (4, "b a"), (10, "a b c a b"), (11, " ".join("defghijklmnopqrstuvwxyz" * 2))]
     held = {10}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     with open(language_model.TOKENIZER, "rb") as file:
         model = file.read()
     data, offsets = tb.column_bytes(docs.toArrow().column("text").combine_chunks())
     ids = np.array([r[0] for r in rows])
-    block = language_model.unpack(language_model.block_of(data, offsets, ids, np.ones(5, dtype=np.int8), np.isin(ids, list(held)), language_model.tokenizer(model)))
+    block = language_model.unpack(language_model.block_of(data, offsets, ids, np.ones(6, dtype=np.int8), np.isin(ids, list(held)), language_model.tokenizer(model)))
     counts = Counter(w for i, t in rows if i not in held for w in t.split())
-    total = sum(counts.values()) + 4
+    total = sum(counts.values()) + 5
     order = np.argsort(block["hashes"])
-    corpus = language_model.Corpus(total, len(counts) + 1, 4, block["hashes"][order], block["train"][order].astype(np.int64))
+    corpus = language_model.Corpus(total, len(counts) + 1, 5, block["hashes"][order], block["train"][order].astype(np.int64))
     size = language_model.tokenizer(model).get_piece_size()
     voc = attention.vocabulary(np.ones(size + 1), np.array([language_model.tokenizer(model).id_to_piece(i).startswith("\u2581") for i in range(size)]))
     none = attention.Pairs(np.zeros((attention.ROWS, attention.CLASSES), dtype=np.float32), np.zeros(attention.ROWS, dtype=np.float32))
@@ -246,7 +246,13 @@ def test_parts_of_a_words_probability(texts, spark):
 
     import pyarrow as pa
 
-    nothing = pa.table({"bucket": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
+    line = language_model.line_of(block)
+    keys, at, _ = language_model.rare_keys(block, line, corpus.frequent)
+    learned = (line.pair >= 0) & (block["held"] == 0)[line.text]
+    sent = np.bincount(line.pair[learned], minlength=len(line.pairs)).astype(np.int64)
+    assert len(keys) == len(line.pairs) and (np.diff(keys.astype(np.float64)) >= 0).all() and len(sent)
+    nothing = pa.table({"bucket": [0], "counts": [sent[at - len(block["hashes"])].tobytes()]})
+    bigrams = Counter(x for i, t in rows if i not in held for x in zip(t.split(), [*t.split()[1:], None]))
     for leave_out in (False, True):
         found = language_model.places(block, nothing, Held, leave_out)
         at = 0
@@ -254,18 +260,23 @@ def test_parts_of_a_words_probability(texts, spark):
             before: list[str] = []
             for word in [*t.split(), None]:
                 less = int(leave_out and i not in held)
-                c = counts[word] if word else 4
+                c = counts[word] if word else 5
                 follows = [b for a, b in zip(before, before[1:]) if before and a == before[-1]]
                 want = max(c - less, 0) / (total - less), before.count(word) / max(len(before), 1), follows.count(word) / max(len(follows), 1)
                 assert tuple(found.parts[[0, 2, 3], at]) == pytest.approx(want), (i, before, word)
+                if before and line.pair[at] >= 0:
+                    assert found.parts[4, at] == pytest.approx(max(bigrams[before[-1], word] - less, 0) / max(counts[before[-1]] - less, 1))
+                else:
+                    assert found.parts[4, at] == 0
                 assert found.text[at] == n and found.own[at] == c
                 at += 1
                 before.append(word)
         assert at == len(found.own)
 
 
-def test_the_model_beats_the_word_counts_on_held_out_texts(found):
-    rows = [r for r in found("op4_language_model", "/root/testdata/sf0.1") if r["held_out"]]
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_the_model_beats_the_word_counts_on_held_out_texts(found, size):
+    rows = [r for r in found("op4_language_model", f"/root/testdata/{size}") if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
