@@ -8,8 +8,9 @@ the mix. Slots are ranked within their source; ranks beyond the source's quota d
 the points leave short follow at the end. The documents of a source, shuffled by a hash of their ids, are
 one stream of words, read twice over at most and cut into blocks of equal length; slot rank r takes block r.
 
-Nothing unbounded meets in one task: running sums and ranks are taken in bounded groups (by leading
-digits of the hash, by ranges of slot numbers) and the sums of these groups are added up beforehand.
+Nothing unbounded meets in one task, whatever the number of sources and however often an id occurs: running sums and ranks are
+taken in ranges of the order and of slot numbers, and the sums of these ranges are added up beforehand. Rows are
+numbered, so even rows that are equal in all columns can be dealt to several ranges.
 
 Defined results: null and blank texts have size 0 and are taken 0 times. Repeated rows are separate parts of the
 stream. Ties of the hash are ordered by id and size. Empty tables give empty results. Other columns are not read.
@@ -21,23 +22,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold import runtime
+from kinfold.llm import hashed_features as hf
+from kinfold.operators.ranking import ranked, running_sums
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_PASSES = 1.5, 2
 #: The golden ratio less one.
 GOLDEN = 0.6180339887498949
-#: A block is the larger of these: a number of words, and the total divided by a power of two.
-LEAST_BLOCK, BLOCK_SHIFT = 16, 20
+#: Words of a block, at any size of the corpus.
+BLOCK_WORDS = 1024
 #: Rows that one running sum or ranking may take in.
 GROUP_ROWS = 32768
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, source and size for each row, and the columns ``more``."""
-    return docs.select("doc_id", *more, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+def sizes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source and size of each row with its number: that of the column ``row``, or a new one, which holds once the table is written."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return hf.whole_ids(docs).select("doc_id", number.alias(ROW), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def _weight(place: Column) -> Column:
@@ -54,29 +58,26 @@ def targets(sized: DataFrame) -> DataFrame:
     first one that stays below its cap when all before it are at theirs fixes the level of all that follow.
     """
     own = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    placed = own.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    placed = ranked(own, F.col("source").asc_nulls_last())
     placed = placed.withColumn("weight", _weight(F.col("place"))).withColumn("cap", (MOST_PASSES * F.col("source_size")).cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    budget = F.lit(SHARE) * F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    leveled = placed.withColumn("level", level)
-    free = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("place"), F.col("level").alias("level")))
-    leveled = leveled.withColumn("at", F.min(free).over(Window.partitionBy(F.lit(0)))["level"])
-    target = F.least(F.col("cap"), F.col("weight") * F.col("at"))
-    return leveled.select("source", "place", "source_size", target.alias("target"), F.least(F.floor(target + 0.5), MOST_PASSES * F.col("source_size")).alias("take"))
-
-
-def block_words(total: int) -> int:
-    return max(LEAST_BLOCK, total >> BLOCK_SHIFT)
-
-
-def schedule(goals: DataFrame, block: int) -> DataFrame:
+    ordered = placed.withColumn("ratio", F.col("cap") / F.col("weight"))
+    ordered = running_sums(ordered, "ratio", "place", caps=F.col("cap"), weights=F.col("weight"))
+    totals = placed.agg((F.lit(SHARE) * F.sum("source_size")).alias("budget"), F.sum("weight").alias("all_weights"))
+    leveled = ordered.crossJoin(totals).withColumn("level", (F.col("budget") - F.col("caps")) / (F.col("all_weights") - F.col("weights")))
+    # One row: the first source, in the order of their ratios, that stays below its cap.
+    fixed = leveled.where("level <= ratio").agg(F.min_by("level", F.struct("ratio", "place")).alias("fixed"))
+    target = F.least(F.col("cap"), F.col("weight") * F.col("fixed"))
+    found = leveled.crossJoin(fixed).withColumn("target", target)
+    offsets = running_sums(placed.select("place", "source_size"), "place", offset=F.col("source_size")).select("place", "offset")
+    take = F.least(F.floor(F.col("target") + 0.5), MOST_PASSES * F.col("source_size"))
+    return found.join(offsets, "place").select("source", "place", "source_size", "offset", "target", take.alias("take"))
+
+
+def schedule(goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """position, place and rank of every slot of the mix; rank is that of the block it takes from its source."""
     spark = goals.sparkSession
     quota = goals.select("place", F.ceil(F.col("take") / F.lit(float(block))).alias("quota")).where("quota > 0")
-    up_to = F.sum("quota").over(Window.orderBy("place"))
-    bounds = quota.select("place", "quota", (up_to - F.col("quota")).alias("lo"), up_to.alias("hi"))
+    bounds = running_sums(quota, "place", lo=F.col("quota")).withColumn("hi", F.col("lo") + F.col("quota"))
     row = bounds.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
     n, cells = int(row["n"]), 4 * max(int(row["k"]), 1)
     # A source covers few cells of the unit interval; a slot looks in its own cell only.
@@ -89,36 +90,28 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     counts = hit.groupBy("place", "part").agg(F.count("*").alias("c"))
     earlier = counts.withColumn("before", F.sum("c").over(Window.partitionBy("place").orderBy("part")) - F.col("c"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("place", "part").orderBy("id")) - 1
-    ranked = hit.join(earlier.select("place", "part", "before"), ["place", "part"]).withColumn("rank", rank)
-    kept = ranked.join(quota, "place").where("rank < quota").select(F.col("id").alias("position"), "place", "rank")
+    numbered = hit.join(earlier.select("place", "part", "before"), ["place", "part"]).withColumn("rank", rank)
+    kept = numbered.join(quota, "place").where("rank < quota").select(F.col("id").alias("position"), "place", "rank")
     had = quota.join(counts.groupBy("place").agg(F.sum("c").alias("had")), "place", "left").withColumn("had", F.coalesce("had", F.lit(0)))
     short = had.where("had < quota").withColumn("rank", F.explode(F.sequence(F.col("had"), F.col("quota") - 1)))
     return kept.union(short.select((F.lit(n) + F.col("rank")).alias("position"), "place", "rank"))
 
 
-def streams(sized: DataFrame, *more: str) -> DataFrame:
-    """``sized`` with the place of each document's first word in the shuffled stream of its source."""
-    most = sized.groupBy("source").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    digits = 0
-    while GROUP_ROWS * 16**digits < 4 * int(most) and digits < 12:
-        digits += 1
-    hashed = sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("part", F.substring("h", 1, digits))
-    sums = hashed.groupBy("source", "part").agg(F.sum("size").alias("s"))
-    earlier = sums.select(F.col("source").alias("of"), F.col("part").alias("of_part"), (F.sum("s").over(Window.partitionBy("source").orderBy("part")) - F.col("s")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = hashed.withColumn("inside", inside).join(earlier, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
-    return placed.select("doc_id", *more, "source", "size", (F.col("before") + F.col("inside")).alias("start"))
+def streams(sized: DataFrame, goals: DataFrame) -> DataFrame:
+    """``sized`` (with a number for each row) with the place of each document's first word in the shuffled stream of its source, and its source's goals."""
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    laid = running_sums(sized.withColumn("h", h), F.col("source").asc_nulls_last(), "h", "doc_id", "size", ROW, start=F.col("size"))
+    named = goals.withColumnRenamed("source", "of")
+    joined = laid.join(named, F.col("source").eqNullSafe(F.col("of")))
+    return joined.withColumn("start", F.col("start") - F.col("offset")).drop("of", "h", "offset")
 
 
-def mix(sized: DataFrame, goals: DataFrame, *more: str) -> DataFrame:
-    """The mix: position of the slot, doc_id, source, start, size, first word and number of words taken there.
+def mix(sized: DataFrame, goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix: position of the slot, row number, doc_id, source, start, size, first word and number of words taken there.
 
     A document that no slot takes has one row with a null position and no words.
     """
-    total = int(goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
-    block = block_words(total)
-    named = goals.select(F.col("source").alias("of"), "place", "source_size", "target", "take")
-    laid = streams(sized, *more).join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    laid = streams(sized, goals)
     read = laid.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1)))).withColumn("from", F.col("start") + F.col("pass") * F.col("source_size"))
     # The first reading stays for documents that nothing takes.
     read = read.where("pass = 0 OR (from < take AND size > 0)")
@@ -128,10 +121,11 @@ def mix(sized: DataFrame, goals: DataFrame, *more: str) -> DataFrame:
     hi = F.least(F.col("from") + F.col("size"), (F.col("rank") + 1) * block, F.col("take"))
     words = F.when(F.col("position").isNotNull() & (hi > lo), hi - lo).otherwise(F.lit(0))
     joined = cut.join(schedule(goals, block), ["place", "rank"], "left")
-    return joined.select("position", "doc_id", *more, "source", "source_size", "target", "start", "size", (lo - F.col("from")).alias("first_word"), words.alias("words"))
+    return joined.select("position", ROW, "doc_id", "source", "source_size", "target", "start", "size", (lo - F.col("from")).alias("first_word"), words.alias("words"))
 
 
-_ROW = "_mix_row"
+#: The number of a row.
+ROW = "_mix_row"
 
 
 def with_taken(docs: DataFrame) -> DataFrame:
@@ -140,25 +134,23 @@ def with_taken(docs: DataFrame) -> DataFrame:
     Columns of these names are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "taken", "position")
-    numbered = runtime.materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
-    found = _taken(sizes(numbered, _ROW), _ROW)
-    return numbered.join(found.select(_ROW, "size", "source_size", "target", "taken", "position"), _ROW).drop(_ROW)
+    row = runtime.spare_name(docs, "mix_number")
+    numbered = runtime.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _taken(sizes(numbered, row)).withColumnRenamed(ROW, row)
+    return numbered.join(found.select(row, "size", "source_size", "target", "taken", "position"), row).drop(row)
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for each row of ``docs``."""
-    return _taken(sizes(docs)).drop("position")
+    return _taken(sizes(docs)).drop("position", ROW)
 
 
-def _taken(sized: DataFrame, *more: str) -> DataFrame:
+def _taken(sized: DataFrame) -> DataFrame:
     sized = runtime.materialize(sized, "sizes")
     goals = runtime.materialize(targets(sized), "targets")
-    # The place in its stream tells equal rows with words apart; rows without words are added as they are.
-    empty = sized.where("size = 0").join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    empty = empty.select("doc_id", *more, "source", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("position"))
-    parts = mix(sized, goals, *more).where("size > 0")
-    full = parts.groupBy("doc_id", *more, "source", "start", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("position"))).alias("position"))
-    return full.select("doc_id", *more, "source", "size", "source_size", "target", "taken", "position").union(empty)
+    parts = mix(sized, goals)
+    first = F.min(F.when(F.col("words") > 0, F.col("position"))).alias("position")
+    return parts.groupBy(ROW, "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"), first)
 
 
 #: The same result in SQL, from the length that the mix takes of each source's stream.
