@@ -1,15 +1,20 @@
 """Operator 8, WARC: a Python data source that writes and reads web archives, and the revisit rule on top of it.
 
-Writing: each task writes whole files of at most ``roll_bytes`` under names of its own, and the driver commits
-their names in one manifest when all tasks are done. Files of lost or repeated attempts are in no manifest
-and are never read. Reading: files are packed into partitions of bounded size; the headers of a record are
+Writing: each task writes whole files of at most ``roll_bytes`` under names of its own, each with a warcinfo record
+first, and the driver commits their names in one numbered manifest when all tasks are done. Files of lost, failed or
+repeated attempts are in no manifest and are never read. A write in mode overwrite says so in its manifest, from which on
+earlier ones don't count; their files are deleted afterwards. ``compression`` gzip makes each record a gzip member of its own.
+Reading: files are packed into partitions of bounded size; the headers of a record are
 parsed first, and a record that fails a pushed filter on its type or a header is skipped by its stated
-length, without reading, decoding or digesting its payload. ``payload`` says what happens to the others:
-``decode`` returns it, ``verify`` decodes it and compares length and digest with the headers, ``skip`` leaves
-it alone. A file is read by one task, since a record's text may look like the start of another.
+length, without reading, decoding or digesting its payload (in a compressed file it is inflated and thrown away). ``payload``
+says what happens to the others: ``decode`` returns it, ``verify`` decodes it and compares length and digest with the headers, ``skip``
+leaves it alone. A file is read by one task, since a record's text may look like the start of another. A folder without
+a manifest is an error, as its write may not have ended; the option ``foreign`` reads archives of other writers,
+all ``.warc`` and ``.warc.gz`` files in a folder.
 
 A payload is the body of an HTTP response, gzip-coded where that is shorter. Digest and length in the headers are
-those of the full payload before coding. Paths are URIs of any store that pyarrow knows.
+those of the full payload before coding; where a foreign record states no length, that of the decoded payload is given.
+Paths are URIs of any store that pyarrow knows.
 
 Defined results: a null text has an empty payload; equal payloads, empty ones included, are one response and
 revisits from ``least_bytes`` on. Rows that repeat the largest page_id of their payload are all responses. A null
@@ -42,10 +47,12 @@ from pyspark.sql.datasource import (
     IsNotNull,
     LessThan,
     LessThanOrEqual,
+    Not,
     WriterCommitMessage,
 )
 
 from kinfold import runtime
+from kinfold.llm import hashed_features as hf
 
 FORMAT = "kinfold_warc"
 VERSION = b"WARC/1.1"
@@ -93,6 +100,13 @@ def record_bytes(kind: str, record_id: str, refers_to: str | None, uri: str | No
     return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in fields)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info_bytes(name: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: kinfold\r\nformat: WARC File Format 1.1\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in fields)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def read_headers(file) -> dict[str, str] | None:
     """The headers of the record that starts here, with lower-case names; None at the end of the file."""
     line = file.readline()
@@ -142,7 +156,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcSource(DataSource):
-    """Options: ``path``, ``payload`` (decode, verify, skip), ``partition_bytes`` and ``roll_bytes``."""
+    """Options: ``path``, ``payload`` (decode, verify, skip), ``foreign`` (true, false), ``partition_bytes``, ``roll_bytes`` and ``compression`` (none, gzip)."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,13 +169,14 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options), [f.name for f in schema.fields])
+        return WarcWriter(dict(self.options), overwrite)
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.payload = options["path"], options.get("payload", "decode")
         self.partition_bytes = int(options.get("partition_bytes", 64 << 20))
+        self.foreign = options.get("foreign", "false").lower() == "true"
         if self.payload not in ("decode", "verify", "skip"):
             raise ValueError("payload must be decode, verify or skip")
         self.tests: list[tuple[str, str, object]] = []
@@ -175,25 +190,24 @@ class WarcReader(DataSourceReader):
                 self.tests.append((column, "in", tuple(f.value)))
             elif column in HEADERS and len(f.attribute) == 1 and isinstance(f, IsNotNull):
                 self.tests.append((column, "known", None))
+            elif isinstance(f, Not) and isinstance(f.child, EqualTo) and len(f.child.attribute) == 1 and f.child.attribute[0] in HEADERS:
+                self.tests.append((f.child.attribute[0], "__ne__", f.child.value))
             else:
                 yield f
 
     def files(self) -> list[tuple[str, int]]:
-        """Committed files and their sizes; of an archive that has no manifest, all files in it."""
-        from pyarrow import fs
-
+        """Committed files and their sizes; of an archive of another writer, all files in it."""
         store, path = store_of(self.path)
-        found = {f.base_name: f for f in store.get_file_info(fs.FileSelector(path, recursive=False)) if f.is_file}
-        manifests = sorted(n for n in found if n.startswith("_committed-"))
-        names = sorted(n for n in found if n.endswith(".warc"))
-        if manifests:
-            listed = set()
-            for name in manifests:
-                with store.open_input_stream(found[name].path) as file:
-                    listed.update(file.read().decode().split())
-            if missing := listed - set(names):
-                raise FileNotFoundError(f"committed files are gone: {sorted(missing)[:3]}")
-            names = sorted(listed)
+        found = listing(store, path)
+        if self.foreign:
+            names = sorted(n for n in found if n.endswith((".warc", ".warc.gz")))
+        else:
+            current = standing(store, found)
+            if current is None:
+                raise FileNotFoundError(f"{self.path} has no manifest: its write has not ended, or another writer made it (option foreign)")
+            names = sorted(current)
+            if missing := [n for n in names if n not in found]:
+                raise FileNotFoundError(f"committed files are gone: {missing[:3]}")
         return [(found[n].path, found[n].size) for n in names]
 
     def partitions(self):
@@ -220,15 +234,18 @@ class WarcReader(DataSourceReader):
             row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
             row["payload"] = None
             length = int(headers["content-length"])
-            if self.payload == "skip" or row["record_type"] == "revisit" or not self.wanted(row):
+            wanted = self.wanted(row)
+            if self.payload == "skip" or row["record_type"] == "revisit" or not wanted:
                 file.seek(file.tell() + length)
-                if not self.wanted(row):
+                if not wanted:
                     continue
             else:
                 block = file.read(length)
                 if len(block) < length:
                     raise ValueError(f"record {row['record_id']} is cut short")
                 payload = payload_of(block, row["record_type"], headers.get("content-type", ""))
+                if row["payload_length"] is None and not any(column == "payload_length" for column, _, _ in self.tests):
+                    row["payload_length"] = len(payload)
                 if self.payload == "decode":
                     row["payload"] = payload
                 elif row["payload_digest"] not in (None, base32_sha1(payload)) or row["payload_length"] not in (None, len(payload)):
@@ -240,7 +257,7 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.files if partition else ():
             with store.open_input_file(path) as raw:
-                file = _Buffered(raw)
+                file = _Buffered(_Inflated(raw) if path.endswith(".gz") else raw)
                 for row in self.records(file):
                     rows.append(row)
                     held += 200 + len(row["payload"] or b"")
@@ -251,6 +268,45 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+def listing(store, folder: str) -> dict:
+    """The files of a folder by their names."""
+    from pyarrow import fs
+
+    return {f.base_name: f for f in store.get_file_info(fs.FileSelector(folder, recursive=False, allow_not_found=True)) if f.is_file}
+
+
+_MANIFEST = "_committed-"
+
+
+def standing(store, found: dict) -> list[str] | None:
+    """The files that the manifests name, from the last one on that replaces what was before; None without a manifest."""
+    names: list[str] | None = None
+    for manifest in sorted(n for n in found if n.startswith(_MANIFEST)):
+        with store.open_input_stream(found[manifest].path) as file:
+            kind, *files = file.read().decode().split("\n")
+        names = files if kind == "replace" or names is None else names + files
+    return None if names is None else [n for n in names if n]
+
+
+class _Inflated:
+    """Reads, and jumps ahead, over the contents of a file of gzip members."""
+
+    def __init__(self, raw):
+        self.file, self.at = gzip.GzipFile(fileobj=raw), 0
+
+    def read(self, n: int) -> bytes:
+        got = self.file.read(n)
+        self.at += len(got)
+        return got
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int) -> None:
+        while self.at < to and self.read(min(1 << 20, to - self.at)):
+            pass
+
+
 class _Buffered:
     """Line reads over a file of a store, which has none."""
 
@@ -289,40 +345,69 @@ class _Buffered:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str], columns: list[str]):
-        self.path, self.columns = options["path"], columns
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
         self.roll_bytes = int(options.get("roll_bytes", 128 << 20))
+        self.compression = options.get("compression", "none")
+        if self.compression not in ("none", "gzip"):
+            raise ValueError("compression must be none or gzip")
         self.job = uuid.uuid4().hex
 
     def write(self, iterator) -> Written:
         store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
+        packed = (lambda record: gzip.compress(record, 6, mtime=0)) if self.compression == "gzip" else lambda record: record
         names, count, file, size = [], 0, None, 0
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if file is None:
-                        names.append(f"part-{self.job[:8]}-{uuid.uuid4().hex}.warc")
-                        file, size = store.open_output_stream(f"{folder}/{names[-1]}"), 0
-                    record = record_bytes(*(row[c] for c in ("record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_length", "payload")))
+                        names.append(f"part-{self.job[:8]}-{uuid.uuid4().hex}.warc" + ".gz" * (self.compression == "gzip"))
+                        file = store.open_output_stream(f"{folder}/{names[-1]}", compression=None)
+                        size = file.write(packed(info_bytes(names[-1])))
+                    record = packed(record_bytes(*(row[c] for c in ("record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_length", "payload"))))
                     file.write(record)
                     size, count = size + len(record), count + 1
                     if size >= self.roll_bytes:
                         file.close()
                         file = None
-        finally:
+        except BaseException:
             if file is not None:
                 file.close()
+            _remove(store, folder, names)
+            raise
+        if file is not None:
+            file.close()
         return Written(tuple(names), count)
 
     def commit(self, messages) -> None:
         store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/_committed-{self.job}") as file:
-            file.write("\n".join(n for m in messages if m for n in m.files).encode())
+        before = listing(store, folder)
+        number = 1 + max([int(n.split("-")[1]) for n in before if n.startswith(_MANIFEST)], default=-1)
+        own = [n for m in messages if m for n in m.files]
+        draft, name = f"{folder}/.draft-{self.job}", f"{folder}/{_MANIFEST}{number:010d}-{self.job}"
+        with store.open_output_stream(draft) as file:
+            file.write("\n".join(["replace" if self.overwrite else "add", *own]).encode())
+        # From here on the new files are what is read.
+        store.move(draft, name)
+        if self.overwrite:
+            manifests = [n for n in before if n.startswith(_MANIFEST)]
+            _remove(store, folder, manifests + [n for n in before if n.endswith((".warc", ".warc.gz")) and n not in own])
 
     def abort(self, messages) -> None:
-        """Nothing is committed, so nothing is read."""
+        """Nothing is committed; the files of tasks that did end are deleted."""
+        store, folder = store_of(self.path)
+        _remove(store, folder, [n for m in messages if m for n in m.files])
+
+
+def _remove(store, folder: str, names: list[str]) -> None:
+    for name in names:
+        try:
+            store.delete_file(f"{folder}/{name}")
+        except OSError:
+            # What no manifest names is never read, so a file that can't be deleted now does no harm.
+            continue
 
 
 def register(spark: SparkSession) -> None:
@@ -331,24 +416,39 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def write_archive(records: DataFrame, path: str) -> None:
+def write_archive(records: DataFrame, path: str, mode: str = "append", compression: str = "none") -> None:
     """Write rows of ``SCHEMA``'s columns as WARC records."""
     register(records.sparkSession)
-    records.write.format(FORMAT).mode("append").save(path)
+    records.write.format(FORMAT).mode(mode).option("compression", compression).save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: str = "decode") -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: str = "decode", foreign: bool = False) -> DataFrame:
+    """The records of an archive but for those that only describe a file."""
     register(spark)
-    return spark.read.format(FORMAT).option("payload", payload).load(path)
-
-
-def records_of(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One record for each page: a response, or a revisit of the page with the largest id and the same payload."""
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    own = own.withColumns({"payload_length": F.octet_length("payload").cast("bigint"), "sha1": F.sha1("payload"), "same": F.sha2("payload", 256)})
-    last = own.select("same", "page_id").groupBy("same").agg(F.max("page_id").alias("last_id"))
-    # Both sides are dealt by the payload's hash; the copies of one payload may be split among tasks.
-    joined = own.join(last, "same").withColumn("again", (F.col("payload_length") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last_id")))
+    read = spark.read.format(FORMAT).option("payload", payload).option("foreign", str(foreign).lower()).load(path)
+    return read.where(F.col("record_type") != "warcinfo")
+
+
+#: Repeated payloads whose hashes are broadcast, at most: some 50 MB.
+BROADCAST_PAYLOADS = 500_000
+
+
+def records_of(pages: DataFrame, least_bytes: int = 0, broadcast_payloads: int = BROADCAST_PAYLOADS) -> DataFrame:
+    """One record for each page: a response, or a revisit of the page with the largest id and the same payload.
+
+    Payloads are compared by length and SHA-256. Only the hashes are shuffled: those that occur more than once go back to the pages, by a
+    broadcast if they are few enough, else by a join that moves the pages.
+    """
+    hf.whole_ids(pages, "page_id")
+    own = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    same = F.struct(F.octet_length("payload").alias("n"), F.unhex(F.sha2("payload", 256)).alias("h"))
+    own = own.withColumns({"payload_length": F.octet_length("payload").cast("bigint"), "sha1": F.sha1("payload"), "same": same})
+    repeated = own.where(F.col("payload_length") >= least_bytes).groupBy("same").agg(F.max("page_id").alias("last_id"), F.count("*").alias("copies")).where("copies > 1")
+    repeated = runtime.materialize(repeated.select("same", "last_id", F.lit(True).alias("met")), "repeated")
+    if repeated.count() <= broadcast_payloads:
+        repeated = F.broadcast(repeated)
+    # Without an equal payload a page is a response; with one, all but the rows of the largest id are revisits.
+    joined = own.join(repeated, "same", "left").withColumn("again", F.col("met").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     # Hex digits in fives are twenty bits, four letters of base 32.
     letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
