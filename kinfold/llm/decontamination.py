@@ -7,9 +7,10 @@ as no pattern can end; where a pattern ends with them, the hash of its last word
 strings, and these are compared word by word and then byte by byte. Many cursors walk through many texts
 at once, so the shifts are numpy operations over all of them.
 
-The benchmark is taken in blocks of at most ``PATTERNS`` windows, one pass over the texts for each, and
-the covered words and found items of a document are carried from pass to pass: what is broadcast is
-bounded and every item is searched in every document.
+The benchmark is taken in blocks of about ``PATTERNS`` windows, a long item in several segments, one pass over the texts for
+each. The covered words and found items of a document are carried from pass to pass, and each pass but the last is written before
+the next begins, so the tables of one block only are held at a time, on the driver as on the executors, and every item is
+searched in every document. A benchmark of one block, the common case, is one pass without a shuffle.
 
 Defined results: null texts have no words. Items without words or id find nothing; rows of a repeated
 item_id are one item; the same passage in several items counts for each. Repeated documents are judged
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold import runtime
+from kinfold.llm import hashed_features as hf
 from kinfold.llm import textblocks as tb
 
 WIDTH = 10
@@ -179,15 +181,38 @@ def scan(matcher: Matcher, column: pa.Array):
             yield int(first[row + 1] - first[row]), covered.get(row), items.get(row, set())
 
 
-def blocks(benchmark: DataFrame, width: int = WIDTH, patterns: int = PATTERNS):
-    """The benchmark as lists of items of at most about ``patterns`` windows each."""
+def segments(benchmark: DataFrame, width: int, patterns: int) -> DataFrame:
+    """(item, words, n): the items' words, joined by blanks, in overlapping runs of at most ``patterns`` windows each, with their number."""
     usable = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
-    # An item has no more windows than half its characters.
-    n = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(n) // (2 * patterns)))
-    for part in range(parts):
-        rows = usable.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        yield [(r["item"], words_of(r["text"])) for r in rows]
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                for i in range(0, max(len(words) - width + 1, 1) if words else 0, patterns):
+                    run = words[i : i + patterns + width - 1]
+                    rows.append({"item": item, "words": b" ".join(run).decode(), "n": max(len(run) - width + 1, 1)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item", pa.string()), ("words", pa.string()), ("n", pa.int64())]))
+
+    return usable.mapInArrow(cut, "item string, words string, n bigint")
+
+
+def blocks(benchmark: DataFrame, width: int = WIDTH, patterns: int = PATTERNS) -> list[DataFrame]:
+    """The benchmark's segments in tables of about ``patterns`` windows each, written once; one table at least."""
+    spark = benchmark.sparkSession
+    runtime.ship_package(spark)
+    held = runtime.materialize(segments(benchmark, width, max(1, patterns // 8)), "segments")
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, -(-int(total) // patterns))
+    part = F.pmod(F.xxhash64("item", "words"), F.lit(parts))
+    return [held.where(part == k) for k in range(parts)]
+
+
+def matcher_of(block: DataFrame, width: int):
+    """The search tables of one block, broadcast."""
+    rows = block.select("item", "words").collect()
+    return block.sparkSession.sparkContext.broadcast(build([(r["item"], r["words"].encode().split(b" ")) for r in rows], width))
 
 
 _SCHEMA = "doc_id {key}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
@@ -195,14 +220,14 @@ _SCHEMA = "doc_id {key}, n_words bigint, n_hit bigint, n_items bigint, items_sha
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, patterns: int = PATTERNS) -> DataFrame:
     """One row for each document: its words, those inside any occurrence of a window, and the items found."""
-    spark = docs.sparkSession
-    runtime.ship_package(spark)
-    key = docs.schema["doc_id"].dataType.simpleString()
-    matchers = [spark.sparkContext.broadcast(build(b, width)) for b in blocks(benchmark, width, patterns)]
+    key = hf.whole_ids(docs).schema["doc_id"].dataType.simpleString()
+    found = blocks(benchmark, width, patterns)
     rows = docs.select("doc_id", "text")
-    for n, held in enumerate(matchers):
-        rows = rows.mapInArrow(_pass(held, n == 0, n == len(matchers) - 1), _SCHEMA.format(key=key) if n == len(matchers) - 1 else f"doc_id {key}, text string, hit binary, items array<string>")
-    return rows
+    for n, block in enumerate(found[:-1]):
+        held = matcher_of(block, width)
+        rows = runtime.materialize(rows.mapInArrow(_pass(held, n == 0, False), f"doc_id {key}, text string, hit binary, items array<string>"), "pass")
+        held.destroy()
+    return rows.mapInArrow(_pass(matcher_of(found[-1], width), len(found) == 1, True), _SCHEMA.format(key=key))
 
 
 def _pass(held, is_first: bool, is_last: bool):
@@ -240,16 +265,18 @@ def _pass(held, is_first: bool, is_last: bool):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, patterns: int = PATTERNS) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
-    spark = docs.sparkSession
-    runtime.ship_package(spark)
-    for block in blocks(benchmark, width, patterns):
-        held = spark.sparkContext.broadcast(build(block, width))
+    found = blocks(benchmark, width, patterns)
+    for n, block in enumerate(found):
+        held = matcher_of(block, width)
 
         def keep(batches, held=held):
             for batch in batches:
                 yield batch.filter(pa.array([covered is None for _, covered, _ in scan(held.value, batch.column("text"))], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if n < len(found) - 1:
+            docs = runtime.materialize(docs, "pass")
+            held.destroy()
     return docs
 
 
