@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold import runtime
 from kinfold.llm import textblocks as tb
@@ -16,7 +17,7 @@ from kinfold.llm import textblocks as tb
 
 @dataclass(frozen=True)
 class Section:
-    """One family of n-grams: ``width`` consecutive bytes or words, hashed into 2**bits buckets."""
+    """One family of n-grams: ``width`` consecutive bytes, characters (code points) or words, hashed into 2**bits buckets."""
 
     kind: str
     width: int
@@ -41,10 +42,14 @@ def section_indexes(spec: FeatureSpec, data: np.ndarray, offsets: np.ndarray) ->
 
     An n-gram lies in one row: those that would reach into the next row are outside every range.
     """
-    words = None
+    words = points = None
     for number, (section, start) in enumerate(zip(spec.sections, spec.starts(), strict=False)):
         if section.kind == "byte":
             buckets, bounds = tb.gram_indexes(data, section.width, section.bits, number + 1), offsets
+        elif section.kind == "char":
+            if points is None:
+                points = tb.code_points(data, offsets)
+            buckets, bounds = tb.point_gram_indexes(points[0], section.width, section.bits, number + 1), points[1]
         else:
             if words is None:
                 begins, ends, first = tb.word_bounds(data, offsets)
@@ -98,6 +103,14 @@ def frequency_rows(spec: FeatureSpec, column: pa.Array, indicators: bool) -> Ite
             )
 
 
+def whole_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``df`` if its ids are whole numbers, as all operators here take them; an error at once if they are not."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{name} must hold whole numbers, not {kind.simpleString()}")
+    return df
+
+
 def uniform(*columns: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
@@ -108,13 +121,18 @@ def crc_fold(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def labelled_sample(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` of the rows (doc_id, label), about as many of each label.
+#: Labels that are told apart, at most: the most frequent ones.
+MOST_LABELS = 256
+
+
+def labelled_sample(rows: DataFrame, limit: int, most_labels: int = MOST_LABELS) -> DataFrame:
+    """At most ``limit`` of the rows (doc_id, label), about as many of each of the ``most_labels`` most frequent labels.
 
     The chosen rows depend on ids and labels alone. One narrow aggregate counts the labels; the
-    sample is then a filter and a bounded top-k, so nothing unbounded reaches one task.
+    sample is then a filter and a bounded top-k, so nothing unbounded reaches one task or the driver.
     """
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels)
+    counts = {r["label"]: r["n"] for r in most.collect()}
     if not counts:
         return rows.limit(0)
     share = F.lit(0.0)

@@ -1,6 +1,6 @@
 """Operator 9, quality rules: hard text statistics, then a calibrated hashed n-gram logistic regression.
 
-The model is a logistic regression over hashed word and byte n-grams, trained in numpy on a bounded
+The model is a logistic regression over hashed n-grams of words and of characters (code points), trained in numpy on a bounded
 sample of labelled rows, calibrated on rows kept out of the training, and scored in Arrow batches
 against a fixed threshold. All statistics and scores are taken over whole texts.
 
@@ -23,7 +23,7 @@ from kinfold.llm import hashed_features as hf
 from kinfold.llm import textblocks as tb
 
 SPEC = hf.FeatureSpec(
-    (hf.Section("word", 1, 12), hf.Section("word", 2, 11), hf.Section("byte", 1, 8), hf.Section("byte", 2, 10), hf.Section("byte", 3, 12)),
+    (hf.Section("word", 1, 12), hf.Section("word", 2, 11), hf.Section("char", 1, 8), hf.Section("char", 2, 10), hf.Section("char", 3, 12)),
     lower=False,
 )
 #: Labelled rows the model learns from, at most.
@@ -127,6 +127,7 @@ def text_statistics(column: pa.Array) -> np.ndarray:
 
 def judge(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row for each document: its statistics, base_failed, the model's probability and kept."""
+    hf.whole_ids(docs)
 
     def score(batches):
         for batch in batches:

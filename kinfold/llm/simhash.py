@@ -269,7 +269,7 @@ def components(prints: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_R
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fp and component_id for each row of ``docs``."""
-    prints = runtime.materialize(with_fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fp"), "fingerprints")
+    prints = runtime.materialize(with_fingerprints(hf.whole_ids(docs).select("doc_id", "text"), shingle).select("doc_id", "fp"), "fingerprints")
     return prints.join(components(prints, distance), "fp")
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold import runtime
+from kinfold.llm import hashed_features as hf
 from kinfold.llm import textblocks as tb
 
 WIDTH = 13
@@ -222,6 +223,7 @@ def _covered(w: Words, marks: pa.Table, buckets: int) -> np.ndarray:
 
 def _run(docs: DataFrame, finish, schema) -> DataFrame:
     """``finish(rows, words, covered)`` of each block, after both steps of marks."""
+    hf.whole_ids(docs)
     runtime.ship_package(docs.sparkSession)
     blocked, buckets = _blocked(docs)
 

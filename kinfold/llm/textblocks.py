@@ -138,6 +138,25 @@ def row_of(bounds: np.ndarray, count: int) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) if count else np.zeros(0, dtype=np.int64)
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the first one of each row (one more at the end); ``offsets`` lie between characters."""
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    before = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return points, before[offsets]
+
+
+def point_gram_indexes(points: np.ndarray, width: int, bits: int, seed: int) -> np.ndarray:
+    """A bucket below 2**bits for the ``width`` code points from each position on; behind the last ones stand zeros."""
+    packed = np.full(len(points), (seed * 0x632BE5AB) & 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(width):
+        packed[: max(0, len(points) - k)] += points[k:]
+        packed *= np.uint32(0x9E3779B1)
+        packed ^= packed >> np.uint32(15)
+    packed *= np.uint32(0x85EBCA77)
+    return packed >> np.uint32(32 - bits)
+
+
 def gram_indexes(data: np.ndarray, width: int, bits: int, seed: int) -> np.ndarray:
     """A bucket below 2**bits for the ``width`` bytes (1 to 4) from each position on; the last ones wrap into zeros."""
     n = len(data)

@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
+from kinfold import runtime
 from kinfold.llm import mixing, simhash_wide
 from kinfold.operators.components import union_find
 
@@ -198,7 +199,7 @@ def test_the_last_stage_follows_the_schedule(spark):
     rng = random.Random(23)
     docs = spark.createDataFrame([(i, "w " * rng.randrange(200), f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, source string")
     out = corpus_pipeline.mixed(spark, docs, "").collect()
-    sized = mixing.sizes(docs)
+    sized = runtime.materialize(mixing.sizes(docs), "sized")
     first = {}
     for r in mixing.mix(sized, mixing.targets(sized)).where("words > 0").collect():
         first[r["doc_id"]] = min(r["position"], first.get(r["doc_id"], r["position"]))
