@@ -61,12 +61,12 @@ def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES) ->
     """
     runtime.ship_package(edges.sparkSession)
     maps: list[DataFrame] = []
-    left = runtime.materialize(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    left = runtime.materialize(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=8)
     while (n := left.count()) > finish_edges:
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), F.col(c)).alias("r"), F.col(c).alias("v"))
         both = left.select("a", "b").union(left.select("b", "a"))
         first = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least(rank("a"), rank("b")))["v"].alias("root"))
-        step = runtime.materialize(first.where("node <> root"), "step")
+        step = runtime.materialize(first.where("node <> root"), "step", narrow=4)
         moved = left.join(step.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(step.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
         moved = moved.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y")
         left = runtime.materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")

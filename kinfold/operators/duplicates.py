@@ -1,7 +1,10 @@
-"""Near-duplicate photos by perceptual hash: exact Hamming join by banding, then connected components."""
+"""Near-duplicate photos by perceptual hash: exact Hamming join by partitions of the bits, then connected components."""
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,26 +17,55 @@ def _hashes(photos: DataFrame) -> DataFrame:
     return photos.where(media.usable_hash(F.col("phash"))).select("id", "path", media.hash_bits(F.col("phash")).alias("h"))
 
 
+def thresholds(n: int, max_distance: int) -> list[int]:
+    """How many differing bits each partition of the 64 allows, of least cost for ``n`` distinct hashes.
+
+    The thresholds plus one add up to the distance plus one, so two hashes within the distance agree up to the threshold in one partition at
+    least. A hash is sent once for every value within the threshold; one more costs a row, and each other hash that blind
+    chance brings to a bucket a comparison. Few hashes want many narrow partitions, many hashes few wide ones.
+    """
+    best: tuple[float, list[int]] | None = None
+    for parts in range(2, max_distance + 2):
+        more, rest = divmod(max_distance + 1 - parts, parts)
+        chosen = [more + (k < rest) for k in range(parts)]
+        widths = [64 * (k + 1) // parts - 64 * k // parts for k in range(parts)]
+        rows = [sum(comb(w, d) for d in range(t + 1)) for w, t in zip(widths, chosen, strict=True)]
+        cost = sum(r * (20 + n * 2.0**-w) for r, w in zip(rows, widths, strict=True))
+        if best is None or cost < best[0]:
+            best = cost, chosen
+    return best[1] if best else [max_distance]
+
+
 def _near(hashes: DataFrame, max_distance: int) -> DataFrame:
     """(a, b, distance), a < b, of distinct hashes ``h`` that differ in at most ``max_distance`` bits.
 
-    Of max_distance + 1 bands of bits two such hashes share one at least, so they meet in an equi-join on a band;
-    a pair is kept where its first shared band is the one it met in, so none comes twice.
+    One side is sent under its own value of each partition, the other under all values within the partition's threshold, so they
+    meet in an equi-join; a pair is kept where its first partition within the threshold is the one it met in, so none comes twice.
     """
-    bands = max_distance + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    value = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
-    banded = hashes.select("h", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), value(F.col("h"), k).alias("bits")) for k in range(bands)))).alias("x")).select("h", "x.*")
-    a, b = banded.alias("a"), banded.alias("b")
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.h") < F.col("b.h"))
+    allowed = thresholds(hashes.count(), max_distance)
+    parts = len(allowed)
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    mask = lambda k: F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)
+    value = lambda h, k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(mask(k)) if parts > 1 else h
+    flips = lambda k: [sum(1 << b for b in chosen) for d in range(allowed[k] + 1) for chosen in combinations(range(cuts[k + 1] - cuts[k]), d)]
+    struct = lambda k, bits: F.struct(F.lit(k).alias("part"), bits.alias("bits"))
+    own = F.array(*(struct(k, value(F.col("h"), k)) for k in range(parts)))
+    # A function of two parameters would get the place in the array as the second.
+    flipped = lambda k: lambda f: struct(k, value(F.col("h"), k).bitwiseXOR(f))
+    wide = F.flatten(F.array(*(F.transform(F.array(*(F.lit(f).cast("bigint") for f in flips(k))), flipped(k)) for k in range(parts))))
+    a, b = (hashes.select("h", F.explode(x).alias("x")).select("h", "x.*").alias(name) for name, x in (("a", own), ("b", wide)))
+    same = (F.col("a.part") == F.col("b.part")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.h") < F.col("b.h"))
     distance = media.hamming(F.col("a.h"), F.col("b.h"))
     apart = F.col("a.h").bitwiseXOR(F.col("b.h"))
-    first_shared = F.least(*(F.when(value(apart, k) == 0, F.lit(k)) for k in range(bands)))
-    return a.join(b, same & (distance <= max_distance) & (first_shared == F.col("a.band"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), distance.alias("distance"))
+    first = F.least(*(F.when(F.bit_count(value(apart, k)) <= allowed[k], F.lit(k)) for k in range(parts)), F.lit(None)) if parts > 1 else F.lit(0)
+    return a.join(b, same & (distance <= max_distance) & (first == F.col("a.part"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"), distance.alias("distance"))
 
 
 def duplicate_pairs(photos: DataFrame, max_distance: int = C.MAX_HAMMING) -> DataFrame:
-    """(id_a, id_b, distance), id_a < id_b, of all photos whose usable hashes are near."""
+    """(id_a, id_b, distance), id_a < id_b, of all photos whose usable hashes are near.
+
+    That is one row for every pair, also for all pairs of photos with one hash; ``duplicate_groups`` makes no pairs of equal hashes.
+    """
     own = _hashes(photos)
     near = _near(own.select("h").distinct(), max_distance)
     both = near.union(near.select("b", "a", "distance"))

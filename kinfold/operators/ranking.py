@@ -33,14 +33,32 @@ def ranked(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFr
     return held.join(_before(sizes, "n"), "_part").withColumn(name, F.col("_before_n") + F.col("_at")).drop("_part", "_at", "_before_n")
 
 
-def running_sums(rows: DataFrame, *order: Column | str, **sums: Column) -> DataFrame:
+#: Rows of a small table that one task may sort.
+ONE_TASK_ROWS = 32768
+
+
+def running_sums(rows: DataFrame, *order: Column | str, one_task_rows: int = ONE_TASK_ROWS, **sums: Column) -> DataFrame:
     """``rows`` with the sum of each of ``sums`` over all rows before, 0 for the first, under its name; the order should be total.
 
-    Each range is summed up by itself, and the ranges' own sums are added beforehand.
+    A table of at most ``one_task_rows`` is one window. In a larger one each range is summed up by itself, and the ranges' own sums are
+    added beforehand.
     """
+    if rows.limit(one_task_rows + 1).count() <= one_task_rows:
+        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
     held = _ranges(rows.withColumns({f"_own_{n}": c for n, c in sums.items()}), *order)
     totals = held.groupBy("_part").agg(*(F.sum(f"_own_{n}").alias(n) for n in sums))
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     within = held.withColumns({f"_in_{n}": F.coalesce(F.sum(f"_own_{n}").over(inside), F.lit(0)) for n in sums})
     placed = within.join(_before(totals, *sums), "_part").withColumns({n: F.col(f"_before_{n}") + F.col(f"_in_{n}") for n in sums})
     return placed.drop("_part", "_at", *(f"{p}_{n}" for n in sums for p in ("_own", "_in", "_before")))
+
+
+def with_previous(rows: DataFrame, value: str, *order: Column | str) -> DataFrame:
+    """``rows`` with the ``value`` of the row before in the order as ``previous``; null for the first. ``value`` must not fall along the order."""
+    held = _ranges(rows, *order)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = held.groupBy("_part").agg(F.max(value).alias("_top"))
+    before = F.broadcast(tops.select("_part", F.max("_top").over(earlier).alias("_last")))
+    inside = F.lag(value).over(Window.partitionBy("_part").orderBy("_at"))
+    return held.withColumn("_lag", inside).join(before, "_part").withColumn("previous", F.coalesce("_lag", "_last")).drop("_part", "_at", "_lag", "_last")

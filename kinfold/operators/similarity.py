@@ -11,8 +11,8 @@ from kinfold import constants as C
 from kinfold import runtime
 from kinfold.functions import vectors
 
-#: Vectors of one block of the pairwise join: two blocks and their product fit a task.
-BLOCK_ROWS = 2048
+#: Vectors of one block of the pairwise join: two blocks fit a task, their product is taken in tiles.
+BLOCK_ROWS, TILE_ROWS = 8192, 2048
 
 
 def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -30,8 +30,9 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, sim), a < b, of faces (id, embedding) whose cosine is at least ``threshold``.
 
-    All pairs must be compared. Vectors are cut into blocks; each pair of blocks is one group of a shuffle and one
-    matrix product, so nothing is broadcast and no task holds more than two blocks.
+    All pairs must be compared: at such a threshold no bound on lengths or angles rules any out. Vectors are cut into blocks; each
+    pair of blocks is one group of a shuffle and one matrix product, so nothing is broadcast and no task holds more than two blocks.
+    A vector is sent once for each block.
     """
     runtime.ship_package(faces.sparkSession)
     n = faces.count()
@@ -45,12 +46,17 @@ def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         ids, block, x = np.asarray(rows.column("id")), np.asarray(rows.column("own")), unit_rows(rows.column("embedding"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        sim = x[left] @ x[right].T
-        hit = sim >= threshold
-        hit &= ids[left][:, None] < ids[right][None, :] if i == j else True
-        a, b = np.nonzero(hit)
-        first, second = ids[left][a], ids[right][b]
-        return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second), "sim": sim[a, b]})
+        tiles = [(left[s : s + TILE_ROWS], right[t : t + TILE_ROWS]) for s in range(0, len(left), TILE_ROWS) for t in range(0, len(right), TILE_ROWS)]
+        found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]]
+        for own, other in tiles:
+            sim = x[own] @ x[other].T
+            hit = sim >= threshold
+            hit &= ids[own][:, None] < ids[other][None, :] if i == j else True
+            a, b = np.nonzero(hit)
+            for part, values in zip(found, (ids[own][a], ids[other][b], sim[a, b]), strict=True):
+                part.append(values)
+        first, second, sims = (np.concatenate(part) for part in found)
+        return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second), "sim": sims})
 
     return sent.groupBy("i", "j").applyInArrow(product, "a bigint, b bigint, sim double")
 
@@ -72,12 +78,12 @@ def _best_of(ids: list, means: np.ndarray, faces: pa.RecordBatch | pa.Table) ->
     width = max(x.shape[1], means.shape[1])
     wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
     near, best = np.zeros(len(x), dtype=np.int64), np.full(len(x), -np.inf)
-    for i in range(0, len(means) if len(x) else 0, BLOCK_ROWS):
-        sim = wide(x) @ wide(means[i : i + BLOCK_ROWS]).T
+    for i in range(0, len(means) if len(x) else 0, TILE_ROWS):
+        sim = wide(x) @ wide(means[i : i + TILE_ROWS]).T
         at = sim.argmax(axis=1)
         top = sim[np.arange(len(x)), at]
         better = top > best
-        best[better], near[better] = top[better], np.asarray(ids[i : i + BLOCK_ROWS], dtype=np.int64)[at[better]]
+        best[better], near[better] = top[better], np.asarray(ids[i : i + TILE_ROWS], dtype=np.int64)[at[better]]
     column = faces.column("id")
     return pa.RecordBatch.from_arrays([column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, pa.array(near), pa.array(best)], names=["id", "near_id", "sim"])
 

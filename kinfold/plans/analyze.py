@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +16,7 @@ from kinfold.operators import clustering, edits, matching, sync
 from kinfold.options import Options
 from kinfold.sources import images
 from kinfold.sources.store import Store
-from kinfold.streaming.debounce import watch_folder
+from kinfold.streaming.debounce import outside_runs, watch_folder
 
 _BOX = ("x", "y", "w", "h")
 #: Photos that are read, detected and published together.
@@ -115,11 +117,23 @@ def _analyze_batch(spark: SparkSession, store: Store, listed: DataFrame, paths:
     return rows.count(), failed
 
 
-def watch(spark: SparkSession, folder: str, run: Callable[[], object]) -> DataStreamWriter:
-    """Calls ``run`` once for each batch of new files below ``folder``; a run that repeats after a failure finds nothing to do."""
+def watch(spark: SparkSession, folder: str, run: Callable[[], object], clock: Callable[[], float] = time.time) -> DataStreamWriter:
+    """Calls ``run`` once for each batch of new files below ``folder``; a run that repeats after a failure finds nothing to do.
+
+    Files that change while a run is going on start no other run, as that run's own writes would else set off the next one; the next run lists
+    them anyway.
+    """
+    last: list[tuple[float, float]] = []
 
     def on_batch(batch: DataFrame, _: int) -> None:
+        if last:
+            runs = spark.createDataFrame(last, "start_s double, end_s double")
+            batch = outside_runs(batch, runs.select(F.timestamp_seconds("start_s").alias("start_ts"), F.timestamp_seconds("end_s").alias("end_ts")))
         if not batch.isEmpty():
+            # File times may be whole seconds; what changed in the second before is listed by the run too.
+            began = float(math.floor(clock()))
             run()
+            # Later batches hold files that are newer than those before, so one run is enough to remember.
+            last[:] = [(began, clock())]
 
     return watch_folder(spark, folder).writeStream.foreachBatch(on_batch)

@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Bytes of rows that a task sends to Python at once, unless the session says otherwise: long texts make batches of few rows.
@@ -65,17 +66,30 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, narrow: int = 1) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The copy survives the loss of any executor, and every later reader sees the same rows
-    even if ``df`` holds an expression whose value depends on how tasks ran.
+    even if ``df`` holds an expression whose value depends on how tasks ran. A table of few bytes a row, the result of a shuffle, is
+    written in ``narrow`` times fewer files than a shuffle has partitions; 0 is one file, for a few rows.
     """
     path = scratch_path(df.sparkSession, tag)
+    if narrow != 1:
+        files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // narrow if narrow else 1
+        df = df.coalesce(max(1, files))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast, at most: some 50 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, of ``rows`` narrow rows at most, with a hint to broadcast it if these are no more than ``most_rows``; else it joins by a shuffle."""
+    return F.broadcast(df) if rows <= most_rows else df
+
+
 def spare_name(df: DataFrame, wanted: str) -> str:
     """``wanted`` with as many underscores before it as make it a name that ``df`` has no column of, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -347,3 +347,48 @@ def test_folder_end_to_end(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         analyze_folder(spark, lib, f"file://{tmp_path}/gone", ColorEngine)
     assert lib.read("photos").count() == 5
+
+
+def test_watching_a_folder(spark, tmp_path):
+    import os
+    import time
+
+    from kinfold.plans.analyze import watch
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put = lambda name, at: ((folder / name).write_bytes(b"x"), os.utime(folder / name, (at, at)))
+    runs = []
+
+    def run():
+        runs.append(len(runs))
+        if len(runs) == 1:
+            put("made-by-the-run", time.time())
+            time.sleep(0.1)
+
+    put("a", time.time() - 100)
+    query = watch(spark, f"file://{folder}", run).option("checkpointLocation", f"{tmp_path}/cp").start()
+    query.processAllAvailable()
+    query.processAllAvailable()
+    assert runs == [0]
+    put("b", time.time() + 5)
+    query.processAllAvailable()
+    query.stop()
+    assert runs == [0, 1]
+
+
+def test_thresholds_of_many_hashes(spark):
+    """All plans that numbers of hashes lead to give the same pairs."""
+    import random
+    from unittest import mock
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    hashes = [f"{b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))):016x}" for b in base for _ in range(5)]
+    photos = photos_of(spark, hashes)
+    want = {(i, j) for i in range(200) for j in range(i) if bin(int(hashes[i], 16) ^ int(hashes[j], 16)).count("1") <= 4}
+    plans = {tuple(duplicates.thresholds(n, 4)) for n in (10, 10**6, 10**8, 10**9)}
+    assert plans == {(0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1)}
+    for plan in plans:
+        with mock.patch.object(duplicates, "thresholds", lambda n, d, plan=plan: list(plan)):
+            assert {(r["id_b"], r["id_a"]) for r in duplicates.duplicate_pairs(photos).collect()} == want
