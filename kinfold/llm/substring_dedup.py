@@ -4,17 +4,19 @@ A word goes if a window of ``width`` words that covers it also starts in a docum
 such windows without sending every window of the corpus, only windows of ``width - period + 1`` words
 are hashed, and only at positions whose number modulo the period is in a difference cover: for any two
 positions some shift below the period takes both into the cover, so every match of ``width`` words shares
-an aligned anchor. Three steps follow, all on blocks of documents that are dealt out once:
+an aligned anchor. Four steps follow, all on blocks of documents that are written once, in the order in which they come:
 
-1. each block sends its distinct anchors, a few bytes each, to the buckets of their hashes, and gets back
+1. anchors that stand in several of some ``SAMPLED`` blocks are shared, and so are known windows around them; both lists are bounded and broadcast,
+   and the smallest doc_id of each such window is found by partial minima of each task;
+2. each block sends its other distinct anchors, a few bytes each, to the buckets of their hashes, and gets back
    one bit for each: whether the anchor stands in more than one document;
-2. each block extends the shared anchors to the windows around them and sends each distinct window with its
+3. each block extends the shared anchors to the windows around them and sends each distinct window that isn't known yet with its
    smallest doc_id; back comes one bit: whether a smaller doc_id has it elsewhere;
-3. each block marks the words under windows that start in a smaller document and drops them.
+4. each block marks the words under windows that start in a smaller document and drops them.
 
-A passage that a third of all documents share is sent once for each block, whatever the number of
-documents in it, so no bucket grows hot. Windows are compared by 64 bits of one hash and the bucket of
-another. The blocks are one shuffle of the texts, which the three steps share.
+A passage that a third of all documents share is thus in the lists, and one that fewer share is sent once for each block, whatever the
+number of documents in it, so no bucket grows hot. Windows are compared by 64 bits of one hash and the bucket of
+another. The blocks are shuffled once, compressed, for steps 3 and 4 together.
 
 Defined results: null and blank texts have no words. Fewer words than a window: nothing goes. A null
 doc_id counts as larger than all others. Rows of one doc_id are one document and don't remove from each
@@ -24,6 +26,7 @@ other. Columns other than doc_id and text are passed through by ``drop_repeats``
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,10 +42,11 @@ from kinfold.llm import textblocks as tb
 WIDTH = 13
 #: Each difference modulo 7 is that of two of these: fixed values of a perfect difference set.
 PERIOD, COVER = 7, (0, 1, 3)
-#: Characters of a block and of the text whose anchors share a bucket.
-BLOCK_CHARS, BUCKET_CHARS = 2_000_000, 16_000_000
+#: Bytes of text of a block, and of the texts whose anchors share a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
+#: Blocks in which frequent anchors and windows are looked for, and in how many of them one is frequent.
+SAMPLED, OFTEN = 32, 2
 
-_BLOCK = "_repeat_block"
 _LARGEST = np.iinfo(np.int64).max
 _MARKS = "block bigint, step int, bucket bigint, bits binary"
 _SENT = "bucket bigint, block bigint, payload binary"
@@ -102,6 +106,11 @@ def anchors(w: Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return key[order][new], apart, at, number
 
 
+def second_hash(w: Words, start: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets of the windows from these words on, by another hash than the one they are compared by."""
+    return tb.window_hashes(w.hashes[::-1], WIDTH)[::-1][start] % np.uint64(buckets) if len(start) else np.zeros(0, dtype=np.uint64)
+
+
 def windows(w: Words, at: np.ndarray, shared: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct windows over the shared anchors, ordered by bucket and hash: buckets, hashes and smallest ids;
     the start words of all occurrences and the number of the window at each."""
@@ -111,7 +120,7 @@ def windows(w: Words, at: np.ndarray, shared: np.ndarray, buckets: int) -> tuple
         start[hit - k] = True  # below zero wraps into the spare end
     start = np.flatnonzero(start[: len(w.row)] & _starts(w, WIDTH))
     h = tb.window_hashes(w.hashes, WIDTH)[start]
-    bucket = tb.window_hashes(w.hashes[::-1], WIDTH)[::-1][start] % np.uint64(buckets)
+    bucket = second_hash(w, start, buckets)
     ids = w.ids[w.row[start]] if len(start) else np.zeros(0, dtype=np.int64)
     order = np.lexsort((h, bucket))
     b, x = bucket[order], h[order]
@@ -130,8 +139,8 @@ def _by_bucket(bucket: np.ndarray):
         yield int(bucket[i]), int(i), int(j)
 
 
-def _sent(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "block", "payload"])
+def _sent(block: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "block", "payload"])
 
 
 def _bits_of(marks: pa.Table, step: int, buckets: np.ndarray) -> np.ndarray:
@@ -200,20 +209,138 @@ def judge_windows(payloads: list[bytes]) -> list[np.ndarray]:
     return _cut(least < own, sizes)
 
 
-def _blocked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` with a block number, and the number of hash buckets, both from the size of the texts."""
-    chars = int(docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
-    count = max(1, -(-chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(count))
-    return docs.withColumn(_BLOCK, block), max(1, -(-chars // BUCKET_CHARS))
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(payload) -> pa.Table:
+    with pa.ipc.open_stream(payload) as file:
+        return file.read_all()
+
+
+def _ingest(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, payload): ``docs`` in blocks of about ``block_bytes`` of text, each a compressed Arrow stream; written once, so the numbers hold."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            _, offsets = tb.column_bytes(batch.column(at))
+            for i, j in tb.pieces(offsets, block_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([_packed(batch.slice(i, j - i))], pa.binary())], names=["block", "payload"])
+                n += 1
+
+    return runtime.materialize(docs.mapInArrow(run, "block bigint, payload binary"), "blocks")
+
+
+def _each(batches) -> Iterator[tuple[int, pa.Table]]:
+    for batch in batches:
+        for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
+            yield block, _unpacked(payload.as_buffer())
+
 
+def _often(rows: DataFrame, *keys: str) -> np.ndarray:
+    """The keys that several of the sampled blocks have sent, sorted, as unsigned numbers, one column for each."""
+    found = rows.groupBy(*keys).count().where(F.col("count") >= OFTEN).select(*keys).toArrow()
+    columns = [np.asarray(found.column(k).combine_chunks()).view(np.uint64) for k in keys]
+    order = np.lexsort(columns[::-1])
+    return np.stack([c[order] for c in columns])
 
-def _covered(w: Words, marks: pa.Table, buckets: int) -> np.ndarray:
+
+@dataclass
+class Known:
+    """What is known of the corpus beforehand: frequent anchors, frequent windows by hash and bucket, and the smallest doc_id of each."""
+
+    buckets: int
+    anchors: np.ndarray
+    windows: np.ndarray | None = None
+    least: np.ndarray | None = None
+
+    def shared(self, keys: np.ndarray) -> np.ndarray:
+        return tb.is_in(keys, self.anchors)[1]
+
+    def listed_windows(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, hashes and doc_ids of a block's windows whose hash may be that of a frequent one."""
+        maybe = np.zeros(1 << 20, dtype=bool)
+        maybe[(self.windows[0] >> np.uint64(44)).astype(np.int64)] = True
+        start = np.flatnonzero(_starts(w, WIDTH))
+        h = tb.window_hashes(w.hashes, WIDTH)[start]
+        near = maybe[(h >> np.uint64(44)).astype(np.int64)]
+        return second_hash(w, start[near], self.buckets), h[near], w.ids[w.row[start[near]]]
+
+    def window_at(self, bucket: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each window among the frequent ones, and whether it is one of them."""
+        at, there = tb.is_in(hashes, self.windows[0])
+        there[there] = self.windows[1][at[there]] == bucket[there]
+        return at, there
+
+
+def _known(blocks: DataFrame, buckets: int) -> Known:
+    spark, count = blocks.sparkSession, blocks.count()
+    some = blocks.where(F.pmod(F.xxhash64("block"), F.lit(max(1, count // SAMPLED))) == 0)
+    column = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
+
+    def anchors_of(batches):
+        for _, rows in _each(batches):
+            yield pa.RecordBatch.from_arrays([column(anchors(words_of(rows), buckets)[0])], names=["key"])
+
+    known = Known(buckets, _often(some.mapInArrow(anchors_of, "key bigint"), "key")[0])
+    first = spark.sparkContext.broadcast(known)
+
+    def own_windows(rows: pa.Table, held: Known):
+        w = words_of(rows)
+        keys, _, at, number = anchors(w, buckets)
+        return windows(w, at, held.shared(keys)[number], buckets)
+
+    def windows_of(batches):
+        for _, rows in _each(batches):
+            bucket, h, *_ = own_windows(rows, first.value)
+            yield pa.RecordBatch.from_arrays([column(h), column(bucket)], names=["h", "bucket"])
+
+    # Of windows with one hash but several buckets, the first is kept; the others are sent like any window.
+    listed = _often(some.mapInArrow(windows_of, "h bigint, bucket bigint"), "h", "bucket")
+    known.windows = listed[:, np.concatenate([[True], listed[0][1:] != listed[0][:-1]])] if listed.shape[1] else listed
+    second = spark.sparkContext.broadcast(known)
+
+    def least_of(batches):
+        least = np.full(known_size, _LARGEST)
+        for _, rows in _each(batches):
+            # Every window is looked at: which anchors of a passage are aligned differs from text to text.
+            bucket, h, ids = second.value.listed_windows(words_of(rows))
+            at, there = second.value.window_at(bucket, h)
+            np.minimum.at(least, at[there], ids[there])
+        met = np.flatnonzero(least < _LARGEST)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(least[met])], names=["at", "least"])
+
+    known_size = known.windows.shape[1]
+    known.least = np.full(known_size, _LARGEST)
+    if known_size:
+        found = blocks.mapInArrow(least_of, "at bigint, least bigint").groupBy("at").agg(F.min("least").alias("least")).toArrow()
+        known.least[np.asarray(found.column("at").combine_chunks())] = np.asarray(found.column("least").combine_chunks())
+    return known
+
+
+def _shared_anchors(w: Words, marks: pa.Table, known: Known):
+    """The anchors of a block, and which of them are shared: by the lists, or by the bits that came back."""
+    keys, _, at, number = anchors(w, known.buckets)
+    shared = known.shared(keys)
+    rest = np.flatnonzero(~shared)
+    shared[rest] = _bits_of(marks, 1, keys[rest] >> np.uint64(32))
+    return at, shared[number]
+
+
+def _covered(w: Words, marks: pa.Table, known: Known) -> np.ndarray:
     """True for each word of the block that goes."""
-    keys, _, at, number = anchors(w, buckets)
-    shared = _bits_of(marks, 1, keys >> np.uint64(32))
-    bucket, _, smallest, start, which = windows(w, at, shared[number], buckets)
-    elsewhere = _bits_of(marks, 2, bucket)
+    bucket, h, smallest, start, which = windows(w, *_shared_anchors(w, marks, known), known.buckets)
+    at, listed = known.window_at(bucket, h)
+    elsewhere = np.zeros(len(h), dtype=bool)
+    elsewhere[listed] = known.least[at[listed]] < smallest[listed]
+    elsewhere[~listed] = _bits_of(marks, 2, bucket[~listed])
     start = start[elsewhere[which] | (smallest[which] < w.ids[w.row[start]])] if len(start) else start
     edge = np.zeros(len(w.row) + WIDTH + 1, dtype=np.int64)
     np.add.at(edge, start, 1)
@@ -221,39 +348,46 @@ def _covered(w: Words, marks: pa.Table, buckets: int) -> np.ndarray:
     return np.cumsum(edge)[: len(w.row)] > 0
 
 
-def _run(docs: DataFrame, finish, schema) -> DataFrame:
+def _run(docs: DataFrame, finish, schema, block_bytes: int) -> DataFrame:
     """``finish(rows, words, covered)`` of each block, after both steps of marks."""
-    hf.whole_ids(docs)
-    runtime.ship_package(docs.sparkSession)
-    blocked, buckets = _blocked(docs)
-
-    def send_anchors(rows: pa.Table) -> pa.Table:
-        keys, apart, _, _ = anchors(words_of(rows), buckets)
-        low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32) | apart.astype(np.uint32)
-        return _sent(rows.column(_BLOCK)[0].as_py(), [(b, low[i:j].tobytes()) for b, i, j in _by_bucket(keys >> np.uint64(32))])
+    spark = hf.whole_ids(docs).sparkSession
+    runtime.ship_package(spark)
+    blocks = _ingest(docs, block_bytes)
+    buckets = max(1, -(-blocks.count() * block_bytes // BUCKET_BYTES))
+    held = spark.sparkContext.broadcast(_known(blocks, buckets))
+
+    def send_anchors(batches):
+        for block, rows in _each(batches):
+            keys, apart, _, _ = anchors(words_of(rows), buckets)
+            rest = ~held.value.shared(keys)
+            keys, apart = keys[rest], apart[rest]
+            low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32) | apart.astype(np.uint32)
+            yield _sent(block, [(b, low[i:j].tobytes()) for b, i, j in _by_bucket(keys >> np.uint64(32))])
 
     def send_windows(rows: pa.Table, marks: pa.Table) -> pa.Table:
-        w = words_of(rows)
-        keys, _, at, number = anchors(w, buckets)
-        shared = _bits_of(marks, 1, keys >> np.uint64(32))
-        bucket, h, smallest, _, _ = windows(w, at, shared[number], buckets)
-        block = rows.column(_BLOCK)[0].as_py() if rows.num_rows else 0
-        return _sent(block, [(b, h[i:j].tobytes() + smallest[i:j].tobytes()) for b, i, j in _by_bucket(bucket)])
+        if not rows.num_rows:
+            return pa.Table.from_batches([_sent(0, [])])
+        w = words_of(_unpacked(rows.column("payload")[0].as_buffer()))
+        bucket, h, smallest, _, _ = windows(w, *_shared_anchors(w, marks, held.value), buckets)
+        rest = ~held.value.window_at(bucket, h)[1]
+        bucket, h, smallest = bucket[rest], h[rest], smallest[rest]
+        return pa.Table.from_batches([_sent(rows.column("block")[0].as_py(), [(b, h[i:j].tobytes() + smallest[i:j].tobytes()) for b, i, j in _by_bucket(bucket)])])
 
     def last(rows: pa.Table, marks: pa.Table) -> pa.Table:
-        w = words_of(rows)
-        return finish(rows.drop_columns([_BLOCK]), w, _covered(w, marks, buckets))
+        own = _unpacked(rows.column("payload")[0].as_buffer())
+        w = words_of(own)
+        return finish(own, w, _covered(w, marks, held.value))
 
     def answers(sent: DataFrame, step: int, judge) -> DataFrame:
         return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(step, judge), _MARKS)
 
-    groups = blocked.groupBy(_BLOCK)
-    first = answers(groups.applyInArrow(send_anchors, _SENT), 1, judge_anchors)
+    groups = blocks.groupBy("block")
+    first = answers(blocks.mapInArrow(send_anchors, _SENT), 1, judge_anchors)
     second = answers(groups.cogroup(first.groupBy("block")).applyInArrow(send_windows, _SENT), 2, judge_windows)
     return groups.cogroup(first.union(second).groupBy("block")).applyInArrow(last, schema)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType
 
@@ -266,7 +400,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         )
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return _run(docs.select("doc_id", "text"), finish, schema)
+    return _run(docs.select("doc_id", "text"), finish, schema, block_bytes)
 
 
 def _kept(w: Words, covered: np.ndarray):
@@ -278,7 +412,7 @@ def _kept(w: Words, covered: np.ndarray):
         yield b" ".join([own[a:b] for a, b in zip(begins[i:j], ends[i:j], strict=True)])
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with repeated words taken out of ``text``; n_chars, if there, follows.
 
     A text that loses nothing stays as it is; otherwise the kept words are joined by one space.
@@ -297,7 +431,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             rows = rows.set_column(at, "n_chars", pa.array(counts, rows.schema.field(at).type))
         return rows
 
-    return _run(docs, finish, schema)
+    return _run(docs, finish, schema, block_bytes)
 
 
 #: The same result in SQL: every window of every document with the smallest document that has it.
