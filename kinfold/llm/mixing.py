@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kinfold import runtime
 from kinfold.llm import hashed_features as hf
-from kinfold.operators.ranking import ranked, running_sums
+from kinfold.operators.ranking import running_sums
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -57,20 +57,19 @@ def targets(sized: DataFrame) -> DataFrame:
     The level at which targets stop is found in closed form: with sources ordered by cap over weight, the
     first one that stays below its cap when all before it are at theirs fixes the level of all that follow.
     """
-    own = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    placed = ranked(own, F.col("source").asc_nulls_last())
+    own = runtime.materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources", narrow=8)
+    placed = running_sums(own, F.col("source").asc_nulls_last(), place=F.lit(1).cast("bigint"), offset=F.col("source_size"))
     placed = placed.withColumn("weight", _weight(F.col("place"))).withColumn("cap", (MOST_PASSES * F.col("source_size")).cast("double"))
-    ordered = placed.withColumn("ratio", F.col("cap") / F.col("weight"))
-    ordered = running_sums(ordered, "ratio", "place", caps=F.col("cap"), weights=F.col("weight"))
+    placed = runtime.materialize(placed.withColumn("ratio", F.col("cap") / F.col("weight")), "placed", narrow=8)
+    ordered = running_sums(placed, "ratio", "place", caps=F.col("cap"), weights=F.col("weight"))
     totals = placed.agg((F.lit(SHARE) * F.sum("source_size")).alias("budget"), F.sum("weight").alias("all_weights"))
     leveled = ordered.crossJoin(totals).withColumn("level", (F.col("budget") - F.col("caps")) / (F.col("all_weights") - F.col("weights")))
     # One row: the first source, in the order of their ratios, that stays below its cap.
     fixed = leveled.where("level <= ratio").agg(F.min_by("level", F.struct("ratio", "place")).alias("fixed"))
     target = F.least(F.col("cap"), F.col("weight") * F.col("fixed"))
     found = leveled.crossJoin(fixed).withColumn("target", target)
-    offsets = running_sums(placed.select("place", "source_size"), "place", offset=F.col("source_size")).select("place", "offset")
     take = F.least(F.floor(F.col("target") + 0.5), MOST_PASSES * F.col("source_size"))
-    return found.join(offsets, "place").select("source", "place", "source_size", "offset", "target", take.alias("take"))
+    return found.select("source", "place", "source_size", "offset", "target", take.alias("take"))
 
 
 def schedule(goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -147,7 +146,7 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def _taken(sized: DataFrame) -> DataFrame:
     sized = runtime.materialize(sized, "sizes")
-    goals = runtime.materialize(targets(sized), "targets")
+    goals = runtime.materialize(targets(sized), "targets", narrow=8)
     parts = mix(sized, goals)
     first = F.min(F.when(F.col("words") > 0, F.col("position"))).alias("position")
     return parts.groupBy(ROW, "doc_id", "source", "size", "source_size", "target").agg(F.sum("words").alias("taken"), first)
