@@ -262,7 +262,7 @@ def components(prints: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_R
     groups = runtime.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = connected_components(links(groups.select("fp"), distance, bucket_rows))
     rooted = groups.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = runtime.materialize(rooted, "rooted")
+    rooted = runtime.materialize(rooted, "rooted", narrow=4)
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "component_id")
 

@@ -429,12 +429,13 @@ def verified_links(held: DataFrame, row: str, groups: DataFrame, candidates: Dat
     held: the documents, numbered in the column ``row``; groups: node, size and first place of each distinct shingle set; candidates: (node, root).
     """
     members = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct()).join(groups.select("node", "size", F.col("first.row").alias("at")), "node")
-    members = runtime.materialize(members, "members")
+    members = runtime.materialize(members, "members", narrow=8)
     large = members.groupBy("root").agg(F.sum("size").alias("size")).where(F.col("size") > most)
     large = large.select("root", F.ceil(F.lit(2.0) * F.col("size") / most).cast("bigint").alias("blocks"))
     dealt = members.join(large, "root", "left").select("at", "node", F.col("root").alias("key"), F.coalesce("blocks", F.lit(1).cast("bigint")).alias("blocks"))
     texts = held.select(F.col(row).alias("at"), "text")
-    sets = texts.join(dealt, "at").mapInArrow(_with_sets(shingle), "key bigint, node bigint, blocks bigint, hashes binary")
+    # Where the candidates are few, the texts are not shuffled.
+    sets = texts.join(runtime.if_small(dealt, members.count()), "at").mapInArrow(_with_sets(shingle), "key bigint, node bigint, blocks bigint, hashes binary")
     sets = in_block_pairs(sets, "key", "blocks").select("key", "node", "hashes")
     return sets.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(similarity), _EDGES)
 
@@ -448,18 +449,19 @@ def planned(groups: DataFrame, similarity: float) -> Plan:
     return plan(np.ascontiguousarray(own[:, :PRINT_WORDS]), own[:, PRINT_WORDS:], total, similarity)
 
 
-def components(held: DataFrame, row: str, found: DataFrame, similarity: float, shingle: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(node, first): for each distinct shingle set of ``found`` (node, size, print, place) the first place of its component."""
+def components(held: DataFrame, row: str, found: DataFrame, similarity: float, shingle: int, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+    """(node, first): for each distinct shingle set of ``found`` (node, size, print, place) the first place of its component; and the number of components."""
     groups = runtime.materialize(found.groupBy("node").agg(F.min("place").alias("first"), F.min("size").alias("size"), F.min("print").alias("print")), "prints")
     candidates = connected_components(links(groups, planned(groups, similarity), bucket_rows))
     roots = connected_components(verified_links(held, row, groups, candidates, similarity, shingle))
     # The members of a large component are dealt out in turns; a component of one has one turn.
     turn = F.when(F.col("root").isNotNull(), F.pmod("node", F.lit(TURNS))).otherwise(F.lit(0)).cast("int")
     rooted = groups.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"), turn.alias("turn"))
-    rooted = runtime.materialize(rooted, "rooted")
+    rooted = runtime.materialize(rooted, "rooted", narrow=4)
     named = rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     named = named.select("root", "first", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1, F.lit(TURNS - 1)).otherwise(F.lit(0)))).alias("turn"))
-    return rooted.select("node", "root", "turn").join(named, ["root", "turn"]).select("node", "first")
+    kept = rooted.where("node = root").count()
+    return rooted.select("node", "root", "turn").join(named, ["root", "turn"]).select("node", "first"), kept
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -471,6 +473,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bucket_
     # Null ids come last: a false orders before a true.
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = held.select(F.col(node).alias("node"), F.col(size).alias("size"), F.col(print_).alias("print"), place.alias("place"))
-    placed = found.select("node", "place").join(components(held, row, found, similarity, shingle, bucket_rows), "node")
+    named, kept = components(held, row, found, similarity, shingle, bucket_rows)
+    placed = found.select("node", "place").join(named, "node")
     gone = placed.where(F.col("place.row") != F.col("first.row")).select(F.col("place.row").alias(row))
-    return held.join(gone, row, "left_anti").select(*docs.columns)
+    # Where few rows go, the texts are not shuffled.
+    return held.join(runtime.if_small(gone, held.count() - kept), row, "left_anti").select(*docs.columns)
