@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against literal versions, and models on rows kept out of their training."""
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -8,8 +9,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from kinfold.llm import attention, language_model, registry, simhash, substring_dedup
+from kinfold.llm import attention, language_id, language_model, quality_classifier, quality_rules, registry, simhash, substring_dedup
 from kinfold.llm import textblocks as tb
 from kinfold.operators.components import union_find
 
@@ -280,6 +282,120 @@ def test_the_model_beats_the_word_counts_on_held_out_texts(found, size):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def literal_repeats(rows, width=13):
+    """doc_id, words and kept words of each document, window by window."""
+    least: dict[tuple, int] = {}
+    for i, t in rows:
+        words = t.split()
+        for k in range(len(words) - width + 1):
+            key = tuple(words[k : k + width])
+            least[key] = min(i, least.get(key, i))
+    for i, t in rows:
+        words = t.split()
+        gone = {k + j for k in range(len(words) - width + 1) if least[tuple(words[k : k + width])] < i for j in range(width)}
+        yield i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def test_passages_of_every_block_and_of_a_few(spark):
+    """Many small blocks: one passage is in all documents, so in the lists of frequent windows; others are in two or three, a few in one document twice."""
+    rng = random.Random(31)
+    prose = lambda n: " ".join(f"v{rng.randrange(4000)}" for _ in range(n))
+    common, rare = prose(40), [prose(rng.randrange(13, 30)) for _ in range(60)]
+    rows = []
+    for i in range(240):
+        parts = [prose(rng.randrange(5, 60)), common if i % 3 else prose(3), prose(20)]
+        parts += [p for k, p in enumerate(rare) if k in (i % 97, (i * 7) % 211)]
+        parts += [parts[0]] if i % 50 == 0 else []
+        rows.append((1000 - 3 * i, " ".join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    wanted = {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in literal_repeats(rows)}
+    for block_bytes in (1500, substring_dedup.BLOCK_BYTES):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.repeats(docs, block_bytes).collect()}
+        assert got == wanted
+    blocks = substring_dedup._ingest(docs, 1500)
+    known = substring_dedup._known(blocks, 1)
+    assert blocks.count() > 60 and known.windows.shape[1] >= 28 and (known.least[known.least < 2**62].min() >= 1000 - 3 * 239)
+
+
+def test_words_of_every_block_are_counted(spark):
+    rng = random.Random(37)
+    rows = [(i, " ".join(["the", "of", *(f"v{rng.randrange(3000)}" for _ in range(rng.randrange(1, 80))), "the"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    counts = Counter(w for i, t in rows if i % 5 for w in t.split())
+    n, v, texts = sum(counts.values()), len(counts), sum(1 for i, _ in rows if i % 5)
+    n, v = n + texts, v + 1
+    for r in language_model.score(docs, F.col("doc_id") % 5 == 0, windows=50, block_bytes=1000).collect():
+        own = dict(rows)[r["doc_id"]].split()
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own) + 1, sum(counts[w] > 0 for w in own) + 1, n)
+        assert r["base_score"] == pytest.approx(sum(np.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in [*(counts[w] for w in own), texts]))
+
+
+def grams(spec, text):
+    """For each section the features of a text's n-grams, one n-gram after the other."""
+    raw = text.encode()
+    if spec.lower:
+        raw = raw.translate(tb.LOWER)
+    for number, (section, start) in enumerate(zip(spec.sections, spec.starts(), strict=False)):
+        found = []
+        if section.kind == "byte":
+            units = [raw[i : i + 1] for i in range(len(raw))]
+            bucket = lambda own: tb.gram_indexes(np.frombuffer(b"".join(own), dtype=np.uint8), section.width, section.bits, number + 1)[0]  # noqa: B023, E731
+        elif section.kind == "char":
+            units = list(raw.decode())
+            bucket = lambda own: tb.point_gram_indexes(np.array([ord(c) for c in own], dtype=np.uint32), section.width, section.bits, number + 1)[0]  # noqa: B023, E731
+        else:
+            units = raw.split()
+
+            def bucket(own):
+                data = np.frombuffer(b" ".join(own), dtype=np.uint8)
+                begins, ends, _ = tb.word_bounds(data, np.array([0, len(data)]))
+                return tb.window_hashes(tb.span_hashes(data, begins, ends), section.width)[0] >> np.uint64(64 - section.bits)  # noqa: B023
+
+        for i in range(len(units) - section.width + 1):
+            found.append(start + int(bucket(units[i : i + section.width])))
+        yield found
+
+
+def literal_margin(spec, weights, text):
+    return sum(sum(weights[f] for f in found) / len(found) for found in grams(spec, text) if found)
+
+
+ODD_TEXTS = ["", "a", "Ä b", "語言 模型 語言", "one two one two\nthree", "Привет, мир! " * 4, "$$$ ### %% 100 <b>", "x" * 90]
+
+
+def test_scores_are_those_of_a_literal_predictor(spark):
+    """Language ID, quality classifier and quality rules from their fitted parameters, n-gram by n-gram."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = [r["text"] for r in base.where("length(text) < 700").orderBy("doc_id").limit(12).collect()] + ODD_TEXTS
+    rows = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")
+    curve = lambda x: 1 / (1 + np.exp(-x))
+
+    model = quality_rules.fit(base, labels)
+    got = {r["doc_id"]: r["probability"] for r in quality_rules.judge(rows, model).collect()}
+    for i, text in enumerate(some):
+        assert got[i] == pytest.approx(curve(literal_margin(quality_rules.SPEC, model.weights[:, 0], text) * model.slope + model.offset), rel=1e-6)
+
+    model = language_id.fit(base, F.lit(True))
+    got = {r["doc_id"]: r for r in language_id.predict(rows, model).collect()}
+    for i, text in enumerate(some):
+        if got[i]["lang_pred"] == "und":
+            assert not any(c.isalpha() for c in text)
+            continue
+        hidden = sum(np.mean([model.embeddings[f] for f in found], axis=0) for found in grams(language_id.SPEC, text) if found)
+        z = (hidden @ model.output + model.bias) * model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["score"] == pytest.approx(p.max(), rel=1e-6) and got[i]["lang_pred"] == model.languages[int(p.argmax())]
+
+    model = quality_classifier.fit(base, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(rows, model).collect()}
+    for i, text in enumerate(some):
+        there = sorted({f for found in grams(quality_classifier.SPEC, text) for f in found})
+        scaled = model.ratio[there]
+        margin = float(model.weights[there] @ scaled) / max(float(np.sqrt((scaled**2).sum())), 1e-9) if there else 0.0
+        assert got[i] == pytest.approx(curve((margin + model.intercept) * model.slope + model.offset), rel=1e-4)
+
+
 def test_held_out_accuracy(found):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
