@@ -392,3 +392,15 @@ def test_thresholds_of_many_hashes(spark):
     for plan in plans:
         with mock.patch.object(duplicates, "thresholds", lambda n, d, plan=plan: list(plan)):
             assert {(r["id_b"], r["id_a"]) for r in duplicates.duplicate_pairs(photos).collect()} == want
+
+
+def test_running_sums_over_ranges(spark):
+    from kinfold.operators.ranking import running_sums
+
+    rows = spark.range(500).select("id", ((F.col("id") * 37) % 101).alias("x"), (F.col("id") % 7).alias("w")).repartition(4)
+    sums = {"before": F.col("w"), "place": F.lit(1).cast("bigint")}
+    got = [{r["id"]: (r["before"], r["place"]) for r in running_sums(rows, "x", "id", one_task_rows=n, **sums).collect()} for n in (10, 1000)]
+    ordered = sorted(range(500), key=lambda i: (i * 37 % 101, i))
+    want = {i: (sum(j % 7 for j in ordered[:k]), k) for k, i in enumerate(ordered)}
+    assert got == [want, want]
+    assert running_sums(rows.limit(0), "x", "id", one_task_rows=0, **sums).count() == 0
