@@ -59,10 +59,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def most_labels(listed: DataFrame) -> int:
-    """The largest number of labels of a listed site (key string): no longer parent can be listed."""
-    sites = listed.where(F.col("key").endswith("/")).select(F.size(F.split("key", r"\.")).alias("n"))
-    return int(sites.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+def extent(listed: DataFrame) -> tuple[int, int]:
+    """How many keys (key string) there are, and the largest number of labels of a listed site: no longer parent can be listed."""
+    labels = F.when(F.col("key").endswith("/"), F.size(F.split("key", r"\.")))
+    told = listed.agg(F.count("*").alias("n"), F.coalesce(F.max(labels), F.lit(0)).alias("labels")).first()
+    return int(told["n"]), int(told["labels"])
 
 
 def _decoded(text: Column) -> Column:
@@ -156,10 +157,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most_filter_bytes: i
     """page_id, host, path, rule, listed and verdict for each row of ``pages``; ``listed`` has canonical keys (key string)."""
     spark = hf.whole_ids(pages, "page_id").sparkSession
     runtime.ship_package(spark)
-    own = listed.where(F.col("key").isNotNull()).select("key").distinct()
-    held = spark.sparkContext.broadcast(build_filter(own, filter_blocks(own.count(), most_bytes=most_filter_bytes)))
+    own = runtime.materialize(listed.where(F.col("key").isNotNull()).select("key").distinct(), "listed", narrow=8)
+    count, labels = extent(own)
+    held = spark.sparkContext.broadcast(build_filter(own, filter_blocks(count, most_bytes=most_filter_bytes)))
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = parsed.withColumn("keys", keys_of(F.col("host"), F.col("path"), most_labels(own))).withColumns({"hashes": F.transform("keys", lambda k: F.xxhash64(k)), "bits": F.transform("keys", bits_hash)})
+    keyed = parsed.withColumn("keys", keys_of(F.col("host"), F.col("path"), labels)).withColumns({"hashes": F.transform("keys", lambda k: F.xxhash64(k)), "bits": F.transform("keys", bits_hash)})
     key = pages.schema["page_id"].dataType.simpleString()
     seen = runtime.materialize(keyed.mapInArrow(_possible(held), f"page_id {key}, host string, path string, maybe array<string>"), "urls")
     clean, possible = seen.where(F.size("maybe") == 0), seen.where(F.size("maybe") > 0)
