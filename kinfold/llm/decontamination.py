@@ -272,6 +272,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, patter
         def keep(batches, held=held):
             for batch in batches:
                 yield batch.filter(pa.array([covered is None for _, covered, _ in scan(held.value, batch.column("text"))], pa.bool_()))
+            tb.release()
 
         docs = docs.mapInArrow(keep, docs.schema)
         if n < len(found) - 1:

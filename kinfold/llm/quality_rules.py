@@ -138,6 +138,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
             else:
                 p = 1 / (1 + np.exp(-np.clip(hf.mean_scores(SPEC, model.weights, text)[:, 0] * model.slope + model.offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(stats[:, k]) for k in range(5)), pa.array(p)], schema=_ARROW)
+        tb.release()
 
     runtime.ship_package(docs.sparkSession)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -170,5 +171,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(hf.mean_scores(SPEC, model.weights, text)[:, 0] * model.slope + model.offset, -30, 30)))
                 good &= p >= MIN_PROBABILITY
             yield batch.filter(pa.array(good))
+        tb.release()
 
     return docs.mapInArrow(keep, schema)

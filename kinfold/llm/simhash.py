@@ -275,11 +275,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
 
 def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """The rows of ``docs`` without those that another row of their component stands for: the smallest doc_id stays, of equal ids one row."""
-    row, fp = "_near_row", "_near_fp"
+    row, fp = runtime.spare_name(docs, "near_row"), runtime.spare_name(docs, "near_fp")
     held = runtime.materialize(with_fingerprints(docs, shingle, fp).withColumn(row, F.monotonically_increasing_id()), "near")
-    found = held.select("doc_id", F.col(fp).alias("fp"), row)
+    found = held.select("doc_id", F.col(fp).alias("fp"), F.col(row).alias("row"))
     placed = found.join(components(found.select("doc_id", "fp"), distance), "fp")
     # Null ids come last: the struct orders a null before any id.
-    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")))["row"].alias(row))
-    gone = found.select(row).join(stays.select(row), row, "left_anti")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))["row"].alias("row"))
+    gone = found.select("row").join(stays.select("row"), "row", "left_anti").withColumnRenamed("row", row)
     return held.join(gone, row, "left_anti").select(*docs.columns)

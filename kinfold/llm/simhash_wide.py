@@ -221,6 +221,7 @@ def _with_prints(docs: DataFrame, shingle: int, node: str, size: str, print_: st
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
             prints = pa.array([fingerprint(x).tobytes() + least_shingles(x).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array([len(x) for x in sets], pa.int64()), prints], names=[*batch.schema.names, node, size, print_])
+        tb.release()
 
     more = [T.StructField(node, T.LongType()), T.StructField(size, T.LongType()), T.StructField(print_, T.BinaryType())]
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, *more]))

@@ -242,6 +242,7 @@ def _each(batches) -> Iterator[tuple[int, pa.Table]]:
     for batch in batches:
         for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
             yield block, _unpacked(payload.as_buffer())
+    tb.release()
 
 
 def _often(rows: DataFrame, *keys: str) -> np.ndarray:
@@ -371,12 +372,15 @@ def _run(docs: DataFrame, finish, schema, block_bytes: int) -> DataFrame:
         bucket, h, smallest, _, _ = windows(w, *_shared_anchors(w, marks, held.value), buckets)
         rest = ~held.value.window_at(bucket, h)[1]
         bucket, h, smallest = bucket[rest], h[rest], smallest[rest]
+        tb.release()
         return pa.Table.from_batches([_sent(rows.column("block")[0].as_py(), [(b, h[i:j].tobytes() + smallest[i:j].tobytes()) for b, i, j in _by_bucket(bucket)])])
 
     def last(rows: pa.Table, marks: pa.Table) -> pa.Table:
         own = _unpacked(rows.column("payload")[0].as_buffer())
         w = words_of(own)
-        return finish(own, w, _covered(w, marks, held.value))
+        done = finish(own, w, _covered(w, marks, held.value))
+        tb.release()
+        return done
 
     def answers(sent: DataFrame, step: int, judge) -> DataFrame:
         return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer(step, judge), _MARKS)

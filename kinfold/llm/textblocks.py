@@ -8,6 +8,7 @@ so no Python object is made for a word. Buffers are cut at document bounds into
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,3 +178,13 @@ def is_in(hashes: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.n
     inside = at < len(sorted_keys)
     there[inside] = sorted_keys[at[inside]] == hashes[inside]
     return at, there
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: workers that wait for their next task keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        # Not the C library that has this; its allocator does as it likes.
+        return

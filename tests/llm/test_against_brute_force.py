@@ -382,7 +382,7 @@ def test_scores_are_those_of_a_literal_predictor(spark):
         if got[i]["lang_pred"] == "und":
             assert not any(c.isalpha() for c in text)
             continue
-        hidden = sum(np.mean([model.embeddings[f] for f in found], axis=0) for found in grams(language_id.SPEC, text) if found)
+        hidden = sum((np.mean([model.embeddings[f] for f in found], axis=0) for found in grams(language_id.SPEC, text) if found), np.zeros(language_id.DIMENSIONS))
         z = (hidden @ model.output + model.bias) * model.temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert got[i]["score"] == pytest.approx(p.max(), rel=1e-6) and got[i]["lang_pred"] == model.languages[int(p.argmax())]

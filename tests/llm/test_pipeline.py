@@ -210,3 +210,26 @@ def test_the_last_stage_follows_the_schedule(spark):
 def _set(text):
     hashes = simhash_wide.shingle_set(text.encode(), 5)
     return int(hashes.sum().view(np.int64)), len(hashes)
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls, blanks, a very long text, repeated rows and ids, and columns whose names the stages use themselves."""
+    rng = random.Random(41)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    long = prose(150_000)
+    texts = [(1, prose(100)), (None, prose(80)), (3, None), (4, " \n"), (5, long), (5, long), (6, prose(60)), (6, prose(60)), (7, "short")]
+    clash = {"near_row": 1, "_near_row": 2, "node": 3, "size": 4, "first": 5, "place": 6, "key": 7, "block": 8, "payload": 9, "_mix_number": 10, "Position": 11}
+    rows = [(i, t, None, None if k % 2 else "s", None, *clash.values()) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in clash))
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 1), (None, 1, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b"), (2, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    out = {(r["doc_id"], r["text"]): r for r in corpus_pipeline.mixed(spark, kept, str(tmp_path)).collect()}
+    # The rules reject what has no 50 words; of the long text one copy stays; rows of one id don't take from each other.
+    assert set(out) == {(i, t) for i, t in texts if t and len(t.split()) >= 50}
+    assert sum(r["size"] for r in out.values()) == sum(len(t.split()) for _, t in out) and all(r["node"] == 3 for r in out.values())
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
