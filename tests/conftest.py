@@ -21,6 +21,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from kinfold import runtime
+
+    runtime.drop_scratch(session)
 
 
 @pytest.fixture(scope="session")

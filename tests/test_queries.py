@@ -31,9 +31,8 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert rows_of(columns, [[r[c] for c in columns] for r in df.collect()]) == wanted
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_query_runs(spark, sf_dir, name):
-    assert registry.queries()[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
