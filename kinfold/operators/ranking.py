@@ -54,11 +54,18 @@ def running_sums(rows: DataFrame, *order: Column | str, one_task_rows: int = ONE
     return placed.drop("_part", "_at", *(f"{p}_{n}" for n in sums for p in ("_own", "_in", "_before")))
 
 
-def with_previous(rows: DataFrame, value: str, *order: Column | str) -> DataFrame:
-    """``rows`` with the ``value`` of the row before in the order as ``previous``; null for the first. ``value`` must not fall along the order."""
-    held = _ranges(rows, *order)
+def bursts(rows: DataFrame, time: str, gap: Column, name: str = "burst") -> DataFrame:
+    """The times of ``rows`` with the number of their burst: a time more than ``gap`` after the one before begins a new one.
+
+    A range of times looks at the last time before it, and the bursts that begin in each range are added up beforehand.
+    """
+    held = _ranges(rows.select(time), time)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    tops = held.groupBy("_part").agg(F.max(value).alias("_top"))
-    before = F.broadcast(tops.select("_part", F.max("_top").over(earlier).alias("_last")))
-    inside = F.lag(value).over(Window.partitionBy("_part").orderBy("_at"))
-    return held.withColumn("_lag", inside).join(before, "_part").withColumn("previous", F.coalesce("_lag", "_last")).drop("_part", "_at", "_lag", "_last")
+    tops = held.groupBy("_part").agg(F.max(time).alias("_top"))
+    last = F.broadcast(tops.select("_part", F.max("_top").over(earlier).alias("_last")))
+    inside = Window.partitionBy("_part").orderBy("_at")
+    before = F.coalesce(F.lag(time).over(inside), F.col("_last"))
+    marked = held.join(last, "_part").withColumn("_new", F.when(F.col(time) <= before + gap, 0).otherwise(1))
+    counted = marked.withColumn("_in", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = marked.groupBy("_part").agg(F.sum("_new").alias("n"))
+    return counted.join(_before(totals, "n"), "_part").select(time, (F.col("_before_n") + F.col("_in")).alias(name))

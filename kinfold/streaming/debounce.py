@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold import constants as C
-from kinfold.operators.ranking import running_sums, with_previous
+from kinfold.operators.ranking import bursts
 
 
 def debounce_stream(events: DataFrame, seconds: int = C.DEBOUNCE_SECONDS) -> DataFrame:
@@ -24,13 +24,11 @@ def debounce_stream(events: DataFrame, seconds: int = C.DEBOUNCE_SECONDS) -> Dat
 def debounce_batch(events: DataFrame, seconds: int = C.DEBOUNCE_SECONDS) -> DataFrame:
     """The same over a table: events more than ``seconds`` after the last one begin a burst.
 
-    Events are sorted in ranges of time; a range looks at the last event before it, and bursts are numbered by a running sum, so no task
-    holds more than a range, and a burst of any length is summed up in parts.
+    Events are sorted in ranges of time, so no task holds more than a range, and a burst of any length is summed up in parts.
     """
     gap = F.expr(f"INTERVAL {seconds} SECONDS")
-    numbered = with_previous(events.where(F.col("ts").isNotNull()).select("ts"), "ts", "ts").withColumn("fresh", F.when(F.col("ts") <= F.col("previous") + gap, 0).otherwise(1))
-    bursts = running_sums(numbered.select("ts", "fresh"), "ts", F.desc("fresh"), earlier=F.col("fresh"))
-    own = bursts.groupBy((F.col("earlier") + F.col("fresh")).alias("burst")).agg(F.min("ts").alias("started"), F.max("ts").alias("last"), F.count("*").alias("events"))
+    numbered = bursts(events.where(F.col("ts").isNotNull()), "ts", gap)
+    own = numbered.groupBy("burst").agg(F.min("ts").alias("started"), F.max("ts").alias("last"), F.count("*").alias("events"))
     return own.select(F.col("started").cast("timestamp_ntz").alias("started"), (F.col("last") + gap).cast("timestamp_ntz").alias("fires_at"), "events")
 
 
