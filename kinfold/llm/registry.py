@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import hashed_features as hf
-from kinfold.llm import decontamination, language_id, language_model, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
+from kinfold.llm import decontamination, divergence, jaccard_join, language_id, language_model, merkle, mixing, quality_classifier, quality_rules, simhash, substring_dedup, url_filter, warc
 from kinfold.runtime import scratch_path, table
 
 
@@ -72,6 +72,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.proofs(table(spark, sf_dir, "documents"), tampered)
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -86,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_warc,
             op9_quality_rules,
             op10_mixing,
+            op11_divergence_audit,
+            op12_merkle_manifest,
+            op13_jaccard_join,
         )
     }
 
@@ -97,4 +113,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": substring_dedup.SQL,
         "op8_warc": warc.SQL,
         "op10_mixing": mixing.SQL,
+        "op11_divergence_audit": divergence.SQL,
+        "op12_merkle_manifest": merkle.SQL,
+        "op13_jaccard_join": jaccard_join.SQL,
     }
