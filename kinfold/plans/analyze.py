@@ -98,7 +98,6 @@ def _analyze_batch(spark: SparkSession, store: Store, listed: DataFrame, paths:
     """Read, detect and publish the photos with these paths; how many were analyzed, and on how many the engine failed."""
     # One read decodes the pictures, and one pass over them gives hashes and detections.
     seen = runtime.materialize(images.analyzed(images.decoded(spark, paths), make_engine), "analyzed")
-    failed = seen.where("failed").count()
     good = seen.where("NOT failed")
     facts = good.select("path", "width", "height", "phash").join(images.metadata(images.contents(spark, paths)), "path")
     rows = listed.join(facts, "path").select(
@@ -114,7 +113,9 @@ def _analyze_batch(spark: SparkSession, store: Store, listed: DataFrame, paths:
     untouched = faces.join(touched, "photo_id", "left_anti").select(*faces.columns)
     fresh = fresh.select("photo_id", F.col("person_id").cast("bigint").alias("person_id"), *_BOX, "embedding", "pinned", "confidence")
     store.write(photos=after, faces=edits.add_faces(untouched, fresh, store.next_id("faces")))
-    return rows.count(), failed
+    made = rows.count()
+    # What could not be decoded counts as failed, too: it is tried again in the next run.
+    return made, len(paths) - made
 
 
 def watch(spark: SparkSession, folder: str, run: Callable[[], object], clock: Callable[[], float] = time.time) -> DataStreamWriter:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -17,25 +19,25 @@ from pyspark.sql import functions as F
 from kinfold import constants as C
 from kinfold import runtime
 from kinfold.functions import exif, media
+from kinfold.sources import folders
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """(path, mtime, size) of all images below a folder. A missing folder is an error, before anything is changed.
 
-    Only file metadata is read. Names that start with a dot or underscore are skipped by Spark's file listing.
+    Only file metadata is read. A folder of a mounted file system is listed exactly: names that start with a dot or underscore count, times are as fine as the
+    file system has them, and a directory that can't be read is an error. In other stores Spark lists, and skips such names.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    rows = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"))
+    if folders.is_local(folder):
+        rows = folders.files(spark, folder).select("path", "mtime", "size")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        rows = files.select("path", F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"))
     return rows.where(media.is_image(F.col("path")))
 
 
 def _plain(path: str):
-    return F.regexp_replace(path, "^file:(//)?", "").alias("path")
-
-
-def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content) of these files; no others are opened."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*").load([_escaped(p) for p in paths]).select(_plain("path"), "content")
+    return F.regexp_replace(path, "^file:(//)?", "")
 
 
 def _escaped(path: str) -> str:
@@ -43,12 +45,46 @@ def _escaped(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?^,])", r"\\\1", path)
 
 
+def _hidden(path: str) -> bool:
+    """Whether Spark's file sources leave a file with this name out, even if it is named to them."""
+    name = path.rsplit("/", 1)[-1]
+    return name.startswith((".", "_")) or name.endswith("._COPYING_")
+
+
+def _staged(spark: SparkSession, paths: list[str]) -> tuple[list[str], DataFrame | None]:
+    """Paths that Spark reads these files by, and (staged, path) of those that had to be copied as their names are hidden ones."""
+    hidden = [p for p in paths if _hidden(p)]
+    if not hidden:
+        return [_escaped(p) for p in paths], None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, rows = runtime.scratch_path(spark, "staged"), []
+    for k, path in enumerate(hidden):
+        source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}{os.path.splitext(path)[1]}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        rows.append((re.sub("^file:(//)?", "", target.toString()), path))
+    return [*(_escaped(p) for p in paths if not _hidden(p)), *(staged for staged, _ in rows)], spark.createDataFrame(rows, "staged string, path string")
+
+
+def _listed_paths(rows: DataFrame, staged: DataFrame | None) -> DataFrame:
+    """``rows`` with the paths that the files were listed by."""
+    if staged is None:
+        return rows
+    own = rows.withColumnRenamed("path", "staged").join(F.broadcast(staged), "staged", "left")
+    return own.select(F.coalesce("path", "staged").alias("path"), *(c for c in rows.columns if c != "path"))
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content) of these files; no others are opened."""
+    names, staged = _staged(spark, paths)
+    return _listed_paths(spark.read.format("binaryFile").option("pathGlobFilter", "*").load(names).select(_plain("path").alias("path"), "content"), staged)
+
+
 # -- metadata ------------------------------------------------------------------------------------------------
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 #: Tag numbers of the blocks and fields that are read.
 _EXIF_BLOCK, _GPS_BLOCK = 0x8769, 0x8825
-_ORIGINAL, _DIGITIZED, _MODIFIED = 0x9003, 0x9004, 0x0132
+_ORIGINAL, _DIGITIZED, _MODIFIED, _ORIENTATION = 0x9003, 0x9004, 0x0132, 0x0112
 _LAT_REF, _LAT, _LON_REF, _LON = 1, 2, 3, 4
 
 
@@ -101,7 +137,7 @@ def tiff_fields(tiff: bytes, at: int) -> dict[int, object]:
 
 def raw_metadata(data: bytes) -> dict:
     """Dates as text and coordinates as rational parts, as the file has them; each block may fail by itself."""
-    out: dict = {k: None for k in ("original", "digitized", "modified", "lat", "lat_ref", "lon", "lon_ref")}
+    out: dict = {k: None for k in ("original", "digitized", "modified", "lat", "lat_ref", "lon", "lon_ref", "orientation")}
     text = lambda v: v.decode("latin-1") if isinstance(v, bytes) else None
     parts = lambda v: [{"num": float(a), "den": float(b)} for a, b in v] if isinstance(v, list) and v and isinstance(v[0], tuple) else None
     try:
@@ -112,6 +148,8 @@ def raw_metadata(data: bytes) -> dict:
     except (struct.error, IndexError, KeyError):
         return out
     out["modified"] = text(main.get(_MODIFIED))
+    turn = main.get(_ORIENTATION)
+    out["orientation"] = turn[0] if isinstance(turn, list) and turn and turn[0] in range(1, 9) else None
     for block, names in ((_EXIF_BLOCK, {"original": _ORIGINAL, "digitized": _DIGITIZED}), (_GPS_BLOCK, {"lat_ref": _LAT_REF, "lon_ref": _LON_REF, "lat": _LAT, "lon": _LON})):
         try:
             if block in main:
@@ -133,7 +171,7 @@ def metadata(files: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            rows = [raw_metadata(c or b"") | {"path": p} for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            rows = [{k: v for k, v in raw_metadata(c or b"").items() if k != "orientation"} | {"path": p} for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     raw = files.select("path", "content").mapInArrow(read, f"path string, original string, digitized string, modified string, lat {_PARTS}, lat_ref string, lon {_PARTS}, lon_ref string")
@@ -146,49 +184,87 @@ def metadata(files: DataFrame) -> DataFrame:
 # -- pixels --------------------------------------------------------------------------------------------------
 
 
+#: Bits behind the point of the weights of a resampling of bytes.
+_FIXED_BITS = 22
+
+
 def _lanczos(source: int, target: int) -> np.ndarray:
-    """Weights (target, source) of a Lanczos resampling with three lobes, widened when shrinking."""
+    """Weights (target, source) of a Lanczos resampling with three lobes, widened when shrinking, in whole parts of 2**22.
+
+    A target takes in the source pixels whose middle lies within the lobes, cut at whole pixels; weights add up to one before they are rounded.
+    """
     scale = max(source / target, 1.0)
-    centre = (np.arange(target) + 0.5) * source / target
-    x = (np.arange(source)[None, :] + 0.5 - centre[:, None]) / scale
-    w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
-    return w / w.sum(axis=1, keepdims=True)
+    out = np.zeros((target, source))
+    for t in range(target):
+        middle = (t + 0.5) * source / target
+        lo, hi = max(int(middle - 3 * scale + 0.5), 0), min(int(middle + 3 * scale + 0.5), source)
+        x = (np.arange(lo, hi) - middle + 0.5) / scale
+        w = np.where((x >= -3) & (x < 3), np.sinc(x) * np.sinc(x / 3), 0)
+        w = w / w.sum() * (1 << _FIXED_BITS)
+        out[t, lo:hi] = np.trunc(w + np.where(w < 0, -0.5, 0.5))
+    return out
 
 
 def gray_grid(pixels: np.ndarray) -> np.ndarray:
     """Eight rows of nine gray values (0 to 255) of an image (rows, columns, 3 or 1 channels, blue first).
 
-    Luminance is that of BT.601 in 16-bit fixed point. Columns are reduced first, then rows, and each step gives whole values from 0 to 255.
+    Luminance is that of BT.601 in 16-bit fixed point. Columns are reduced first, then rows, with weights of 22 bits, and each step gives bytes. All
+    sums are whole numbers below 2**53, so floating point adds them exactly.
     """
     if pixels.shape[-1] == 1:
         gray = pixels[..., 0].astype(np.float64)
     else:
         # The weights of blue, green and red in parts of 65536.
-        gray = (pixels[..., :3].astype(np.int64) @ np.array([7471, 38470, 19595]) + 32768) >> 16
-    whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+        gray = ((pixels[..., :3].astype(np.int64) @ np.array([7471, 38470, 19595]) + 32768) >> 16).astype(np.float64)
+    whole = lambda x: np.clip(np.floor((x + (1 << _FIXED_BITS - 1)) / (1 << _FIXED_BITS)), 0, 255)
     return whole(_lanczos(gray.shape[0], 8) @ whole(gray @ _lanczos(gray.shape[1], 9).T))
 
 
+def upright(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
+    """A picture as it is to be looked at, from its raster and the orientation that its EXIF block states."""
+    if orientation in (5, 6, 7, 8):
+        pixels = pixels.transpose(1, 0, 2)
+    rows = {3: -1, 4: -1, 7: -1, 8: -1}.get(orientation, 1)
+    columns = {2: -1, 3: -1, 6: -1, 7: -1}.get(orientation, 1)
+    return np.ascontiguousarray(pixels[::rows, ::columns])
+
+
+def orientations(files: DataFrame) -> DataFrame:
+    """(path, orientation) of those of (path, content) whose picture is to be turned."""
+    runtime.ship_package(files.sparkSession)
+
+    def read(batches):
+        for batch in batches:
+            turns = [raw_metadata(c or b"")["orientation"] for c in batch.column("content").to_pylist()]
+            turned = [k for k, t in enumerate(turns) if t and t > 1]
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(turned, pa.int64())), pa.array([turns[k] for k in turned], pa.int32())], names=["path", "orientation"])
+
+    return files.select("path", "content").mapInArrow(read, "path string, orientation int")
+
+
 _DECODED = "path string, width int, height int, channels int, data binary"
 
 
 def decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, width, height, channels, data) of these images; those that can't be decoded are left out.
+    """(path, width, height, channels, data, orientation) of these images, as their rasters lie in the files; those that can't be decoded are left out.
 
-    Spark decodes what Java knows. Other formats, such as WebP, go to Pillow where that is installed.
+    Spark decodes what Java knows. Other formats, such as WebP, go to Pillow where that is installed. ``orientation`` is null where nothing is to be turned; ``upright`` turns.
     """
-    names = [_escaped(p) for p in paths]
-    by_java = [p for p in names if not p.lower().endswith(_NOT_JAVA)]
-    others = [p for p in names if p.lower().endswith(_NOT_JAVA)]
+    by_java = [p for p in paths if not p.lower().endswith(_NOT_JAVA)]
+    others = [p for p in paths if p.lower().endswith(_NOT_JAVA)]
     rows = spark.createDataFrame([], _DECODED)
     if by_java:
-        read = spark.read.format("image").option("dropInvalid", True).load(by_java).select("image.*")
-        rows = read.select(_plain("origin"), "width", "height", F.col("nChannels").alias("channels"), "data")
+        names, staged = _staged(spark, by_java)
+        read = spark.read.format("image").option("dropInvalid", True).load(names).select("image.*")
+        # The origin is a URI, in which blanks and other characters are escaped; a plus sign stands for itself.
+        origin = _plain("origin")
+        path = F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B"))).alias("path")
+        rows = _listed_paths(read.select(path, "width", "height", F.col("nChannels").alias("channels"), "data"), staged)
     if others:
         runtime.ship_package(spark)
-        files = spark.read.format("binaryFile").load(others).select(_plain("path"), "content")
-        rows = rows.union(files.mapInArrow(_with_pillow, _DECODED))
-    return rows
+        rows = rows.union(contents(spark, others).mapInArrow(_with_pillow, _DECODED))
+    turned = orientations(contents(spark, paths)) if paths else spark.createDataFrame([], "path string, orientation int")
+    return rows.join(runtime.if_small(turned, len(paths)), "path", "left")
 
 
 #: File name endings that Java's decoders don't know.
@@ -212,18 +288,27 @@ def _with_pillow(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _turns(batch: pa.RecordBatch) -> list[int | None]:
+    return batch.column("orientation").to_pylist() if "orientation" in batch.schema.names else [None] * batch.num_rows
+
+
 def _gray_of(width: int, height: int, channels: int, data: bytes | None) -> list[float] | None:
     return gray_grid(np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)).ravel().tolist() if data else None
 
 
 def hashes(pictures: DataFrame) -> DataFrame:
-    """(path, width, height, phash) of decoded images: pixels are reduced in Python, bits are set in columns."""
+    """(path, width, height, phash) of decoded images: pixels are reduced in Python, bits are set in columns.
+
+    The hash is that of the raster as it lies in the file, the lengths are those of the upright picture.
+    """
     runtime.ship_package(pictures.sparkSession)
 
     def reduce(batches):
         for batch in batches:
             grids = [_gray_of(*row) for row in zip(*(batch.column(n).to_pylist() for n in ("width", "height", "channels", "data")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("width"), batch.column("height"), pa.array(grids, pa.list_(pa.float64()))], names=["path", "width", "height", "gray"])
+            sizes = [(h, w) if t and t > 4 else (w, h) for w, h, t in zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), _turns(batch), strict=True)]
+            lengths = [pa.array([x[k] for x in sizes], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), *lengths, pa.array(grids, pa.list_(pa.float64()))], names=["path", "width", "height", "gray"])
 
     rows = pictures.mapInArrow(reduce, "path string, width int, height int, gray array<double>")
     return rows.select("path", "width", "height", media.dhash(F.col("gray")).alias("phash"))
@@ -299,6 +384,7 @@ _BOXES = pa.list_(pa.struct([*((n, pa.float64()) for n in ("x", "y", "w", "h", "
 def analyzed(pictures: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
     """(path, width, height, phash, failed, detections) of decoded images, in one pass over them.
 
+    Lengths and detections are those of the upright picture, the hash is that of the raster.
     The engine is made once up front, so that one that can't be made fails before anything is changed, and then once in each task.
     """
     runtime.ship_package(pictures.sparkSession)
@@ -309,9 +395,10 @@ def analyzed(pictures: DataFrame, make_engine: Callable[[], Engine]) -> DataFram
         engine = make_engine()
         for batch in batches:
             rows = []
-            for path, w, h, c, d in zip(*(batch.column(n).to_pylist() for n in ("path", "width", "height", "channels", "data")), strict=True):
-                found = _detected(engine, np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
-                rows.append({"path": path, "width": w, "height": h, "gray": _gray_of(w, h, c, d), "failed": found is None, "detections": found or []})
+            for path, w, h, c, d, turn in zip(*(batch.column(n).to_pylist() for n in ("path", "width", "height", "channels", "data")), _turns(batch), strict=True):
+                pixels = upright(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c), turn)
+                found = _detected(engine, pixels)
+                rows.append({"path": path, "width": pixels.shape[1], "height": pixels.shape[0], "gray": _gray_of(w, h, c, d), "failed": found is None, "detections": found or []})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     found = pictures.mapInArrow(run, f"path string, width int, height int, gray array<double>, failed boolean, detections array<struct<{_FOUND.replace(' double', ':double').replace(' array', ':array')}>>")

@@ -337,7 +337,7 @@ def test_folder_end_to_end(spark, tmp_path):
     assert part.cancelled and (part.analyzed, part.faces) == (4, 4) and [(n, t) for n, t, _ in seen] == [(0, 8), (2, 8)]
     assert lib.read("photos").count() == 4 and lib.read("faces").where("person_id IS NULL").count() == 0
     done = analyze_folder(spark, lib, f"file://{folder}", ColorEngine, now=5.0)
-    assert (done.listed, done.analyzed, done.failed, done.gone, done.faces, done.cancelled) == (8, 2, 1, 0, 2, False)
+    assert (done.listed, done.analyzed, done.failed, done.gone, done.faces, done.cancelled) == (8, 2, 2, 0, 2, False)
     counts = gallery.person_counts(lib.read("persons"), lib.read("faces")).collect()
     assert sorted(r["face_count"] for r in counts) == [1, 2, 3] and all(r["name"].startswith("Persona ") for r in counts)
     (folder / "3.png").unlink()
