@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from kinfold import constants as C
 from kinfold import runtime
 
 #: Directories that a listing is dealt into, at least, where the tree has as many.
@@ -144,15 +145,16 @@ class FolderEventsReader(DataSourceStreamReader):
     batch that is repeated, by another attempt or after a restart, finds it and gives the same rows.
     """
 
-    def __init__(self, folder: str, snapshots: str):
-        self.folder, self.snapshots = folder, snapshots
+    def __init__(self, folder: str, snapshots: str, poll_ms: int):
+        self.folder, self.snapshots, self.poll_ms = folder, snapshots, poll_ms
 
     def initialOffset(self) -> dict:
         return {"at": 0}
 
     def latestOffset(self) -> dict:
+        """The beginning of this stretch of time: in each the folder is listed once."""
         entries(self.folder)
-        return {"at": time.time_ns() // 1_000_000}
+        return {"at": time.time_ns() // 1_000_000 // self.poll_ms * self.poll_ms}
 
     def _names(self, at: int) -> set[str]:
         folder = f"{self.snapshots}/{at}"
@@ -208,7 +210,7 @@ class FolderEventsReader(DataSourceStreamReader):
 
 
 class FolderEvents(DataSource):
-    """``spark.readStream.format("kinfold_folder_events")`` with the options ``path`` and ``snapshots``."""
+    """``spark.readStream.format("kinfold_folder_events")`` with the options ``path``, ``snapshots`` and ``poll`` (milliseconds)."""
 
     @classmethod
     def name(cls) -> str:
@@ -218,7 +220,7 @@ class FolderEvents(DataSource):
         return EVENTS
 
     def streamReader(self, schema) -> FolderEventsReader:
-        return FolderEventsReader(local_path(self.options["path"]), local_path(self.options["snapshots"]))
+        return FolderEventsReader(local_path(self.options["path"]), local_path(self.options["snapshots"]), int(self.options.get("poll", 1000 * C.DEBOUNCE_SECONDS)))
 
 
 def register(spark: SparkSession) -> None:
@@ -235,14 +237,14 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("kinfold_folder").load(folder)
 
 
-def events(spark: SparkSession, folder: str, snapshots: str) -> DataFrame:
+def events(spark: SparkSession, folder: str, snapshots: str, poll: float = C.DEBOUNCE_SECONDS) -> DataFrame:
     """What changes below a folder, as a stream of created, changed and deleted files; the first batch has all that is there.
 
     ``snapshots`` is a folder of this stream alone, which lives as long as its checkpoint. Files made in sub-directories that come later are seen, as is whatever happens
-    while the stream is stopped. ``ts`` is the time of the file's last change, for a deletion that of the listing that misses it.
+    while the stream is stopped. The folder is listed every ``poll`` seconds at most. ``ts`` is the time of the file's last change, for a deletion that of the listing that misses it.
     """
     register(spark)
-    return spark.readStream.format("kinfold_folder_events").option("path", folder).option("snapshots", snapshots).load()
+    return spark.readStream.format("kinfold_folder_events").option("path", folder).option("snapshots", snapshots).option("poll", max(1, round(1000 * poll))).load()
 
 
 def with_renames(batch: DataFrame) -> DataFrame:

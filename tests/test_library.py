@@ -349,34 +349,6 @@ def test_folder_end_to_end(spark, tmp_path):
     assert lib.read("photos").count() == 5
 
 
-def test_watching_a_folder(spark, tmp_path):
-    import os
-    import time
-
-    from kinfold.plans.analyze import watch
-
-    folder = tmp_path / "in"
-    folder.mkdir()
-    put = lambda name, at: ((folder / name).write_bytes(b"x"), os.utime(folder / name, (at, at)))
-    runs = []
-
-    def run():
-        runs.append(len(runs))
-        if len(runs) == 1:
-            put("made-by-the-run", time.time())
-            time.sleep(0.1)
-
-    put("a", time.time() - 100)
-    query = watch(spark, f"file://{folder}", run).option("checkpointLocation", f"{tmp_path}/cp").start()
-    query.processAllAvailable()
-    query.processAllAvailable()
-    assert runs == [0]
-    put("b", time.time() + 5)
-    query.processAllAvailable()
-    query.stop()
-    assert runs == [0, 1]
-
-
 def test_thresholds_of_many_hashes(spark):
     """All plans that numbers of hashes lead to give the same pairs."""
     import random
