@@ -158,14 +158,14 @@ def average_linkage(unit: np.ndarray, anchors: list[int | None], threshold: floa
     return [members[i] for i in np.flatnonzero(alive)]
 
 
-def chained_linkage(unit: np.ndarray, anchors: list[int | None], threshold: float) -> list[list[int]]:
+def chained_linkage(unit: np.ndarray, anchors: list[int | None], threshold: float, sizes: np.ndarray | None = None) -> list[list[int]]:
     """The clusters of ``average_linkage`` without a matrix of all pairs: the average over two clusters is the product of their mean vectors.
 
-    From some cluster a chain goes on to the most similar one until two are each other's most similar; these would merge in any order,
+    With ``sizes`` the rows are clusters already, given by the sums of their vectors. From some cluster a chain goes on to the most similar one until two are each other's most similar; these would merge in any order,
     as a merged cluster is to no other more similar than the better of its parts. Memory grows with the rows, time with their square.
     """
     n = len(unit)
-    sums, size = unit.copy(), np.ones(n)
+    sums, size = unit.copy(), np.ones(n) if sizes is None else sizes.astype(np.float64)
     tied = np.array([-1 if a is None else a for a in anchors], dtype=np.int64)
     held = np.array([a is not None for a in anchors])
     members, alive, chain = [[i] for i in range(n)], np.ones(n, dtype=bool), []
@@ -220,28 +220,149 @@ def cluster_ids(unit: np.ndarray, anchors: list[int | None], places: np.ndarray,
     return out
 
 
-def recluster(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD) -> DataFrame:
+#: Faces of a component that one task clusters; larger ones are brought down to that many clusters by rounds of merges first.
+LINKAGE_ROWS = 8192
+#: Clusters of one block in such a round: a task compares two blocks.
+ROUND_BLOCK = 2048
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_pylist()
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def nearest_clusters(clusters: DataFrame, threshold: float, block_rows: int = ROUND_BLOCK) -> DataFrame:
+    """(id, partner): for each cluster (root, id, sum, size, anchor) the most similar one of its root that it may merge with, if that reaches the threshold.
+
+    Clusters are cut into blocks of which each two meet in a task, which returns one row for each of their clusters. Of equally similar pairs
+    the first is taken, by the smaller id and then by the larger one, so some two clusters always name each other.
+    """
+    parts = clusters.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    sent = clusters.join(parts, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("root", "id", "sum", "size", "anchor", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def best(rows: pa.Table) -> pa.Table:
+        # In order of ids, so that the first of equals is the one with the smallest id.
+        rows = rows.sort_by("id")
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        ids, block = np.asarray(rows.column("id")), np.asarray(rows.column("own"))
+        tied = np.array([-1 if a is None else a for a in rows.column("anchor").to_pylist()])
+        means = _matrix(rows.column("sum")) / np.asarray(rows.column("size"))[:, None]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sim = means[left] @ means[right].T
+        if i == j:
+            # Both directions of a pair have the same number.
+            sim = np.triu(sim, 1)
+            sim += sim.T
+            np.fill_diagonal(sim, -np.inf)
+        sim[(tied[left][:, None] >= 0) & (tied[right][None, :] >= 0) & (tied[left][:, None] != tied[right][None, :])] = -np.inf
+        out: list[list] = [[], [], []]
+        for matrix, mine, theirs in ((sim, left, right), (sim.T, right, left))[: 1 if i == j else 2]:
+            if matrix.size:
+                at = matrix.argmax(axis=1)
+                value = matrix[np.arange(len(mine)), at]
+                near = np.flatnonzero(value >= threshold - C.LINKAGE_SLACK)
+                for values, more in zip(out, (ids[mine[near]], ids[theirs[at[near]]], value[near]), strict=True):
+                    values += more.tolist()
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["id", "partner", "sim"])
+
+    found = sent.groupBy("root", "i", "j").applyInArrow(best, "id bigint, partner bigint, sim double")
+    first = F.struct(F.col("sim"), -F.least("id", "partner"), -F.greatest("id", "partner"))
+    return found.groupBy("id").agg(F.max_by("partner", first).alias("partner"))
+
+
+def merge_rounds(clusters: DataFrame, threshold: float, most_rows: int, block_rows: int = ROUND_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """Merges clusters (root, id, sum, size, anchor) that are each other's most similar, round by round, while a root has more than ``most_rows`` of them.
+
+    A merged cluster is to no other more similar than the better of its parts was, and may merge with it only if both parts might; so two that
+    are each other's best stay so until they merge, and any order of such merges leads to the clusters of average linkage. Returns what is
+    left, and for each round which cluster (id) went into which (target). A root in which nothing reaches the threshold any more stays as it is.
+    """
+    left, maps = runtime.materialize(clusters, "clusters"), []
+    while True:
+        many = left.groupBy("root").count().where(F.col("count") > most_rows).select("root")
+        active = left.join(many, "root", "left_semi")
+        best = runtime.materialize(nearest_clusters(active, threshold, block_rows), "nearest")
+        other = best.select(F.col("id").alias("partner"), F.col("partner").alias("back"))
+        pairs = best.join(other, "partner").where("back = id AND id < partner").select("id", F.col("partner").alias("gone"))
+        pairs = runtime.materialize(pairs, "merges", narrow=8)
+        if pairs.isEmpty():
+            return left, maps
+        maps.append(pairs.select(F.col("gone").alias("id"), F.col("id").alias("target")))
+        taken = left.select(F.col("id").alias("gone"), F.col("sum").alias("more"), F.col("size").alias("extra"), F.col("anchor").alias("pin")).join(pairs, "gone")
+        kept = left.join(pairs.select(F.col("gone").alias("id")), "id", "left_anti").join(taken.drop("gone"), "id", "left")
+        added = F.when(F.col("more").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "more", lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+        merged = kept.select("root", "id", added.alias("sum"), (F.col("size") + F.coalesce("extra", F.lit(0))).cast("bigint").alias("size"), F.coalesce("anchor", "pin").alias("anchor"))
+        left = runtime.materialize(merged, "clusters")
+
+
+def _large_components(placed: DataFrame, threshold: float, most_rows: int, block_rows: int) -> DataFrame:
+    """(face_id, cluster_id) of components (root, id, place, anchor, embedding) that are too large for one task."""
+
+    def unit(batches):
+        for batch in batches:
+            sums = pa.array(list(unit_rows(batch.column("embedding"))), pa.list_(pa.float64()))
+            size = pa.array(np.ones(batch.num_rows, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("place"), sums, size, batch.column("anchor")], names=["root", "id", "sum", "size", "anchor"])
+
+    kind = "root bigint, id bigint, sum array<double>, size bigint, anchor bigint"
+    clusters = placed.select("root", "place", "anchor", "embedding").mapInArrow(unit, kind)
+    left, maps = merge_rounds(clusters, threshold, most_rows, block_rows)
+    few = left.groupBy("root").count().where(F.col("count") <= most_rows).select("root")
+
+    def finish(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        anchors, ids, size = rows.column("anchor").to_pylist(), np.asarray(rows.column("id")), np.asarray(rows.column("size"))
+        target, pins = ids.copy(), list(anchors)
+        for own in chained_linkage(_matrix(rows.column("sum")), anchors, threshold, size):
+            pin = next((anchors[i] for i in own if anchors[i] is not None), None)
+            for i in own:
+                target[i], pins[i] = ids[own].min(), pin
+        return pa.table([pa.array(ids), pa.array(target), pa.array(pins, pa.int64())], names=["id", "target", "anchor"])
+
+    finished = left.join(few, "root", "left_semi").groupBy("root").applyInArrow(finish, "id bigint, target bigint, anchor bigint")
+    total = finished.union(left.join(few, "root", "left_anti").select("id", F.col("id").alias("target"), "anchor"))
+    for step in reversed(maps):
+        later = total.select(F.col("id").alias("target"), F.col("target").alias("top"), "anchor")
+        total = runtime.materialize(total.union(step.join(later, "target").select("id", F.col("top").alias("target"), "anchor")), "merged", narrow=4)
+    named = total.select(F.col("id").alias("place"), F.coalesce("anchor", -(F.col("target") + 1)).alias("cluster_id"))
+    return placed.select("place", F.col("id").alias("face_id")).join(named, "place").select("face_id", "cluster_id")
+
+
+def recluster(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, most_rows: int = LINKAGE_ROWS, block_rows: int = ROUND_BLOCK) -> DataFrame:
     """(face_id, cluster_id) by constrained average linkage over all faces (id, person_id, pinned, embedding).
 
     A merge needs an average of at least the threshold, hence a pair that reaches it: every cluster lies in one
     component of the graph of such pairs, and merges in different components don't meet. So the components are
-    found first and each is clustered in its own group, a large one without a matrix of its pairs. The place of a face is
-    its rank by id in the whole table.
+    found first and each is clustered in its own group. A component of more than ``most_rows`` faces is no task's group: its clusters merge in rounds,
+    each with all pairs that are each other's most similar, until a task can hold what is left. The place of a face is its rank by id in the whole table.
     """
     spark = faces.sparkSession
     runtime.ship_package(spark)
     pairs = cosine_pairs(faces.select("id", "embedding"), threshold - 1e-9)
-    roots = connected_components(pairs.select("a", "b")).withColumnRenamed("node", "id")
+    roots = runtime.materialize(connected_components(pairs.select("a", "b")).withColumnRenamed("node", "id"), "roots", narrow=8)
     anchor = F.when(F.col("pinned") & F.col("person_id").isNotNull(), F.col("person_id"))
-    placed = ranked(faces.select("id", anchor.alias("anchor"), "embedding"), "id")
+    # Ids alone are sorted; the vectors are joined to their places.
+    placed = ranked(faces.select("id"), "id").join(faces.select("id", anchor.alias("anchor"), "embedding"), "id")
     rooted = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # A root that is not itself listed counts too.
+    large = runtime.materialize(roots.groupBy("root").count().where(F.col("count") + 1 > most_rows).select("root"), "large-roots", narrow=0)
 
     def group(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
         found = cluster_ids(unit_rows(rows.column("embedding")), rows.column("anchor").to_pylist(), np.asarray(rows.column("place")), threshold)
         return pa.table([rows.column("id").combine_chunks(), pa.array(found)], names=["face_id", "cluster_id"])
 
-    return rooted.groupBy("root").applyInArrow(group, "face_id bigint, cluster_id bigint")
+    schema = "face_id bigint, cluster_id bigint"
+    if not (many := large.count()):
+        return rooted.groupBy("root").applyInArrow(group, schema)
+    large = runtime.if_small(large, many)
+    small = rooted.join(large, "root", "left_anti").groupBy("root").applyInArrow(group, schema)
+    return small.union(_large_components(runtime.materialize(rooted.join(large, "root", "left_semi"), "large"), threshold, most_rows, block_rows))
 
 
 def claims(overlap: DataFrame) -> DataFrame:

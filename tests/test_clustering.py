@@ -156,3 +156,21 @@ def test_pairs_do_not_depend_on_blocks(spark):
     faces = faces_of(spark, x).select("id", "embedding")
     got = [{(r["a"], r["b"]) for r in cosine_pairs(faces, 0.3, rows).collect()} for rows in (2048, 4)]
     assert got[0] == got[1] and got[0]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_large_components_merge_in_rounds(spark, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, 12))
+    rows, n = [], 150
+    for i in range(n):
+        vector = (centres[i % 6] + rng.normal(scale=1.1, size=12)).astype(np.float32).tolist()
+        person = int(rng.integers(1, 5)) if rng.random() < 0.3 else None
+        rows.append((3 * i + 1, person, bool(rng.random() < 0.5), vector if i != 40 else [0.0] * 12))
+    faces = spark.createDataFrame(rows, "id bigint, person_id bigint, pinned boolean, embedding array<float>").repartition(5)
+    for threshold in (0.1 + 0.25 * seed,):
+        wanted = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces, threshold).collect()}
+        for most, block in ((20, 16), (2, 40)):
+            found = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces, threshold, most_rows=most, block_rows=block).collect()}
+            assert found == wanted and len(found) == n
+    assert len(set(wanted.values())) > 3
