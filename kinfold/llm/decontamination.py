@@ -8,8 +8,8 @@ strings, and these are compared word by word and then byte by byte. Many cursors
 at once, so the shifts are numpy operations over all of them.
 
 The benchmark is taken in blocks of about ``PATTERNS`` windows, a long item in several segments, one pass over the texts for
-each. The covered words and found items of a document are carried from pass to pass, and each pass but the last is written before
-the next begins, so the tables of one block only are held at a time, on the driver as on the executors, and every item is
+each. A pass writes the covered words and found items of those documents that have any, under a hash of id and text, and these are put together
+at the end. So the tables of one block only are held at a time, on the driver as on the executors, no text is written, and every item is
 searched in every document. A benchmark of one block, the common case, is one pass without a shuffle.
 
 Defined results: null texts have no words. Items without words or id find nothing; rows of a repeated
@@ -26,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold import runtime
 from kinfold.llm import hashed_features as hf
 from kinfold.llm import textblocks as tb
 
 WIDTH = 10
-#: Windows of one block of the benchmark: some 50 MB on an executor.
+#: Windows of one block of the benchmark: some 50 MB on an executor, and a shift table of 16 to 32 MB.
 PATTERNS = 250_000
 #: Words of the block that the shift table looks at, and those that select test strings.
 BLOCK_WORDS, SUFFIX_WORDS = 2, 4
@@ -43,7 +44,8 @@ RUN = 256
 IS_GAP = np.ones(256, dtype=bool)
 IS_GAP[list(range(0x30, 0x3A)) + list(range(0x61, 0x7B)) + list(range(0x80, 0x100))] = False
 
-_TABLE_BITS = 16
+#: Bits of a slot in the shift table of a block, at least and at most, and slots for each word pair of its windows.
+LEAST_BITS, MOST_BITS, SLOTS_A_PAIR = 12, 27, 8
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +69,7 @@ class PatternTable:
     """Patterns of one length: word ids, their bytes, the shift table and the buckets by suffix hash."""
 
     length: int
+    bits: int
     ids: np.ndarray
     texts: list[bytes]
     items: list[list[str]]
@@ -110,15 +113,18 @@ def build(items: list[tuple[str, list[bytes]]], width: int = WIDTH) -> Matcher:
         own = sorted(p for p in owners if len(p) == length)
         ids = np.array([[number[w] for w in p] for p in own], dtype=np.int32)
         block = min(BLOCK_WORDS, length)
-        shift = np.full(1 << _TABLE_BITS, length - block + 1, dtype=np.int64)
+        # Few slots hold two pairs of words, so a pair that no window has mostly shifts fully, however many windows there are.
+        bits = min(max(LEAST_BITS, int(SLOTS_A_PAIR * len(own) * (length - block + 1) - 1).bit_length()), MOST_BITS)
+        shift = np.full(1 << bits, length - block + 1, dtype=np.uint8 if length < 256 else np.int32)
         for end in range(block - 1, length):
-            slot = _chain_rows(ids[:, : end + 1], block) >> np.uint64(64 - _TABLE_BITS)
-            np.minimum.at(shift, slot.astype(np.int64), length - 1 - end)
+            slot = (_chain_rows(ids[:, : end + 1], block) >> np.uint64(64 - bits)).astype(np.int64)
+            # Later ends have smaller shifts.
+            shift[slot] = length - 1 - end
         suffix = _chain_rows(ids, min(SUFFIX_WORDS, length))
         order = np.argsort(suffix, kind="stable")
         suffixes, first = np.unique(suffix[order], return_index=True)
         own = [own[i] for i in order]
-        tables.append(PatternTable(length, ids[order], [b" ".join(p) for p in own], [sorted(owners[p]) for p in own], shift, suffixes, np.append(first, len(own))))
+        tables.append(PatternTable(length, bits, ids[order], [b" ".join(p) for p in own], [sorted(owners[p]) for p in own], shift, suffixes, np.append(first, len(own))))
     return Matcher(known, maybe, tables)
 
 
@@ -127,6 +133,18 @@ def _chain_rows(ids: np.ndarray, count: int) -> np.ndarray:
     return _chain(flat, np.arange(1, len(ids) + 1) * ids.shape[1] - 1, count)
 
 
+def shifts(table: PatternTable, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How far a window that ends with the word ``last`` may move on; 0 where it may be one of the patterns.
+
+    No window reaches over a word that the benchmark lacks.
+    """
+    block = min(BLOCK_WORDS, table.length)
+    skip = table.shift[(_chain(ids, last, block) >> np.uint64(64 - table.bits)).astype(np.int64)].astype(np.int64)
+    for k in range(block - 1, -1, -1):
+        skip = np.where(ids[last - k] == 0, table.length - k, skip)
+    return skip
+
+
 def occurrences(table: PatternTable, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pattern numbers and start words where the ids agree; ``first`` bounds the words of each row."""
     m, block = table.length, min(BLOCK_WORDS, table.length)
@@ -137,7 +155,7 @@ def occurrences(table: PatternTable, ids: np.ndarray, first: np.ndarray) -> tupl
     limit = np.minimum(at + RUN, stop[row])
     found = []
     while len(at):
-        skip = table.shift[(_chain(ids, at + m - 1, block) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
+        skip = shifts(table, ids, at + m - 1)
         found.append(at[skip == 0])
         at = at + np.maximum(skip, 1)
         live = at < limit
@@ -219,34 +237,81 @@ _SCHEMA = "doc_id {key}, n_words bigint, n_hit bigint, n_items bigint, items_sha
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, patterns: int = PATTERNS) -> DataFrame:
-    """One row for each document: its words, those inside any occurrence of a window, and the items found."""
+    """One row for each document: its words, those inside any occurrence of a window, and the items found.
+
+    Of each block of the benchmark but a single one the hits alone are written, under a hash of the document's id and text, so no text is written however many
+    blocks there are; one matcher is alive at a time.
+    """
     key = hf.whole_ids(docs).schema["doc_id"].dataType.simpleString()
-    found = blocks(benchmark, width, patterns)
-    rows = docs.select("doc_id", "text")
-    for n, block in enumerate(found[:-1]):
+    docs, found = docs.select("doc_id", "text"), blocks(benchmark, width, patterns)
+    if len(found) == 1:
+        return docs.mapInArrow(_judged(matcher_of(found[0], width)), _SCHEMA.format(key=key))
+    hits = runtime.materialize(_united(_hits(docs, found, width)), "united", narrow=8)
+    words = docs.mapInArrow(_words, f"doc_id {key}, key binary, n_words bigint")
+    judged = words.join(runtime.if_small(hits, hits.count()), "key", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    return judged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"), F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def row_key(doc_id: int | None, text: str | None) -> bytes:
+    """Names a row by its id and text; equal rows have equal hits."""
+    return hashlib.blake2b(f"{doc_id}\n{text or ''}".encode(), digest_size=16).digest()
+
+
+def _keys(batch: pa.RecordBatch) -> list[bytes]:
+    return [row_key(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+
+
+def _hits(docs: DataFrame, found: list[DataFrame], width: int) -> list[DataFrame]:
+    """For each block (key, hit, items) of the documents in which a window of it occurs."""
+
+    def search(held):
+        def run(batches):
+            for batch in batches:
+                rows = [(k, np.packbits(c).tobytes(), sorted(items)) for k, (_, c, items) in enumerate(scan(held.value, batch.column("text"))) if c is not None]
+                # Few documents have hits, so few are hashed.
+                keys = _keys(batch.take(pa.array([k for k, _, _ in rows], pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x for _, x, _ in rows], pa.binary()), pa.array([x for _, _, x in rows], pa.list_(pa.string()))], names=["key", "hit", "items"])
+
+        return run
+
+    out = []
+    for block in found:
         held = matcher_of(block, width)
-        rows = runtime.materialize(rows.mapInArrow(_pass(held, n == 0, False), f"doc_id {key}, text string, hit binary, items array<string>"), "pass")
+        # Equal rows have the same hits, so one of them stands for all.
+        out.append(runtime.materialize(docs.mapInArrow(search(held), "key binary, hit binary, items array<string>").dropDuplicates(["key"]), "hits", narrow=8))
         held.destroy()
-    return rows.mapInArrow(_pass(matcher_of(found[-1], width), len(found) == 1, True), _SCHEMA.format(key=key))
+    return out
+
+
+def _united(hits: list[DataFrame]) -> DataFrame:
+    """(key, n_hit, n_items, items_sha256): the hits of all blocks of a document together."""
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.union(more)
+    # No more than one entry for each block.
+    grouped = every.groupBy("key").agg(F.collect_list("hit").alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def count(batches):
+        for batch in batches:
+            covered = [int(np.bitwise_count(np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in own])).sum()) for own in batch.column("hit").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(covered, pa.int64()), batch.column("items")], names=["key", "n_hit", "items"])
+
+    counted = grouped.mapInArrow(count, "key binary, n_hit bigint, items array<string>")
+    return counted.select("key", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
 
 
-def _pass(held, is_first: bool, is_last: bool):
+def _words(batches):
+    """The key of each row, and how many words it has."""
+    for batch in batches:
+        counts = [n for n, _, _ in scan(Matcher(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), []), batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_keys(batch), pa.binary()), pa.array(counts, pa.int64())], names=["doc_id", "key", "n_words"])
+
+
+def _judged(held):
     def run(batches):
         for batch in batches:
-            text = batch.column("text")
-            out = []
-            before = [(None, None)] * len(text) if is_first else zip(batch.column("hit").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for (words, covered, items), (bits, old) in zip(scan(held.value, text), before, strict=True):
-                if bits is not None:
-                    seen = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=words).astype(bool)
-                    covered = seen if covered is None else covered | seen
-                out.append((words, covered, sorted(items.union(old or ()))))
-            if not is_last:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), text, pa.array([None if c is None else np.packbits(c).tobytes() for _, c, _ in out], pa.binary()), pa.array([x for _, _, x in out], pa.list_(pa.string()))],
-                    names=["doc_id", "text", "hit", "items"],
-                )
-                continue
+            out = [(words, covered, sorted(items)) for words, covered, items in scan(held.value, batch.column("text"))]
             hits = np.array([0 if c is None else int(c.sum()) for _, c, _ in out], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -266,19 +331,29 @@ def _pass(held, is_first: bool, is_last: bool):
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, patterns: int = PATTERNS) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
     found = blocks(benchmark, width, patterns)
-    for n, block in enumerate(found):
-        held = matcher_of(block, width)
+    if len(found) == 1:
+        held = matcher_of(found[0], width)
 
-        def keep(batches, held=held):
+        def keep(batches):
             for batch in batches:
                 yield batch.filter(pa.array([covered is None for _, covered, _ in scan(held.value, batch.column("text"))], pa.bool_()))
             tb.release()
 
-        docs = docs.mapInArrow(keep, docs.schema)
-        if n < len(found) - 1:
-            docs = runtime.materialize(docs, "pass")
-            held.destroy()
-    return docs
+        return docs.mapInArrow(keep, docs.schema)
+    hits = _hits(docs.select("doc_id", "text"), found, width)
+    gone = hits[0].select("key")
+    for more in hits[1:]:
+        gone = gone.union(more.select("key"))
+    key = runtime.spare_name(docs, "text_key")
+    gone = runtime.materialize(gone.distinct().withColumnRenamed("key", key), "gone", narrow=8)
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_keys(batch), pa.binary())], names=[*batch.schema.names, key])
+
+    rows = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    # Where few documents go, the texts are not shuffled.
+    return rows.join(runtime.if_small(gone, gone.count()), key, "left_anti").select(*docs.columns)
 
 
 #: The same result in SQL: every window of every document against every window of every item.
