@@ -18,7 +18,7 @@ Paths are URIs of any store that pyarrow knows.
 
 Defined results: a null text has an empty payload; equal payloads, empty ones included, are one response and
 revisits from ``least_bytes`` on. Rows that repeat the largest page_id of their payload are all responses. A null
-page_id is never the response of others. Empty tables give an archive without files and an empty result.
+page_id is never the response of others. A record that can't be read is an error, or with ``errors="keep"`` a row with a null payload and the reason. Empty tables give an archive without files and an empty result.
 Line ends and other control characters in a URL are percent-coded in its header.
 """
 
@@ -29,6 +29,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,10 @@ FORMAT = "kinfold_warc"
 VERSION = b"WARC/1.1"
 #: Written as the date of every record, so that archives of equal rows are equal.
 DATE = "2026-01-01T00:00:00Z"
-SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_length bigint, payload binary"
-_ARROW = pa.schema([(n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "payload_digest")] + [("payload_length", pa.int64()), ("payload", pa.binary())])
+SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_length bigint, payload binary, error string"
+_ARROW = pa.schema([(n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "payload_digest")] + [("payload_length", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
+#: What reading a broken record raises.
+_BROKEN = (ValueError, EOFError, OSError, zlib.error)
 #: The header that each column is read from.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "payload_length": "x-payload-length"}
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -107,9 +110,9 @@ def info_bytes(name: str) -> bytes:
     return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in fields)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def read_headers(file) -> dict[str, str] | None:
-    """The headers of the record that starts here, with lower-case names; None at the end of the file."""
-    line = file.readline()
+def read_headers(file, line: bytes | None = None) -> dict[str, str] | None:
+    """The headers of the record that starts here, with lower-case names; None at the end of the file. ``line`` is its first line if that has been read."""
+    line = file.readline() if line is None else line
     while line in (b"\r\n", b"\n"):
         line = file.readline()
     if not line:
@@ -129,19 +132,51 @@ def read_headers(file) -> dict[str, str] | None:
     return found
 
 
-def payload_of(block: bytes, kind: str, content_type: str) -> bytes:
-    """The payload of a block: the decoded body of an HTTP message, or the block itself."""
+def unchunked(body: bytes) -> bytes:
+    """The body of a message that was sent in chunks."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].partition(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        if end + 2 + size > len(body):
+            raise ValueError("a chunk is cut short")
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def forms_of(block: bytes, content_type: str) -> list[bytes]:
+    """The payload of a block as it was sent, and in the forms that follow when its transfer coding and then its content codings are taken off.
+
+    The last form is the payload. ``chunked``, ``gzip`` and ``deflate`` are known; with another coding the payload is what comes before it.
+    """
     if "application/http" not in content_type:
-        return block
+        return [block]
     head, _, body = block.partition(b"\r\n\r\n")
+    codings: dict[bytes, list[bytes]] = {b"transfer-encoding": [], b"content-encoding": []}
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
-        if name.strip().lower() == b"content-encoding" and value.strip().lower() == b"gzip":
-            return gzip.decompress(body)
-    return body
+        if (own := name.strip().lower()) in codings:
+            codings[own] += [c.strip().lower() for c in value.split(b",")]
+    forms = [body]
+    # The coding that was put on last comes off first.
+    for coding in [*reversed(codings[b"transfer-encoding"]), *reversed(codings[b"content-encoding"])]:
+        if coding == b"chunked":
+            forms.append(unchunked(forms[-1]))
+        elif coding in (b"gzip", b"x-gzip"):
+            forms.append(gzip.decompress(forms[-1]))
+        elif coding == b"deflate":
+            try:
+                forms.append(zlib.decompress(forms[-1]))
+            except zlib.error:
+                # Some servers leave the wrapping out.
+                forms.append(zlib.decompress(forms[-1], -zlib.MAX_WBITS))
+        elif coding not in (b"", b"identity"):
+            break
+    return forms
 
 
-@dataclass
 class FilePartition(InputPartition):
     files: tuple[str, ...]
 
@@ -156,7 +191,11 @@ class Written(WriterCommitMessage):
 
 
 class WarcSource(DataSource):
-    """Options: ``path``, ``payload`` (decode, verify, skip), ``foreign`` (true, false), ``partition_bytes``, ``roll_bytes`` and ``compression`` (none, gzip)."""
+    """Options: ``path``, ``payload`` (decode, verify, skip), ``foreign`` (true, false), ``errors`` (fail, keep), ``partition_bytes``, ``roll_bytes`` and ``compression`` (none, gzip).
+
+    ``verify`` accepts a digest of the payload as it was sent or in any form with codings taken off. By default a record that can't be read ends the read; with ``errors`` set to keep it
+    comes with what is known of it, a null payload and the reason in ``error``, and reading goes on with the next record that can be found.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -177,6 +216,9 @@ class WarcReader(DataSourceReader):
         self.path, self.payload = options["path"], options.get("payload", "decode")
         self.partition_bytes = int(options.get("partition_bytes", 64 << 20))
         self.foreign = options.get("foreign", "false").lower() == "true"
+        self.errors = options.get("errors", "fail")
+        if self.errors not in ("fail", "keep"):
+            raise ValueError("errors must be fail or keep")
         if self.payload not in ("decode", "verify", "skip"):
             raise ValueError("payload must be decode, verify or skip")
         self.tests: list[tuple[str, str, object]] = []
@@ -184,15 +226,18 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             column = getattr(f, "attribute", ("",))[0]
+            if column == "payload_length" and len(f.attribute) == 1:
+                # Spark tests it, too: a record whose headers don't tell it has a length only when it is read.
+                yield f
             if column in HEADERS and len(f.attribute) == 1 and type(f) in _COMPARE:
                 self.tests.append((column, _COMPARE[type(f)], f.value))
             elif column in HEADERS and len(f.attribute) == 1 and isinstance(f, In):
                 self.tests.append((column, "in", tuple(f.value)))
             elif column in HEADERS and len(f.attribute) == 1 and isinstance(f, IsNotNull):
                 self.tests.append((column, "known", None))
-            elif isinstance(f, Not) and isinstance(f.child, EqualTo) and len(f.child.attribute) == 1 and f.child.attribute[0] in HEADERS:
+            elif isinstance(f, Not) and isinstance(f.child, EqualTo) and len(f.child.attribute) == 1 and f.child.attribute[0] in HEADERS and f.child.attribute[0] != "payload_length":
                 self.tests.append((f.child.attribute[0], "__ne__", f.child.value))
-            else:
+            elif column != "payload_length":
                 yield f
 
     def files(self) -> list[tuple[str, int]]:
@@ -223,34 +268,72 @@ class WarcReader(DataSourceReader):
     def wanted(self, row: dict) -> bool:
         for column, test, value in self.tests:
             own = row[column]
+            if own is None and column == "payload_length":
+                continue
             if own is None or test == "in" and own not in value or test.startswith("__") and getattr(own, test)(value) is not True:
                 return False
         return True
 
     def records(self, file) -> Iterator[dict]:
-        while (headers := read_headers(file)) is not None:
-            row = {column: headers.get(name) for column, name in HEADERS.items()}
-            row["payload_digest"] = (row["payload_digest"] or "").rpartition(":")[2] or None
-            row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
-            row["payload"] = None
-            length = int(headers["content-length"])
+        line = None
+        while True:
+            row = {c: None for c in (*HEADERS, "payload", "error")}
+            try:
+                headers = read_headers(file, line)
+                if headers is None:
+                    return
+                line = None
+                row |= {column: headers.get(name) for column, name in HEADERS.items()}
+                row["payload_digest"] = (row["payload_digest"] or "").rpartition(":")[2] or None
+                row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
+                if "content-length" not in headers:
+                    raise ValueError(f"record {row['record_id']} has no Content-Length")
+                length = int(headers["content-length"])
+            except _BROKEN as e:
+                if self.errors == "fail":
+                    raise
+                yield row | {"payload_length": None, "error": str(e)}
+                line = self.next_start(file)
+                if line is None:
+                    return
+                continue
             wanted = self.wanted(row)
             if self.payload == "skip" or row["record_type"] == "revisit" or not wanted:
                 file.seek(file.tell() + length)
-                if not wanted:
-                    continue
             else:
-                block = file.read(length)
-                if len(block) < length:
-                    raise ValueError(f"record {row['record_id']} is cut short")
-                payload = payload_of(block, row["record_type"], headers.get("content-type", ""))
-                if row["payload_length"] is None and not any(column == "payload_length" for column, _, _ in self.tests):
-                    row["payload_length"] = len(payload)
-                if self.payload == "decode":
-                    row["payload"] = payload
-                elif row["payload_digest"] not in (None, base32_sha1(payload)) or row["payload_length"] not in (None, len(payload)):
-                    raise ValueError(f"payload of {row['record_id']} is not what its headers say")
-            yield row
+                try:
+                    block = file.read(length)
+                    if len(block) < length:
+                        raise ValueError(f"record {row['record_id']} is cut short")
+                    self.take(row, block, headers.get("content-type", ""))
+                except _BROKEN as e:
+                    if self.errors == "fail":
+                        raise
+                    row["error"] = f"{type(e).__name__}: {e}"
+            if wanted:
+                yield row
+
+    def take(self, row: dict, block: bytes, content_type: str) -> None:
+        """Puts the payload and its length into the row, or holds them against what the headers say."""
+        forms = forms_of(block, content_type)
+        payload = forms[-1]
+        if self.payload == "verify" and (
+            row["payload_digest"] not in (None, *(base32_sha1(f) for f in reversed(forms))) or row["payload_length"] not in (None, *(len(f) for f in forms))
+        ):
+            raise ValueError(f"payload of {row['record_id']} is not what its headers say")
+        if row["payload_length"] is None:
+            row["payload_length"] = len(payload)
+        if self.payload == "decode":
+            row["payload"] = payload
+
+    def next_start(self, file) -> bytes | None:
+        """The next line that begins a record."""
+        try:
+            while (line := file.readline()) and not line.startswith(b"WARC/"):
+                pass
+        except _BROKEN:
+            return None
+        return line or None
 
     def read(self, partition):
         store, _ = store_of(self.path)
@@ -289,15 +372,50 @@ def standing(store, found: dict) -> list[str] | None:
 
 
 class _Inflated:
-    """Reads, and jumps ahead, over the contents of a file of gzip members."""
+    """Reads, and jumps ahead, over the contents of a file of gzip members. Of a file that is cut short all that can be unpacked is read before the error."""
 
     def __init__(self, raw):
-        self.file, self.at = gzip.GzipFile(fileobj=raw), 0
+        self.raw, self.member, self.left, self.at = raw, None, b"", 0
+
+    def _some(self, most: int) -> bytes:
+        """Up to ``most`` further bytes; none at the end of the file."""
+        while True:
+            self.left = self.left or self.raw.read(1 << 16)
+            if self.member is None:
+                # Zeros may follow a member.
+                self.left = self.left.lstrip(b"\0")
+                if self.left:
+                    self.member = zlib.decompressobj(wbits=16 + zlib.MAX_WBITS)
+                else:
+                    self.left = self.raw.read(1 << 16)
+                    if not self.left:
+                        return b""
+                continue
+            got = self.member.decompress(self.left, most)
+            if self.member.eof:
+                self.left, self.member = self.member.unused_data, None
+            elif not got and not self.left:
+                raise EOFError("the file ends within a compressed member")
+            else:
+                self.left = self.member.unconsumed_tail
+            if got:
+                return got
 
     def read(self, n: int) -> bytes:
-        got = self.file.read(n)
-        self.at += len(got)
-        return got
+        parts, have = [], 0
+        while have < n:
+            try:
+                part = self._some(n - have)
+            except (EOFError, zlib.error):
+                if not have:
+                    raise
+                break
+            if not part:
+                break
+            parts.append(part)
+            have += len(part)
+        self.at += have
+        return b"".join(parts)
 
     def tell(self) -> int:
         return self.at
@@ -422,10 +540,10 @@ def write_archive(records: DataFrame, path: str, mode: str = "append", compressi
     records.write.format(FORMAT).mode(mode).option("compression", compression).save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: str = "decode", foreign: bool = False) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: str = "decode", foreign: bool = False, errors: str = "fail") -> DataFrame:
     """The records of an archive but for those that only describe a file."""
     register(spark)
-    read = spark.read.format(FORMAT).option("payload", payload).option("foreign", str(foreign).lower()).load(path)
+    read = spark.read.format(FORMAT).option("payload", payload).option("foreign", str(foreign).lower()).option("errors", errors).load(path)
     return read.where(F.col("record_type") != "warcinfo")
 
 
