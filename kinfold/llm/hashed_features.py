@@ -142,6 +142,22 @@ def labelled_sample(rows: DataFrame, limit: int, most_labels: int = MOST_LABELS)
     return rows.where(u < share).orderBy(u, "doc_id", "label").limit(limit)
 
 
+#: Rows of each label that a sample of all labels has, where there are as many.
+LEAST_ROWS = 16
+
+
+def sample_of_all_labels(rows: DataFrame, limit: int, least: int = LEAST_ROWS) -> DataFrame:
+    """Like ``labelled_sample``, but of every label: some ``least`` rows of each however many labels there are, and at most ``limit`` rows or twice as many as that takes."""
+    counts = runtime.materialize(rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n")), "labels", narrow=8)
+    labels = counts.count()
+    if not labels:
+        return rows.limit(0)
+    u = uniform(F.col("doc_id"), F.lit("sample"))
+    share = F.lit(max(limit / labels, float(least))) / F.col("n")
+    shares = runtime.if_small(counts.select("label", share.alias("_share")), labels)
+    return rows.join(shares, "label").where(u < F.col("_share")).select(*rows.columns).orderBy(u, "doc_id", "label").limit(max(limit, 2 * least * labels))
+
+
 def collect_features(spec: FeatureSpec, rows: DataFrame, indicators: bool) -> tuple[list, list[np.ndarray], list[np.ndarray]]:
     """Labels and sparse features of the bounded sample ``rows`` (doc_id, label, text), in an order of its own."""
 

@@ -24,7 +24,7 @@ from kinfold import runtime
 from kinfold.llm import hashed_features as hf
 
 SPEC = hf.FeatureSpec((hf.Section("byte", 2, 11), hf.Section("byte", 3, 12), hf.Section("byte", 4, 12)), lower=True)
-#: Texts the model learns from, at most, over all languages.
+#: Texts the model learns from, at most, over all languages, unless these are so many that 16 texts of each are more.
 TRAIN_ROWS = 2400
 DIMENSIONS = 16
 UNKNOWN = "und"
@@ -68,16 +68,17 @@ def train(at: list[np.ndarray], value: list[np.ndarray], target: np.ndarray, cla
 
 
 def fit(docs: DataFrame, learnable, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """Learn from at most ``train_rows`` rows for which the Column ``learnable`` holds; None if there are none."""
+    """Learn from at most ``train_rows`` rows, or 16 of each language where that is more, for which the Column ``learnable`` holds; None if there are none."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("label"), "text")
-    chosen = hf.labelled_sample(known.select("doc_id", "label"), train_rows)
-    # The sample has train_rows rows at most: that bounds the broadcast. Repeated ids give one row for each language.
+    chosen = hf.sample_of_all_labels(known.select("doc_id", "label"), train_rows)
+    # The sample has train_rows rows, or some for each language: that bounds the broadcast. Repeated ids give one row for each language.
     rows = known.join(F.broadcast(chosen.distinct()), ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found, at, value = hf.collect_features(SPEC, rows, indicators=False)
     if not found:
         return None
     languages = sorted(set(found))
-    y = np.array([languages.index(x) for x in found])
+    number = {x: k for k, x in enumerate(languages)}
+    y = np.array([number[x] for x in found])
     held = hf.calibration_split(len(y)) if len(y) >= 30 else np.zeros(len(y), dtype=bool)
     # The three sections' frequencies sum to 3; the factor keeps hidden values near 1.
     value = [v * np.float32(8) for v in value]
