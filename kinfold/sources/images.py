@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kinfold import constants as C
 from kinfold import runtime
 from kinfold.functions import exif, media
+from kinfold.operators.ranking import ranked
 from kinfold.sources import folders
 
 
@@ -409,3 +410,93 @@ def detect(pictures: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
     """One row for each detection; a picture without any has one row of nulls, a picture that fails has ``failed`` set."""
     rows = analyzed(pictures, make_engine).select("path", "failed", F.explode_outer("detections").alias("d"))
     return rows.select("path", "failed", "d.*")
+
+
+# -- detection in SQL ----------------------------------------------------------------------------------------
+
+
+def detector(make_engine: Callable[[], Engine]):
+    """A table function (width, height, channels, data, orientation) of a decoded picture: the rows that ``detect`` has for it.
+
+    One row for each detection; a picture without any has one row of nulls, a picture that can't be worked on one with ``failed`` set. The engine is made once in each task.
+    """
+    make_engine()
+
+    class Detect:
+        def __init__(self):
+            self.engine = make_engine()
+
+        def eval(self, width: int, height: int, channels: int, data: bytes, orientation: int):
+            try:
+                pixels = upright(np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels), orientation)
+            except (TypeError, ValueError, AttributeError):
+                pixels = None
+            found = None if pixels is None else _detected(self.engine, pixels)
+            for d in found or [{}]:
+                yield found is None, *(d.get(k) for k in ("x", "y", "w", "h", "confidence")), d["embedding"] if d else None
+
+    return F.udtf(Detect, returnType=f"failed boolean, {_FOUND}", useArrow=True)
+
+
+def register_detector(spark: SparkSession, make_engine: Callable[[], Engine], name: str = "detect_faces") -> None:
+    """Makes the engine a function of SQL: ``SELECT p.path, d.* FROM pictures p, LATERAL detect_faces(p.width, p.height, p.channels, p.data, p.orientation) d``."""
+    runtime.ship_package(spark)
+    spark.udtf.register(name, detector(make_engine))
+
+
+# -- a cache of small pictures -------------------------------------------------------------------------------
+
+_CACHED = "key string, width int, height int, content binary"
+
+
+def png_of(pixels: np.ndarray) -> bytes:
+    """A picture (blue first, or gray) as the bytes of a PNG file."""
+    h, w, channels = pixels.shape
+    body = pixels[..., 0] if channels == 1 else pixels[..., 2::-1]
+    lines = np.concatenate([np.zeros((h, 1), dtype=np.uint8), np.ascontiguousarray(body).reshape(h, -1)], axis=1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if channels == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def thumbnail_keys(photos: DataFrame, side: int = C.THUMBNAIL_SIDE) -> DataFrame:
+    """(path, mtime, key) of photos: the key names path, time and side, the time printed in as few digits as tell it apart."""
+    runtime.ship_package(photos.sparkSession)
+
+    def printed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("mtime"), pa.array([None if m is None else repr(m) for m in batch.column("mtime").to_pylist()], pa.string())], names=["path", "mtime", "printed"])
+
+    rows = photos.select("path", "mtime").mapInArrow(printed, "path string, mtime double, printed string")
+    return rows.select("path", "mtime", media.thumbnail_key(F.col("path"), F.col("printed"), side).alias("key"))
+
+
+def cached_thumbnails(spark: SparkSession, cache: str) -> DataFrame:
+    """(key, width, height, content) of all small pictures in the cache; empty before the first is put there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], _CACHED)
+    return spark.read.schema(_CACHED).parquet(cache)
+
+
+def fill_thumbnails(spark: SparkSession, photos: DataFrame, cache: str, side: int = C.THUMBNAIL_SIDE, batch_photos: int = 4096) -> int:
+    """Puts small pictures (PNG) of photos (path, mtime) into the cache and returns how many photos were opened for it.
+
+    Keys are looked up first: a photo whose picture is there is not opened. Photos go in batches, each published by one append; those that can't be decoded are
+    left out and tried again the next time.
+    """
+    keys = thumbnail_keys(photos, side)
+    todo = runtime.materialize(ranked(keys.join(cached_thumbnails(spark, cache).select("key"), "key", "left_anti"), "path", "key"), "todo")
+    total = todo.count()
+
+    def encode(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in ("width", "height", "channels", "data")), strict=True)
+            content = [png_of(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c)) for w, h, c, d in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("width"), batch.column("height"), pa.array(content, pa.binary())], names=["path", "width", "height", "content"])
+
+    for first in range(0, total, batch_photos):
+        own = todo.where((F.col("place") >= first) & (F.col("place") < first + batch_photos)).select("path", "key")
+        small = thumbnails(decoded(spark, sorted({r["path"] for r in own.collect()})), side).mapInArrow(encode, "path string, width int, height int, content binary")
+        small.join(own, "path").select("key", "width", "height", "content").coalesce(max(1, min(batch_photos, total) // 512)).write.mode("append").parquet(cache)
+    return total

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinfold import constants as C
+from kinfold import runtime
 from kinfold.operators.ranking import bursts
 
 
@@ -36,3 +41,50 @@ def outside_runs(events: DataFrame, runs: DataFrame) -> DataFrame:
     """Events that arrive while no run (start_ts, end_ts) is active; those in [start_ts, end_ts) are dropped."""
     during = (F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts"))
     return events.join(runs, during, "left_anti")
+
+
+_RUNS = "open bigint, runs array<struct<s:bigint,e:bigint>>, held array<struct<ts:bigint,row:string>>"
+
+
+def outside_runs_stream(events: DataFrame, runs: DataFrame, wait: str = "10 seconds", key: str | None = None) -> DataFrame:
+    """The events of a stream (``ts`` and others) that arrive while no run is active, from a stream of runs (start_ts, end_ts).
+
+    A run is told twice, without an end when it starts and with it when it is over, or once when it is over. An event is held until the watermark, ``wait`` behind the latest
+    time seen, has passed it, and while a run that began before it goes on; then it comes out, or is dropped if it lies in [start_ts, end_ts) of a run. What is held and the
+    runs that it may lie in are state, so a restart changes nothing. ``key`` names a column of both streams, such as the library, whose values go separately.
+    """
+    runtime.ship_package(events.sparkSession)
+    schema = events.schema
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    own = F.col(key).cast("string") if key else F.lit("all")
+    null = lambda kind: F.lit(None).cast(kind)
+    told = events.select(own.alias("of"), F.col("ts").cast("timestamp").alias("at"), null("bigint").alias("s"), null("bigint").alias("e"), F.to_json(F.struct(*events.columns)).alias("row"))
+    marks = runs.select(own.alias("of"), F.coalesce("end_ts", "start_ts").cast("timestamp").alias("at"), micros("start_ts").alias("s"), micros("end_ts").alias("e"), null("string").alias("row"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begun, spans, held = state.get if state.exists else (None, [], [])
+        spans, held = [(int(x[0]), int(x[1])) for x in spans], [(int(x[0]), x[1]) for x in held]
+        for rows in batches if not state.hasTimedOut else ():
+            for at, s, e, row in zip(rows["at"], rows["s"], rows["e"], rows["row"], strict=True):
+                if not pd.isna(row):
+                    held.append((at.value // 1000, row))
+                elif pd.isna(e):
+                    begun = int(s) if begun is None else min(begun, int(s))
+                else:
+                    spans.append((int(s), int(e)))
+                    # Runs don't overlap their own start, so the one that ends now is the one that is open.
+                    begun = None if begun is not None and begun <= int(s) else begun
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = [x for x in held if x[0] < passed and (begun is None or x[0] < begun)]
+        held = [x for x in held if not (x[0] < passed and (begun is None or x[0] < begun))]
+        out = sorted(x for x in ready if not any(s <= x[0] < e for s, e in spans))
+        least = min([passed, *(x[0] for x in held)])
+        spans = [x for x in spans if x[1] > least]
+        state.update((begun, spans, held))
+        if held:
+            state.setTimeoutTimestamp(max(passed // 1000 + 1, max(x[0] for x in held) // 1000 + 1))
+        yield pd.DataFrame({"row": [r for _, r in out]})
+
+    marked = told.union(marks).withWatermark("at", wait)
+    found = marked.groupBy("of").applyInPandasWithState(step, "row string", _RUNS, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("row", schema).alias("r")).select("r.*")

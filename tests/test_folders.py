@@ -311,3 +311,121 @@ def test_batches_are_published_once(spark, tmp_path):
     with pytest.raises(RuntimeError, match="stop"):
         lib.once("other", 5, lambda: (_ for _ in ()).throw(RuntimeError("stop")))
     assert "other" not in lib.manifest()["batches"] and lib.once("other", 5, lambda: None) and not lib.once("other", 5, lambda: None)
+
+
+def test_the_engine_as_a_table_function(spark, tmp_path):
+    for k in range(4):
+        pixels = np.full((12, 20, 3), 5, dtype=np.uint8)
+        pixels[2, 3 + k] = 200
+        (tmp_path / f"{k}.png").write_bytes(png(pixels, 6 if k == 1 else None))
+
+    class Stub:
+        def detect_and_embed(self, pixels):
+            y, x = np.unravel_index(int(pixels.sum(axis=2).argmax()), pixels.shape[:2])
+            if x == 5:
+                raise RuntimeError("no")
+            return [images.Detection(float(x), float(y), 2.0, 2.0, 0.9, [1.0, float(k)]) for k in range(0 if x == 6 else 2)]
+
+    pictures = images.decoded(spark, [f"{tmp_path}/{k}.png" for k in range(4)])
+    wanted = sorted(map(str, images.detect(pictures, Stub).collect()))
+    images.register_detector(spark, Stub)
+    pictures.createOrReplaceTempView("pictures")
+    found = spark.sql("SELECT p.path, d.* FROM pictures p, LATERAL detect_faces(p.width, p.height, p.channels, p.data, p.orientation) d")
+    assert sorted(map(str, found.select("path", "failed", "x", "y", "w", "h", "confidence", "embedding").collect())) == wanted and len(wanted) == 6
+    broken = spark.sql("SELECT d.* FROM (SELECT 5 AS w, 5 AS h, 3 AS c, CAST('x' AS BINARY) AS data) t, LATERAL detect_faces(t.w, t.h, t.c, t.data, NULL) d").collect()
+    assert [(r["failed"], r["x"]) for r in broken] == [(True, None)]
+
+
+def test_small_pictures_are_made_once(spark, tmp_path):
+    import hashlib
+
+    for k in range(3):
+        (tmp_path / f"{k}.png").write_bytes(png(np.full((40, 60, 3), 40 * k, dtype=np.uint8)))
+        os.utime(tmp_path / f"{k}.png", (1, 1700000000 + k / 4))
+    (tmp_path / "bad.png").write_bytes(b"no")
+    photos = images.listing(spark, f"{tmp_path}")
+    cache = f"file://{tmp_path}/cache"
+    assert images.fill_thumbnails(spark, photos, cache, side=20, batch_photos=2) == 4
+    rows = {r["key"]: r for r in images.cached_thumbnails(spark, cache).collect()}
+    assert set(rows) == {hashlib.sha1(f"{tmp_path}/{k}.png:{1700000000 + k / 4!r}:20".encode()).hexdigest() for k in range(3)}
+    assert {(r["width"], r["height"]) for r in rows.values()} == {(20, 13)}
+    # Only what is not there is opened: the broken one, and later the changed one.
+    assert images.fill_thumbnails(spark, photos, cache, side=20) == 1
+    os.utime(tmp_path / "1.png", (1, 1700000009.5))
+    assert images.fill_thumbnails(spark, images.listing(spark, f"{tmp_path}"), cache, side=20) == 2
+    content = rows[hashlib.sha1(f"{tmp_path}/2.png:1700000000.5:20".encode()).hexdigest()]["content"]
+    (tmp_path / "again.png").write_bytes(content)
+    back = images.decoded(spark, [f"{tmp_path}/again.png"]).first()
+    assert (back["width"], back["height"]) == (20, 13) and set(bytes(back["data"])) == {80}
+
+
+def test_large_files_and_the_record_of_first_use(spark, tmp_path):
+    import hashlib
+
+    from kinfold.sources import models
+
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "pinned.onnx").write_bytes(b"a" * 1000)
+    (folder / "loose.onnx").write_bytes(b"b" * 1000)
+    (folder / "empty.onnx").write_bytes(b"")
+    with open(folder / "sparse.onnx", "wb") as file:
+        file.truncate(3 << 30)
+    files = models.model_files(spark, f"file://{folder}")
+    rows = {r["name"]: r for r in files.collect()}
+    assert rows["sparse.onnx"]["size"] == 3 << 30 and rows["empty.onnx"]["sha256"] == hashlib.sha256(b"").hexdigest()
+    os.unlink(folder / "sparse.onnx")
+    files = models.model_files(spark, f"file://{folder}")
+    good = hashlib.sha256(b"a" * 1000).hexdigest()
+    catalog = spark.createDataFrame([("pinned.onnx", good.upper(), 1000), ("loose.onnx", None, None), ("empty.onnx", None, None), ("gone.onnx", None, None)], "name string, sha256 string, size bigint")
+    path = f"file://{tmp_path}/record"
+    told = lambda df: {r["name"]: r["problem"] for r in df.collect()}
+    assert told(models.problems(catalog, files, models.recorded(spark, path))) == {"loose.onnx": "no known hash", "empty.onnx": "empty", "gone.onnx": "missing"}
+    left = models.record_first_uses(spark, catalog, files, path, 1.0)
+    assert told(left) == {"empty.onnx": "empty", "gone.onnx": "missing"}
+    assert [(r["name"], r["sha256"]) for r in models.recorded(spark, path).collect()] == [("loose.onnx", hashlib.sha256(b"b" * 1000).hexdigest())]
+    # The first record counts: another file of the name is a mismatch and is not recorded anew; a pinned hash goes before a recorded one.
+    (folder / "loose.onnx").write_bytes(b"c" * 1000)
+    assert told(models.record_first_uses(spark, catalog, files, path, 2.0))["loose.onnx"] == "checksum mismatch"
+    pinned = spark.createDataFrame([("loose.onnx", hashlib.sha256(b"c" * 1000).hexdigest(), None)], catalog.schema)
+    assert told(models.problems(pinned, files, models.recorded(spark, path))) == {}
+
+
+def test_events_outside_runs_on_a_stream(spark, tmp_path):
+    import json
+
+    from kinfold.streaming.debounce import outside_runs_stream
+
+    (tmp_path / "in").mkdir()
+    second = lambda s: f"2026-01-01T00:00:{s:06.3f}Z"
+    number = iter(range(100))
+
+    def put(events=(), runs=()):
+        rows = [{"id": int(s * 10), "ts": second(s)} for s in events] + [{"start_ts": second(a), **({"end_ts": second(b)} if b else {})} for a, b in runs]
+        (tmp_path / "in" / f"{next(number):03}.json").write_text("\n".join(map(json.dumps, rows)))
+        time.sleep(0.02)
+
+    found = []
+
+    def run():
+        # One source, so that what happens together is read together.
+        both = spark.readStream.schema("id bigint, ts timestamp, start_ts timestamp, end_ts timestamp").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+        events, runs = both.where("id IS NOT NULL").select("id", "ts"), both.where("id IS NULL").select("start_ts", "end_ts")
+        stream = outside_runs_stream(events, runs, "2 seconds").writeStream.foreachBatch(lambda b, _: found.extend(r["id"] for r in b.collect()) and None)
+        stream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    # One run is told when it is over, a second one overlaps it, a third is open over the restart.
+    put([1, 2.5, 3], [])
+    put([4, 6], [(2, 3.5), (3.2, 5)])
+    put([9], [(8, None)])
+    run()
+    # Whether the last watermark is acted upon before the stream ends is Spark's choice.
+    assert found in ([10], [10, 60])
+    put([12, 13], [])
+    run()
+    assert found == [10, 60]
+    put([20], [(8, 12.5)])
+    put([30], [])
+    put([40], [])
+    run()
+    assert found in ([10, 60, 130, 200], [10, 60, 130, 200, 300])
