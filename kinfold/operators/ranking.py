@@ -69,3 +69,17 @@ def bursts(rows: DataFrame, time: str, gap: Column, name: str = "burst") -> Data
     counted = marked.withColumn("_in", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     totals = marked.groupBy("_part").agg(F.sum("_new").alias("n"))
     return counted.join(_before(totals, "n"), "_part").select(time, (F.col("_before_n") + F.col("_in")).alias(name))
+
+
+def running_max(rows: DataFrame, value: Column, *order: Column | str, name: str) -> DataFrame:
+    """``rows`` with the largest ``value`` among all rows up to and with each, nulls left out, under ``name``; the order should be total.
+
+    Each range is gone through by itself, and the largest values of the ranges are carried on beforehand.
+    """
+    held = _ranges(rows.withColumn("_own", value), *order)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = held.groupBy("_part").agg(F.max("_own").alias("_top"))
+    before = F.broadcast(tops.select("_part", F.max("_top").over(earlier).alias("_before")))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = held.withColumn("_in", F.max("_own").over(inside)).join(before, "_part")
+    return joined.withColumn(name, F.greatest("_in", "_before")).drop("_part", "_at", "_own", "_in", "_before")

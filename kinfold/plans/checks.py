@@ -9,6 +9,7 @@ from kinfold.functions import exif, media
 from kinfold.operators import clustering, edits, gallery, matching, similarity
 from kinfold.plans.registry import _named, _oracle, _pairs_oracle
 from kinfold.plans.views import view
+from kinfold.sources import models
 from kinfold.streaming import debounce
 
 # -- names, colours, texts -----------------------------------------------------------------------------------
@@ -222,18 +223,59 @@ _oracle["inherited_pins"] = _pairs_oracle(
 )
 
 # Each step of the walk gives one new face to the first of the most similar means, or to a new one. The state holds names, means and counts.
-_oracle["greedy_assign"] = _pairs_oracle(
-    "SELECT face_id, person_id FROM walk WHERE face_id IS NOT NULL",
+_GREEDY = (
     "parts AS (SELECT person_id, pos, avg(v) AS m FROM (SELECT person_id, cast(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS pos FROM faces WHERE person_id IS NOT NULL) GROUP BY person_id, pos), "
     "known AS (SELECT person_id, (SELECT min(id) FROM faces f WHERE f.person_id = p.person_id) AS first_face, (SELECT count(*) FROM faces f WHERE f.person_id = p.person_id) AS n, list(m ORDER BY pos) AS mean FROM parts p GROUP BY person_id), "
-    "fresh AS (SELECT id, cast(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY id) AS k FROM faces WHERE person_id IS NULL), "
+    "fresh AS (SELECT id, cast(embedding AS DOUBLE[]) AS v, row_number() OVER (ORDER BY id) AS k FROM faces WHERE person_id IS NULL AND {0}), "
     "walk AS (SELECT cast(0 AS BIGINT) AS k, cast(NULL AS BIGINT) AS face_id, cast(NULL AS BIGINT) AS person_id, list(person_id ORDER BY first_face) AS names, list(mean ORDER BY first_face) AS means, list(n ORDER BY first_face) AS counts FROM known UNION ALL "
     "SELECT k, id, names[spot], names, list_transform(means, lambda m, i: CASE WHEN i = spot THEN CASE WHEN old THEN list_transform(m, lambda c, j: (c * counts[spot] + v[j]) / (counts[spot] + 1)) ELSE v END ELSE m END), "
     "list_transform(counts, lambda c, i: CASE WHEN i = spot AND old THEN c + 1 ELSE c END) FROM ("
     "SELECT k, id, v, old, CASE WHEN old THEN best ELSE len(names) + 1 END AS spot, CASE WHEN old THEN names ELSE list_append(names, -(len(names) + 1000000)) END AS names, "
     "CASE WHEN old THEN means ELSE list_append(means, v) END AS means, CASE WHEN old THEN counts ELSE list_append(counts, cast(1 AS BIGINT)) END AS counts FROM ("
-    "SELECT *, list_position(sims, list_max(sims)) AS best, list_max(sims) > 0.363 AS old FROM (SELECT f.k, f.id, f.v, w.names, w.means, w.counts, list_transform(w.means, lambda m: list_cosine_similarity(m, f.v)) AS sims FROM walk w JOIN fresh f ON f.k = w.k + 1))))",
+    "SELECT *, list_position(sims, list_max(sims)) AS best, list_max(sims) > 0.363 AS old FROM (SELECT f.k, f.id, f.v, w.names, w.means, w.counts, list_transform(w.means, lambda m: list_cosine_similarity(m, f.v)) AS sims FROM walk w JOIN fresh f ON f.k = w.k + 1))))"
+)
+_oracle["greedy_assign"] = _pairs_oracle("SELECT face_id, person_id FROM walk WHERE face_id IS NOT NULL", _GREEDY.replace("{0}", "TRUE"), "faces")
+
+
+@_named()
+def greedy_applied(spark, d):
+    """The new faces, those without person or pin, put to old and new persons; all others stay as they are."""
+    faces = view(spark, d, "faces").select("id", "person_id", "pinned", "embedding", "photo_id")
+    done = clustering.apply_greedy(faces, view(spark, d, "persons"), faces.where("person_id IS NULL AND NOT pinned").select("id"))
+    named = done.persons.select(F.col("id").alias("person_id"), "name")
+    return done.faces.select("id", "person_id", "pinned").join(named, "person_id", "left").select("id", "person_id", "pinned", "name")
+
+
+# New persons come in the order of their first faces.
+_oracle["greedy_applied"] = _pairs_oracle(
+    "SELECT f.id, coalesce(o.id, w.person_id, f.person_id) AS person_id, f.pinned, coalesce(o.name, p.name) AS name FROM faces f LEFT JOIN walk w ON w.face_id = f.id LEFT JOIN opened o ON o.tentative = w.person_id "
+    "LEFT JOIN persons p ON p.id = coalesce(w.person_id, f.person_id)",
+    _GREEDY.replace("{0}", "NOT pinned")
+    + ", opened AS (SELECT person_id AS tentative, (SELECT max(id) FROM persons) + place AS id, 'Persona ' || cast((SELECT count(*) FROM persons) + place AS VARCHAR) AS name FROM "
+    "(SELECT person_id, row_number() OVER (ORDER BY min(face_id)) AS place FROM walk WHERE person_id < 0 GROUP BY person_id))",
     "faces",
+    "persons",
+)
+
+
+@_named()
+def model_problems(spark, d):
+    """Pages as files: what a catalogue of their hashes and sizes, and a record of first use, find wrong with them."""
+    pages = view(spark, d, "pages").withColumn("name", F.col("page_id").cast("string"))
+    own, digest = F.col("page_id"), lambda c: F.sha2(c, 256)
+    catalog = pages.select(
+        "name", F.when(own % 3 == 0, F.upper(digest("html"))).when((own % 3 == 1) & (own % 2 == 0), digest("url")).alias("sha256"), F.when(own % 5 == 0, F.length("html") + own % 2).cast("bigint").alias("size")
+    )
+    files = pages.where("page_id % 11 <> 3").select("name", digest("html").alias("sha256"), F.length("html").cast("bigint").alias("size"))
+    recorded = pages.where("page_id % 7 < 4").select("name", F.when(own % 4 == 1, digest("html")).otherwise(digest("url")).alias("sha256"))
+    return models.problems(catalog, files, recorded)
+
+
+_oracle["model_problems"] = (
+    "SELECT name, problem FROM (SELECT c.name, CASE WHEN f.name IS NULL THEN 'missing' WHEN f.size = 0 THEN 'empty' WHEN c.size <> f.size THEN 'size mismatch' WHEN coalesce(lower(c.sha256), lower(r.sha256)) IS NULL THEN 'no known hash' "
+    "WHEN coalesce(lower(c.sha256), lower(r.sha256)) <> f.sha256 THEN 'checksum mismatch' END AS problem FROM "
+    "(SELECT cast(page_id AS VARCHAR) AS name, CASE WHEN page_id % 3 = 0 THEN upper(sha256(html)) WHEN page_id % 3 = 1 AND page_id % 2 = 0 THEN sha256(url) END AS sha256, CASE WHEN page_id % 5 = 0 THEN length(html) + page_id % 2 END AS size FROM pages) c "
+    "LEFT JOIN (SELECT cast(page_id AS VARCHAR) AS name, sha256(html) AS sha256, length(html) AS size FROM pages WHERE page_id % 11 <> 3) f ON f.name = c.name LEFT JOIN (SELECT cast(page_id AS VARCHAR) AS name, sha256(CASE WHEN page_id % 4 = 1 THEN html ELSE url END) AS sha256 FROM pages WHERE page_id % 7 < 4) r ON r.name = c.name) WHERE problem IS NOT NULL"
 )
 
 
@@ -314,3 +356,12 @@ _oracle["regrouped_persons"] = _pairs_oracle(
     "faces",
     "persons",
 )
+
+
+_oracle["cluster_quality"] = _pairs_oracle(
+    "SELECT (SELECT sum(m) / sum(t) FROM of_cluster) AS purity, (SELECT sum(m) / sum(t) FROM of_label) AS completeness, (SELECT max(k) FROM of_cluster) = 1 AND (SELECT max(k) FROM of_label) = 1 AS same_partition",
+    _UNITS.format("0.45e0")
+    + ", counted AS (SELECT cluster_id, person_id AS label, count(*) AS n FROM found JOIN faces ON id = face_id WHERE person_id IS NOT NULL GROUP BY ALL), "
+    "of_cluster AS (SELECT max(n) AS m, sum(n) AS t, count(*) AS k FROM counted GROUP BY cluster_id), of_label AS (SELECT max(n) AS m, sum(n) AS t, count(*) AS k FROM counted GROUP BY label)",
+    "faces",
+)

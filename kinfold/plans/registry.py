@@ -321,8 +321,8 @@ def greedy_assign(spark, d):
 
 @_named()
 def cluster_quality(spark, d):
-    faces = view(spark, d, "faces")
-    return clustering.quality(faces.select(F.col("id").alias("face_id"), (F.col("id") % 7).alias("cluster_id")), faces.where("person_id IS NOT NULL").select(F.col("id").alias("face_id"), F.col("person_id").alias("label")))
+    faces = _faces(spark, d)
+    return clustering.quality(clustering.recluster(faces, 0.45), faces.where("person_id IS NOT NULL").select(F.col("id").alias("face_id"), F.col("person_id").alias("label")))
 
 
 # -- synchronizing and edits ---------------------------------------------------------------------------------
@@ -369,6 +369,18 @@ def delete_person(spark, d):
     return edits.delete_person(view(spark, d, "persons"), view(spark, d, "faces"), 2)[1].select("id", "person_id", "pinned")
 
 
+@_named("SELECT id, name, color, (SELECT count(*) FROM faces f WHERE CASE WHEN f.person_id = 3 THEN 5 ELSE f.person_id END = p.id) AS face_count FROM persons p WHERE id <> 3", "persons", "faces")
+def persons_after_merge(spark, d):
+    persons, faces = edits.merge_persons(view(spark, d, "persons"), view(spark, d, "faces"), 3, 5)
+    return gallery.person_counts(persons, faces).select("id", "name", "color", "face_count")
+
+
+@_named("SELECT id, name, color, (SELECT count(*) FROM faces f WHERE f.person_id = p.id) AS face_count FROM persons p WHERE id <> 2", "persons", "faces")
+def persons_after_delete(spark, d):
+    persons, faces = edits.delete_person(view(spark, d, "persons"), view(spark, d, "faces"), 2)
+    return gallery.person_counts(persons, faces).select("id", "name", "color", "face_count")
+
+
 @_named("SELECT photo_id, tag_id FROM photo_tags WHERE NOT (photo_id = 7 AND tag_id = 1) UNION SELECT 3, 26 UNION SELECT 4, id FROM tags WHERE id = 4", "photo_tags", "tags")
 def retag(spark, d):
     tags, links = view(spark, d, "tags"), view(spark, d, "photo_tags")
@@ -409,11 +421,6 @@ _oracle["dup_groups"] = _pairs_oracle(
     "SELECT group_id, count(*) AS size, min(path) AS first_path, string_agg(path, '|' ORDER BY path) AS paths FROM groups JOIN photos ON id = photo_id GROUP BY group_id", _GROUPS, "photos"
 )
 _oracle["gallery_duplicates"] = _pairs_oracle("SELECT id, path FROM photos WHERE id IN (SELECT photo_id FROM groups)", _GROUPS, "photos")
-_oracle["cluster_quality"] = _pairs_oracle(
-    "SELECT sum(m) / sum(t) AS purity, (SELECT sum(m) / sum(t) FROM (SELECT max(n) AS m, sum(n) AS t FROM counted GROUP BY label)) AS completeness, FALSE AS same_partition FROM (SELECT max(n) AS m, sum(n) AS t FROM counted GROUP BY cluster_id)",
-    "counted AS (SELECT id % 7 AS cluster_id, person_id AS label, count(*) AS n FROM faces WHERE person_id IS NOT NULL GROUP BY ALL)",
-    "faces",
-)
 _EDGES = f"edges AS (SELECT a.id AS a, b.id AS b FROM faces a JOIN faces b ON a.id < b.id WHERE {_SIM} >= {{0}})"
 _oracle["threshold_components"] = _pairs_oracle(
     "SELECT f.id, least(f.id, coalesce((SELECT min(seen) FROM walk w WHERE w.id = f.id), f.id)) AS component FROM faces f",

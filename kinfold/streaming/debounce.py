@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinfold import constants as C
 from kinfold import runtime
-from kinfold.operators.ranking import bursts
+from kinfold.operators.ranking import bursts, running_max
 
 
 def debounce_stream(events: DataFrame, seconds: int = C.DEBOUNCE_SECONDS) -> DataFrame:
@@ -38,9 +38,20 @@ def debounce_batch(events: DataFrame, seconds: int = C.DEBOUNCE_SECONDS) -> Data
 
 
 def outside_runs(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Events that arrive while no run (start_ts, end_ts) is active; those in [start_ts, end_ts) are dropped."""
-    during = (F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts"))
-    return events.join(runs, during, "left_anti")
+    """Events that arrive while no run (start_ts, end_ts) is active; those in [start_ts, end_ts) are dropped.
+
+    Events and starts of runs are sorted in ranges of time, and an event looks at the latest end of all runs that have started by then; runs may be many, long and
+    overlap. Events without a time are kept, runs without a start or an end drop nothing.
+    """
+    own, end, until = (runtime.spare_name(events, n) for n in ("is_event", "run_end", "until"))
+    times = runs.where("start_ts IS NOT NULL AND end_ts IS NOT NULL")
+    kind = events.schema["ts"].dataType
+    starts = times.select(F.col("start_ts").cast(kind).alias("ts"), F.lit(False).alias(own), F.col("end_ts").cast(kind).alias(end))
+    both = events.withColumn(own, F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    # A run that starts with an event comes before it. The rest of the order only makes ranges even.
+    placed = running_max(both, F.col(end), "ts", own, F.xxhash64(*(c for c in events.columns)), name=until)
+    free = F.col("ts").isNull() | F.col(until).isNull() | (F.col("ts") >= F.col(until))
+    return placed.where(F.col(own) & free).select(*events.columns)
 
 
 _RUNS = "open bigint, runs array<struct<s:bigint,e:bigint>>, held array<struct<ts:bigint,row:string>>"
