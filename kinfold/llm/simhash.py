@@ -8,9 +8,8 @@ are those of least estimated cost, from a bounded sample of fingerprints; whatev
 is exact. Each fingerprint is sent to the bucket of every value within the threshold of its own, and each
 bucket checks its members and returns a spanning forest of the links that it finds, never all pairs.
 
-A bucket of more than ``BUCKET_ROWS`` members is not held by one task. Its members are sent to all values
-within half the distance of them instead: two fingerprints link exactly if they share such a value,
-and at most 2081 fingerprints share one, so these buckets are bounded.
+A bucket of more than ``BUCKET_ROWS`` members is not held by one task: its members are cut into blocks of which each
+two meet in a bucket of their own, so a member is sent once for each block, and all are compared however many they are.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other. Fewer words
 than a shingle are one shingle. Repeated rows keep their number. The smallest non-null doc_id names the
@@ -164,17 +163,6 @@ def _bucket_rows(groups: list[tuple[list[int], int]]):
     return send
 
 
-def _variant_rows(radius: int):
-    def send(batches):
-        masks = flips(list(range(BITS)), radius)
-        for batch in batches:
-            prints = np.asarray(batch.column(0)).view(np.uint64)
-            for part in np.array_split(prints, max(1, len(prints) // 256)):
-                yield _emit((part[:, None] ^ masks[None, :]).ravel(), np.repeat(part, len(masks)))
-
-    return send
-
-
 def links_in_bucket(prints: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """A spanning forest of the links among distinct fingerprints, grown from one to the next unreached ones."""
     left, a, b = prints, [], []
@@ -192,31 +180,27 @@ def links_in_bucket(prints: np.ndarray, distance: int) -> tuple[list[int], list[
     return a, b
 
 
-def _links(distance: int, all_link: bool):
-    """Reads rows sorted by key and returns links within each key; ``all_link``: sharing a key is a link."""
+def _links(distance: int):
+    """Reads rows sorted by key and returns links within each key."""
 
     def pairs_of(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         a, b = [], []
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(first, len(keys)))
-        if all_link:
-            hub = np.repeat(prints[first], sizes)
-            a, b = [hub[hub != prints]], [prints[hub != prints]]
-        else:
-            size_at = np.repeat(sizes, sizes)
-            small = np.flatnonzero((size_at > 1) & (size_at <= 32))
-            k, p = keys[small], prints[small]
-            for shift in range(1, min(32, len(k))):
-                same = k[shift:] == k[:-shift]
-                if not same.any():
-                    break
-                hit = same & (np.bitwise_count(p[shift:] ^ p[:-shift]) <= distance)
-                a.append(p[:-shift][hit])
-                b.append(p[shift:][hit])
-            for at, size in zip(first[sizes > 32], sizes[sizes > 32], strict=True):
-                x, y = links_in_bucket(np.unique(prints[at : at + size]), distance)
-                a.append(np.array(x, dtype=np.uint64))
-                b.append(np.array(y, dtype=np.uint64))
+        size_at = np.repeat(sizes, sizes)
+        small = np.flatnonzero((size_at > 1) & (size_at <= 32))
+        k, p = keys[small], prints[small]
+        for shift in range(1, min(32, len(k))):
+            same = k[shift:] == k[:-shift]
+            if not same.any():
+                break
+            hit = same & (np.bitwise_count(p[shift:] ^ p[:-shift]) <= distance)
+            a.append(p[:-shift][hit])
+            b.append(p[shift:][hit])
+        for at, size in zip(first[sizes > 32], sizes[sizes > 32], strict=True):
+            x, y = links_in_bucket(np.unique(prints[at : at + size]), distance)
+            a.append(np.array(x, dtype=np.uint64))
+            b.append(np.array(y, dtype=np.uint64))
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (a, b))
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
@@ -238,6 +222,8 @@ def _links(distance: int, all_link: bool):
 
 def links(prints: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links among the distinct fingerprints ``prints`` (fp bigint) whose components are those of all links."""
+    from kinfold.llm.simhash_wide import in_block_pairs
+
     spark = prints.sparkSession
     runtime.ship_package(spark)
     total = prints.count()
@@ -245,16 +231,14 @@ def links(prints: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_ROWS)
     sample = prints.where(u < PLAN_SAMPLE / max(total, 1)).orderBy(u, "fp").limit(PLAN_SAMPLE).collect()
     groups = plan(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), total, distance)
     rows = prints.select("fp").mapInArrow(_bucket_rows(groups), _KEYED)
-    hot = runtime.materialize(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key"), "hot")
-    found = None
-    if not hot.isEmpty():
-        wide = rows.join(hot, "key", "left_semi").select("fp").distinct()
-        # Half the distance on either side: exact for even distances; for odd ones the shared value only proposes, so links are checked.
-        variants = wide.mapInArrow(_variant_rows((distance + 1) // 2), _KEYED)
-        found = variants.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(distance, distance % 2 == 0), "a bigint, b bigint")
-        rows = rows.join(hot, "key", "left_anti").select("key", "fp")
-    near = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(distance, False), "a bigint, b bigint")
-    return near if found is None else near.union(found)
+    # With more than one block a bucket is crowded; two blocks together are about as many rows as a bucket may have.
+    blocks = F.ceil(F.lit(2.0) * F.col("count") / bucket_rows).cast("bigint")
+    hot = runtime.materialize(rows.groupBy("key").count().where(F.col("count") > bucket_rows).select("key", blocks.alias("blocks")), "hot")
+    met = lambda keyed: keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(distance), "a bigint, b bigint")
+    if hot.isEmpty():
+        return met(rows)
+    crowded = in_block_pairs(rows.withColumnRenamed("fp", "node").join(hot, "key").select("key", "node", "blocks"), "key", "blocks")
+    return met(rows.join(hot, "key", "left_anti").select("key", "fp")).union(met(crowded.select("key", F.col("node").alias("fp"))))
 
 
 def components(prints: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -73,7 +73,7 @@ def test_search_finds_all_links(spark, distance):
     ordered = list(signed.values())
     near = [(a, b) for a in range(len(ordered)) for b in range(a + 1, len(ordered)) if ((ordered[a] ^ ordered[b]) & (2**64 - 1)).bit_count() <= distance]
     want = union_find(near)
-    for bucket_rows in (simhash.BUCKET_ROWS, 10) if distance == 4 else (simhash.BUCKET_ROWS,):
+    for bucket_rows in (simhash.BUCKET_ROWS, 10):
         got = {r["fp"]: r["component_id"] for r in simhash.components(df, distance, bucket_rows).collect()}
         assert got == {fp: want.get(i, i) for i, fp in enumerate(ordered)}
 
