@@ -219,14 +219,18 @@ def test_mixed_probabilities_sum_to_one():
     literal = Counter((0 if k == 0 else voc.row[t[k - 1]], voc.kind[t[k]]) for i, t in enumerate(texts) if i != 3 for k in range(51))
     assert {(r, k): counts[r, k] for r, k in zip(*np.nonzero(counts))} == literal
     rows, there, target, aimed = attention.window_inputs(voc, ids, *attention.windows(lengths))
-    pairs = attention.pair_model(counts, net, rows, there, voc.kind[target], aimed)
+    # Each text has two windows; those of the one that is not counted are left out.
+    learns = np.arange(40) // 2 != 3
+    level, parts = attention.pair_places(net, counts, *(x[learns] for x in (rows, there, voc.kind[target], aimed)))
+    assert (level > 0).all() and (parts >= 0).all() and (parts <= 1).all()
+    pairs = attention.pair_model(counts, np.full(attention.LEVELS, 0.4))
     assert pairs.share.sum(axis=1) == pytest.approx(1, abs=1e-4) and (pairs.weight[counts.sum(axis=1) > 0] > 0).any()
     mixed = spelling(pairs, net)
     assert sum(10 ** attention.log10_probabilities(mixed, np.array([5, x]), np.array([2]))[0][1] for x in range(301)) == pytest.approx(1, rel=1e-4)
 
 
 def test_parts_of_a_words_probability(texts, spark):
-    """Against counts by hand: shares of the corpus, of the text so far, and of what followed the word before."""
+    """Against counts by hand: shares of the corpus, of the text so far, of what followed the word before, and of the words of a class; and their mixture."""
     rows = [(1, "b a b a c"), (2, ""), (3, "a a a"), (4, "b a"), (10, "a b c a b"), (11, " ".join("defghijklmnopqrstuvwxyz" * 2))]
     held = {10}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -248,13 +252,13 @@ def test_parts_of_a_words_probability(texts, spark):
 
     import pyarrow as pa
 
-    line = language_model.line_of(block)
-    keys, at, _ = language_model.rare_keys(block, line, corpus.frequent)
-    learned = (line.pair >= 0) & (block["held"] == 0)[line.text]
-    sent = np.bincount(line.pair[learned], minlength=len(line.pairs)).astype(np.int64)
-    assert len(keys) == len(line.pairs) and (np.diff(keys.astype(np.float64)) >= 0).all() and len(sent)
-    nothing = pa.table({"bucket": [0], "counts": [sent[at - len(block["hashes"])].tobytes()]})
-    bigrams = Counter(x for i, t in rows if i not in held for x in zip(t.split(), [*t.split()[1:], None]))
+    nothing = pa.table({"bucket": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
+    opens = lambda w: voc.kind[(language_model.tokenizer(model).encode(w) or [0])[0]] if w else voc.kind[voc.end]
+    classes = Counter()
+    for w, c in [*counts.items(), (None, 5)]:
+        classes[opens(w)] += c
+    corpus.classes = np.array([classes[k] for k in range(attention.CLASSES)])
+    weights = np.random.default_rng(3).dirichlet(np.ones(5), language_model.KINDS)
     for leave_out in (False, True):
         found = language_model.places(block, nothing, Held, leave_out)
         at = 0
@@ -266,16 +270,64 @@ def test_parts_of_a_words_probability(texts, spark):
                 follows = [b for a, b in zip(before, before[1:]) if before and a == before[-1]]
                 want = max(c - less, 0) / (total - less), before.count(word) / max(len(before), 1), follows.count(word) / max(len(follows), 1)
                 assert tuple(found.parts[[0, 2, 3], at]) == pytest.approx(want), (i, before, word)
-                if before and line.pair[at] >= 0:
-                    assert found.parts[4, at] == pytest.approx(max(bigrams[before[-1], word] - less, 0) / max(counts[before[-1]] - less, 1))
-                else:
-                    assert found.parts[4, at] == 0
+                share = max(c - less, 0) / max(classes[opens(word)] - less, 1)
+                assert 0 <= found.parts[4, at] <= share + 1e-9 and (found.parts[4, at] > 0) == (share > 0)
+                far, met = sum(len(before) >= x for x in (16, 64, 256)), sum((before[:-1].count(before[-1]) if before else 0) >= x for x in (1, 2, 4))
+                assert found.kind[at] == far * 4 + met
+                assert language_model.mixed(found, weights)[at] == pytest.approx(sum(w * x for w, x in zip(weights[far * 4 + met], found.parts[:, at], strict=True)))
                 assert found.text[at] == n and found.own[at] == c
                 at += 1
                 before.append(word)
         assert at == len(found.own)
 
 
+def test_the_class_part_sums_to_one():
+    """Over all words of a small vocabulary, by every class that has words."""
+    scorer = spelling()
+    voc, net = scorer.voc, attention.new_network()
+    logs = {}
+    for x in [*range(300), voc.end]:
+        own, begins = attention.log10_probabilities(scorer, np.array([5, x, voc.end][: 2 if x == voc.end else 3]), np.array([2 if x == voc.end else 3]))
+        logs[x] = own[1] - voc.log_share[x] - begins[1], voc.kind[x]
+    shown = {kind: 10.0**v * voc.begins[kind] for v, kind in logs.values()}
+    assert net.out.shape[1] == attention.CLASSES and sum(shown.values()) == pytest.approx(1, abs=1e-3)
+
+
+def test_weights_are_the_likeliest(spark):
+    """Rounds over packed places come to the weights that a search finds, however the places lie."""
+    rng = np.random.default_rng(5)
+    kind, parts = rng.integers(0, 2, 4000), rng.random((2, 4000)) ** 3
+    for cut in (1, 7):
+        rows = [(bytearray(language_model.pack(kind=k.astype(np.int16), parts=p.astype(np.float32).ravel())),) for k, p in zip(np.array_split(kind, cut), np.array_split(parts, cut, axis=1), strict=True)]
+        table = spark.createDataFrame(rows, "payload binary").repartition(cut)
+        found = language_model.fitted(table, 3, 2, rounds=60)
+        for k in (0, 1):
+            own = parts[:, kind == k]
+            best = max(np.linspace(0.001, 0.999, 999), key=lambda w: np.log(w * own[0] + (1 - w) * own[1]).sum())
+            assert found[k] == pytest.approx([best, 1 - best], abs=0.02)
+        assert tuple(found[2]) == (0.5, 0.5)
+        first = found if cut == 1 else first
+        assert (found == first).all()
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    two, seven = ({r["doc_id"]: (r["base_score"], r["score"]) for r in language_model.score(docs.repartition(n, F.rand(n)), F.col("doc_id") % 10 == 0, windows=50, block_bytes=b).collect()} for n, b in ((2, 1 << 20), (7, 20_000)))
+    assert two.keys() == seven.keys()
+    for i, own in two.items():
+        assert seven[i] == pytest.approx(own, rel=1e-5), i
+
+
+def test_the_network_carries_the_score(spark):
+    """Without the parts that come from the network the held-out texts are clearly less likely."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    totals = []
+    for without in ((), ("classes",), ("subwords", "classes")):
+        rows = [r for r in language_model.score(docs, F.col("doc_id") % 10 == 0, without=without).collect() if r["held_out"]]
+        totals.append(sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows))
+    assert totals[0] > totals[1] + 0.04 and totals[1] > totals[2] + 1, totals
+
+
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_the_model_beats_the_word_counts_on_held_out_texts(found, size):
     rows = [r for r in found("op4_language_model", f"/root/testdata/{size}") if r["held_out"]]
