@@ -21,6 +21,8 @@ PERSON_PALETTE = (
     "#fabebe", "#008080", "#e6beff", "#9a6324", "#800000", "#aaffc3", "#808000", "#ffd8b1", "#000075",
 )
 TAG_DOTS = 4
+#: Width of a card, and its height for tall and for wide pictures.
+CARD_WIDTH, CARD_HEIGHT_TALL, CARD_HEIGHT_WIDE = 190, 250, 210
 DEBOUNCE_SECONDS = 2
 THUMBNAIL_SIDE = 480
 SCHEMA_VERSION = 1

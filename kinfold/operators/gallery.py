@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from kinfold import constants as C
 from kinfold.functions import media
 from kinfold.operators.ranking import ranked
+from kinfold.options import Options
+
+_BOXES = "array<struct<x:double,y:double,w:double,h:double,color:string>>"
 
 
 def having_all(links: DataFrame, key: str, value: str, wanted: Sequence[int]) -> DataFrame:
@@ -65,6 +68,22 @@ def cards(photos: DataFrame, faces: DataFrame, persons: DataFrame, photo_tags: D
     return photos.join(boxes, "id", "left").join(texts, "id", "left")
 
 
+def gallery_view(photos: DataFrame, faces: DataFrame, persons: DataFrame, options: Options) -> DataFrame:
+    """Photos as the owner's settings show them: place in the chosen order, size of the card, and the boxes of faces by id (x, y, w, h, color).
+
+    Without face boxes there are none for any photo and faces are not read.
+    """
+    out = with_rank(photos, options.sort_order).withColumns(
+        {"card_width": F.lit(C.CARD_WIDTH), "card_height": F.lit(C.CARD_HEIGHT_TALL if options.aspect == "3:4" else C.CARD_HEIGHT_WIDE)}
+    )
+    if not options.show_face_boxes:
+        return out.withColumn("boxes", F.array().cast(_BOXES))
+    shown = face_display(faces.select("id", "photo_id", "person_id", "x", "y", "w", "h"), persons)
+    own = shown.groupBy(F.col("photo_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y", "w", "h", F.col("person_color").alias("color")))).alias("own"))
+    boxes = F.transform("own", lambda b: F.struct(b["x"].cast("double").alias("x"), b["y"].cast("double").alias("y"), b["w"].cast("double").alias("w"), b["h"].cast("double").alias("h"), b["color"].alias("color")))
+    return out.join(own, "id", "left").withColumn("boxes", F.coalesce(boxes, F.array().cast(_BOXES))).drop("own")
+
+
 def person_counts(persons: DataFrame, faces: DataFrame) -> DataFrame:
     """Each person with the number of their faces, 0 included; faces are counted before the join."""
     counts = faces.where(F.col("person_id").isNotNull()).groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("face_count"))

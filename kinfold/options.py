@@ -12,9 +12,11 @@ class Options:
     """What a library's owner can choose."""
 
     clustering_threshold: float = C.COSINE_THRESHOLD
-    sort_order: str = "path"
+    #: "date" for the capture date; all else, "filename" as a rule, for the path.
+    sort_order: str = "filename"
     show_face_boxes: bool = True
-    aspect: str = "square"
+    #: "3:4" for tall cards; all else, "4:3" as a rule, for wide ones.
+    aspect: str = "3:4"
     watch_folder: bool = False
     last_folder: str = ""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinfold import constants as C
 from kinfold.functions import exif, media
 from kinfold.operators import clustering, duplicates, edits, gallery, matching, similarity, sync
+from kinfold.options import Options
 from kinfold.plans.views import view, with_views
 from kinfold.streaming import debounce
 
@@ -93,6 +94,17 @@ def gallery_cards(spark, d):
     return shown.select("id", F.greatest(F.coalesce(F.size("faces"), F.lit(0)), F.lit(0)).cast("bigint").alias("face_count"), F.coalesce(names, F.lit("")).alias("face_names"), F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tag_names"))
 
 
+@_named(
+    "SELECT p.id, row_number() OVER (ORDER BY p.exif_date IS NULL, p.exif_date, p.id) - 1 AS rank, 190 AS card_width, 210 AS card_height, coalesce(f.n, 0) AS n_boxes, coalesce(f.colors, '') AS box_colors "
+    "FROM photos p LEFT JOIN (SELECT f.photo_id, count(*) AS n, string_agg(coalesce(q.color, '#888888'), ',' ORDER BY f.id) AS colors FROM faces f LEFT JOIN persons q ON q.id = f.person_id GROUP BY f.photo_id) f ON f.photo_id = p.id",
+    "photos", "faces", "persons",
+)
+def gallery_by_settings(spark, d):
+    shown = gallery.gallery_view(*(view(spark, d, n) for n in ("photos", "faces", "persons")), Options(sort_order="date", aspect="4:3"))
+    colors = F.array_join(F.transform("boxes", lambda b: b["color"]), ",")
+    return shown.select("id", "rank", "card_width", "card_height", F.size("boxes").cast("bigint").alias("n_boxes"), colors.alias("box_colors"))
+
+
 @_named("SELECT id, path FROM photos WHERE path NOT IN (SELECT path FROM scan)", "photos", "scan")
 def missing_photos(spark, d):
     return sync.missing(view(spark, d, "photos"), view(spark, d, "scan")).select("id", "path")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinfold import runtime
 from kinfold.functions import exif, media
 from kinfold.operators import duplicates, edits, gallery, matching, sync
+from kinfold.options import Options
 from kinfold.sources import images, models, store
 from kinfold.streaming import debounce, online
 
@@ -376,3 +377,19 @@ def test_running_sums_over_ranges(spark):
     want = {i: (sum(j % 7 for j in ordered[:k]), k) for k, i in enumerate(ordered)}
     assert got == [want, want]
     assert running_sums(rows.limit(0), "x", "id", one_task_rows=0, **sums).count() == 0
+
+
+def test_settings_change_the_view(spark):
+    photos = spark.createDataFrame([(1, "b", None), (2, "a", "2020-01-01"), (3, "c", "2019-01-01")], "id bigint, path string, exif_date string")
+    faces = spark.createDataFrame([(7, 1, 5, 1.0, 2.0, 3.0, 4.0), (6, 1, None, 0.0, 0.0, 1.0, 1.0)], "id bigint, photo_id bigint, person_id bigint, x double, y double, w double, h double")
+    persons = spark.createDataFrame([(5, "Ann", "#123456")], "id bigint, name string, color string")
+
+    def shown(**settings):
+        return {r["id"]: r for r in gallery.gallery_view(photos, faces, persons, Options(**settings)).collect()}
+
+    plain = shown()
+    assert {i: r["rank"] for i, r in plain.items()} == {2: 0, 1: 1, 3: 2} and plain[1]["card_height"] == 250
+    assert [tuple(b) for b in plain[1]["boxes"]] == [(0, 0, 1, 1, "#888888"), (1, 2, 3, 4, "#123456")] and plain[2]["boxes"] == []
+    other = shown(sort_order="date", aspect="4:3", show_face_boxes=False)
+    assert {i: r["rank"] for i, r in other.items()} == {3: 0, 2: 1, 1: 2}
+    assert all(r["boxes"] == [] and (r["card_width"], r["card_height"]) == (190, 210) for r in other.values())
