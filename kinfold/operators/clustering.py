@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from kinfold import constants as C
 from kinfold import runtime
-from kinfold.operators.components import connected_components
+from kinfold.operators.components import FINISH_EDGES, connected_components
 from kinfold.operators.ranking import ranked
-from kinfold.operators.similarity import cosine_pairs, person_means, unit_rows
+from kinfold.operators.similarity import BLOCK_ROWS, cosine_pairs, kept_apart, matrix_of, person_means, unit_rows
 
 
 class RunningMeans:
@@ -220,149 +220,234 @@ def cluster_ids(unit: np.ndarray, anchors: list[int | None], places: np.ndarray,
     return out
 
 
-#: Faces of a component that one task clusters; larger ones are brought down to that many clusters by rounds of merges first.
-LINKAGE_ROWS = 8192
-#: Clusters of one block in such a round: a task compares two blocks.
-ROUND_BLOCK = 2048
+def linked_linkage(sums: np.ndarray, size: np.ndarray, held: np.ndarray, tied: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> list[list[int]]:
+    """The clusters of ``average_linkage`` over clusters given by the sums of their vectors, of which the pairs (a, b) alone are near enough.
 
+    Two clusters reach the threshold only if some pair of their parts does, so a cluster looks at those alone that its parts are linked with. The
+    chain is that of ``chained_linkage``. Time and memory grow with the links.
+    """
+    n, sums, size, held, tied = len(sums), sums.copy(), size.astype(np.float64), held.copy(), tied.copy()
+    ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+    near_by = np.split(others[np.argsort(ends, kind="stable")], np.cumsum(np.bincount(ends, minlength=n))[:-1])
+    top, members, chain = np.arange(n), [[i] for i in range(n)], []
+
+    def nearest(x: int) -> tuple[int, float] | None:
+        near = np.unique(top[near_by[x]])
+        near = near[near != x]
+        # Products are summed in one order for both directions of a pair, so both have the same number.
+        sim = (sums[near] * sums[x]).sum(axis=1) / (size[near] * size[x])
+        fit = sim >= threshold - C.LINKAGE_SLACK
+        if held[x]:
+            fit &= ~(held[near] & (tied[near] != tied[x]))
+        near_by[x], sim = near[fit], sim[fit]
+        if not len(sim):
+            return None
+        at = int(np.argmax(sim))
+        if len(chain) > 1:
+            # Of equals the one the chain came from, else it might go round for ever.
+            came = np.flatnonzero(near_by[x] == chain[-2])
+            at = int(came[0]) if len(came) and sim[came[0]] >= sim[at] else at
+        return int(near_by[x][at]), float(sim[at])
+
+    for start in range(n):
+        if top[start] != start:
+            continue
+        chain.append(start)
+        while chain:
+            x = chain[-1]
+            found = nearest(x)
+            if found is None:
+                chain.pop()
+            elif len(chain) > 1 and chain[-2] == found[0]:
+                chain[-2:] = []
+                into, gone = (x, found[0]) if len(members[x]) >= len(members[found[0]]) else (found[0], x)
+                sums[into] += sums[gone]
+                size[into] += size[gone]
+                if held[gone]:
+                    held[into], tied[into] = True, tied[gone]
+                top[members[gone]] = into
+                members[into] += members[gone]
+                near_by[into] = np.concatenate([near_by[into], near_by[gone]])
+                members[gone], near_by[gone] = [], near_by[gone][:0]
+                if not chain:
+                    chain.append(into)
+            else:
+                chain.append(found[0])
+    return [m for m in members if m]
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
 
+#: Clusters and links of a component that one task finishes; in larger ones rounds of merges come first.
+LINKAGE_ROWS, LINKAGE_LINKS = 32768, 500_000
+#: Rounds after which components are looked for again.
+ROUNDS = 4
 
-def nearest_clusters(clusters: DataFrame, threshold: float, block_rows: int = ROUND_BLOCK) -> DataFrame:
-    """(id, partner): for each cluster (root, id, sum, size, anchor) the most similar one of its root that it may merge with, if that reaches the threshold.
 
-    Clusters are cut into blocks of which each two meet in a task, which returns one row for each of their clusters. Of equally similar pairs
-    the first is taken, by the smaller id and then by the larger one, so some two clusters always name each other.
-    """
-    parts = clusters.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
-    sent = clusters.join(parts, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("root", "id", "sum", "size", "anchor", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
 
-    def best(rows: pa.Table) -> pa.Table:
-        # In order of ids, so that the first of equals is the one with the smallest id.
+def _applied(clusters: DataFrame, links: DataFrame, step: DataFrame, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The links between ``clusters`` (id, sum, size, anchor) after the merges of ``step`` (id, target), and the clusters that have any.
+
+    Only links of merged clusters are computed again. They are dealt to the pairs of blocks of clusters, of which each two meet in a task.
+    """
+    moves = step.select("id", "target").union(step.select(F.col("target").alias("id"), "target")).distinct()
+    moves = runtime.if_small(moves, 2 * step.count())
+    both = links.join(moves.withColumnsRenamed({"id": "a", "target": "ta"}), "a", "left").join(moves.withColumnsRenamed({"id": "b", "target": "tb"}), "b", "left")
+    x, y = F.coalesce("ta", "a"), F.coalesce("tb", "b")
+    moved = both.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "sim", (F.col("ta").isNotNull() | F.col("tb").isNotNull()).alias("again"))
+    moved = runtime.materialize(moved, "moved")
+    again = moved.where("again").select("a", "b").distinct()
+    blocks = max(1, -(-clusters.count() // block_rows))
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    asked = again.select("a", "b", F.least(own("a"), own("b")).alias("i"), F.greatest(own("a"), own("b")).alias("j"))
+    sent = clusters.withColumns({"own": own("id"), "other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    sent = sent.select("id", "sum", "size", "anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compute(rows: pa.Table, pairs: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        ids, block = np.asarray(rows.column("id")), np.asarray(rows.column("own"))
-        tied = np.array([-1 if a is None else a for a in rows.column("anchor").to_pylist()])
-        means = _matrix(rows.column("sum")) / np.asarray(rows.column("size"))[:, None]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        sim = means[left] @ means[right].T
-        if i == j:
-            # Both directions of a pair have the same number.
-            sim = np.triu(sim, 1)
-            sim += sim.T
-            np.fill_diagonal(sim, -np.inf)
-        sim[(tied[left][:, None] >= 0) & (tied[right][None, :] >= 0) & (tied[left][:, None] != tied[right][None, :])] = -np.inf
-        out: list[list] = [[], [], []]
-        for matrix, mine, theirs in ((sim, left, right), (sim.T, right, left))[: 1 if i == j else 2]:
-            if matrix.size:
-                at = matrix.argmax(axis=1)
-                value = matrix[np.arange(len(mine)), at]
-                near = np.flatnonzero(value >= threshold - C.LINKAGE_SLACK)
-                for values, more in zip(out, (ids[mine[near]], ids[theirs[at[near]]], value[near]), strict=True):
-                    values += more.tolist()
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["id", "partner", "sim"])
-
-    found = sent.groupBy("root", "i", "j").applyInArrow(best, "id bigint, partner bigint, sim double")
-    first = F.struct(F.col("sim"), -F.least("id", "partner"), -F.greatest("id", "partner"))
-    return found.groupBy("id").agg(F.max_by("partner", first).alias("partner"))
-
-
-def merge_rounds(clusters: DataFrame, threshold: float, most_rows: int, block_rows: int = ROUND_BLOCK) -> tuple[DataFrame, list[DataFrame]]:
-    """Merges clusters (root, id, sum, size, anchor) that are each other's most similar, round by round, while a root has more than ``most_rows`` of them.
-
-    A merged cluster is to no other more similar than the better of its parts was, and may merge with it only if both parts might; so two that
-    are each other's best stay so until they merge, and any order of such merges leads to the clusters of average linkage. Returns what is
-    left, and for each round which cluster (id) went into which (target). A root in which nothing reaches the threshold any more stays as it is.
+        ids, sums, size = np.asarray(rows.column("id")), matrix_of(rows.column("sum")), np.asarray(rows.column("size"))
+        held, tied = kept_apart(rows.column("anchor"))
+        a, b = (np.searchsorted(ids, np.asarray(pairs.column(c))) for c in "ab")
+        sim = np.zeros(len(a))
+        for s in range(0, len(a), 65536):
+            p, q = a[s : s + 65536], b[s : s + 65536]
+            sim[s : s + 65536] = (sums[p] * sums[q]).sum(axis=1) / (size[p] * size[q])
+        fit = (sim >= threshold - C.LINKAGE_SLACK) & ~(held[a] & held[b] & (tied[a] != tied[b]))
+        return pa.table({"a": ids[a[fit]], "b": ids[b[fit]], "sim": sim[fit]})
+
+    fresh = sent.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(compute, "a bigint, b bigint, sim double")
+    links = runtime.materialize(moved.where("NOT again").select("a", "b", "sim").union(fresh), "links")
+    return runtime.materialize(clusters.join(_ends(links), "id", "left_semi"), "clusters"), links
+
+
+def merge_copies(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``clusters`` with those of equal vectors merged, and which (id) went into which (target).
+
+    All that have no pin go with the first, and so do those pinned to the person of the first pin among them; each other person's come together
+    by themselves. Nothing is nearer than they are, and merging them pair by pair would take a round for each.
     """
-    left, maps = runtime.materialize(clusters, "clusters"), []
-    while True:
-        many = left.groupBy("root").count().where(F.col("count") > most_rows).select("root")
-        active = left.join(many, "root", "left_semi")
-        best = runtime.materialize(nearest_clusters(active, threshold, block_rows), "nearest")
-        other = best.select(F.col("id").alias("partner"), F.col("partner").alias("back"))
-        pairs = best.join(other, "partner").where("back = id AND id < partner").select("id", F.col("partner").alias("gone"))
-        pairs = runtime.materialize(pairs, "merges", narrow=8)
-        if pairs.isEmpty():
-            return left, maps
-        maps.append(pairs.select(F.col("gone").alias("id"), F.col("id").alias("target")))
-        taken = left.select(F.col("id").alias("gone"), F.col("sum").alias("more"), F.col("size").alias("extra"), F.col("anchor").alias("pin")).join(pairs, "gone")
-        kept = left.join(pairs.select(F.col("gone").alias("id")), "id", "left_anti").join(taken.drop("gone"), "id", "left")
-        added = F.when(F.col("more").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "more", lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
-        merged = kept.select("root", "id", added.alias("sum"), (F.col("size") + F.coalesce("extra", F.lit(0))).cast("bigint").alias("size"), F.coalesce("anchor", "pin").alias("anchor"))
-        left = runtime.materialize(merged, "clusters")
-
-
-def _large_components(placed: DataFrame, threshold: float, most_rows: int, block_rows: int) -> DataFrame:
-    """(face_id, cluster_id) of components (root, id, place, anchor, embedding) that are too large for one task."""
+    pin = F.min(F.when(F.col("anchor").isNotNull(), F.struct("id", "anchor")))["anchor"]
+    same = clusters.groupBy("sum").agg(pin.alias("pin"), F.count("*").alias("n")).where("n > 1")
+    side = F.when(F.col("anchor") != F.col("pin"), F.col("anchor"))
+    told = clusters.join(same, "sum").select("id", "sum", "size", "anchor", side.alias("side"))
+    merged = told.groupBy("sum", "side").agg(F.min("id").alias("target"), F.sum("size").alias("n"), F.max("anchor").alias("one"))
+    step = told.join(merged, told["sum"].eqNullSafe(merged["sum"]) & told["side"].eqNullSafe(merged["side"])).where("id <> target").select("id", "target")
+    step = runtime.materialize(step, "copies", narrow=8)
+    grown = merged.select(F.col("target").alias("id"), "n", "one")
+    left = clusters.join(step, "id", "left_anti").join(grown, "id", "left")
+    return left.select("id", F.when(F.col("n").isNull(), F.col("sum")).otherwise(F.transform("sum", lambda v: v * F.col("n"))).alias("sum"), F.coalesce("n", "size").alias("size"), F.coalesce("anchor", "one").alias("anchor")), step
+
+
+def merge_round(clusters: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``clusters`` with all pairs merged that are each other's most similar by ``links`` (a, b, sim), and which (id) went into which (target).
+
+    Of equally similar pairs the first is taken, by the smaller id and then by the larger one, so some pair always merges.
+    """
+    first = F.max_by("partner", F.struct(F.col("sim"), -F.least("id", "partner"), -F.greatest("id", "partner"))).alias("partner")
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("partner"), "sim").union(links.select("b", "a", "sim"))
+    best = runtime.materialize(both.groupBy("id").agg(first), "nearest", narrow=4)
+    back = best.select(F.col("partner").alias("id"), F.col("id").alias("partner"))
+    step = runtime.materialize(best.join(back, ["id", "partner"]).where("id > partner").select("id", F.col("partner").alias("target")), "merges", narrow=8)
+    taken = clusters.join(step, "id").select(F.col("target").alias("id"), F.col("sum").alias("more"), F.col("size").alias("extra"), F.col("anchor").alias("pin"))
+    kept = clusters.join(step, "id", "left_anti").join(taken, "id", "left")
+    added = F.when(F.col("more").isNull(), F.col("sum")).otherwise(F.zip_with("sum", "more", lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    return kept.select("id", added.alias("sum"), (F.col("size") + F.coalesce("extra", F.lit(0))).alias("size"), F.coalesce("anchor", "pin").alias("anchor")), step
 
-    def unit(batches):
-        for batch in batches:
-            sums = pa.array(list(unit_rows(batch.column("embedding"))), pa.list_(pa.float64()))
-            size = pa.array(np.ones(batch.num_rows, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("place"), sums, size, batch.column("anchor")], names=["root", "id", "sum", "size", "anchor"])
 
-    kind = "root bigint, id bigint, sum array<double>, size bigint, anchor bigint"
-    clusters = placed.select("root", "place", "anchor", "embedding").mapInArrow(unit, kind)
-    left, maps = merge_rounds(clusters, threshold, most_rows, block_rows)
-    few = left.groupBy("root").count().where(F.col("count") <= most_rows).select("root")
+def _finished(rooted: DataFrame, tied: DataFrame, threshold: float) -> DataFrame:
+    """(id, target) of clusters (root, id, sum, size, anchor) with their links (root, a, b), each root in a task."""
 
-    def finish(rows: pa.Table) -> pa.Table:
+    def finish(rows: pa.Table, links: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
-        anchors, ids, size = rows.column("anchor").to_pylist(), np.asarray(rows.column("id")), np.asarray(rows.column("size"))
-        target, pins = ids.copy(), list(anchors)
-        for own in chained_linkage(_matrix(rows.column("sum")), anchors, threshold, size):
-            pin = next((anchors[i] for i in own if anchors[i] is not None), None)
-            for i in own:
-                target[i], pins[i] = ids[own].min(), pin
-        return pa.table([pa.array(ids), pa.array(target), pa.array(pins, pa.int64())], names=["id", "target", "anchor"])
-
-    finished = left.join(few, "root", "left_semi").groupBy("root").applyInArrow(finish, "id bigint, target bigint, anchor bigint")
-    total = finished.union(left.join(few, "root", "left_anti").select("id", F.col("id").alias("target"), "anchor"))
-    for step in reversed(maps):
-        later = total.select(F.col("id").alias("target"), F.col("target").alias("top"), "anchor")
-        total = runtime.materialize(total.union(step.join(later, "target").select("id", F.col("top").alias("target"), "anchor")), "merged", narrow=4)
-    named = total.select(F.col("id").alias("place"), F.coalesce("anchor", -(F.col("target") + 1)).alias("cluster_id"))
-    return placed.select("place", F.col("id").alias("face_id")).join(named, "place").select("face_id", "cluster_id")
-
-
-def recluster(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, most_rows: int = LINKAGE_ROWS, block_rows: int = ROUND_BLOCK) -> DataFrame:
+        ids, sums, size = np.asarray(rows.column("id")), matrix_of(rows.column("sum")), np.asarray(rows.column("size"))
+        if len(ids) <= MATRIX_ROWS and (size == 1).all():
+            found = average_linkage(sums, rows.column("anchor").to_pylist(), threshold)
+        else:
+            a, b = (np.searchsorted(ids, np.asarray(links.column(c))) for c in "ab")
+            found = linked_linkage(sums, size, *kept_apart(rows.column("anchor")), a, b, threshold)
+        target = ids.copy()
+        for own in found:
+            target[own] = ids[own].min()
+        moved = target != ids
+        return pa.table({"id": ids[moved], "target": target[moved]})
+
+    return rooted.groupBy("root").cogroup(tied.groupBy("root")).applyInArrow(finish, "id bigint, target bigint")
+
+
+def merges(clusters: DataFrame, links: DataFrame, threshold: float, most_rows: int = LINKAGE_ROWS, block_rows: int = BLOCK_ROWS) -> list[DataFrame]:
+    """Average linkage of clusters (id, sum, size, anchor) that ``links`` (a, b, sim) holds all near pairs of, as merges (id, target) one after the other.
+
+    A merged cluster is to no other more similar than the better of its parts was, and may merge with it only if both parts might. So two that are each
+    other's best stay so until they merge, any order of such merges leads to the same clusters, and a pair below the threshold is out for good.
+    Each round merges all such pairs and drops what has fallen below; components of the links that are left and that a task can hold are finished there.
+    """
+    steps: list[DataFrame] = []
+    left, forced, rounds = links.count(), False, 0
+    while left:
+        if left > FINISH_EDGES or forced:
+            if not rounds:
+                merged, step = merge_copies(clusters)
+                if not step.isEmpty():
+                    clusters, links = _applied(runtime.materialize(merged, "clusters"), links, step, threshold, block_rows)
+                    steps.append(step)
+            for _ in range(ROUNDS):
+                merged, step = merge_round(clusters, links)
+                clusters, links = _applied(runtime.materialize(merged, "clusters"), links, step, threshold, block_rows)
+                steps.append(step)
+                rounds += 1
+                if (left := links.count()) <= FINISH_EDGES:
+                    break
+        roots = connected_components(links.select("a", "b")).withColumnRenamed("node", "id")
+        rooted = runtime.materialize(clusters.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        tied = runtime.materialize(links.join(rooted.select(F.col("id").alias("a"), "root"), "a"), "tied")
+        rows, ties = rooted.groupBy("root").agg(F.count("*").alias("n")), tied.groupBy("root").agg(F.count("*").alias("m"))
+        large = runtime.materialize(rows.join(ties, "root").where((F.col("n") > most_rows) | (F.col("m") > LINKAGE_LINKS)).select("root"), "large-roots", narrow=0)
+        many = large.count()
+        large = runtime.if_small(large, many)
+        steps.append(runtime.materialize(_finished(*(t.join(large, "root", "left_anti") if many else t for t in (rooted, tied)), threshold), "finished", narrow=4))
+        if not many:
+            break
+        clusters = rooted.join(large, "root", "left_semi").drop("root")
+        links = runtime.materialize(tied.join(large, "root", "left_semi").select("a", "b", "sim"), "links")
+        left, forced = links.count(), True
+    return steps
+
+
+def _last_targets(steps: list[DataFrame], spark) -> DataFrame:
+    """(id, target) of all that moved in one of the steps, with where it is after the last."""
+    total = spark.createDataFrame([], "id bigint, target bigint")
+    for step in reversed(steps):
+        later = total.select(F.col("id").alias("target"), F.col("target").alias("top"))
+        total = total.union(step.join(later, "target", "left").select("id", F.coalesce("top", "target").alias("target")))
+        total = runtime.materialize(total, "targets", narrow=4)
+    return total
+
+
+def recluster(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, most_rows: int = LINKAGE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(face_id, cluster_id) by constrained average linkage over all faces (id, person_id, pinned, embedding).
 
-    A merge needs an average of at least the threshold, hence a pair that reaches it: every cluster lies in one
-    component of the graph of such pairs, and merges in different components don't meet. So the components are
-    found first and each is clustered in its own group. A component of more than ``most_rows`` faces is no task's group: its clusters merge in rounds,
-    each with all pairs that are each other's most similar, until a task can hold what is left. The place of a face is its rank by id in the whole table.
+    A merge needs an average of at least the threshold, hence a pair that reaches it. All pairs are compared once; what follows works on
+    those that reach it, and faces in no such pair are done. The place of a face is its rank by id in the whole table.
     """
     spark = faces.sparkSession
     runtime.ship_package(spark)
-    pairs = cosine_pairs(faces.select("id", "embedding"), threshold - 1e-9)
-    roots = runtime.materialize(connected_components(pairs.select("a", "b")).withColumnRenamed("node", "id"), "roots", narrow=8)
-    anchor = F.when(F.col("pinned") & F.col("person_id").isNotNull(), F.col("person_id"))
-    # Ids alone are sorted; the vectors are joined to their places.
-    placed = ranked(faces.select("id"), "id").join(faces.select("id", anchor.alias("anchor"), "embedding"), "id")
-    rooted = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    # A root that is not itself listed counts too.
-    large = runtime.materialize(roots.groupBy("root").count().where(F.col("count") + 1 > most_rows).select("root"), "large-roots", narrow=0)
-
-    def group(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("place")
-        found = cluster_ids(unit_rows(rows.column("embedding")), rows.column("anchor").to_pylist(), np.asarray(rows.column("place")), threshold)
-        return pa.table([rows.column("id").combine_chunks(), pa.array(found)], names=["face_id", "cluster_id"])
-
-    schema = "face_id bigint, cluster_id bigint"
-    if not (many := large.count()):
-        return rooted.groupBy("root").applyInArrow(group, schema)
-    large = runtime.if_small(large, many)
-    small = rooted.join(large, "root", "left_anti").groupBy("root").applyInArrow(group, schema)
-    return small.union(_large_components(runtime.materialize(rooted.join(large, "root", "left_semi"), "large"), threshold, most_rows, block_rows))
+    anchor = F.when(F.col("pinned") & F.col("person_id").isNotNull(), F.col("person_id")).alias("anchor")
+    links = runtime.materialize(cosine_pairs(faces.select("id", "embedding", anchor), threshold - C.LINKAGE_SLACK, block_rows, "anchor"), "links")
+
+    def unit(batches):
+        for batch in batches:
+            sums = pa.array(list(unit_rows(batch.column("embedding"))), pa.list_(pa.float64()))
+            size = pa.array(np.ones(batch.num_rows, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), sums, size, batch.column("anchor")], names=["id", "sum", "size", "anchor"])
+
+    linked = faces.select("id", anchor, "embedding").join(_ends(links), "id", "left_semi")
+    clusters = runtime.materialize(linked.mapInArrow(unit, "id bigint, sum array<double>, size bigint, anchor bigint"), "clusters")
+    moved = _last_targets(merges(clusters, links, threshold, most_rows, block_rows), spark)
+    # Ids alone are sorted.
+    placed = ranked(faces.select("id", anchor), "id").join(moved, "id", "left").withColumn("target", F.coalesce("target", "id"))
+    named = placed.groupBy("target").agg(F.min("place").alias("lead"), F.max("anchor").alias("pin"))
+    return placed.join(named, "target").select(F.col("id").alias("face_id"), F.coalesce("pin", -(F.col("lead") + 1)).alias("cluster_id"))
 
 
 def claims(overlap: DataFrame) -> DataFrame:

@@ -15,20 +15,35 @@ from kinfold.functions import vectors
 BLOCK_ROWS, TILE_ROWS = 8192, 2048
 
 
-def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors as float64 rows of unit length; NaN and infinities count as 0, rows without length stay 0."""
+def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors as float64 rows, shorter ones filled up with 0; they are taken over whole where all have one length."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = [p.flatten() for p in parts]
+    lengths = {n for p in parts for n in p.value_lengths().unique().to_pylist()}
+    if len(lengths) == 1 and None not in lengths and not any(f.null_count for f in flat):
+        return np.concatenate([f.to_numpy() for f in flat]).astype(np.float64).reshape(len(column), lengths.pop())
     rows = [np.asarray(x if x is not None else [], dtype=np.float64) for x in column.to_pylist()]
-    width = max((len(r) for r in rows), default=0)
-    out = np.zeros((len(rows), width))
+    out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
+    return out
+
+
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors as float64 rows of unit length; NaN and infinities count as 0, rows without length stay 0."""
+    out = matrix_of(column)
     out[~np.isfinite(out)] = 0
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
-def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, sim), a < b, of faces (id, embedding) whose cosine is at least ``threshold``.
+def kept_apart(anchors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have an anchor, and which one: rows with different ones never come together."""
+    return np.asarray(anchors.is_valid()), np.asarray(anchors.fill_null(0))
+
+
+def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = BLOCK_ROWS, apart: str | None = None) -> DataFrame:
+    """(a, b, sim), a < b, of faces (id, embedding) whose cosine is at least ``threshold``; those with different values of the column ``apart`` are no pair.
 
     All pairs must be compared: at such a threshold no bound on lengths or angles rules any out. Vectors are cut into blocks; each
     pair of blocks is one group of a shuffle and one matrix product, so nothing is broadcast and no task holds more than two blocks.
@@ -39,12 +54,14 @@ def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_
     blocks = max(1, -(-n // block_rows))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     partners = F.sequence(F.lit(0), F.lit(blocks - 1))
-    sent = faces.select("id", "embedding", own.alias("own")).withColumn("other", F.explode(partners))
-    sent = sent.select("id", "embedding", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    anchor = (F.col(apart) if apart else F.lit(None)).cast("bigint").alias("anchor")
+    sent = faces.select("id", "embedding", anchor, own.alias("own")).withColumn("other", F.explode(partners))
+    sent = sent.select("id", "embedding", "anchor", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def product(rows: pa.Table) -> pa.Table:
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         ids, block, x = np.asarray(rows.column("id")), np.asarray(rows.column("own")), unit_rows(rows.column("embedding"))
+        held, tied = kept_apart(rows.column("anchor"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         tiles = [(left[s : s + TILE_ROWS], right[t : t + TILE_ROWS]) for s in range(0, len(left), TILE_ROWS) for t in range(0, len(right), TILE_ROWS)]
         found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]]
@@ -53,6 +70,8 @@ def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_
             hit = sim >= threshold
             hit &= ids[own][:, None] < ids[other][None, :] if i == j else True
             a, b = np.nonzero(hit)
+            free = ~(held[own][a] & held[other][b] & (tied[own][a] != tied[other][b]))
+            a, b = a[free], b[free]
             for part, values in zip(found, (ids[own][a], ids[other][b], sim[a, b]), strict=True):
                 part.append(values)
         first, second, sims = (np.concatenate(part) for part in found)

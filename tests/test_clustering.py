@@ -174,3 +174,32 @@ def test_large_components_merge_in_rounds(spark, seed):
             found = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces, threshold, most_rows=most, block_rows=block).collect()}
             assert found == wanted and len(found) == n
     assert len(set(wanted.values())) > 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("threshold", [0.2, 0.363, 0.5])
+def test_linkage_over_links_is_the_same(seed, threshold):
+    x, _ = identities([16, 15, 15, 14, 1, 1], 0.9, seed, 0.4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit[3] = 0
+    anchors = [None] * len(x)
+    anchors[seed], anchors[20], anchors[21], anchors[50] = 100, 200, 100, 300
+    held, tied = np.array([p is not None for p in anchors]), np.array([p or 0 for p in anchors])
+    a, b = np.nonzero(np.triu(unit @ unit.T >= threshold, 1) & ~(held[:, None] & held & (tied[:, None] != tied)))
+    same = lambda found: sorted(sorted(c) for c in found)
+    found = clustering.linked_linkage(unit, np.ones(len(x)), held, tied, a, b, threshold)
+    assert same(found) == same(clustering.average_linkage(unit, anchors, threshold))
+
+
+def test_copies_do_not_take_a_round_each(spark, monkeypatch):
+    """Of equal vectors only two are each other's first, so rounds alone would merge one pair at a time."""
+    x = [[1.0, 0, 0, 0]] * 24 + [[0.8, 0.6, 0, 0]] * 3 + [[0, 0.6, 0.8, 0]] * 2 + [[0.0, 0, 0, 1]]
+    persons = [None] * len(x)
+    persons[5], persons[9], persons[12], persons[26] = 100, 200, 200, 300
+    faces = faces_of(spark, x, persons, {5, 9, 12, 26})
+    wanted = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces).collect()}
+    rounds, write = [], clustering.runtime.materialize
+    monkeypatch.setattr(clustering.runtime, "materialize", lambda df, tag, narrow=1: (tag == "merges" and rounds.append(tag), write(df, tag, narrow))[1])
+    found = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces, most_rows=3, block_rows=8).collect()}
+    assert found == wanted and len(found) == len(x) and found[10] == found[13] == 200 and found[1] == found[24] == 100
+    assert 1 <= len(rounds) <= 8
