@@ -325,10 +325,10 @@ def merge_copies(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``clusters`` with those of equal vectors merged, and which (id) went into which (target).
 
     All that have no pin go with the first, and so do those pinned to the person of the first pin among them; each other person's come together
-    by themselves. Nothing is nearer than they are, and merging them pair by pair would take a round for each.
+    by themselves. Nothing is nearer than they are, and merging them pair by pair would take a round for each. Vectors without length are near to nothing.
     """
     pin = F.min(F.when(F.col("anchor").isNotNull(), F.struct("id", "anchor")))["anchor"]
-    same = clusters.groupBy("sum").agg(pin.alias("pin"), F.count("*").alias("n")).where("n > 1")
+    same = clusters.groupBy("sum").agg(pin.alias("pin"), F.count("*").alias("n")).where((F.col("n") > 1) & F.exists("sum", lambda v: v != 0))
     side = F.when(F.col("anchor") != F.col("pin"), F.col("anchor"))
     told = clusters.join(same, "sum").select("id", "sum", "size", "anchor", side.alias("side"))
     merged = told.groupBy("sum", "side").agg(F.min("id").alias("target"), F.sum("size").alias("n"), F.max("anchor").alias("one"))
