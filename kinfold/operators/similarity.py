@@ -13,6 +13,10 @@ from kinfold.functions import vectors
 
 #: Vectors of one block of the pairwise join: two blocks fit a task, their product is taken in tiles.
 BLOCK_ROWS, TILE_ROWS = 8192, 2048
+#: Pairs whose products are taken row by row at once.
+PAIR_ROWS = 1 << 15
+#: Tasks, at most, that the pairs of blocks are dealt to.
+PAIR_TASKS = 4096
 
 
 def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -42,6 +46,35 @@ def kept_apart(anchors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(anchors.is_valid()), np.asarray(anchors.fill_null(0))
 
 
+def pair_products(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of row a and row b of ``x`` for each pair (a, b), summed in one order for both directions of a pair."""
+    out = np.empty(len(a))
+    for s in range(0, len(a), PAIR_ROWS):
+        p, q = a[s : s + PAIR_ROWS], b[s : s + PAIR_ROWS]
+        out[s : s + PAIR_ROWS] = np.einsum("ij,ij->i", x[p], x[q])
+    return out
+
+
+def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows a of ``left`` and b of ``right`` whose product in ``x``, of unit rows, is at least ``threshold``, and that product.
+
+    Products of 32 bits, with room for their rounding, tell which pairs are taken in 64 bits.
+    """
+    y, room = x.astype(np.float32), 1e-5 + 2.0**-22 * x.shape[1]
+    found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]]
+    for s in range(0, len(left), TILE_ROWS):
+        own = left[s : s + TILE_ROWS]
+        for t in range(0, len(right), TILE_ROWS):
+            other = right[t : t + TILE_ROWS]
+            at = np.flatnonzero((y[own] @ y[other].T >= np.float32(threshold - room)).ravel())
+            a, b = own[at // len(other)], other[at % len(other)]
+            sim = pair_products(x, a, b)
+            fit = sim >= threshold
+            for part, values in zip(found, (a[fit], b[fit], sim[fit]), strict=True):
+                part.append(values)
+    return tuple(np.concatenate(part) for part in found)
+
+
 def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = BLOCK_ROWS, apart: str | None = None) -> DataFrame:
     """(a, b, sim), a < b, of faces (id, embedding) whose cosine is at least ``threshold``; those with different values of the column ``apart`` are no pair.
 
@@ -63,20 +96,16 @@ def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_
         ids, block, x = np.asarray(rows.column("id")), np.asarray(rows.column("own")), unit_rows(rows.column("embedding"))
         held, tied = kept_apart(rows.column("anchor"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        tiles = [(left[s : s + TILE_ROWS], right[t : t + TILE_ROWS]) for s in range(0, len(left), TILE_ROWS) for t in range(0, len(right), TILE_ROWS)]
-        found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]]
-        for own, other in tiles:
-            sim = x[own] @ x[other].T
-            hit = sim >= threshold
-            hit &= ids[own][:, None] < ids[other][None, :] if i == j else True
-            a, b = np.nonzero(hit)
-            free = ~(held[own][a] & held[other][b] & (tied[own][a] != tied[other][b]))
-            a, b = a[free], b[free]
-            for part, values in zip(found, (ids[own][a], ids[other][b], sim[a, b]), strict=True):
-                part.append(values)
-        first, second, sims = (np.concatenate(part) for part in found)
+        a, b, sim = near_pairs(x, left, right, threshold)
+        free = ~(held[a] & held[b] & (tied[a] != tied[b]))
+        if i == j:
+            free &= ids[a] < ids[b]
+        first, second, sims = ids[a[free]], ids[b[free]], sim[free]
         return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second), "sim": sims})
 
+    # As many tasks as there are pairs of blocks, else some task would get many of them.
+    if blocks > 1:
+        sent = sent.repartition(min(PAIR_TASKS, blocks * (blocks + 1) // 2), "i", "j")
     return sent.groupBy("i", "j").applyInArrow(product, "a bigint, b bigint, sim double")
 
 

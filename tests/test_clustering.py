@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import clustering
 from kinfold.operators.components import connected_components, union_find
-from kinfold.operators.similarity import cosine_pairs
+from kinfold.operators.similarity import cosine_pairs, near_pairs
 
 
 def identities(sizes, noise, seed, alike=0.0, dims=128):
@@ -203,3 +203,43 @@ def test_copies_do_not_take_a_round_each(spark, monkeypatch):
     found = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces, most_rows=3, block_rows=8).collect()}
     assert found == wanted and len(found) == len(x) and found[10] == found[13] == 200 and found[1] == found[24] == 100
     assert 1 <= len(rounds) <= 8
+
+
+def test_rounds_in_one_task_are_the_same(monkeypatch):
+    """The rounds before the chain: few merges are left to it, pins are carried along, and the clusters are those of the matrix."""
+    x, _ = identities([40, 30, 30, 20, 1, 1], 0.7, 3, 0.4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    anchors = [None] * len(x)
+    anchors[3], anchors[44], anchors[45], anchors[90] = 100, 200, 100, 300
+    held, tied = np.array([p is not None for p in anchors]), np.array([p or 0 for p in anchors])
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.3, 1))
+    top, p, q = clustering.mutual_rounds(unit.copy(), np.ones(len(x)), held.copy(), tied.copy(), a, b, 0.3)
+    assert (top[top] == top).all() and (top <= np.arange(len(x))).all() and set(p) | set(q) <= set(top) and (p < q).all()
+    wanted = sorted(sorted(c) for c in clustering.average_linkage(unit, anchors, 0.3))
+    for share in (1, 64, 1 << 40):
+        monkeypatch.setattr(clustering, "ROUND_SHARE", share)
+        assert sorted(sorted(c) for c in clustering.linked_linkage(unit, np.ones(len(x)), held, tied, a, b, 0.3)) == wanted
+
+
+def test_a_graph_that_fits_a_task_takes_no_round_of_jobs(spark, monkeypatch):
+    """A component of more than 250 000 links went through rounds of Spark jobs."""
+    x = np.eye(24)[np.arange(800) % 24 // 23] + np.random.default_rng(0).normal(scale=0.02, size=(800, 24))
+    tags, write = [], clustering.runtime.materialize
+    monkeypatch.setattr(clustering.runtime, "materialize", lambda df, tag, narrow=1: (tags.append(tag), write(df, tag, narrow))[1])
+    found = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces_of(spark, x.tolist())).collect()}
+    assert len(set(found.values())) == 2 and "finished" in tags and "merges" not in tags
+
+
+def test_near_pairs_of_32_bits_lose_nothing():
+    """Pairs on the threshold to the last bits of 64 are told as products of 64 bits tell them."""
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(300, 48))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sim = np.array([[float(np.einsum("i,i", p, q)) for q in unit] for p in unit])
+    for threshold in np.sort(sim[np.triu_indices(300, 1)])[[-5, -200, -20000]]:
+        a, b, s = near_pairs(unit, np.arange(300), np.arange(300), threshold)
+        keep = a < b
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sim, 1) >= threshold - 1e-14), strict=True)}
+        sure = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sim, 1) >= threshold + 1e-14), strict=True)}
+        got = set(zip(a[keep].tolist(), b[keep].tolist(), strict=True))
+        assert sure <= got <= want and np.allclose(s, sim[a, b], atol=1e-15)
