@@ -243,3 +243,17 @@ def test_near_pairs_of_32_bits_lose_nothing():
         sure = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sim, 1) >= threshold + 1e-14), strict=True)}
         got = set(zip(a[keep].tolist(), b[keep].tolist(), strict=True))
         assert sure <= got <= want and np.allclose(s, sim[a, b], atol=1e-15)
+
+
+def crowded(spark, monkeypatch):
+    """Two persons' faces with more than 250 000 links, and the names of the tables that are written from now on."""
+    x = np.eye(24)[np.arange(800) % 24 // 23] + np.random.default_rng(0).normal(scale=0.02, size=(800, 24))
+    tags, write = [], clustering.runtime.materialize
+    monkeypatch.setattr(clustering.runtime, "materialize", lambda df, tag, narrow=1: (tags.append(tag), write(df, tag, narrow))[1])
+    return faces_of(spark, x.tolist(), [7 if i % 24 == 23 else 8 for i in range(800)]), tags
+
+
+def test_stable_ids_of_a_crowd_take_no_round_of_jobs(spark, monkeypatch):
+    faces, tags = crowded(spark, monkeypatch)
+    done = {r["face_id"]: r["person_id"] for r in clustering.stabilize(faces, clustering.recluster(faces)).collect()}
+    assert done == {i + 1: 7 if i % 24 == 23 else 8 for i in range(800)} and "merges" not in tags
