@@ -264,3 +264,11 @@ def test_persons_of_a_regrouped_crowd_take_no_round_of_jobs(spark, monkeypatch):
     persons = spark.createDataFrame([(7, "Alice", "#000000"), (8, "Bob", "#000001"), (9, "Persona 9", "#000002")], "id bigint, name string, color string")
     done = clustering.regroup(faces, persons)
     assert sorted(r["id"] for r in done.persons.collect()) == [7, 8] and "merges" not in tags
+
+
+def test_faces_of_a_regrouped_crowd_take_no_round_of_jobs(spark, monkeypatch):
+    faces, tags = crowded(spark, monkeypatch)
+    persons = spark.createDataFrame([(8, "Bob", "#000001")], "id bigint, name string, color string")
+    fresh = faces.withColumn("person_id", clustering.F.when(clustering.F.col("person_id") == 8, 8).cast("bigint"))
+    done = {r["id"]: r["person_id"] for r in clustering.regroup(fresh, persons).faces.collect()}
+    assert done == {i + 1: 9 if i % 24 == 23 else 8 for i in range(800)} and "merges" not in tags
