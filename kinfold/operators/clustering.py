@@ -367,7 +367,7 @@ def _applied(clusters: DataFrame, links: DataFrame, step: DataFrame, moves: int,
         fit = (sim >= threshold - C.LINKAGE_SLACK) & ~(held[a] & held[b] & (tied[a] != tied[b]))
         return pa.table({"a": ids[a[fit]], "b": ids[b[fit]], "sim": sim[fit]})
 
-    if blocks > 1:
+    if count > BLOCK_ROWS:
         sent, asked = (t.repartition(min(PAIR_TASKS, blocks * (blocks + 1) // 2), "i", "j") for t in (sent, asked))
     fresh = sent.groupBy("i", "j").cogroup(asked.groupBy("i", "j")).applyInArrow(compute, "a bigint, b bigint, sim double")
     return runtime.materialize(both.where(~again).select("a", "b", "sim").union(fresh), "links")

@@ -104,7 +104,7 @@ def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_
         return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second), "sim": sims})
 
     # As many tasks as there are pairs of blocks, else some task would get many of them.
-    if blocks > 1:
+    if n > BLOCK_ROWS:
         sent = sent.repartition(min(PAIR_TASKS, blocks * (blocks + 1) // 2), "i", "j")
     return sent.groupBy("i", "j").applyInArrow(product, "a bigint, b bigint, sim double")
 
