@@ -13,7 +13,7 @@ from kinfold import constants as C
 from kinfold import runtime
 from kinfold.operators.components import connected_components
 from kinfold.operators.ranking import ranked
-from kinfold.operators.similarity import BLOCK_ROWS, PAIR_TASKS, cosine_pairs, kept_apart, matrix_of, pair_products, person_means, unit_rows
+from kinfold.operators.similarity import BLOCK, BLOCK_ROWS, PAIR_TASKS, block_pairs, cosine_pairs, kept_apart, matrix_of, packed_block, pair_products, person_means, unit_rows
 
 
 class RunningMeans:
@@ -224,28 +224,35 @@ def cluster_ids(unit: np.ndarray, anchors: list[int | None], places: np.ndarray,
 ROUND_SHARE = 64
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The whole numbers in order, each once; by sorting, which is faster here than ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def mutual_rounds(sums: np.ndarray, size: np.ndarray, held: np.ndarray, tied: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges, in place, the clusters that are each other's most similar by the links (a, b), round by round until few are.
 
     Returns the row that each row has gone into, and the links that are left. Rounds are those of ``merge_round``, and what follows them may be in any order.
     """
     n, top = len(sums), np.arange(len(sums))
-    key = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    key = _distinct(np.minimum(a, b) * n + np.maximum(a, b))
     a, b = np.divmod(key, n)
     sim, again = np.zeros(len(a)), np.ones(len(a), dtype=bool)
     while len(a):
         at = np.flatnonzero(again)
         sim[at] = pair_products(sums, a[at], b[at]) / (size[a[at]] * size[b[at]])
         fit = (sim >= threshold - C.LINKAGE_SLACK) & ~(held[a] & held[b] & (tied[a] != tied[b]))
-        a, b, sim = a[fit], b[fit], sim[fit]
-        # Of equals the first pair is taken: links lie in the order of their ends, and of equal places the last assigned stays.
-        order = np.argsort(-sim, kind="stable")[::-1]
-        first = np.full((2, n), len(order))
-        place = np.arange(len(order))[::-1]
-        first[0, a[order]] = place
-        first[1, b[order]] = place
-        first = first.min(axis=0)
-        won = order[(first[a[order]] == place) & (first[b[order]] == place)]
+        key, a, b, sim = key[fit], a[fit], b[fit], sim[fit]
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, a, sim)
+        np.maximum.at(best, b, sim)
+        # Of equals the first pair is taken, by its smaller end and then by the larger one.
+        first = np.full(n, n * n)
+        for end in (a, b):
+            top_of = sim == best[end]
+            np.minimum.at(first, end[top_of], key[top_of])
+        won = np.flatnonzero((first[a] == key) & (first[b] == key))
         into, gone = a[won], b[won]
         sums[into] += sums[gone]
         size[into] += size[gone]
@@ -256,13 +263,14 @@ def mutual_rounds(sums: np.ndarray, size: np.ndarray, held: np.ndarray, tied: np
         top = step[top]
         moved = np.zeros(n, dtype=bool)
         moved[into] = True
+        few = len(won) * ROUND_SHARE < np.count_nonzero(best > -np.inf)
         x, y = step[a], step[b]
         again = moved[x] | moved[y]
         # Links of merged clusters fall together; those of others stay as they are.
-        keep = x != y
-        key, first = np.unique((np.minimum(x, y) * n + np.maximum(x, y))[keep], return_index=True)
-        again, sim = again[keep][first], sim[keep][first]
-        few = len(won) * ROUND_SHARE < len(np.unique(np.concatenate([a, b])))
+        at = again & (x != y)
+        fresh = _distinct(np.minimum(x[at], y[at]) * n + np.maximum(x[at], y[at]))
+        key, sim = np.concatenate([key[~again], fresh]), np.concatenate([sim[~again], np.zeros(len(fresh))])
+        again = np.arange(len(key)) >= len(key) - len(fresh)
         a, b = np.divmod(key, n)
         if few:
             break
@@ -284,6 +292,8 @@ def linked_linkage(sums: np.ndarray, size: np.ndarray, held: np.ndarray, tied: n
     members = [m.tolist() for m in np.split(order, np.cumsum(np.bincount(grown, minlength=n))[:-1])]
 
     def nearest(x: int) -> tuple[int, float] | None:
+        if not len(near_by[x]):
+            return None
         near = np.unique(top[near_by[x]])
         near = near[near != x]
         # Products are summed in one order for both directions of a pair, so both have the same number.
@@ -435,16 +445,74 @@ def _finished(rooted: DataFrame, tied: DataFrame, threshold: float) -> DataFrame
     return rooted.groupBy("root").cogroup(tied.groupBy("root")).applyInArrow(finish, "id bigint, target bigint")
 
 
+#: Bins of a similarity that levels are looked for among.
+LEVELS = 256
+#: Of more links than a task holds, a level takes one in so many.
+LEVEL_SHARE = 4
+
+
+def _level(links: DataFrame, most: int, threshold: float) -> float | None:
+    """The lowest bound, above the threshold, that some and at most ``most`` links reach."""
+    bins = links.groupBy(F.floor(F.col("sim") * LEVELS).alias("at")).count().collect()
+    level, found = None, 0
+    for at, n in sorted(((r["at"], r["count"]) for r in bins), reverse=True):
+        found += n
+        if found > most or at / LEVELS <= threshold:
+            break
+        level = at / LEVELS
+    return level
+
+
+def _merged_blocks(clusters: DataFrame, step: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """``clusters`` after the merges of ``step`` (id, target), and their mean vectors in ``blocks`` as ``block_pairs`` takes them."""
+    moved = clusters.join(step, "id", "left").withColumn("target", F.coalesce("target", "id"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("target", "ascending"), ("id", "ascending")])
+        ids, sums, size = np.asarray(rows.column("target")), matrix_of(rows.column("sum")), np.asarray(rows.column("size"))
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        held, tied = kept_apart(rows.column("anchor"))
+        # All pins of a cluster are of one person.
+        pin = np.maximum.reduceat(np.where(held, tied, np.iinfo(np.int64).min), first)
+        pinned = np.logical_or.reduceat(held, first)
+        sums, size = np.add.reduceat(sums, first, axis=0), np.add.reduceat(size, first)
+        return pa.table([pa.array(ids[first]), pa.array(list(sums), pa.list_(pa.float64())), pa.array(size), pa.array(pin, mask=~pinned)], names=["id", "sum", "size", "anchor"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        x = matrix_of(rows.column("sum")) / np.asarray(rows.column("size"))[:, None]
+        return packed_block(rows.column("own")[0].as_py(), rows.column("id"), x, rows.column("anchor"))
+
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("own")
+    merged = moved.withColumn("own", own("target")).repartition(blocks, "own").groupBy("own").applyInArrow(run, "id bigint, sum array<double>, size bigint, anchor bigint")
+    merged = runtime.materialize(merged, "clusters")
+    return merged, merged.withColumn("own", own("id")).repartition(blocks, "own").groupBy("own").applyInArrow(pack, BLOCK)
+
+
 def merges(clusters: DataFrame, links: DataFrame, threshold: float, most_rows: int = LINKAGE_ROWS, block_rows: int = BLOCK_ROWS) -> list[DataFrame]:
     """Average linkage of clusters (id, sum, size, anchor) that ``links`` (a, b, sim) holds all near pairs of, as merges (id, target) one after the other.
 
     A merged cluster is to no other more similar than the better of its parts was, and may merge with it only if both parts might. So two that are each
     other's best stay so until they merge, any order of such merges leads to the same clusters, and a pair below the threshold is out for good.
-    Each round merges all such pairs and drops what has fallen below; components of the links that are left and that a task can hold are finished there.
+    For the same reason the clusters at a higher threshold are on the way to those at a lower one: of more links than a task holds, the most similar
+    are merged as if their level were the threshold, and then what is left is compared anew. Where there is no such level, a round merges
+    all pairs that are each other's best. Components of the links that are left and that a task can hold are finished there.
     """
     steps: list[DataFrame] = []
     left, forced, rounds, count = links.count(), False, 0, clusters.count()
     while left:
+        level = _level(links, max(LINKAGE_LINKS, left // LEVEL_SHARE), threshold) if left > LINKAGE_LINKS and not forced else None
+        if level is not None:
+            upper = runtime.materialize(links.where(F.col("sim") >= level), "upper")
+            own = merges(clusters.join(_ends(upper), "id", "left_semi"), upper, level + C.LINKAGE_SLACK, most_rows, block_rows)
+            step = _last_targets(own, clusters.sparkSession)
+            moved = step.count()
+            if moved:
+                steps.append(step)
+                blocks = max(1, -(-(count - moved) // block_rows))
+                clusters, packed = _merged_blocks(clusters, step, blocks)
+                links = runtime.materialize(block_pairs(packed, blocks, threshold - C.LINKAGE_SLACK), "links")
+                left, count = links.count(), count - moved
+                continue
         if left > LINKAGE_LINKS or forced:
             for k in range(-1 if not rounds else 0, ROUNDS):
                 # Before the first round equal vectors merge.
@@ -460,7 +528,7 @@ def merges(clusters: DataFrame, links: DataFrame, threshold: float, most_rows: i
                     break
         clusters = clusters.join(_ends(links), "id", "left_semi")
         # What one task may finish, one task may walk through.
-        roots = connected_components(links.select("a", "b"), LINKAGE_LINKS).withColumnRenamed("node", "id")
+        roots = connected_components(links.select("a", "b"), LINKAGE_LINKS, clean=True).withColumnRenamed("node", "id")
         rooted = runtime.materialize(clusters.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         tied = runtime.materialize(links.join(rooted.select(F.col("id").alias("a"), "root"), "a"), "tied")
         rows, ties = rooted.groupBy("root").agg(F.count("*").alias("n")), tied.groupBy("root").agg(F.count("*").alias("m"))
@@ -478,8 +546,10 @@ def merges(clusters: DataFrame, links: DataFrame, threshold: float, most_rows: i
 
 def _last_targets(steps: list[DataFrame], spark) -> DataFrame:
     """(id, target) of all that moved in one of the steps, with where it is after the last."""
-    total = spark.createDataFrame([], "id bigint, target bigint")
-    for step in reversed(steps):
+    if not steps:
+        return spark.createDataFrame([], "id bigint, target bigint")
+    total = steps[-1]
+    for step in reversed(steps[:-1]):
         later = total.select(F.col("id").alias("target"), F.col("target").alias("top"))
         total = total.union(step.join(later, "target", "left").select("id", F.coalesce("top", "target").alias("target")))
         total = runtime.materialize(total, "targets", narrow=4)

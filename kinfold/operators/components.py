@@ -10,12 +10,13 @@ the joins that move edges may be skewed by a hub and are left to adaptive skew h
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold import runtime
 
-#: Edges that one task may hold: some 50 MB of Python objects.
+#: Edges that one task holds if nothing else is said.
 FINISH_EDGES = 250_000
 
 
@@ -38,30 +39,47 @@ def union_find(pairs) -> dict[int, int]:
     return {x: root(x) for x in list(parent)}
 
 
+def smallest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the pairs (a, b), and for each the smallest node of its component: that of ``union_find``, for all pairs at once.
+
+    Each root goes to the smallest root that it has a pair with, and then all nodes to the root of their root.
+    """
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        x, y = root[low], root[high]
+        apart = x != y
+        x, y = x[apart], y[apart]
+    return nodes, nodes[root]
+
+
 def _finish(edges: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def forest(batches):
-        def pairs():
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-        roots = union_find(pairs())
-        nodes = [x for x, top in roots.items() if x != top]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([roots[x] for x in nodes], pa.int64())], names=["node", "root"])
+        ends = [(np.asarray(batch.column(0)), np.asarray(batch.column(1))) for batch in batches]
+        nodes, roots = smallest_of(*(np.concatenate(x) for x in zip(*ends, strict=True))) if ends else (np.zeros(0, dtype=np.int64),) * 2
+        moved = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(roots[moved])], names=["node", "root"])
 
     return edges.coalesce(1).mapInArrow(forest, "node bigint, root bigint")
 
 
-def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, finish_edges: int = FINISH_EDGES, clean: bool = False) -> DataFrame:
     """(node, root) for every node of the edges (a bigint, b bigint), the root being a node of the component.
 
     Nodes that are their own root are left out: a left join fills them in. Null ends, loops and
     repeated edges are ignored. Which node is the root is not promised; take a minimum over members.
+    ``clean`` says that the edges lie materialized and hold none of these, so they are not written again.
     """
     runtime.ship_package(edges.sparkSession)
     maps: list[DataFrame] = []
-    left = runtime.materialize(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=8)
+    left = edges.select("a", "b") if clean else runtime.materialize(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=8)
     while (n := left.count()) > finish_edges:
         rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), F.col(c)).alias("r"), F.col(c).alias("v"))
         both = left.select("a", "b").union(left.select("b", "a"))

@@ -11,8 +11,9 @@ from kinfold import constants as C
 from kinfold import runtime
 from kinfold.functions import vectors
 
-#: Vectors of one block of the pairwise join: two blocks fit a task, their product is taken in tiles.
+#: Vectors of one block of the pairwise join: two blocks fit a task, their product is taken in tiles that a core's cache holds.
 BLOCK_ROWS, TILE_ROWS = 8192, 2048
+PAIR_TILE = (256, 1024)
 #: Pairs whose products are taken row by row at once.
 PAIR_ROWS = 1 << 15
 #: Tasks, at most, that the pairs of blocks are dealt to.
@@ -62,11 +63,13 @@ def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: fl
     """
     y, room = x.astype(np.float32), 1e-5 + 2.0**-22 * x.shape[1]
     found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]]
-    for s in range(0, len(left), TILE_ROWS):
-        own = left[s : s + TILE_ROWS]
-        for t in range(0, len(right), TILE_ROWS):
-            other = right[t : t + TILE_ROWS]
-            at = np.flatnonzero((y[own] @ y[other].T >= np.float32(threshold - room)).ravel())
+    high, wide = PAIR_TILE
+    columns = [(right[t : t + wide], y[right[t : t + wide]].T) for t in range(0, len(right), wide)]
+    for s in range(0, len(left), high):
+        own = left[s : s + high]
+        rows = y[own]
+        for other, across in columns:
+            at = np.flatnonzero((rows @ across >= np.float32(threshold - room)).ravel())
             a, b = own[at // len(other)], other[at % len(other)]
             sim = pair_products(x, a, b)
             fit = sim >= threshold
@@ -80,31 +83,72 @@ def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_
 
     All pairs must be compared: at such a threshold no bound on lengths or angles rules any out. Vectors are cut into blocks; each
     pair of blocks is one group of a shuffle and one matrix product, so nothing is broadcast and no task holds more than two blocks.
-    A vector is sent once for each block.
+    A block travels as one row, once for each block.
     """
     runtime.ship_package(faces.sparkSession)
-    n = faces.count()
-    blocks = max(1, -(-n // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    partners = F.sequence(F.lit(0), F.lit(blocks - 1))
+    blocks = max(1, -(-faces.count() // block_rows))
     anchor = (F.col(apart) if apart else F.lit(None)).cast("bigint").alias("anchor")
-    sent = faces.select("id", "embedding", anchor, own.alias("own")).withColumn("other", F.explode(partners))
-    sent = sent.select("id", "embedding", "anchor", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")
+
+    def packed(rows: pa.Table) -> pa.Table:
+        return packed_block(rows.column("own")[0].as_py(), rows.column("id"), unit_rows(rows.column("embedding")), rows.column("anchor"))
+
+    return block_pairs(faces.select("id", "embedding", anchor, own).repartition(blocks, "own").groupBy("own").applyInArrow(packed, BLOCK), blocks, threshold)
+
+
+#: A block of vectors in one row: its number, and ids, vectors end to end and anchors as an Arrow stream.
+BLOCK = "own int, payload binary"
+
+
+def packed_block(own: int, ids: pa.ChunkedArray | pa.Array, x: np.ndarray, anchors: pa.ChunkedArray | pa.Array) -> pa.Table:
+    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    width = x.shape[1]
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width) if width else pa.nulls(len(x), pa.null())
+    batch = pa.RecordBatch.from_arrays([flat(ids), vectors, flat(anchors)], names=["id", "x", "anchor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return pa.table({"own": pa.array([own], pa.int32()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _unpacked(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
+    with pa.ipc.open_stream(payload.as_buffer()) as file:
+        rows = file.read_all()
+    column = rows.column("x").combine_chunks()
+    x = np.zeros((len(rows), 0)) if pa.types.is_null(column.type) else column.flatten().to_numpy().reshape(len(rows), -1)
+    return np.asarray(rows.column("id")), x, rows.column("anchor")
+
+
+def block_pairs(packed: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """(a, b, sim), a < b, of vectors no longer than 1 in the ``blocks`` of ``packed`` whose product is at least ``threshold``; those of different anchors are no pair."""
+    sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select("own", "payload", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def product(rows: pa.Table) -> pa.Table:
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        ids, block, x = np.asarray(rows.column("id")), np.asarray(rows.column("own")), unit_rows(rows.column("embedding"))
-        held, tied = kept_apart(rows.column("anchor"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        at = np.argsort(np.asarray(rows.column("own")))
+        parts = [_unpacked(rows.column("payload")[k]) for k in at.tolist()]
+        same = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        if len(parts) == 1 and not same:
+            # The other block is empty.
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        ids, x, anchors = parts[0]
+        left = right = np.arange(len(ids))
+        if not same:
+            more, y, pins = parts[1]
+            width = max(x.shape[1], y.shape[1])
+            right = len(ids) + np.arange(len(more))
+            x = np.concatenate([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y)])
+            ids, anchors = np.concatenate([ids, more]), pa.chunked_array([*anchors.chunks, *pins.chunks], pa.int64())
+        held, tied = kept_apart(anchors)
         a, b, sim = near_pairs(x, left, right, threshold)
         free = ~(held[a] & held[b] & (tied[a] != tied[b]))
-        if i == j:
+        if same:
             free &= ids[a] < ids[b]
         first, second, sims = ids[a[free]], ids[b[free]], sim[free]
         return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second), "sim": sims})
 
     # As many tasks as there are pairs of blocks, else some task would get many of them.
-    if n > BLOCK_ROWS:
+    if blocks > 1:
         sent = sent.repartition(min(PAIR_TASKS, blocks * (blocks + 1) // 2), "i", "j")
     return sent.groupBy("i", "j").applyInArrow(product, "a bigint, b bigint, sim double")
 

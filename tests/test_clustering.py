@@ -272,3 +272,36 @@ def test_faces_of_a_regrouped_crowd_take_no_round_of_jobs(spark, monkeypatch):
     fresh = faces.withColumn("person_id", clustering.F.when(clustering.F.col("person_id") == 8, 8).cast("bigint"))
     done = {r["id"]: r["person_id"] for r in clustering.regroup(fresh, persons).faces.collect()}
     assert done == {i + 1: 9 if i % 24 == 23 else 8 for i in range(800)} and "merges" not in tags
+
+
+@pytest.mark.parametrize("most", [2000, 300])
+def test_more_links_than_a_task_holds_merge_level_by_level(spark, monkeypatch, most):
+    """They went through rounds of jobs, of which each computed all links of merged clusters again."""
+    x, _ = identities([40, 30, 30, 20, 1, 1], 0.7, 3, 0.4)
+    persons = [None] * len(x)
+    persons[3], persons[44], persons[45], persons[90] = 100, 200, 100, 300
+    faces = faces_of(spark, x.tolist(), persons, {3, 44, 45, 90})
+    wanted = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces, 0.3).collect()}
+    tags, write = [], clustering.runtime.materialize
+    monkeypatch.setattr(clustering.runtime, "materialize", lambda df, tag, narrow=1: (tags.append(tag), write(df, tag, narrow))[1])
+    monkeypatch.setattr(clustering, "LINKAGE_LINKS", most)
+    monkeypatch.setattr(clustering, "LEVEL_SHARE", 1 << 40)
+    found = {r["face_id"]: r["cluster_id"] for r in clustering.recluster(faces, 0.3, block_rows=32).collect()}
+    assert found == wanted and len(set(found.values())) > 3 and "upper" in tags and "merges" not in tags
+
+
+def test_blocks_of_vectors_of_any_length_meet(spark):
+    """Blocks that hold shorter vectors, none at all or a single one."""
+    x = [[1.0, 0.0], [1.0], [0.0, 0.0, 2.0], [], [3.0, 0.0, 0.0], None]
+    faces = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id bigint, embedding array<float>")
+    for rows in (100, 2, 1):
+        assert {(r["a"], r["b"]) for r in cosine_pairs(faces, 0.9, rows).collect()} == {(0, 1), (0, 4), (1, 4)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components_in_arrays_are_those_of_union_find(seed):
+    from kinfold.operators.components import smallest_of
+
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 400, (2, 250)) if seed else (np.arange(300), np.arange(300) + 1)
+    assert dict(zip(*(v.tolist() for v in smallest_of(a, b)), strict=True)) == union_find(zip(a.tolist(), b.tolist(), strict=True))
