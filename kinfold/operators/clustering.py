@@ -585,22 +585,47 @@ def recluster(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, most_rows
     return placed.join(named, "target").select(F.col("id").alias("face_id"), F.coalesce("pin", -(F.col("lead") + 1)).alias("cluster_id"))
 
 
-def claims(overlap: DataFrame) -> DataFrame:
+#: Rows of overlaps that one task goes through.
+CLAIM_ROWS = 500_000
+
+
+def _claimed(overlap: DataFrame) -> DataFrame:
+    """The claims of overlaps that one task holds: gone through in their order, each is taken whose cluster and person are free."""
+
+    def walk(batches):
+        table = pa.Table.from_batches(held) if (held := list(batches)) else None
+        clusters, persons, won = set(), set(), []
+        if table is not None:
+            table = table.sort_by([("n", "descending"), ("person_id", "ascending"), ("first_face", "ascending"), ("cluster_id", "ascending")])
+            for c, p in zip(table.column("cluster_id").to_pylist(), table.column("person_id").to_pylist(), strict=True):
+                if c not in clusters and p not in persons:
+                    clusters.add(c)
+                    persons.add(p)
+                    won.append((c, p))
+        yield pa.RecordBatch.from_arrays([pa.array([w[k] for w in won], pa.int64()) for k in (0, 1)], names=["cluster_id", "person_id"])
+
+    return overlap.coalesce(1).mapInArrow(walk, "cluster_id bigint, person_id bigint")
+
+
+def claims(overlap: DataFrame, finish_rows: int = CLAIM_ROWS) -> DataFrame:
     """(cluster_id, person_id): greedy one-to-one claims by falling overlap, then person, then first face.
 
     ``overlap`` has cluster_id, person_id, n and first_face. The claims come from a total order, so a pair that is the
-    first of both its cluster and its person is always taken: each round takes all such pairs and drops what they rule out.
+    first of both its cluster and its person is always taken: each round takes all such pairs and drops what they rule out. A chain of
+    claims would take a round for each, so what is left is finished in one task once it is no more than ``finish_rows``.
     """
+    runtime.ship_package(overlap.sparkSession)
     left = runtime.materialize(overlap, "overlap")
     taken: DataFrame | None = None
     order = [F.desc("n"), F.asc("person_id"), F.asc("first_face"), F.asc("cluster_id")]
-    while not left.isEmpty():
+    while left.count() > finish_rows:
         first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
         won = runtime.materialize(left.withColumn("c", first("cluster_id")).withColumn("p", first("person_id")).where("c AND p").select("cluster_id", "person_id"), "won")
         taken = won if taken is None else taken.union(won)
         rest = left.join(won.select("cluster_id"), "cluster_id", "left_anti").join(won.select("person_id"), "person_id", "left_anti")
         left = runtime.materialize(rest.select(*overlap.columns), "overlap")
-    return taken if taken is not None else left.select("cluster_id", "person_id")
+    rest = _claimed(left)
+    return taken.union(rest) if taken is not None else rest
 
 
 def overlaps(faces: DataFrame, assignment: DataFrame) -> DataFrame:

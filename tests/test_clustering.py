@@ -290,6 +290,16 @@ def test_more_links_than_a_task_holds_merge_level_by_level(spark, monkeypatch, m
     assert found == wanted and len(set(found.values())) > 3 and "upper" in tags and "merges" not in tags
 
 
+def test_a_chain_of_claims_takes_no_round_each(spark, monkeypatch):
+    """Each claim of the chain rules out the one that would be next, and only then is the one after it free: 60 rounds of jobs."""
+    rows = [(c, p, 200 - 2 * c - (p - c), c) for c in range(60) for p in (c, c + 1)]
+    overlap = spark.createDataFrame(rows, "cluster_id bigint, person_id bigint, n bigint, first_face bigint")
+    tags, write = [], clustering.runtime.materialize
+    monkeypatch.setattr(clustering.runtime, "materialize", lambda df, tag, narrow=1: (tags.append(tag), write(df, tag, narrow))[1])
+    whole, cut = ({tuple(r) for r in clustering.claims(overlap, most).collect()} for most in (1000, 110))
+    assert whole == cut == {(c, c) for c in range(60)} and tags.count("won") <= 5
+
+
 def test_blocks_of_vectors_of_any_length_meet(spark):
     """Blocks that hold shorter vectors, none at all or a single one."""
     x = [[1.0, 0.0], [1.0], [0.0, 0.0, 2.0], [], [3.0, 0.0, 0.0], None]
