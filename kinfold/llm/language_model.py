@@ -7,14 +7,14 @@ the hash, and the block gets back the word's count in the whole learning corpus.
 counts of subwords, summed over all learning texts too, give the subword classes.
 
 Model. Subword ids come from a public tokenizer whose file is a parameter; the driver ships it to the tasks. The
-network of ``attention`` learns from one window in ``WINDOW_SHARE`` of all learning texts at every size. These windows are dealt to shards
-of about ``SHARD_WINDOWS`` by a hash; a copy of the network walks through each shard, the copies are averaged, and so for ``ROUNDS``
-rounds. Pairs of an embedding row and the class that follows are counted over all learning texts and mixed with the network.
+network of ``attention`` learns from all windows of all learning texts at every size. A hash deals them to ``ROUNDS`` rounds and, within a round, to shards
+of about ``SHARD_WINDOWS``; in a round a copy of the network walks through each of its shards, and the copies are averaged.
+Pairs of an embedding row and the class that follows are counted over all learning texts and mixed with the network, by weights that all their windows tell.
 A word's probability is mixed from five parts: its share of the corpus; its subwords by the network; its share of the text so far; what followed
 the word before it so far; and the class of its first subword by the network, times the word's share of the corpus words of that class. The weights
-are fitted to one learning text in ``FIT_SHARE``, each word counted without itself. All whole texts are scored.
+are fitted to all places of all learning texts, each word counted without itself. All whole texts are scored: their parts are found once, written, and read for both.
 
-Which windows and texts are learned from follows from a hash of id and text, and sums are of whole numbers, so scores do not depend on
+Where a window is learned from follows from a hash of id and text, and sums are of whole numbers, so scores do not depend on
 files, partitions or blocks beyond the rounding of 32-bit products.
 
 Defined results: null, empty and blank texts are one end token. A null doc_id is learned from. With nothing to
@@ -39,11 +39,13 @@ from kinfold.llm import textblocks as tb
 
 #: The tokenizer's file; a path that the driver can read.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-#: The network learns from one window in WINDOW_SHARE of all learning texts, at every size. SHARD_WINDOWS of them, about, are a shard, which one
-#: copy of the network walks through; after each of ROUNDS walks through all shards the copies are averaged.
-WINDOW_SHARE, SHARD_WINDOWS, ROUNDS = 16, 1024, 3
-#: One learning text in so many tells the weights of the parts, in so many rounds.
-FIT_SHARE, FIT_ROUNDS = 16, 10
+#: All windows of the learning texts are dealt to ROUNDS rounds. SHARD_WINDOWS of them, about, are a shard, which one copy of the network
+#: walks through; after each round the copies are averaged.
+SHARD_WINDOWS, ROUNDS = 1024, 3
+#: Windows whose inputs are held at once.
+CHUNK_WINDOWS = 4096
+#: Rounds in which the weights of the parts are fitted.
+FIT_ROUNDS = 10
 BLOCK_BYTES = 1 << 20
 #: Parts that tables of sums are added up in.
 SLICES = 64
@@ -53,7 +55,7 @@ SAMPLED, OFTEN = 32, 2
 BUCKET_CHARS = 32_000_000
 ADD = 0.1
 
-_BLOCK = "block bigint, fits boolean, payload binary"
+_BLOCK = "block bigint, payload binary"
 _SENT = "bucket bigint, block bigint, payload binary"
 _loaded: dict[int, object] = {}
 
@@ -153,7 +155,7 @@ def _payloads(batches) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
 
 
 def _ingest(docs: DataFrame, held_out: Column, model: bytes, block_bytes: int) -> DataFrame:
-    """Blocks of texts; those that the weights are fitted to lie in blocks of their own. Which these are depends on ids and texts alone."""
+    """Blocks of texts."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -165,15 +167,10 @@ def _ingest(docs: DataFrame, held_out: Column, model: bytes, block_bytes: int) -
             ids = batch.column("doc_id").cast(pa.int64())
             known, ids = np.asarray(ids.is_valid()).astype(np.int8), np.asarray(ids.fill_null(0))
             held, keys = np.asarray(batch.column("held")), np.asarray(batch.column("key"))
-            fits = (tb.mix(keys.view(np.uint64)) % np.uint64(FIT_SHARE) == 0) & ~held
-            for own in (False, True):
-                which = np.flatnonzero(fits == own)
-                some, bounds = tb.rows_of(data, offsets, which)
-                for i, j in tb.pieces(bounds, block_bytes):
-                    at = which[i:j]
-                    payload = block_of(*tb.piece_of(some, bounds, i, j), ids[at], known[at], held[at], tokenizer(shipped.value), keys[at])
-                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([own]), pa.array([payload], pa.binary())], names=["block", "fits", "payload"])
-                    n += 1
+            for i, j in tb.pieces(offsets, block_bytes):
+                payload = block_of(*tb.piece_of(data, offsets, i, j), ids[i:j], known[i:j], held[i:j], tokenizer(shipped.value), keys[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + n]), pa.array([payload], pa.binary())], names=["block", "payload"])
+                n += 1
         tb.release()
 
     # Written once: block numbers are those of the attempt that was committed.
@@ -305,8 +302,8 @@ def _total(batches):
 _WINDOW = np.dtype([("rows", "<i2", attention.KEYS), ("kinds", "u1", attention.STEP), ("low", "u1"), ("high", "u1")])
 
 
-def _sample(share: int, shards: int, voc):
-    """One in ``share`` of the learning windows, with a number that names each and the shard that follows from it: which ones depends on texts, ids and places alone."""
+def _windows(shards: int, voc):
+    """All learning windows, with a number that names each and the shard that follows from it: which one depends on texts, ids and places alone."""
 
     def run(batches):
         for _, block in _payloads(batches):
@@ -314,21 +311,23 @@ def _sample(share: int, shards: int, voc):
             first, begin, end = attention.windows(lengths)
             text = np.repeat(np.arange(len(lengths)), -(-lengths // attention.STEP))
             u = tb.mix(block["keys"].view(np.uint64)[text] * np.uint64(0x9E3779B97F4A7C15) + (first - begin).astype(np.uint64))
-            take = np.flatnonzero((u % np.uint64(share) == 0) & (block["held"][text] == 0))
-            rows, there, target, _ = attention.window_inputs(voc.value, ids, first[take], begin[take], end[take])
-            own = np.zeros(len(take), dtype=_WINDOW)
-            own["rows"], own["kinds"] = rows, voc.value.kind[target]
-            own["low"], own["high"] = there.argmax(axis=1), attention.KEYS - there[:, ::-1].argmax(axis=1)
-            shard = (u[take] // np.uint64(share) % np.uint64(shards)).astype(np.int32)
-            payload = pa.array(own.view(f"V{_WINDOW.itemsize}").tolist(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(u[take].view(np.int64)), payload], names=["shard", "u", "payload"])
+            learned_from = np.flatnonzero(block["held"][text] == 0)
+            for i in range(0, len(learned_from), CHUNK_WINDOWS):
+                take = learned_from[i : i + CHUNK_WINDOWS]
+                rows, there, target, _ = attention.window_inputs(voc.value, ids, first[take], begin[take], end[take])
+                own = np.zeros(len(take), dtype=_WINDOW)
+                own["rows"], own["kinds"] = rows, voc.value.kind[target]
+                own["low"], own["high"] = there.argmax(axis=1), attention.KEYS - there[:, ::-1].argmax(axis=1)
+                shard = (u[take] % np.uint64(shards)).astype(np.int32)
+                payload = pa.array(own.view(f"V{_WINDOW.itemsize}").tolist(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(u[take].view(np.int64)), payload], names=["shard", "u", "payload"])
 
     return run
 
 
 def _shard(rows: pa.Table) -> pa.Table:
-    """The windows of a shard in the order of their numbers, end to end."""
-    order = np.argsort(np.asarray(rows.column("u")))
+    """The windows of a shard in the order of their numbers, end to end. Equal texts of one id have equal windows, and these are one."""
+    _, order = np.unique(np.asarray(rows.column("u")), return_index=True)
     column = rows.column("payload").take(pa.array(order)).to_pylist()
     return pa.table({"shard": rows.column("shard")[:1], "payload": pa.array([b"".join(column)], pa.binary())})
 
@@ -368,15 +367,15 @@ def _walk(held, seed: int):
 
 
 def learned(shards: DataFrame, net: attention.Network, rounds: int = ROUNDS) -> attention.Network:
-    """``net`` after some rounds, in each of which a copy of it walks through each shard; after a round stands the mean of the copies by windows."""
+    """``net`` after some rounds, among which the shards are dealt: a copy of it walks through each shard of the round, and after it stands the mean of the copies by windows."""
     n = len(attention.flat(net))
     squares = np.full(n, 1e-6)
     for seed in range(rounds):
         held = shards.sparkSession.sparkContext.broadcast((net, squares))
-        sums = shards.mapInArrow(_walk(held, seed), "slice int, payload binary").repartition("slice").mapInArrow(_slice_totals, "slice int, payload binary")
+        sums = shards.where(F.col("shard") % rounds == seed).mapInArrow(_walk(held, seed), "slice int, payload binary").repartition("slice").mapInArrow(_slice_totals, "slice int, payload binary")
         found = sorted((r["slice"], r["payload"]) for r in sums.collect())
         if not found:
-            break
+            continue
         total = np.concatenate([unpack(p)["x"] for _, p in found]).astype(np.float64)
         met = total[2 * n]
         net = attention.from_flat(net, attention.flat(net) + total[:n] / met / attention.FIXED)
@@ -384,8 +383,13 @@ def learned(shards: DataFrame, net: attention.Network, rounds: int = ROUNDS) ->
     return net
 
 
-def fitted(rows: DataFrame, kinds: int, parts: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
-    """For each kind of place the weights under which the places are likeliest, by rounds over all of ``rows``: packed kinds and, place by place, their parts.
+def _packed_places(payload) -> tuple[np.ndarray, np.ndarray]:
+    own = unpack(payload)
+    return own["kind"], own["parts"]
+
+
+def fitted(rows: DataFrame, kinds: int, parts: int, rounds: int = FIT_ROUNDS, read=_packed_places) -> np.ndarray:
+    """For each kind of place the weights under which the places are likeliest, by rounds over all of ``rows``, of whose payloads ``read`` makes kinds and, place by place, their parts.
 
     Each round adds up whole numbers place by place, so the weights do not depend on how the rows lie. A kind that no place has keeps equal weights.
     """
@@ -396,8 +400,8 @@ def fitted(rows: DataFrame, kinds: int, parts: int, rounds: int = FIT_ROUNDS) ->
             total = np.zeros((parts, kinds))
             for batch in batches:
                 for payload in batch.column("payload"):
-                    own = unpack(payload.as_buffer())
-                    kind, share = own["kind"], own["parts"].reshape(parts, -1) * weights[own["kind"]].T
+                    kind, own = read(payload.as_buffer())
+                    share = own.reshape(parts, -1) * weights[kind].T
                     share *= attention.FIXED / np.maximum(share.sum(axis=0), 1e-300)
                     total += np.stack([np.bincount(kind, weights=x, minlength=kinds) for x in np.rint(share)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts * kinds)), pa.array(total.ravel().astype(np.int64))], names=["at", "n"])
@@ -414,8 +418,25 @@ def fitted(rows: DataFrame, kinds: int, parts: int, rounds: int = FIT_ROUNDS) ->
     return weights
 
 
+#: Bins of the share that the network has in the sum of both probabilities of a place.
+BINS = 1024
+
+
+def two_weights(counts: np.ndarray, shares: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """For each kind the weight of the second of two parts under which its places are likeliest, of which each bin tells the number and the mean of the first one's share in the sum of both.
+
+    More than this share does not matter to the weights. A kind that no place has keeps equal weights.
+    """
+    weight, met = np.full(len(counts), 0.5), counts.sum(axis=1)
+    for _ in range(rounds):
+        second = weight[:, None] * (1 - shares)
+        taken = second / np.maximum(second + (1 - weight[:, None]) * shares, 1e-300)
+        weight = np.where(met > 0, (taken * counts).sum(axis=1) / np.maximum(met, 1), weight)
+    return weight
+
+
 def _fit_pairs(blocks: DataFrame, shards: DataFrame, net: attention.Network, voc) -> attention.Pairs:
-    """What class follows each embedding row, over all learning texts; its weight beside the network is fitted to the windows of the shards."""
+    """What class follows each embedding row, over all learning texts; its weight beside the network is fitted to all windows of these."""
     cells = attention.ROWS * attention.CLASSES
 
     def add(total, block):
@@ -424,23 +445,31 @@ def _fit_pairs(blocks: DataFrame, shards: DataFrame, net: attention.Network, voc
 
     counts = _summed(blocks, cells, add).reshape(attention.ROWS, attention.CLASSES)
     shipped = shards.sparkSession.sparkContext.broadcast((net, counts))
+    bins = attention.LEVELS * BINS
 
     def run(batches):
+        total = np.zeros(2 * bins, dtype=np.int64)
         for batch in batches:
             for payload in batch.column("payload"):
-                kind, parts = attention.pair_places(*shipped.value, *_inputs(payload.as_buffer()))
-                yield pa.RecordBatch.from_arrays([pa.array([pack(kind=kind.astype(np.int16), parts=parts.astype(np.float32).ravel())], pa.binary())], names=["payload"])
+                kind, (own, other) = attention.pair_places(*shipped.value, *_inputs(payload.as_buffer()))
+                share = np.rint(own / np.maximum(own + other, 1e-300) * _SQUARES).astype(np.int64)
+                at = kind * BINS + np.minimum(share * BINS // int(_SQUARES), BINS - 1)
+                total[:bins] += np.bincount(at, minlength=bins)
+                total[bins:] += np.bincount(at, weights=share, minlength=bins).astype(np.int64)
+        yield _sliced(total)
 
-    rows = runtime.materialize(shards.mapInArrow(run, "payload binary"), "pairs")
-    return attention.pair_model(counts, fitted(rows, attention.LEVELS, 2)[:, 1])
+    sums = shards.mapInArrow(run, "slice int, payload binary").repartition("slice").mapInArrow(_slice_totals, "slice int, payload binary")
+    total = np.zeros((SLICES, 2 * bins // SLICES), dtype=np.int64)
+    for row in sums.toLocalIterator():
+        total[row["slice"]] = unpack(row["payload"])["x"]
+    met, share = total.reshape(2, attention.LEVELS, BINS).astype(np.float64)
+    return attention.pair_model(counts, two_weights(met, share / np.maximum(met, 1) / _SQUARES))
 
 
-def _train(blocks: DataFrame, voc, subword_total: int, windows: int, share: int) -> tuple[attention.Network, attention.Pairs]:
-    shards = max(1, round(subword_total / attention.STEP / share / windows))
-    sample = blocks.mapInArrow(_sample(share, shards, voc), "shard int, u bigint, payload binary")
-    # Equal texts of one id have equal windows, and these are one: no shard grows with repeated rows.
-    sample = sample.groupBy("shard", "u").agg(F.min("payload").alias("payload"))
-    table = runtime.materialize(sample.groupBy("shard").applyInArrow(_shard, "shard int, payload binary"), "windows")
+def _train(blocks: DataFrame, voc, subword_total: int, windows: int) -> tuple[attention.Network, attention.Pairs]:
+    shards = ROUNDS * max(1, round(subword_total / attention.STEP / ROUNDS / windows))
+    rows = blocks.mapInArrow(_windows(shards, voc), "shard int, u bigint, payload binary")
+    table = runtime.materialize(rows.groupBy("shard").applyInArrow(_shard, "shard int, payload binary"), "windows")
     net = learned(table, attention.new_network())
     return net, _fit_pairs(blocks, table, net, voc)
 
@@ -482,7 +511,7 @@ def earlier(keys: np.ndarray) -> np.ndarray:
 class Places:
     """The words of a block in order, the end of each text included.
 
-    ``own``: the corpus count of the word; ``text``: the number of its text; ``kind``: the kind of its place; ``parts``, as named by ``PARTS``: its
+    ``own``: the corpus count of the word; ``text``: the number of its text; ``kind``: the kind of its place; ``opens``: the class of its first subword; ``parts``, as named by ``PARTS``: its
     probability by its share of the corpus, by its subwords, by its share of the text so far, by what followed the word
     before it in the text so far, and by the class of its first subword, as the network has it, and its share of the words of that class. Each part sums to one over all words, or to zero where nothing is known.
     """
@@ -491,6 +520,7 @@ class Places:
     text: np.ndarray
     kind: np.ndarray
     parts: np.ndarray
+    opens: np.ndarray
 
 
 def places(block: dict[str, np.ndarray], answers: pa.Table, model, leave_out: bool = False, without: tuple[str, ...] = ()) -> Places:
@@ -509,34 +539,70 @@ def places(block: dict[str, np.ndarray], answers: pa.Table, model, leave_out: bo
     met[nth == 0] = 0
     follows = np.where(nth == 0, 0, earlier((text * (end + 1) + line.before) * (end + 1) + codes))
     less = leave_out * (block["held"] == 0)[text]
-    parts = np.zeros((len(PARTS), len(codes)))
+    parts, opens = np.zeros((len(PARTS), len(codes))), np.zeros(len(codes), dtype=np.int64)
     parts[0] = np.maximum(own - less, 0) / np.maximum(corpus.tokens - less, 1)
     parts[2], parts[3] = seen / np.maximum(nth, 1), follows / np.maximum(met, 1)
     if len(ids):
         own_log, begins = attention.log10_probabilities(scorer, ids, lengths)
         parts[1] = 10.0 ** np.maximum(attention.word_scores(own_log, begins, sizes, codes == end), -300)
         first = np.cumsum(sizes) - sizes
-        opens = ids[first]
-        kind = voc.kind[opens]
+        begun = ids[first]
+        kind = opens = voc.kind[begun]
         # The class of the first subword, given that a word begins or the text ends here.
-        shown = 10.0 ** (own_log[first].astype(np.float64) - voc.log_share[opens] - begins[first]) * voc.begins[kind]
+        shown = 10.0 ** (own_log[first].astype(np.float64) - voc.log_share[begun] - begins[first]) * voc.begins[kind]
         parts[4] = np.minimum(shown, 1) * np.maximum(own - less, 0) / np.maximum(corpus.classes[kind] - less, 1)
     for name in without:
         parts[PARTS.index(name)] = 0
     kind = np.searchsorted(_FAR, nth, side="right") * (len(_MET) + 1) + np.searchsorted(_MET, met, side="right")
-    return Places(own, text, kind, parts)
+    return Places(own, text, kind, parts, opens)
 
 
-def _fit_places(model, without: tuple[str, ...]):
+def _written(model, without: tuple[str, ...]):
+    """A block's texts with the places of their words, as ``read_places`` takes them: what follows from a word's count is left out, and small probabilities are logarithms."""
+
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table({"payload": pa.array([], pa.binary())})
-        found = places(unpack(rows.column("payload")[0].as_buffer()), answers, model, True, without)
-        return pa.table({"payload": pa.array([pack(kind=found.kind.astype(np.int16), parts=found.parts.astype(np.float32).ravel())], pa.binary())})
+        block = unpack(rows.column("payload")[0].as_buffer())
+        found = places(block, answers, model, without=without)
+        subword = np.log10(np.maximum(found.parts[1], 1e-300)).astype(np.float32)
+        payload = pack(
+            **{k: block[k] for k in ("ids", "known", "held", "counts")}, own=found.own.astype(np.int64), kind=found.kind.astype(np.uint8), opens=found.opens.astype(np.uint8),
+            subword=subword, rest=found.parts[2:].astype(np.float32).ravel(),
+        )
+        tb.release()
+        return pa.table({"payload": pa.array([payload], pa.binary())})
 
     return run
 
 
+def read_places(block: dict[str, np.ndarray], corpus: Corpus, leave_out: bool = False, without: tuple[str, ...] = ()) -> Places:
+    """The places that ``_written`` has written; those of ``places`` with ``leave_out`` follow from a word's count."""
+    own, opens = block["own"], block["opens"].astype(np.int64)
+    text = np.repeat(np.arange(len(block["ids"])), block["counts"].astype(np.int64) + 1)
+    less = leave_out * (block["held"] == 0)[text]
+    parts = np.zeros((len(PARTS), len(own)))
+    parts[0] = np.maximum(own - less, 0) / np.maximum(corpus.tokens - less, 1)
+    parts[1] = 10.0 ** block["subword"].astype(np.float64)
+    parts[2:] = block["rest"].reshape(len(PARTS) - 2, -1)
+    parts[4] *= np.maximum(own - less, 0) / np.maximum(own, 1) * np.maximum(corpus.classes[opens], 1) / np.maximum(corpus.classes[opens] - less, 1)
+    for name in without:
+        parts[PARTS.index(name)] = 0
+    return Places(own, text, block["kind"].astype(np.int64), parts, opens)
+
+
+def _to_fit(corpus, without: tuple[str, ...]):
+    """Kinds and parts of the places of a block's learning texts, each word counted without itself."""
+
+    def read(payload) -> tuple[np.ndarray, np.ndarray]:
+        block = unpack(payload)
+        found = read_places(block, corpus.value, True, without)
+        learns = (block["held"] == 0)[found.text]
+        return found.kind[learns], found.parts[:, learns]
+
+    return read
+
+
 def mixed(found: Places, weights: np.ndarray) -> np.ndarray:
     """The probability of each word: its parts by the weights of its kind of place."""
     return (found.parts * weights[found.kind].T).sum(axis=0)
@@ -545,34 +611,34 @@ def mixed(found: Places, weights: np.ndarray) -> np.ndarray:
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model, without: tuple[str, ...]):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _RESULT.empty_table()
-        corpus = model.value[1]
-        scale = corpus.tokens + ADD * (corpus.distinct + 1)
-        block = unpack(rows.column("payload")[0].as_buffer())
-        found = places(block, answers, model, without=without)
-        n = len(block["ids"])
-        sums = lambda values: np.bincount(found.text, weights=values, minlength=n)
+def _score(corpus, without: tuple[str, ...]):
+    def run(batches):
+        total = corpus.value
+        scale = total.tokens + ADD * (total.distinct + 1)
+        for batch in batches:
+            for payload in batch.column("payload"):
+                block = unpack(payload.as_buffer())
+                found = read_places(block, total, without=without)
+                n = len(block["ids"])
+                sums = lambda values: np.bincount(found.text, weights=values, minlength=n)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block["ids"], mask=block["known"] == 0),
+                        pa.array(block["held"] > 0),
+                        pa.array(block["counts"].astype(np.int64) + 1),
+                        pa.array(sums(found.own > 0).astype(np.int64)),
+                        pa.array(np.full(n, total.tokens, dtype=np.int64)),
+                        pa.array(sums(np.log10((found.own + ADD) / scale))),
+                        pa.array(sums(np.log10(np.maximum(mixed(found, total.weights), 1e-300)))),
+                    ],
+                    schema=_RESULT,
+                )
         tb.release()
-        return pa.table(
-            [
-                pa.array(block["ids"], mask=block["known"] == 0),
-                pa.array(block["held"] > 0),
-                pa.array(block["counts"].astype(np.int64) + 1),
-                pa.array(sums(found.own > 0).astype(np.int64)),
-                pa.array(np.full(n, corpus.tokens, dtype=np.int64)),
-                pa.array(sums(np.log10((found.own + ADD) / scale))),
-                pa.array(sums(np.log10(np.maximum(mixed(found, corpus.weights), 1e-300)))),
-            ],
-            schema=_RESULT,
-        )
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, tokenizer_path: str = TOKENIZER, windows: int = SHARD_WINDOWS, share: int = WINDOW_SHARE, block_bytes: int = BLOCK_BYTES, without: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, tokenizer_path: str = TOKENIZER, windows: int = SHARD_WINDOWS, block_bytes: int = BLOCK_BYTES, without: tuple[str, ...] = ()) -> DataFrame:
     """Base and model scores of all rows of ``docs``; rows for which the Column ``held_out`` holds are not learned from.
 
     ``windows``: about so many are a shard. ``without``: names of ``PARTS`` to leave out, which shows what each is good for.
@@ -585,8 +651,8 @@ def score(docs: DataFrame, held_out: Column, tokenizer_path: str = TOKENIZER, wi
     size = pieces.get_piece_size()
     first = np.array([pieces.id_to_piece(i).startswith("▁") for i in range(size)])
     blocks = _ingest(docs, F.coalesce(held_out, F.lit(False)), model, block_bytes)
-    count = blocks.where("not fits").count()
-    frequent = frequent_words(blocks.where("not fits"), count)
+    count = blocks.count()
+    frequent = frequent_words(blocks, count)
     shipped = spark.sparkContext.broadcast(frequent)
 
     def add(total, block):
@@ -609,12 +675,12 @@ def score(docs: DataFrame, held_out: Column, tokenizer_path: str = TOKENIZER, wi
     voc = attention.vocabulary(piece_counts.astype(np.float64), first)
     classes = np.bincount(voc.kind, weights=np.append(opened, texts), minlength=attention.CLASSES)
     corpus = Corpus(int(told["tokens"]) + int(often.sum()) + texts, int(told["words"]) + int((often > 0).sum()) + int(texts > 0), texts, frequent, often, classes)
-    net, pairs = _train(blocks, spark.sparkContext.broadcast(voc), int(piece_counts.sum()), windows, share)
+    net, pairs = _train(blocks, spark.sparkContext.broadcast(voc), int(piece_counts.sum()), windows)
     scorer = attention.Scorer(net, voc, pairs)
     answers = answers.select("block", "bucket", "counts")
     model_of = spark.sparkContext.broadcast((scorer, corpus))
-    some = blocks.where("fits").select("block", "payload")
-    told = some.groupBy("block").cogroup(answers.join(some.select("block"), "block", "left_semi").groupBy("block")).applyInArrow(_fit_places(model_of, without), "payload binary")
-    corpus.weights = np.maximum(fitted(runtime.materialize(told, "places"), KINDS, len(PARTS)), 1e-4)
+    found = blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_written(model_of, without), "payload binary")
+    found = runtime.materialize(found, "places")
+    corpus.weights = np.maximum(fitted(found, KINDS, len(PARTS), read=_to_fit(spark.sparkContext.broadcast(corpus), without)), 1e-4)
     result = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(spark.sparkContext.broadcast((scorer, corpus)), without), result)
+    return found.mapInArrow(_score(spark.sparkContext.broadcast(corpus), without), result)

@@ -82,16 +82,6 @@ def piece_of(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.
     return data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def rows_of(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes and offsets of some rows alone."""
-    if len(rows) == len(offsets) - 1:
-        return data, offsets
-    parts = [data[offsets[i] : offsets[i + 1]] for i in rows.tolist()]
-    bounds = np.zeros(len(rows) + 1, dtype=np.int64)
-    np.cumsum([len(p) for p in parts], out=bounds[1:])
-    return np.concatenate([data[:0], *parts]), bounds
-
-
 def translate(data: np.ndarray, table: bytes) -> np.ndarray:
     return np.frombuffer(data.tobytes().translate(table), dtype=np.uint8)
 

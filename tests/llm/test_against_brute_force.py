@@ -261,6 +261,10 @@ def test_parts_of_a_words_probability(texts, spark):
     weights = np.random.default_rng(3).dirichlet(np.ones(5), language_model.KINDS)
     for leave_out in (False, True):
         found = language_model.places(block, nothing, Held, leave_out)
+        written = language_model._written(Held, ())(pa.table({"payload": pa.array([language_model.pack(**block)], pa.binary())}), nothing)
+        read = language_model.read_places(language_model.unpack(written.column("payload")[0].as_buffer()), corpus, leave_out)
+        assert (read.own == found.own).all() and (read.text == found.text).all() and (read.kind == found.kind).all()
+        assert read.parts == pytest.approx(found.parts, rel=1e-4)
         at = 0
         for n, (i, t) in enumerate(rows):
             before: list[str] = []
@@ -310,6 +314,49 @@ def test_weights_are_the_likeliest(spark):
         assert (found == first).all()
 
 
+def test_all_texts_are_learned_from(spark, monkeypatch):
+    """Every window of every learning text reaches the network once, and the places of all learning texts tell the weights; one in 16 did before."""
+    rows = [(i, " ".join(f"w{i % 7} v{(i * k) % 11}" for k in range(1 + 9 * (i % 5)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    told, fit, cut = {}, language_model.fitted, language_model.learned
+
+    def learned(shards, net, *more):
+        told["windows"] = [language_model._inputs(r["payload"]) for r in shards.collect()]
+        told["rounds"] = {r["shard"] % language_model.ROUNDS for r in shards.collect()}
+        return cut(shards, net, *more)
+
+    def fitted(table, kinds, parts, read, **more):
+        told["places"] = sum(len(read(pa.py_buffer(bytes(r["payload"])))[0]) for r in table.collect())
+        return fit(table, kinds, parts, read=read, **more)
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_model, "learned", learned)
+    monkeypatch.setattr(language_model, "fitted", fitted)
+    found = language_model.score(docs, F.col("doc_id") % 10 == 0, windows=4, block_bytes=600).collect()
+    with open(language_model.TOKENIZER, "rb") as file:
+        pieces = language_model.tokenizer(file.read())
+    sizes = [sum(len(p) for p in pieces.encode(t.split())) + 1 for i, t in rows if i % 10]
+    assert sum(aimed.sum() for _, _, _, aimed in told["windows"]) == sum(sizes)
+    assert sum(len(x[0]) for x in told["windows"]) == sum(-(-n // attention.STEP) for n in sizes) and told["rounds"] == {0, 1, 2}
+    assert told["places"] == sum(r["n_tokens"] for r in found if not r["held_out"])
+
+
+def test_weight_of_the_counts_from_bins():
+    """Bins of the share of one part give the weights that rounds over all places give."""
+    rng = np.random.default_rng(9)
+    parts, bins = rng.random((2, 6000)) ** 2, 1024
+    share = parts[0] / parts.sum(axis=0)
+    at = np.minimum((share * bins).astype(int), bins - 1)
+    counts = np.bincount(at, minlength=bins)
+    means = np.bincount(at, weights=share, minlength=bins) / np.maximum(counts, 1)
+    found = language_model.two_weights(np.stack([counts, 0 * counts]), np.stack([means, means]), rounds=10)
+    weight = 0.5
+    for _ in range(10):
+        weight = (weight * parts[1] / (weight * parts[1] + (1 - weight) * parts[0])).mean()
+    assert found == pytest.approx([weight, 0.5], abs=1e-5)
+
+
 def test_scores_do_not_depend_on_the_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     two, seven = ({r["doc_id"]: (r["base_score"], r["score"]) for r in language_model.score(docs.repartition(n, F.rand(n)), F.col("doc_id") % 10 == 0, windows=50, block_bytes=b).collect()} for n, b in ((2, 1 << 20), (7, 20_000)))
