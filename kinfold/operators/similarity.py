@@ -36,7 +36,10 @@ def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors as float64 rows of unit length; NaN and infinities count as 0, rows without length stay 0."""
-    out = matrix_of(column)
+    return _of_unit_length(matrix_of(column))
+
+
+def _of_unit_length(out: np.ndarray) -> np.ndarray:
     out[~np.isfinite(out)] = 0
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
@@ -56,10 +59,21 @@ def pair_products(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hits(fits: np.ndarray) -> np.ndarray:
+    """Where ``fits``, a tile of few true values, is true; eight values are looked at together where their number allows it."""
+    flat = fits.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64))
+    at, k = np.nonzero(flat.reshape(-1, 8)[some])
+    return some[at] * 8 + k
+
+
 def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows a of ``left`` and b of ``right`` whose product in ``x``, of unit rows, is at least ``threshold``, and that product.
 
-    Products of 32 bits, with room for their rounding, tell which pairs are taken in 64 bits.
+    Products of 32 bits, with room for their rounding, tell which pairs are taken in 64 bits. Where both are the same array, of rising
+    numbers, each two of its rows are compared once: a < b.
     """
     y, room = x.astype(np.float32), 1e-5 + 2.0**-22 * x.shape[1]
     found: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]]
@@ -68,9 +82,12 @@ def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: fl
     for s in range(0, len(left), high):
         own = left[s : s + high]
         rows = y[own]
-        for other, across in columns:
-            at = np.flatnonzero((rows @ across >= np.float32(threshold - room)).ravel())
+        for other, across in columns[s // wide if left is right else 0 :]:
+            at = _hits(rows @ across >= np.float32(threshold - room))
             a, b = own[at // len(other)], other[at % len(other)]
+            if left is right:
+                once = a < b
+                a, b = a[once], b[once]
             sim = pair_products(x, a, b)
             fit = sim >= threshold
             for part, values in zip(found, (a[fit], b[fit], sim[fit]), strict=True):
@@ -78,25 +95,27 @@ def near_pairs(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: fl
     return tuple(np.concatenate(part) for part in found)
 
 
-def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = BLOCK_ROWS, apart: str | None = None) -> DataFrame:
+def cosine_pairs(faces: DataFrame, threshold: float = C.COSINE_THRESHOLD, block_rows: int = BLOCK_ROWS, apart: str | None = None, count: int | None = None) -> DataFrame:
     """(a, b, sim), a < b, of faces (id, embedding) whose cosine is at least ``threshold``; those with different values of the column ``apart`` are no pair.
 
     All pairs must be compared: at such a threshold no bound on lengths or angles rules any out. Vectors are cut into blocks; each
     pair of blocks is one group of a shuffle and one matrix product, so nothing is broadcast and no task holds more than two blocks.
-    A block travels as one row, once for each block.
+    A block travels as one row, once for each block; vectors of 32 bits travel as they are and get their length where they are compared. ``count``: the faces, where they have been counted.
     """
     runtime.ship_package(faces.sparkSession)
-    blocks = max(1, -(-faces.count() // block_rows))
+    blocks = max(1, -(-(faces.count() if count is None else count) // block_rows))
     anchor = (F.col(apart) if apart else F.lit(None)).cast("bigint").alias("anchor")
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")
 
     def packed(rows: pa.Table) -> pa.Table:
-        return packed_block(rows.column("own")[0].as_py(), rows.column("id"), unit_rows(rows.column("embedding")), rows.column("anchor"))
+        column = rows.column("embedding")
+        x = matrix_of(column).astype(np.float32) if pa.types.is_float32(column.type.value_type) else unit_rows(column)
+        return packed_block(rows.column("own")[0].as_py(), rows.column("id"), x, rows.column("anchor"))
 
     return block_pairs(faces.select("id", "embedding", anchor, own).repartition(blocks, "own").groupBy("own").applyInArrow(packed, BLOCK), blocks, threshold)
 
 
-#: A block of vectors in one row: its number, and ids, vectors end to end and anchors as an Arrow stream.
+#: A block of vectors in one row: its number, and ids, vectors end to end and anchors as an Arrow stream. Vectors of 64 bits are ready, those of 32 bits as the table has them.
 BLOCK = "own int, payload binary"
 
 
@@ -116,6 +135,8 @@ def _unpacked(payload: pa.Scalar) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArr
         rows = file.read_all()
     column = rows.column("x").combine_chunks()
     x = np.zeros((len(rows), 0)) if pa.types.is_null(column.type) else column.flatten().to_numpy().reshape(len(rows), -1)
+    if x.dtype == np.float32:
+        x = _of_unit_length(x.astype(np.float64))
     return np.asarray(rows.column("id")), x, rows.column("anchor")
 
 
@@ -143,7 +164,7 @@ def block_pairs(packed: DataFrame, blocks: int, threshold: float) -> DataFrame:
         a, b, sim = near_pairs(x, left, right, threshold)
         free = ~(held[a] & held[b] & (tied[a] != tied[b]))
         if same:
-            free &= ids[a] < ids[b]
+            free &= ids[a] != ids[b]
         first, second, sims = ids[a[free]], ids[b[free]], sim[free]
         return pa.table({"a": np.minimum(first, second), "b": np.maximum(first, second), "sim": sims})
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import clustering
+from kinfold import runtime
+from kinfold.operators import clustering, similarity
 from kinfold.operators.components import connected_components, union_find
 from kinfold.operators.similarity import cosine_pairs, near_pairs
 
@@ -315,3 +316,26 @@ def test_components_in_arrays_are_those_of_union_find(seed):
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, 400, (2, 250)) if seed else (np.arange(300), np.arange(300) + 1)
     assert dict(zip(*(v.tolist() for v in smallest_of(a, b)), strict=True)) == union_find(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_each_two_rows_of_a_block_are_compared_once(spark, monkeypatch):
+    x, _ = identities([40, 30, 31], 0.6, 5)
+    unit = np.asarray(x, dtype=np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = np.arange(len(unit))
+    wanted = {(a, b) for a, b in zip(*np.nonzero(unit @ unit.T >= 0.4), strict=True) if a < b}
+    for tile in ((16, 24), (7, 13), (256, 1024)):
+        monkeypatch.setattr(similarity, "PAIR_TILE", tile)
+        a, b, _ = near_pairs(unit, rows, rows, 0.4)
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(wanted)
+
+
+def test_regrouping_writes_each_vector_once(spark, monkeypatch):
+    x, _ = identities([10, 10, 10], 0.5, 3)
+    written = []
+    plain = runtime.materialize
+    monkeypatch.setattr(runtime, "materialize", lambda df, tag, *rest, **more: (written.append((tag, df.columns)), plain(df, tag, *rest, **more))[1])
+    people = spark.createDataFrame([(100, "Ann", "#e6194b")], "id bigint, name string, color string")
+    done = clustering.regroup(faces_of(spark, x, [100] * 30), people)
+    assert done.faces.count() == 30
+    assert [tag for tag, columns in written if {"embedding", "sum"} & set(columns)] == ["clusters"]
