@@ -139,19 +139,28 @@ def copy_of(net: Network) -> Network:
     return from_flat(net, flat(net))
 
 
+def _keep_pages() -> None:
+    """Once a large array has come and gone, freed memory up to its size is used again; else each step asks the system for its arrays' pages anew, a third of its time."""
+    np.empty(24 << 20, dtype=np.uint8)
+
+
 def train(rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndarray, net: Network, epochs: int = 4, batch: int = 64, rate: float = 0.15, seed: int = 4, seen: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Fit ``net`` in place by stochastic gradient steps, sized by past gradients, whose squares are returned to go on with.
 
     rows, there (n, KEYS): inputs; kinds, aimed (n, STEP): the class to predict, and whether there is one.
     """
+    _keep_pages()
     seen = seen or [np.full_like(p, 1e-6) for p in net.parts()]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for part in np.array_split(order.permutation(len(rows)), max(1, len(rows) // batch)):
             if not len(part):
                 continue
-            grads = gradients(net, rows[part], there[part], kinds[part], aimed[part])
-            for p, g, s in zip(net.parts(), grads, seen, strict=True):
+            (met, embed), *grads = _gradients(net, rows[part], there[part], kinds[part], aimed[part])
+            # Embeddings that the batch has none of stay as they are.
+            seen[0][met] += embed * embed
+            net.embed[met] -= rate * embed / np.sqrt(seen[0][met])
+            for p, g, s in zip(net.parts()[1:], grads, seen[1:], strict=True):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
     return seen
@@ -159,10 +168,23 @@ def train(rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndar
 
 def gradients(net: Network, rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndarray) -> list[np.ndarray]:
     """Of the mean negative log probability of the aimed classes, in the order of ``Network.parts``."""
+    (met, embed), *rest = _gradients(net, rows, there, kinds, aimed)
+    whole = np.zeros_like(net.embed)
+    whole[met] = embed
+    return [whole, *rest]
+
+
+def _gradients(net: Network, rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndarray) -> list:
+    """``gradients``; that of the embeddings as the rows that are met and theirs."""
     x, q, k, v, a, both, h = attend(net, rows, there)
-    d_out = np.exp(class_log_probabilities(net, h))
-    np.put_along_axis(d_out, kinds[..., None], np.take_along_axis(d_out, kinds[..., None], 2) - 1, 2)
-    d_out *= (aimed / max(aimed.sum(), 1))[..., None].astype(np.float32)
+    d_out = h @ net.out
+    d_out += net.out_bias
+    if not d_out.max() < 60:
+        d_out -= d_out.max(axis=2, keepdims=True)
+    np.exp(d_out, out=d_out)
+    weight = (aimed / max(aimed.sum(), 1)).astype(np.float32)
+    d_out *= (weight / d_out.sum(axis=2))[..., None]
+    d_out.reshape(-1)[np.arange(kinds.size) * d_out.shape[2] + kinds.ravel()] -= weight.ravel()
     flat = lambda t: t.reshape(-1, t.shape[-1])
     g_out, g_out_bias = flat(h).T @ flat(d_out), flat(d_out).sum(axis=0)
     d_h = (d_out @ net.out.T) * (h > 0)
@@ -178,8 +200,11 @@ def gradients(net: Network, rows: np.ndarray, there: np.ndarray, kinds: np.ndarr
     g_query, g_key, g_value = flat(now).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v)
     d_x = d_k @ net.key.T + d_v @ net.value.T
     d_x[:, CONTEXT:] += d_q @ net.query.T + d_now
-    g_embed = np.zeros_like(net.embed)
-    np.add.at(g_embed, rows.ravel(), flat(d_x) * there.reshape(-1, 1))
+    used = np.flatnonzero(there.ravel())
+    used = used[np.argsort(rows.ravel()[used], kind="stable")]
+    met = rows.ravel()[used]
+    first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]])) if len(met) else met
+    g_embed = met[first], np.add.reduceat(flat(d_x)[used], first, axis=0) if len(met) else flat(d_x)[used]
     return [g_embed, g_query, g_key, g_value, g_far, g_hidden, g_hidden_bias, g_out, g_out_bias]
 
 
@@ -237,18 +262,20 @@ def _prior(counts: np.ndarray) -> np.ndarray:
     return prior / prior.sum()
 
 
-def pair_places(net: Network, counts: np.ndarray, rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def pair_places(net: Network, counts: np.ndarray, rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndarray, chunk: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """For each aimed target of windows of learning texts: the order of magnitude of the row before it, and its class's probability by the network and by the counts.
 
     Those windows are in the counts, so each target is judged by the counts without itself.
     """
+    _keep_pages()
     prior, seen, level = _prior(counts), counts.sum(axis=1), levels(counts)
+    alone = Pairs(np.zeros((ROWS, CLASSES), dtype=np.float32), np.zeros(ROWS, dtype=np.float32))
+    scorer = Scorer(net, Vocabulary(*(np.zeros(0, dtype=np.int64) for _ in range(3)), np.zeros(CLASSES, dtype=np.float32)), alone)
     at, parts = [np.zeros(0, dtype=np.int64)], [np.zeros((2, 0))]
     for i in range(0, len(rows), chunk):
         s, aim = slice(i, i + chunk), aimed[i : i + chunk]
-        logs = class_log_probabilities(net, attend(net, rows[s], there[s])[-1])
+        own = scorer.probabilities(rows[s], there[s], kinds[s], aim)[0].astype(np.float64)
         kind, before = kinds[s][aim], rows[s, CONTEXT:][aim]
-        own = np.exp(np.take_along_axis(logs, kinds[s][..., None], 2)[..., 0][aim].astype(np.float64))
         parts.append(np.stack([own, (np.maximum(counts[before, kind] - 1, 0) + prior[kind]) / np.maximum(seen[before], 1)]))
         at.append(level[before])
     return np.concatenate(at), np.concatenate(parts, axis=1)
@@ -309,6 +336,7 @@ class Scorer:
 
 def log10_probabilities(scorer: Scorer, ids: np.ndarray, lengths: np.ndarray, chunk: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """For each subword of texts that lie end to end, each with the end id last: log10 of its probability, and of a word beginning there."""
+    _keep_pages()
     first, begin, end = windows(lengths)
     voc = scorer.voc
     own, begins, done = np.empty(len(ids), dtype=np.float32), np.empty(len(ids), dtype=np.float32), 0

@@ -328,16 +328,16 @@ def _windows(shards: int, voc):
 def _shard(rows: pa.Table) -> pa.Table:
     """The windows of a shard in the order of their numbers, end to end. Equal texts of one id have equal windows, and these are one."""
     _, order = np.unique(np.asarray(rows.column("u")), return_index=True)
-    column = rows.column("payload").take(pa.array(order)).to_pylist()
-    return pa.table({"shard": rows.column("shard")[:1], "payload": pa.array([b"".join(column)], pa.binary())})
+    own = np.frombuffer(b"".join(rows.column("payload").take(pa.array(order)).to_pylist()), dtype=_WINDOW)
+    return pa.table({"shard": rows.column("shard")[:1], "payload": pa.array([pack(**{k: own[k].ravel() for k in _WINDOW.names})], pa.binary())})
 
 
 def _inputs(payload: bytes):
     """Embedding rows, places of the text, classes and places of targets of a shard's windows."""
-    own = np.frombuffer(payload, dtype=_WINDOW)
+    own = unpack(payload)
     at = np.arange(attention.KEYS)
     there = (at >= own["low"][:, None]) & (at < own["high"][:, None])
-    return own["rows"].astype(np.int64), there, own["kinds"].astype(np.int64), there[:, attention.CONTEXT :]
+    return own["rows"].reshape(-1, attention.KEYS).astype(np.int64), there, own["kinds"].reshape(-1, attention.STEP).astype(np.int64), there[:, attention.CONTEXT :]
 
 
 #: Squared gradients are added up as multiples of one in this many.
@@ -469,9 +469,13 @@ def _fit_pairs(blocks: DataFrame, shards: DataFrame, net: attention.Network, voc
 def _train(blocks: DataFrame, voc, subword_total: int, windows: int) -> tuple[attention.Network, attention.Pairs]:
     shards = ROUNDS * max(1, round(subword_total / attention.STEP / ROUNDS / windows))
     rows = blocks.mapInArrow(_windows(shards, voc), "shard int, u bigint, payload binary")
-    table = runtime.materialize(rows.groupBy("shard").applyInArrow(_shard, "shard int, payload binary"), "windows")
-    net = learned(table, attention.new_network())
-    return net, _fit_pairs(blocks, table, net, voc)
+    # The windows are needed for the network alone.
+    with runtime.scratch_scope(blocks.sparkSession):
+        table = runtime.materialize(rows.groupBy("shard").applyInArrow(_shard, "shard int, payload binary"), "windows")
+        del rows
+        runtime.free_shuffles(blocks.sparkSession)
+        net = learned(table, attention.new_network())
+        return net, _fit_pairs(blocks, table, net, voc)
 
 
 def corpus_counts(block: dict[str, np.ndarray], answers: pa.Table, corpus: Corpus) -> np.ndarray:
@@ -521,6 +525,8 @@ class Places:
     kind: np.ndarray
     parts: np.ndarray
     opens: np.ndarray
+    #: What the parts of the text so far and of the class are made of.
+    told: dict[str, np.ndarray] | None = None
 
 
 def places(block: dict[str, np.ndarray], answers: pa.Table, model, leave_out: bool = False, without: tuple[str, ...] = ()) -> Places:
@@ -539,7 +545,7 @@ def places(block: dict[str, np.ndarray], answers: pa.Table, model, leave_out: bo
     met[nth == 0] = 0
     follows = np.where(nth == 0, 0, earlier((text * (end + 1) + line.before) * (end + 1) + codes))
     less = leave_out * (block["held"] == 0)[text]
-    parts, opens = np.zeros((len(PARTS), len(codes))), np.zeros(len(codes), dtype=np.int64)
+    parts, opens, shown = np.zeros((len(PARTS), len(codes))), np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes))
     parts[0] = np.maximum(own - less, 0) / np.maximum(corpus.tokens - less, 1)
     parts[2], parts[3] = seen / np.maximum(nth, 1), follows / np.maximum(met, 1)
     if len(ids):
@@ -550,15 +556,16 @@ def places(block: dict[str, np.ndarray], answers: pa.Table, model, leave_out: bo
         kind = opens = voc.kind[begun]
         # The class of the first subword, given that a word begins or the text ends here.
         shown = 10.0 ** (own_log[first].astype(np.float64) - voc.log_share[begun] - begins[first]) * voc.begins[kind]
-        parts[4] = np.minimum(shown, 1) * np.maximum(own - less, 0) / np.maximum(corpus.classes[kind] - less, 1)
+        shown = np.minimum(shown, 1)
+        parts[4] = shown * np.maximum(own - less, 0) / np.maximum(corpus.classes[kind] - less, 1)
     for name in without:
         parts[PARTS.index(name)] = 0
     kind = np.searchsorted(_FAR, nth, side="right") * (len(_MET) + 1) + np.searchsorted(_MET, met, side="right")
-    return Places(own, text, kind, parts, opens)
+    return Places(own, text, kind, parts, opens, {"seen": seen, "follows": follows, "met": met, "shown": shown})
 
 
 def _written(model, without: tuple[str, ...]):
-    """A block's texts with the places of their words, as ``read_places`` takes them: what follows from a word's count is left out, and small probabilities are logarithms."""
+    """A block's texts with the places of their words, as ``read_places`` takes them: what follows from counts is left out, and small probabilities are logarithms."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -568,7 +575,7 @@ def _written(model, without: tuple[str, ...]):
         subword = np.log10(np.maximum(found.parts[1], 1e-300)).astype(np.float32)
         payload = pack(
             **{k: block[k] for k in ("ids", "known", "held", "counts")}, own=found.own.astype(np.int64), kind=found.kind.astype(np.uint8), opens=found.opens.astype(np.uint8),
-            subword=subword, rest=found.parts[2:].astype(np.float32).ravel(),
+            subword=subword, shown=found.told["shown"].astype(np.float32), **{k: found.told[k].astype(np.int32) for k in ("seen", "follows", "met")},
         )
         tb.release()
         return pa.table({"payload": pa.array([payload], pa.binary())})
@@ -578,14 +585,15 @@ def _written(model, without: tuple[str, ...]):
 
 def read_places(block: dict[str, np.ndarray], corpus: Corpus, leave_out: bool = False, without: tuple[str, ...] = ()) -> Places:
     """The places that ``_written`` has written; those of ``places`` with ``leave_out`` follow from a word's count."""
-    own, opens = block["own"], block["opens"].astype(np.int64)
-    text = np.repeat(np.arange(len(block["ids"])), block["counts"].astype(np.int64) + 1)
+    own, opens, words = block["own"], block["opens"].astype(np.int64), block["counts"].astype(np.int64) + 1
+    text = np.repeat(np.arange(len(block["ids"])), words)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(words) - words, words)
     less = leave_out * (block["held"] == 0)[text]
     parts = np.zeros((len(PARTS), len(own)))
     parts[0] = np.maximum(own - less, 0) / np.maximum(corpus.tokens - less, 1)
     parts[1] = 10.0 ** block["subword"].astype(np.float64)
-    parts[2:] = block["rest"].reshape(len(PARTS) - 2, -1)
-    parts[4] *= np.maximum(own - less, 0) / np.maximum(own, 1) * np.maximum(corpus.classes[opens], 1) / np.maximum(corpus.classes[opens] - less, 1)
+    parts[2], parts[3] = block["seen"] / np.maximum(nth, 1), block["follows"] / np.maximum(block["met"], 1)
+    parts[4] = block["shown"] * (np.maximum(own - less, 0) / np.maximum(corpus.classes[opens] - less, 1))
     for name in without:
         parts[PARTS.index(name)] = 0
     return Places(own, text, block["kind"].astype(np.int64), parts, opens)
@@ -670,6 +678,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer_path: str = TOKENIZER, wi
     buckets = max(1, -(-count * block_bytes // BUCKET_CHARS))
     answers = blocks.mapInArrow(_send(shipped, buckets), _SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total, "block bigint, bucket bigint, counts binary, tokens bigint, words bigint")
     answers = runtime.materialize(answers, "counts")
+    runtime.free_shuffles(spark)
     told = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     texts = int(piece_counts[size])
     voc = attention.vocabulary(piece_counts.astype(np.float64), first)
@@ -680,7 +689,9 @@ def score(docs: DataFrame, held_out: Column, tokenizer_path: str = TOKENIZER, wi
     answers = answers.select("block", "bucket", "counts")
     model_of = spark.sparkContext.broadcast((scorer, corpus))
     found = blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_written(model_of, without), "payload binary")
+    runtime.free_shuffles(spark)
     found = runtime.materialize(found, "places")
+    runtime.free_shuffles(spark)
     corpus.weights = np.maximum(fitted(found, KINDS, len(PARTS), read=_to_fit(spark.sparkContext.broadcast(corpus), without)), 1e-4)
     result = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return found.mapInArrow(_score(spark.sparkContext.broadcast(corpus), without), result)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -99,6 +100,12 @@ def spare_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nobody holds any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all that this application materialized. Call it once its results are written."""
     _delete(spark, f"{shared_dir(spark)}/kinfold/{spark.sparkContext.applicationId}")

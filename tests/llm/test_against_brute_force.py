@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against literal versions, and models on rows kept out of their training."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -507,3 +508,13 @@ def test_held_out_accuracy(found):
     assert np.mean([g > b for g in good for b in bad]) > 0.9
     kept = {r["doc_id"]: r["kept"] for r in found("op9_quality_rules", sf)}
     assert np.mean([kept[i] for i, q in quality.items() if q]) > 0.95 and np.mean([kept[i] for i, q in quality.items() if not q]) < 0.3
+
+
+def test_windows_are_deleted_once_they_are_learned_from(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 11} x y z") for i in range(60)], "doc_id bigint, text string")
+    made, plain = [], language_model.runtime.scratch_path
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_model.runtime, "scratch_path", lambda *at: made.append(plain(*at)) or made[-1])
+        assert language_model.score(docs, docs["doc_id"] >= 50, windows=20).count() == 60
+    left = [os.path.basename(p).split("-")[0] for p in made if os.path.exists(p.removeprefix("file://"))]
+    assert "windows" not in left and {"blocks", "places"} <= set(left)
