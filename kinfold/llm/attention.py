@@ -100,15 +100,24 @@ _AHEAD = _BACK < 0
 def attend(net: Network, rows: np.ndarray, there: np.ndarray):
     """Hidden layer and attention of windows: ``rows`` (n, KEYS) are embedding rows, ``there`` marks keys of the text."""
     x = net.embed[rows]
-    q, k, v = x[:, CONTEXT:] @ net.query, x @ net.key, x @ net.value
+    # One product over all windows is faster than one for each.
+    times = lambda t, by: (t.reshape(-1, t.shape[-1]) @ by).reshape(*t.shape[:-1], -1)
+    now = np.ascontiguousarray(x[:, CONTEXT:])
+    q, k, v = times(now, net.query), times(x, net.key), times(x, net.value)
     z = q @ k.transpose(0, 2, 1)
     z += np.where(_AHEAD, _NEVER, net.far[np.maximum(_BACK, 0)])
     z += np.where(there, np.float32(0), _NEVER)[:, None, :]
-    z -= z.max(axis=2, keepdims=True)
+    longest = lambda t: float(np.sqrt(np.einsum("nij,nij->ni", t, t).max(initial=0)))
+    if not longest(q) * longest(k) + float(np.abs(net.far).max()) < 60:
+        # Where a value could overflow, or all could vanish, each target's largest is taken off.
+        z -= z.max(axis=2, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=2, keepdims=True)
-    both = np.concatenate([z @ v, x[:, CONTEXT:]], axis=2)
-    h = np.maximum(both @ net.hidden + net.hidden_bias, 0)
+    # A target that sees no key is of no text; it gets zeros.
+    z *= 1 / np.maximum(z.sum(axis=2, keepdims=True), np.float32(1e-30))
+    both = np.concatenate([z @ v, now], axis=2)
+    h = times(both, net.hidden)
+    h += net.hidden_bias
+    np.maximum(h, 0, out=h)
     return x, q, k, v, z, both, h
 
 
@@ -158,8 +167,9 @@ def train(rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndar
                 continue
             (met, embed), *grads = _gradients(net, rows[part], there[part], kinds[part], aimed[part])
             # Embeddings that the batch has none of stay as they are.
-            seen[0][met] += embed * embed
-            net.embed[met] -= rate * embed / np.sqrt(seen[0][met])
+            squares = seen[0][met] + embed * embed
+            seen[0][met] = squares
+            net.embed[met] -= rate * embed / np.sqrt(squares)
             for p, g, s in zip(net.parts()[1:], grads, seen[1:], strict=True):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
@@ -177,32 +187,40 @@ def gradients(net: Network, rows: np.ndarray, there: np.ndarray, kinds: np.ndarr
 def _gradients(net: Network, rows: np.ndarray, there: np.ndarray, kinds: np.ndarray, aimed: np.ndarray) -> list:
     """``gradients``; that of the embeddings as the rows that are met and theirs."""
     x, q, k, v, a, both, h = attend(net, rows, there)
-    d_out = h @ net.out
+    flat = lambda t: t.reshape(-1, t.shape[-1])
+    hidden = flat(h)
+    # Each target's row is the gradient of its logits but for one factor, which the narrower arrays take.
+    d_out = hidden @ net.out
     d_out += net.out_bias
     if not d_out.max() < 60:
-        d_out -= d_out.max(axis=2, keepdims=True)
+        d_out -= d_out.max(axis=1, keepdims=True)
     np.exp(d_out, out=d_out)
-    weight = (aimed / max(aimed.sum(), 1)).astype(np.float32)
-    d_out *= (weight / d_out.sum(axis=2))[..., None]
-    d_out.reshape(-1)[np.arange(kinds.size) * d_out.shape[2] + kinds.ravel()] -= weight.ravel()
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    g_out, g_out_bias = flat(h).T @ flat(d_out), flat(d_out).sum(axis=0)
-    d_h = (d_out @ net.out.T) * (h > 0)
-    g_hidden, g_hidden_bias = flat(both).T @ flat(d_h), flat(d_h).sum(axis=0)
-    d_both = d_h @ net.hidden.T
+    whole = d_out.sum(axis=1)
+    d_out[np.arange(kinds.size), kinds.ravel()] -= whole
+    factor = ((aimed / max(aimed.sum(), 1)).ravel() / whole).astype(d_out.dtype)
+    g_out, g_out_bias = (hidden * factor[:, None]).T @ d_out, factor @ d_out
+    d_h = d_out @ net.out.T
+    d_h *= (hidden > 0) * factor[:, None]
+    g_hidden, g_hidden_bias = flat(both).T @ d_h, d_h.sum(axis=0)
+    d_both = (d_h @ net.hidden.T).reshape(both.shape)
     d_att, d_now = d_both[..., :DIMENSIONS], d_both[..., DIMENSIONS:]
     d_a = d_att @ v.transpose(0, 2, 1)
     d_v = a.transpose(0, 2, 1) @ d_att
     d_z = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
     g_far = np.bincount(np.maximum(_BACK, 0).ravel(), weights=np.where(_AHEAD, 0, d_z.sum(axis=0)).ravel(), minlength=KEYS).astype(np.float32)
     d_q, d_k = d_z @ k, d_z.transpose(0, 2, 1) @ q
-    now = x[:, CONTEXT:]
-    g_query, g_key, g_value = flat(now).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v)
-    d_x = d_k @ net.key.T + d_v @ net.value.T
-    d_x[:, CONTEXT:] += d_q @ net.query.T + d_now
+    now = flat(both)[:, DIMENSIONS:]
+    g_query, g_key, g_value = now.T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v)
+    d_x = flat(d_k) @ net.key.T
+    d_x += flat(d_v) @ net.value.T
+    d_x = d_x.reshape(x.shape)
+    d_x[:, CONTEXT:] += (flat(d_q) @ net.query.T).reshape(d_now.shape)
+    d_x[:, CONTEXT:] += d_now
     used = np.flatnonzero(there.ravel())
-    used = used[np.argsort(rows.ravel()[used], kind="stable")]
-    met = rows.ravel()[used]
+    # Numbers of 16 bits are sorted by their digits.
+    met = rows.ravel()[used].astype(np.int16)
+    order = np.argsort(met, kind="stable")
+    used, met = used[order], met[order]
     first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]])) if len(met) else met
     g_embed = met[first], np.add.reduceat(flat(d_x)[used], first, axis=0) if len(met) else flat(d_x)[used]
     return [g_embed, g_query, g_key, g_value, g_far, g_hidden, g_hidden_bias, g_out, g_out_bias]

@@ -8,7 +8,7 @@ counts of subwords, summed over all learning texts too, give the subword classes
 
 Model. Subword ids come from a public tokenizer whose file is a parameter; the driver ships it to the tasks. The
 network of ``attention`` learns from all windows of all learning texts at every size. A hash deals them to ``ROUNDS`` rounds and, within a round, to shards
-of about ``SHARD_WINDOWS``; in a round a copy of the network walks through each of its shards, and the copies are averaged.
+of about ``SHARD_WINDOWS``; in a round, whose windows travel by themselves, a copy of the network walks through each of its shards, and the copies are averaged.
 Pairs of an embedding row and the class that follows are counted over all learning texts and mixed with the network, by weights that all their windows tell.
 A word's probability is mixed from five parts: its share of the corpus; its subwords by the network; its share of the text so far; what followed
 the word before it so far; and the class of its first subword by the network, times the word's share of the corpus words of that class. The weights
@@ -81,6 +81,11 @@ def unpack(payload: bytes) -> dict[str, np.ndarray]:
     return found
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def tokenizer(model: bytes):
     """The tokenizer of a model file's bytes, loaded once in a process."""
     key = hash(model)
@@ -298,46 +303,74 @@ def _total(batches):
         yield answer(now, blocks, payloads)
 
 
-#: A window as it travels: embedding rows of its keys, classes of its targets, and the first and the end of its keys that are of the text.
-_WINDOW = np.dtype([("rows", "<i2", attention.KEYS), ("kinds", "u1", attention.STEP), ("low", "u1"), ("high", "u1")])
+#: A window as it travels: the number that names it, embedding rows of its keys, classes of its targets, and the first and the end of its keys that are of the text.
+_WINDOW = np.dtype([("u", "<u8"), ("rows", "<i2", attention.KEYS), ("kinds", "u1", attention.STEP), ("low", "u1"), ("high", "u1")])
+
 
+def _learning(block: dict[str, np.ndarray], voc, chosen=None) -> Iterator[tuple[np.ndarray, tuple]]:
+    """The windows of a block's learning texts, some at a time: numbers that follow from texts, ids and places alone, and the inputs as ``attention.window_inputs`` has them.
 
-def _windows(shards: int, voc):
-    """All learning windows, with a number that names each and the shard that follows from it: which one depends on texts, ids and places alone."""
+    ``chosen`` takes all numbers and tells which windows are wanted, in what order.
+    """
+    ids, lengths, _ = subwords(block, voc.end)
+    first, begin, end = attention.windows(lengths)
+    text = np.repeat(np.arange(len(lengths)), -(-lengths // attention.STEP))
+    u = tb.mix(block["keys"].view(np.uint64)[text] * np.uint64(0x9E3779B97F4A7C15) + (first - begin).astype(np.uint64))
+    wanted = np.flatnonzero(block["held"][text] == 0)
+    if chosen is not None:
+        wanted = wanted[chosen(u[wanted])]
+    for i in range(0, len(wanted), CHUNK_WINDOWS):
+        take = wanted[i : i + CHUNK_WINDOWS]
+        yield u[take], attention.window_inputs(voc, ids, first[take], begin[take], end[take])
+
+
+def _windows(shards: int, voc, rounds: int = 1, seed: int = 0):
+    """The learning windows of every shard that leaves ``seed`` when divided by ``rounds``; a row holds those that a piece of a block has for a shard."""
+
+    def chosen(u: np.ndarray) -> np.ndarray:
+        shard = u % np.uint64(shards)
+        own = np.flatnonzero(shard % np.uint64(rounds) == seed)
+        return own[np.argsort(shard[own], kind="stable")]
 
     def run(batches):
         for _, block in _payloads(batches):
-            ids, lengths, _ = subwords(block, voc.value.end)
-            first, begin, end = attention.windows(lengths)
-            text = np.repeat(np.arange(len(lengths)), -(-lengths // attention.STEP))
-            u = tb.mix(block["keys"].view(np.uint64)[text] * np.uint64(0x9E3779B97F4A7C15) + (first - begin).astype(np.uint64))
-            learned_from = np.flatnonzero(block["held"][text] == 0)
-            for i in range(0, len(learned_from), CHUNK_WINDOWS):
-                take = learned_from[i : i + CHUNK_WINDOWS]
-                rows, there, target, _ = attention.window_inputs(voc.value, ids, first[take], begin[take], end[take])
-                own = np.zeros(len(take), dtype=_WINDOW)
-                own["rows"], own["kinds"] = rows, voc.value.kind[target]
+            for u, (rows, there, target, _) in _learning(block, voc.value, chosen):
+                own = np.empty(len(u), dtype=_WINDOW)
+                own["u"], own["rows"], own["kinds"] = u, rows, voc.value.kind[target]
                 own["low"], own["high"] = there.argmax(axis=1), attention.KEYS - there[:, ::-1].argmax(axis=1)
-                shard = (u[take] % np.uint64(shards)).astype(np.int32)
-                payload = pa.array(own.view(f"V{_WINDOW.itemsize}").tolist(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(u[take].view(np.int64)), payload], names=["shard", "u", "payload"])
+                shard = (u % np.uint64(shards)).astype(np.int32)
+                cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+                payload = [own[i:j].tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]]), pa.array(payload, pa.binary())], names=["shard", "payload"])
 
     return run
 
 
-def _shard(rows: pa.Table) -> pa.Table:
-    """The windows of a shard in the order of their numbers, end to end. Equal texts of one id have equal windows, and these are one."""
-    _, order = np.unique(np.asarray(rows.column("u")), return_index=True)
-    own = np.frombuffer(b"".join(rows.column("payload").take(pa.array(order)).to_pylist()), dtype=_WINDOW)
-    return pa.table({"shard": rows.column("shard")[:1], "payload": pa.array([pack(**{k: own[k].ravel() for k in _WINDOW.names})], pa.binary())})
-
-
-def _inputs(payload: bytes):
-    """Embedding rows, places of the text, classes and places of targets of a shard's windows."""
-    own = unpack(payload)
+def _inputs(windows):
+    """Embedding rows, places of the text, classes and places of targets of windows as they travel."""
+    own = np.frombuffer(windows, dtype=_WINDOW)
     at = np.arange(attention.KEYS)
     there = (at >= own["low"][:, None]) & (at < own["high"][:, None])
-    return own["rows"].reshape(-1, attention.KEYS).astype(np.int64), there, own["kinds"].reshape(-1, attention.STEP).astype(np.int64), there[:, attention.CONTEXT :]
+    return own["rows"].astype(np.int64), there, own["kinds"].astype(np.int64), there[:, attention.CONTEXT :]
+
+
+def _shards(batches) -> Iterator[np.ndarray]:
+    """The windows of each shard in the order of their numbers, of rows sorted by shard. Equal texts of one id have equal windows, and these are one."""
+
+    def whole(payloads: list[bytes]) -> np.ndarray:
+        own = np.frombuffer(b"".join(payloads), dtype=_WINDOW)
+        return own[np.unique(own["u"], return_index=True)[1]]
+
+    now, payloads = None, []
+    for batch in batches:
+        for shard, payload in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            if shard != now and payloads:
+                yield whole(payloads)
+                payloads = []
+            now = shard
+            payloads.append(payload)
+    if payloads:
+        yield whole(payloads)
 
 
 #: Squared gradients are added up as multiples of one in this many.
@@ -350,30 +383,36 @@ def _walk(held, seed: int):
     def run(batches):
         net, squares = held.value
         began, total = attention.flat(net), None
-        for batch in batches:
-            for payload in batch.column("payload"):
-                inputs = _inputs(payload.as_buffer())
-                own, seen = attention.copy_of(net), attention.from_flat(net, squares).parts()
-                seen = attention.train(*inputs, net=own, epochs=1, batch=32, seed=seed, seen=seen)
-                moved = (attention.flat(own).astype(np.float64) - began) * attention.FIXED
-                met = len(inputs[0])
-                # Sums of whole numbers don't depend on the order in which shards are added.
-                told = np.rint(np.concatenate([moved, np.concatenate([x.ravel() for x in seen]) * _SQUARES, [1.0]]) * met).astype(np.int64)
-                total = told if total is None else total + told
+        for windows in _shards(batches):
+            inputs = _inputs(windows)
+            own, seen = attention.copy_of(net), attention.from_flat(net, squares).parts()
+            seen = attention.train(*inputs, net=own, epochs=1, batch=32, seed=seed, seen=seen)
+            moved = (attention.flat(own).astype(np.float64) - began) * attention.FIXED
+            met = len(inputs[0])
+            # Sums of whole numbers don't depend on the order in which shards are added.
+            told = np.rint(np.concatenate([moved, np.concatenate([x.ravel() for x in seen]) * _SQUARES, [1.0]]) * met).astype(np.int64)
+            total = told if total is None else total + told
         if total is not None:
             yield _sliced(np.pad(total, (0, -len(total) % SLICES)))
 
     return run
 
 
-def learned(shards: DataFrame, net: attention.Network, rounds: int = ROUNDS) -> attention.Network:
-    """``net`` after some rounds, among which the shards are dealt: a copy of it walks through each shard of the round, and after it stands the mean of the copies by windows."""
-    n = len(attention.flat(net))
+def learned(shards: DataFrame, net: attention.Network, rounds: int = ROUNDS, dealt=None) -> attention.Network:
+    """``net`` after some rounds, among which the shards are dealt: a copy of it walks through each shard of the round, and after it stands the mean of the copies by windows.
+
+    ``dealt`` makes the windows of one round alone, which then travel without the others; without it they are picked from ``shards``.
+    """
+    spark, n = shards.sparkSession, len(attention.flat(net))
     squares = np.full(n, 1e-6)
     for seed in range(rounds):
-        held = shards.sparkSession.sparkContext.broadcast((net, squares))
-        sums = shards.where(F.col("shard") % rounds == seed).mapInArrow(_walk(held, seed), "slice int, payload binary").repartition("slice").mapInArrow(_slice_totals, "slice int, payload binary")
+        held = spark.sparkContext.broadcast((net, squares))
+        rows = dealt(seed) if dealt else shards.where(F.col("shard") % rounds == seed)
+        sums = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_walk(held, seed), "slice int, payload binary").repartition("slice").mapInArrow(_slice_totals, "slice int, payload binary")
         found = sorted((r["slice"], r["payload"]) for r in sums.collect())
+        # The next round's windows take the place of these.
+        del rows, sums
+        runtime.free_shuffles(spark)
         if not found:
             continue
         total = np.concatenate([unpack(p)["x"] for _, p in found]).astype(np.float64)
@@ -396,14 +435,17 @@ def fitted(rows: DataFrame, kinds: int, parts: int, rounds: int = FIT_ROUNDS, re
     weights = np.full((kinds, parts), 1 / parts)
 
     def told(weights):
+        by_part = np.ascontiguousarray(weights.T)
+
         def run(batches):
             total = np.zeros((parts, kinds))
             for batch in batches:
                 for payload in batch.column("payload"):
                     kind, own = read(payload.as_buffer())
-                    share = own.reshape(parts, -1) * weights[kind].T
+                    share = own.reshape(parts, -1) * by_part[:, kind]
                     share *= attention.FIXED / np.maximum(share.sum(axis=0), 1e-300)
-                    total += np.stack([np.bincount(kind, weights=x, minlength=kinds) for x in np.rint(share)])
+                    np.rint(share, out=share)
+                    total += np.stack([np.bincount(kind, weights=x, minlength=kinds) for x in share])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts * kinds)), pa.array(total.ravel().astype(np.int64))], names=["at", "n"])
 
         return run
@@ -435,7 +477,7 @@ def two_weights(counts: np.ndarray, shares: np.ndarray, rounds: int = FIT_ROUNDS
     return weight
 
 
-def _fit_pairs(blocks: DataFrame, shards: DataFrame, net: attention.Network, voc) -> attention.Pairs:
+def _fit_pairs(blocks: DataFrame, net: attention.Network, voc) -> attention.Pairs:
     """What class follows each embedding row, over all learning texts; its weight beside the network is fitted to all windows of these."""
     cells = attention.ROWS * attention.CLASSES
 
@@ -444,21 +486,21 @@ def _fit_pairs(blocks: DataFrame, shards: DataFrame, net: attention.Network, voc
         total += np.pad(attention.pair_counts(voc.value, ids, lengths, block["held"] > 0).ravel(), (0, len(total) - cells))
 
     counts = _summed(blocks, cells, add).reshape(attention.ROWS, attention.CLASSES)
-    shipped = shards.sparkSession.sparkContext.broadcast((net, counts))
+    shipped = blocks.sparkSession.sparkContext.broadcast((net, counts))
     bins = attention.LEVELS * BINS
 
     def run(batches):
         total = np.zeros(2 * bins, dtype=np.int64)
-        for batch in batches:
-            for payload in batch.column("payload"):
-                kind, (own, other) = attention.pair_places(*shipped.value, *_inputs(payload.as_buffer()))
+        for _, block in _payloads(batches):
+            for _, (rows, there, target, aimed) in _learning(block, voc.value):
+                kind, (own, other) = attention.pair_places(*shipped.value, rows, there, voc.value.kind[target], aimed)
                 share = np.rint(own / np.maximum(own + other, 1e-300) * _SQUARES).astype(np.int64)
                 at = kind * BINS + np.minimum(share * BINS // int(_SQUARES), BINS - 1)
                 total[:bins] += np.bincount(at, minlength=bins)
                 total[bins:] += np.bincount(at, weights=share, minlength=bins).astype(np.int64)
         yield _sliced(total)
 
-    sums = shards.mapInArrow(run, "slice int, payload binary").repartition("slice").mapInArrow(_slice_totals, "slice int, payload binary")
+    sums = blocks.mapInArrow(run, "slice int, payload binary").repartition("slice").mapInArrow(_slice_totals, "slice int, payload binary")
     total = np.zeros((SLICES, 2 * bins // SLICES), dtype=np.int64)
     for row in sums.toLocalIterator():
         total[row["slice"]] = unpack(row["payload"])["x"]
@@ -468,14 +510,9 @@ def _fit_pairs(blocks: DataFrame, shards: DataFrame, net: attention.Network, voc
 
 def _train(blocks: DataFrame, voc, subword_total: int, windows: int) -> tuple[attention.Network, attention.Pairs]:
     shards = ROUNDS * max(1, round(subword_total / attention.STEP / ROUNDS / windows))
-    rows = blocks.mapInArrow(_windows(shards, voc), "shard int, u bigint, payload binary")
-    # The windows are needed for the network alone.
-    with runtime.scratch_scope(blocks.sparkSession):
-        table = runtime.materialize(rows.groupBy("shard").applyInArrow(_shard, "shard int, payload binary"), "windows")
-        del rows
-        runtime.free_shuffles(blocks.sparkSession)
-        net = learned(table, attention.new_network())
-        return net, _fit_pairs(blocks, table, net, voc)
+    dealt = lambda *which: blocks.mapInArrow(_windows(shards, voc, *which), "shard int, payload binary")
+    net = learned(dealt(), attention.new_network(), ROUNDS, lambda seed: dealt(ROUNDS, seed))
+    return net, _fit_pairs(blocks, net, voc)
 
 
 def corpus_counts(block: dict[str, np.ndarray], answers: pa.Table, corpus: Corpus) -> np.ndarray:
@@ -574,8 +611,8 @@ def _written(model, without: tuple[str, ...]):
         found = places(block, answers, model, without=without)
         subword = np.log10(np.maximum(found.parts[1], 1e-300)).astype(np.float32)
         payload = pack(
-            **{k: block[k] for k in ("ids", "known", "held", "counts")}, own=found.own.astype(np.int64), kind=found.kind.astype(np.uint8), opens=found.opens.astype(np.uint8),
-            subword=subword, shown=found.told["shown"].astype(np.float32), **{k: found.told[k].astype(np.int32) for k in ("seen", "follows", "met")},
+            **{k: block[k] for k in ("ids", "known", "held", "counts")}, own=narrow(found.own), kind=found.kind.astype(np.uint8), opens=found.opens.astype(np.uint8),
+            subword=subword, shown=found.told["shown"].astype(np.float32), **{k: narrow(found.told[k]) for k in ("seen", "follows", "met")},
         )
         tb.release()
         return pa.table({"payload": pa.array([payload], pa.binary())})
@@ -583,20 +620,29 @@ def _written(model, without: tuple[str, ...]):
     return run
 
 
-def read_places(block: dict[str, np.ndarray], corpus: Corpus, leave_out: bool = False, without: tuple[str, ...] = ()) -> Places:
-    """The places that ``_written`` has written; those of ``places`` with ``leave_out`` follow from a word's count."""
-    own, opens, words = block["own"], block["opens"].astype(np.int64), block["counts"].astype(np.int64) + 1
+def read_places(block: dict[str, np.ndarray], corpus: Corpus, leave_out: bool = False, without: tuple[str, ...] = (), only: np.ndarray | None = None) -> Places:
+    """The places that ``_written`` has written, of the texts that ``only`` marks; those of ``places`` with ``leave_out`` follow from a word's count."""
+    words = block["counts"].astype(np.int64) + 1
     text = np.repeat(np.arange(len(block["ids"])), words)
-    nth = np.arange(len(own)) - np.repeat(np.cumsum(words) - words, words)
-    less = leave_out * (block["held"] == 0)[text]
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(words) - words, words)
+    told = {k: block[k] for k in ("own", "kind", "opens", "subword", "shown", "seen", "follows", "met")}
+    if only is not None and not only.all():
+        chosen = only[text]
+        text, nth, told = text[chosen], nth[chosen], {k: x[chosen] for k, x in told.items()}
+    own, opens = told["own"].astype(np.int64), told["opens"].astype(np.int64)
+    less = (block["held"] == 0)[text].astype(np.int64) if leave_out else 0
+    left, of_class = own - less, corpus.classes[opens] - less
     parts = np.zeros((len(PARTS), len(own)))
-    parts[0] = np.maximum(own - less, 0) / np.maximum(corpus.tokens - less, 1)
-    parts[1] = 10.0 ** block["subword"].astype(np.float64)
-    parts[2], parts[3] = block["seen"] / np.maximum(nth, 1), block["follows"] / np.maximum(block["met"], 1)
-    parts[4] = block["shown"] * (np.maximum(own - less, 0) / np.maximum(corpus.classes[opens] - less, 1))
+    np.maximum(left, 0, out=left)
+    np.divide(left, np.maximum(corpus.tokens - less, 1), out=parts[0])
+    np.exp(told["subword"] * np.log(10.0), out=parts[1])
+    np.divide(told["seen"], np.maximum(nth, 1), out=parts[2])
+    np.divide(told["follows"], np.maximum(told["met"], 1), out=parts[3])
+    np.divide(left, np.maximum(of_class, 1), out=parts[4])
+    parts[4] *= told["shown"]
     for name in without:
         parts[PARTS.index(name)] = 0
-    return Places(own, text, block["kind"].astype(np.int64), parts, opens)
+    return Places(own, text, told["kind"].astype(np.int64), parts, opens)
 
 
 def _to_fit(corpus, without: tuple[str, ...]):
@@ -604,9 +650,8 @@ def _to_fit(corpus, without: tuple[str, ...]):
 
     def read(payload) -> tuple[np.ndarray, np.ndarray]:
         block = unpack(payload)
-        found = read_places(block, corpus.value, True, without)
-        learns = (block["held"] == 0)[found.text]
-        return found.kind[learns], found.parts[:, learns]
+        found = read_places(block, corpus.value, True, without, block["held"] == 0)
+        return found.kind, found.parts
 
     return read
 

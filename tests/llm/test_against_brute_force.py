@@ -518,3 +518,39 @@ def test_windows_are_deleted_once_they_are_learned_from(spark):
         assert language_model.score(docs, docs["doc_id"] >= 50, windows=20).count() == 60
     left = [os.path.basename(p).split("-")[0] for p in made if os.path.exists(p.removeprefix("file://"))]
     assert "windows" not in left and {"blocks", "places"} <= set(left)
+
+
+def test_windows_travel_one_round_at_a_time(spark, monkeypatch):
+    """A round's windows are dealt without those of the others, and no table of all windows is written; on 0.51 GB that table and its shuffle took more than the disk allowed."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7} v{(i * k) % 11}" for k in range(40))) for i in range(60)], "doc_id bigint, text string").repartition(3)
+    tags, met, write, cut = [], {}, language_model.runtime.materialize, language_model.learned
+
+    def learned(shards, net, rounds, dealt):
+        numbers = lambda rows: sorted(int(u) for r in rows for u in np.frombuffer(r["payload"], dtype=language_model._WINDOW)["u"])
+        for seed in range(rounds):
+            rows = dealt(seed).collect()
+            assert {r["shard"] % rounds for r in rows} == {seed}
+            met[seed] = numbers(rows)
+        met["all"] = numbers(shards.collect())
+        return cut(shards, net, rounds, dealt)
+
+    monkeypatch.setattr(language_model.runtime, "materialize", lambda df, tag, *more, **named: tags.append(tag) or write(df, tag, *more, **named))
+    monkeypatch.setattr(language_model, "learned", learned)
+    language_model.score(docs, F.col("doc_id") % 10 == 0, windows=4, block_bytes=600).collect()
+    assert sorted(tags) == ["blocks", "counts", "places"]
+    assert sorted(u for seed in range(language_model.ROUNDS) for u in met[seed]) == met["all"] and len(met["all"]) == len(set(met["all"])) > 54
+
+
+def test_shards_come_whole_and_in_order():
+    """Rows of a shard, cut by blocks and batches, make its windows in the order of their numbers; a repeated window is one."""
+    import pyarrow as pa
+
+    def row(*numbers):
+        own = np.zeros(len(numbers), dtype=language_model._WINDOW)
+        own["u"], own["kinds"] = numbers, np.array(numbers)[:, None]
+        return own.tobytes()
+
+    batch = lambda shards, payloads: pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "payload"])
+    found = list(language_model._shards([batch([3, 3], [row(9, 2), row(5)]), batch([3, 4], [row(2, 1), row(7)])]))
+    assert [x["u"].tolist() for x in found] == [[1, 2, 5, 9], [7]]
+    assert [x["kinds"][:, 0].tolist() for x in found] == [[1, 2, 5, 9], [7]]
