@@ -304,7 +304,7 @@ def _total(batches):
 
 
 #: A window as it travels: the number that names it, embedding rows of its keys, classes of its targets, and the first and the end of its keys that are of the text.
-_WINDOW = np.dtype([("u", "<u8"), ("rows", "<i2", attention.KEYS), ("kinds", "u1", attention.STEP), ("low", "u1"), ("high", "u1")])
+_WINDOW = np.dtype([("u", "<i8"), ("rows", "<i2", attention.KEYS), ("kinds", "u1", attention.STEP), ("low", "u1"), ("high", "u1")])
 
 
 def _learning(block: dict[str, np.ndarray], voc, chosen=None) -> Iterator[tuple[np.ndarray, tuple]]:
@@ -336,7 +336,7 @@ def _windows(shards: int, voc, rounds: int = 1, seed: int = 0):
         for _, block in _payloads(batches):
             for u, (rows, there, target, _) in _learning(block, voc.value, chosen):
                 own = np.empty(len(u), dtype=_WINDOW)
-                own["u"], own["rows"], own["kinds"] = u, rows, voc.value.kind[target]
+                own["u"], own["rows"], own["kinds"] = u.view(np.int64), rows, voc.value.kind[target]
                 own["low"], own["high"] = there.argmax(axis=1), attention.KEYS - there[:, ::-1].argmax(axis=1)
                 shard = (u % np.uint64(shards)).astype(np.int32)
                 cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
